@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lorekiln.llm import containers_queries, splitting_queries
+from lorekiln.llm import containers_queries, neighbours_queries, splitting_queries
 
-MODULES = (containers_queries, splitting_queries)
+MODULES = (containers_queries, neighbours_queries, splitting_queries)
 
 
 def queries() -> dict:
