@@ -18,7 +18,7 @@ HYPHENS = r"-‐‑¬–­"
 #: Fixed values. Letters and figures that are mistaken for each other, first those of one glyph (from, to), then glyphs that look
 #: like two. Everything is spelled out to strokes, so that it doesn't matter where the pairs lie.
 ACCENTS = ("áàâãäåéèêëíìîïóòôõöúùûüçñý", "aaaaaaeeeeiiiiooooouuuucny")
-ONE_GLYPH = ("0@4569!1jlcfsqß68", "oaatogiiiiettgioo")
+ONE_GLYPH = ("0@4569!1jlcfsq8", "oaatogiiiiettgb")
 TWO_GLYPHS = (("m", "rn"), ("n", "ri"), ("d", "ei"), ("u", "ii"), ("h", "ii"), ("b", "ii"), ("w", "vv"))
 ROMAN = r"(?:[ivxlc]{1,8}|[IVXLC]{1,8})"
 PAGE_WORDS = ("p", "pp", "pg", "pag", "page", "pagina", "folio", "fol")
@@ -30,7 +30,7 @@ BROKEN_LINES = 0.3
 
 def skeleton(c: Column) -> Column:
     """A word's strokes: words that differ by confusable glyphs only have the same."""
-    s = F.regexp_replace(F.lower(c), rf"[{SPECKS}{THIN}\x{{300}}-\x{{36F}}\x{{AD}}]", "")
+    s = F.regexp_replace(F.lower(c), rf"['’{SPECKS}{THIN}\x{{300}}-\x{{36F}}\x{{AD}}]", "")
     s = F.translate(F.translate(s, *ACCENTS), *ONE_GLYPH)
     return reduce(lambda a, p: F.replace(a, F.lit(p[0]), F.lit(p[1])), TWO_GLYPHS, s)
 
@@ -124,13 +124,13 @@ def tokens_of(lines: DataFrame) -> DataFrame:
     body = body.where(~(F.col("continues") & (F.col("pos") == 0))).where(~(last & F.col("next_body").isNull()))
     whole = F.when(last, F.concat("word", rest)).otherwise(F.col("word"))
     body = body.withColumn("whole", whole).withColumn("hyphened", F.when(last, F.concat("word", F.lit("-"), rest)))
-    follows = F.lead("whole").over(Window.partitionBy("id", "line_no").orderBy("pos"))
+    follows = F.lead("word").over(Window.partitionBy("id", "line_no").orderBy("pos"))
     precedes = F.lag("whole").over(Window.partitionBy("id").orderBy("line_no", "pos"))
     return body.where(F.col("whole").rlike(r"\p{L}")).withColumn("form", _form(F.col("whole"))).withColumn("hyphened_form", F.lower("hyphened")).withColumn("follows", follows).withColumn("precedes", F.lower(precedes))
 
 
-def misread_forms(tokens: DataFrame, clean: DataFrame) -> DataFrame:
-    """(form, better): forms of scanned files that a far more frequent form of the same strokes explains.
+def misread_forms(tokens: DataFrame, clean: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(form, better, k) and the counts of all forms: forms of scanned files that a far more frequent form of the same strokes explains.
 
     Counts are over all chunks: ``clean`` are those of files that weren't scanned. A form that unscanned files know in
     proportion is a word of its own; a form with specks or with capitals inside needs only a known reading.
@@ -150,25 +150,42 @@ def misread_forms(tokens: DataFrame, clean: DataFrame) -> DataFrame:
     return both.where(wrong & ~F.col("form").rlike(r"^[ivxlcdm]+$")).select("form", F.when(known, F.col("better")).otherwise(F.regexp_replace(F.lower("form"), rf"[{SPECKS}{THIN}]", "")).alias("better"), "k"), counts
 
 
-def analysed(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines, tokens with ``better`` where misread) of the scanned files; and their lines' table is cut from the lineage."""
+def torn_words(tokens: DataFrame, counts: DataFrame) -> DataFrame:
+    """(id, line_no, pos, mended): a word torn in two by a blank, at its first part: together the parts are a known word, while
+    one of them is hardly a word in files that weren't scanned."""
+    stray = counts.where("n_clean * 2 <= n_scan").select("form")
+    pairs = tokens.where("hyphened is null and follows is not null").select("id", "line_no", "pos", "form", F.lower("follows").alias("next_form"), F.lower(F.concat("whole", "follows")).alias("mended"))
+    a = pairs.join(stray, "form", "left_semi")
+    b = pairs.join(stray.select(F.col("form").alias("next_form")), "next_form", "left_semi").select(*a.columns)
+    known = counts.where("n_clean >= 3").select(F.col("form").alias("mended"))
+    return a.unionByName(b).join(known, "mended", "left_semi").select("id", "line_no", "pos", "mended").distinct()
+
+
+def analysed(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines, tokens) of the scanned files; ``better`` is a misread token's reading, ``mended`` the word of which a torn token is
+    the first part. Among several readings of the same strokes the one most often found after the same word is taken, then
+    the most frequent."""
     marked = scanned_chunks(chunks.where(F.col("text").isNotNull()).select("id", "file_path", "text"))
     lines = cut(lines_of(marked.where("scanned")))
     tokens = cut(tokens_of(lines))
     wrong, counts = misread_forms(tokens, marked.where("not scanned"))
-    kept = counts.where("total >= 2").select(F.col("form").alias("hyphened_form"), F.lit(True).alias("compound"))
-    tokens = tokens.join(kept, "hyphened_form", "left").join(wrong.drop("k"), "form", "left")
     # a compound divided at its own hyphen is a known word, whatever its joined letters look like
-    tokens = tokens.withColumn("better", F.when(F.col("compound").isNull(), F.col("better")))
-    return lines, tokens, wrong
+    kept = counts.where("total >= 2").select(F.col("form").alias("hyphened_form"), F.lit(True).alias("compound"))
+    tokens = tokens.join(kept, "hyphened_form", "left").join(wrong, "form", "left").withColumn("better", F.when(F.col("compound").isNull(), F.col("better")))
+    context = tokens.where("better is null and hyphened is null").groupBy("precedes", "form").agg(F.count("*").alias("n")).select("precedes", F.col("form").alias("reading"), "n")
+    readings = counts.where("n_clean >= 3").select("k", F.col("form").alias("reading"), "n_clean")
+    some = tokens.where("better is not null").select("id", "line_no", "pos", "precedes", "k").join(readings, "k").join(context, ["precedes", "reading"], "left")
+    chosen = some.groupBy("id", "line_no", "pos").agg(F.max_by("reading", F.struct(F.coalesce("n", F.lit(0)), "n_clean", "reading")).alias("reading"))
+    tokens = tokens.join(chosen, ["id", "line_no", "pos"], "left").withColumn("better", F.when(F.col("better").isNotNull(), F.coalesce("reading", "better")))
+    return lines, tokens.join(torn_words(tokens.drop("reading"), counts), ["id", "line_no", "pos"], "left")
 
 
 def defects(chunks: DataFrame) -> DataFrame:
     """(chunk_id, line_no, defect) of every scanned line; see the problem's statement. Null texts and files that weren't scanned
     give none; repeated chunk ids give one row; an empty table gives no rows."""
-    lines, tokens, _ = analysed(chunks)
+    lines, tokens = analysed(chunks)
     of = lambda d, name: d.select(F.col("id").alias("chunk_id"), "line_no", F.lit(name).alias("defect"))
-    parts = [of(lines.where("divided"), "hyphen"), of(lines.where("is_header"), "header"), of(lines.where("is_number"), "page_number"), of(tokens.where("better is not null"), "misread")]
+    parts = [of(lines.where("divided"), "hyphen"), of(lines.where("is_header"), "header"), of(lines.where("is_number"), "page_number"), of(tokens.where("better is not null or mended is not null"), "misread")]
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
@@ -183,8 +200,8 @@ def repaired(chunks: DataFrame) -> DataFrame:
     Headers and page numbers go; misread words take their better reading; a divided word is joined, with its hyphen where the
     compound is known elsewhere; lines flow together until a blank line that no sentence runs across.
     """
-    lines, tokens, _ = analysed(chunks)
-    fixes = tokens.where("better is not null or hyphened is not null").groupBy("id", "line_no").agg(F.collect_list(F.struct(F.col("word").alias("a"), F.when(F.col("better").isNotNull(), _cased(F.col("better"), F.col("word"))).alias("b"), F.col("hyphened").isNotNull().alias("last"), F.col("whole").alias("whole"), F.col("compound").isNotNull().alias("compound"))).alias("fixes"))
+    lines, tokens = analysed(chunks)
+    fixes = tokens.where("better is not null or hyphened is not null or mended is not null").groupBy("id", "line_no").agg(F.collect_list(F.struct(F.when(F.col("mended").isNotNull(), F.concat("word", F.lit(" "), "follows")).otherwise(F.col("word")).alias("a"), F.when(F.col("mended").isNotNull(), F.concat("word", "follows")).when(F.col("better").isNotNull(), _cased(F.col("better"), F.col("word"))).alias("b"), F.col("hyphened").isNotNull().alias("last"), F.col("whole").alias("whole"), F.col("compound").isNotNull().alias("compound"))).alias("fixes"))
     body = lines.where("body").join(fixes, ["id", "line_no"], "left")
     # within the line each misread word is replaced; at its end the divided word is completed, and cut from the next line
     start = F.when(F.col("continues"), F.regexp_replace("l", r"^[^\s.,?!;:()«»“”\"¿¡…\[\]—]+", "")).otherwise(F.col("l"))
