@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lorekiln.llm import containers_queries, neighbours_queries, scans_queries, splitting_queries
+from lorekiln.llm import containers_queries, neighbours_queries, private_queries, scans_queries, splitting_queries
 
-MODULES = (scans_queries, splitting_queries, neighbours_queries, containers_queries)
+MODULES = (scans_queries, splitting_queries, neighbours_queries, containers_queries, private_queries)
 
 
 def queries() -> dict:
