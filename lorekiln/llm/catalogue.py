@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lorekiln.llm import containers_queries, langid_queries, neighbours_queries, private_queries, scans_queries, splitting_queries
+from lorekiln.llm import bitext_queries, containers_queries, langid_queries, neighbours_queries, private_queries, scans_queries, splitting_queries
 
-MODULES = (scans_queries, langid_queries, splitting_queries, neighbours_queries, containers_queries, private_queries)
+MODULES = (scans_queries, bitext_queries, langid_queries, splitting_queries, neighbours_queries, containers_queries, private_queries)
 
 
 def queries() -> dict:

@@ -87,7 +87,7 @@ class Network:
         at_gates = xs[:, :, None] + np.array([[0, 257], [514, 771]])[:, :, None]
         h, gates, g, m, a = np.zeros((2, b, n), "f4"), np.empty((2, 2, b, n), "f4"), np.empty((2, 2, b, n), "f4"), np.empty((2, b, n), "f4"), np.empty((2, b, n), "f4")
         hs = np.empty((2, t_all, b, n), "f4")
-        with np.errstate(over="ignore"):
+        with np.errstate(over="ignore", invalid="ignore"):
             for t in range(t_all):
                 np.take(w_gates, at_gates[t], axis=0, out=gates, mode="clip")
                 np.matmul(h[:, None], u_gates, out=g)
