@@ -31,7 +31,10 @@ SENTENCE = (
     rf"(?:(?<=[.?!]{CLOSE}{{0,3}}{WS}{{0,4}})(?=(?:[-–—/]{WS}{{1,2}})?{OPEN}{{0,3}}\p{{Lu}})"
     rf"{_ABBREVIATED}(?<!(?:\.\.|…){CLOSE}{{0,2}}{WS}{{0,3}})(?<!(?:^|\n)[ \t]{{0,4}}\d{{1,3}}\.[ \t]{{1,3}}))"
 )
-UNIT = rf"(?:{LINE}|{SENTENCE})"
+#: What any start of a unit has: something but white space after white space, a stop or a closing mark. Most offsets fail here.
+_AT_START = rf"(?<=[.?!\"'”»›’)\]\s\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200B}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{FEFF}}])(?!{WS})"
+LINE, SENTENCE = rf"(?:{_AT_START}{LINE})", rf"(?:{_AT_START}{SENTENCE})"
+UNIT = rf"(?:{_AT_START}(?:{LINE}|{SENTENCE}))"
 SENTINEL = "\x01"
 
 
