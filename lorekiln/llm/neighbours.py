@@ -109,27 +109,31 @@ def _raw(df: DataFrame, key: str, vector: str, model: str) -> DataFrame:
     return df.where(F.col(key).isNotNull() & F.col(model).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(model).alias("model"), F.col(vector).alias("v"))
 
 
-def representatives(df: DataFrame, dim: int, key: str, vector: str, model: str, k: int) -> tuple[DataFrame, DataFrame]:
-    """One row for each different vector of a model, with its first k + 1 ids and how many it has; and all members.
+def rows_of(df: DataFrame, dim: int, key: str, vector: str, model: str, with_vectors: bool = True) -> DataFrame:
+    """(id, model, g[, v]) of usable rows: g names the unit vector in half precision, v is that vector.
 
-    Vectors count as the same where their unit vectors agree in half precision. Ids are taken first by salted parts, so
-    that a vector with a third of all rows doesn't bring them into one task."""
+    It is computed anew from the scan wherever it is needed, which is cheaper than keeping a copy of all vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, x = unit_vectors(b.column(2), dim)
-            half = x.astype("f2")
-            raw = [r.tobytes() for r in half]
-            group = [int.from_bytes(hashlib.blake2b(r, digest_size=8).digest(), "little", signed=True) for r in raw]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(group, pa.int64()), pa.array(raw, pa.binary())], names=["id", "model", "g", "v"])
-
-    rows = cut(_raw(df, key, vector, model).mapInArrow(run, "id long, model string, g long, v binary"))
-    members = rows.select("model", "g", "id").distinct()
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2048):
+                b = whole.slice(lo, 2048)
+                at, x = unit_vectors(b.column(2), dim)
+                raw = [r.tobytes() for r in x.astype("f2")]
+                group = [int.from_bytes(hashlib.blake2b(r, digest_size=8).digest(), "little", signed=True) for r in raw]
+                cols = [b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(group, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(raw, pa.binary())] * with_vectors, names=["id", "model", "g"] + ["v"] * with_vectors)
+
+    return _raw(df, key, vector, model).mapInArrow(run, "id long, model string, g long" + ", v binary" * with_vectors)
+
+
+def copies_of(members: DataFrame, k: int) -> DataFrame:
+    """(model, g, ids, copies): the first k + 1 ids of each different vector and how many it has. Ids are taken by salted parts
+    first, so that a vector with a third of all rows doesn't bring them into one task."""
     part = Window.partitionBy("model", "g", "salt").orderBy("id")
     some = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16))).withColumn("rn", F.row_number().over(part)).where(F.col("rn") <= k + 1)
     sizes = members.groupBy("model", "g").agg(F.count("*").alias("copies"))
-    ids = some.groupBy("model", "g").agg(F.slice(F.sort_array(F.collect_list("id")), 1, k + 1).alias("ids")).join(sizes, ["model", "g"])
-    return ids, rows
+    return some.groupBy("model", "g").agg(F.slice(F.sort_array(F.collect_list("id")), 1, k + 1).alias("ids")).join(sizes, ["model", "g"])
 
 
 @dataclass
@@ -142,15 +146,16 @@ class Search:
     counts: dict[int, int]
 
 
-def fit(rows: DataFrame, dim: int, k: int, floor: float, target: float, max_visits: int = 64) -> Search:
-    """Builds the tree on at most FIT_ROWS rows (those of smallest hash) and calibrates the leaf visits on CALIBRATION_ROWS.
+def fit(rows: DataFrame, n: int, dim: int, k: int, floor: float, target: float, max_visits: int = 64) -> Search:
+    """Builds the tree on about FIT_ROWS rows at most (those of smallest hash) and calibrates the leaf visits on CALIBRATION_ROWS.
 
     The calibration queries are held against *all* rows by brute force, in blocks, in one distributed pass that also counts
     the rows by leaf; visits widen until ``target`` of their true neighbours (the k nearest of at least ``floor``) are in
     the leaves visited."""
-    n = rows.count()
-    want = min(FIT_ROWS, max(64, n * LEAF_FIT // LEAF_ROWS), max(n, 1))
-    got = rows.withColumn("h", F.xxhash64("g")).orderBy("h", "id").limit(max(want, min(n, CALIBRATION_ROWS))).select("id", "model", "g", "v").collect()
+    want = max(min(FIT_ROWS, max(64, n * LEAF_FIT // LEAF_ROWS)), CALIBRATION_ROWS)
+    thin = rows.where(F.pmod(F.xxhash64("g"), F.lit(1 << 20)) <= F.lit(int((1 << 20) * min(1.0, 1.02 * want / max(n, 1)))))
+    got = sorted(thin.collect(), key=lambda r: (r.g, r.id))
+    got = [r for i, r in enumerate(got) if not i or r.g != got[i - 1].g]
     if not got:
         return Search(Tree(np.zeros((1, dim), "f4"), [[]], {0: 0}), 1, 1.0, {})
     x = np.stack([np.frombuffer(r.v, "f2").astype("f4") for r in got])
@@ -162,7 +167,7 @@ def fit(rows: DataFrame, dim: int, k: int, floor: float, target: float, max_visi
     def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[list] = [[] for _ in qg]
         count: dict[int, int] = {}
-        for b in batches:
+        for b in (w.slice(lo, 1024) for w in batches for lo in range(0, w.num_rows, 1024)):
             y = np.frombuffer(b"".join(b.column(3).to_pylist()), "f2").reshape(-1, dim).astype("f4")
             g, m = b.column(2).to_numpy(), np.asarray(b.column(1).to_pylist(), dtype=object)
             near = tree.products(y)
@@ -212,13 +217,21 @@ def search(rows: DataFrame, index: Search, dim: int, k: int, floor: float, is_qu
     schema = "model string, block int, shard int, g long, leaf int, visits array<int>, v binary"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw, g, m, asks = b.column(3).to_pylist(), b.column(2).to_pylist(), b.column(1).to_pylist(), b.column(4).to_pylist()
-            if not raw:
+        sent: dict[tuple[str, int], bool] = {}  # copies of a vector leave a task once, or twice if only a later one asks
+        for b in (w.slice(lo, 1024) for w in batches for lo in range(0, w.num_rows, 1024)):
+            m, g, asks = b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist()
+            new = []
+            for i, (mi, gi, q) in enumerate(zip(m, g, asks)):
+                before = sent.get((mi, gi))
+                if before is None or (q and not before):
+                    sent[mi, gi] = bool(q)
+                    new.append(i)
+            if not new:
                 continue
+            raw = b.column(3).take(pa.array(new)).to_pylist()
             near = tree.products(np.frombuffer(b"".join(raw), "f2").reshape(-1, dim).astype("f4")).tolist()
             out: list[tuple] = []
-            for i, p in enumerate(near):
+            for i, v, p in zip(new, raw, near):
                 leaves = tree.visits(p, visits if asks[i] else 1)
                 home = leaves[0]
                 by: dict[int, list[int]] = {}
@@ -228,13 +241,16 @@ def search(rows: DataFrame, index: Search, dim: int, k: int, floor: float, is_qu
                 mine = g[i] % shards.get(own, 1)
                 for s in range(shards.get(own, 1)):
                     if s == mine or own in by:
-                        out.append((m[i], own, s, g[i], home if s == mine else -1, by.get(own, []), raw[i]))
+                        out.append((m[i], own, s, g[i], home if s == mine else -1, by.get(own, []), v))
                 for other, xs in by.items():
                     if other != own:
-                        out += [(m[i], other, s, g[i], -1, xs, raw[i]) for s in range(shards.get(other, 1))]
+                        out += [(m[i], other, s, g[i], -1, xs, v) for s in range(shards.get(other, 1))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary()))], names=["model", "block", "shard", "g", "leaf", "visits", "v"])
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf.g.duplicated().any():  # copies from several tasks: one row, with the leaf and the visits of any of them
+            pdf = pdf.assign(n=-pdf.visits.map(len)).sort_values(["g", "n"], kind="stable")
+            pdf = pdf.assign(leaf=pdf.groupby("g").leaf.transform("max")).drop_duplicates("g").reset_index(drop=True)
         x = np.frombuffer(b"".join(pdf.v), "f2").reshape(-1, dim).astype("f4")
         g, leaf = pdf.g.to_numpy(), pdf.leaf.to_numpy()
         ask: dict[int, list[int]] = {}
@@ -284,19 +300,19 @@ def nearest(df: DataFrame, k: int = 5, floor: float = 0.0, target: float = 0.95,
     count once. ``floor`` is a least cosine that belongs to the question: recall is then calibrated on neighbours of at
     least that. ``is_query`` is an SQL condition on ``id``. Extra columns are ignored; an empty table gives no rows.
     """
-    ids, rows = representatives(df, dim, key, vector, model, k)
     asks = is_query or "true"
-    reps = cut(rows.groupBy("model", "g").agg(F.min("id").alias("id"), F.first("v").alias("v"), F.max(F.expr(asks).cast("int")).alias("asks")).select("id", "model", "g", "v", "asks"))
-    index = fit(reps, dim, k, floor, target)
-    hits = search(reps, index, dim, k, floor, "asks = 1")
-    ids = cut(ids)
+    members = cut(rows_of(df, dim, key, vector, model, False).distinct())
+    rows = rows_of(df, dim, key, vector, model)
+    index = fit(rows, members.count(), dim, k, floor, target)
+    hits = search(rows, index, dim, k, floor, asks)
+    ids = cut(copies_of(members, k))
     near = hits.join(ids.select("model", F.col("g").alias("other"), F.col("ids").alias("other_ids")), ["model", "other"])
     near = near.groupBy("model", "g").agg(F.collect_list(F.struct(F.col("cos"), F.col("other_ids"))).alias("near"))  # k of them at most
     copies = ids.where("copies > 1").select("model", "g", F.array(F.struct(F.lit(2.0).alias("cos"), F.col("ids").alias("other_ids"))).alias("own"))
     both = near.join(copies, ["model", "g"], "full").select("model", "g", F.concat(F.coalesce("own", F.array().cast("array<struct<cos:double,other_ids:array<bigint>>>")), F.coalesce("near", F.array().cast("array<struct<cos:double,other_ids:array<bigint>>>"))).alias("near"))
     both = both.select("model", "g", F.expr("flatten(transform(near, x -> transform(x.other_ids, o -> struct(-x.cos as key, o as other))))").alias("near")).withColumn("near", F.sort_array("near"))
     # members beyond the first k + 1 copies are dealt over salts, so that one vector's many copies don't meet in one task
-    members = rows.select("model", "g", "id").distinct().where(F.expr(asks)).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int"))
+    members = members.where(F.expr(asks)).select("model", "g", "id").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int"))
     many = ids.select("model", "g", (F.col("copies") > 64).alias("hot"))
     both = both.join(many, ["model", "g"]).withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(15))).otherwise(F.array(F.lit(-1))))).drop("hot")
     hot = ids.where("copies > 64").select("model", "g", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
