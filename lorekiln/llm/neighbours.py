@@ -105,6 +105,21 @@ def unit_vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
         return at[ok], (x[ok] / n[ok, None]).astype("f4")
 
 
+def packed(v: bytes) -> bytes:
+    """A half-precision vector in one byte a number; its products stay within some 0.0005."""
+    x = np.frombuffer(v, "f2").astype("f4")
+    return np.rint(x * (127 / max(float(np.abs(x).max()), 1e-9))).astype("i1").tobytes()
+
+
+def unpacked(vs: pd.Series, dim: int) -> np.ndarray:
+    """Unit vectors of half-precision and of packed rows."""
+    x = np.empty((len(vs), dim), "f4")
+    half = vs.map(len).to_numpy() == 2 * dim
+    x[half] = np.frombuffer(b"".join(vs[half]), "f2").reshape(-1, dim)
+    x[~half] = np.frombuffer(b"".join(vs[~half]), "i1").reshape(-1, dim)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
 def _raw(df: DataFrame, key: str, vector: str, model: str) -> DataFrame:
     return df.where(F.col(key).isNotNull() & F.col(model).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(model).alias("model"), F.col(vector).alias("v"))
 
@@ -206,7 +221,7 @@ def search(rows: DataFrame, index: Search, dim: int, k: int, floor: float, is_qu
     """(model, g, near): for each query row its k nearest other rows of at least ``floor``, as an array of (cos, g).
 
     A row goes once to its own block, with the leaf it lies in and, if it is a query, the leaves it visits there; a query
-    goes besides to each other block in which it visits leaves. Blocks of more rows than planned are dealt over shards,
+    goes besides, packed to one byte a number, to each other block in which it visits leaves. Blocks of more rows than planned are dealt over shards,
     each of which sees all of the block's queries: the products are the same, only more tasks share them."""
     tree, visits = index.tree, index.visits
     per_block: dict[int, int] = {}
@@ -241,17 +256,22 @@ def search(rows: DataFrame, index: Search, dim: int, k: int, floor: float, is_qu
                 mine = g[i] % shards.get(own, 1)
                 for s in range(shards.get(own, 1)):
                     if s == mine or own in by:
-                        out.append((m[i], own, s, g[i], home if s == mine else -1, by.get(own, []), v))
+                        out.append((m[i], own, s, g[i], home if s == mine else -1, by.get(own, []), v if s == mine else packed(v)))
+                small = packed(v) if len(by) > (own in by) else b""
                 for other, xs in by.items():
                     if other != own:
-                        out += [(m[i], other, s, g[i], -1, xs, v) for s in range(shards.get(other, 1))]
+                        out += [(m[i], other, s, g[i], -1, xs, small) for s in range(shards.get(other, 1))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary()))], names=["model", "block", "shard", "g", "leaf", "visits", "v"])
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf.g.duplicated().any():  # copies from several tasks: one row, with the leaf and the visits of any of them
-            pdf = pdf.assign(n=-pdf.visits.map(len)).sort_values(["g", "n"], kind="stable")
-            pdf = pdf.assign(leaf=pdf.groupby("g").leaf.transform("max")).drop_duplicates("g").reset_index(drop=True)
-        x = np.frombuffer(b"".join(pdf.v), "f2").reshape(-1, dim).astype("f4")
+        if pdf.g.duplicated().any():  # copies from several tasks: one row, the unpacked one, with the leaf and the visits of any
+            pdf = pdf.assign(n=-pdf.visits.map(len), own=-pdf.v.map(len)).sort_values(["g", "own", "n"], kind="stable")
+            by = pdf.groupby("g")
+            pdf = pdf.assign(leaf=by.leaf.transform("max"), most=by.n.transform("min"))
+            asks = pdf[pdf.n == pdf.most].drop_duplicates("g").set_index("g").visits
+            pdf = pdf.drop_duplicates("g").reset_index(drop=True)
+            pdf["visits"] = asks.loc[pdf.g].to_numpy()
+        x = unpacked(pdf.v, dim)
         g, leaf = pdf.g.to_numpy(), pdf.leaf.to_numpy()
         ask: dict[int, list[int]] = {}
         for i, vs in enumerate(pdf.visits):
@@ -278,7 +298,7 @@ def search(rows: DataFrame, index: Search, dim: int, k: int, floor: float, is_qu
         for i, cs in found.items():
             cs.sort(key=lambda t: (-t[0], g[t[1]]))
             for _, r in cs[:k]:
-                # the exact check: products of the half-precision vectors in double, at unit length
+                # products again in double
                 a, b = x[i].astype("f8"), x[r].astype("f8")
                 out.append((int(g[i]), int(g[r]), float(a @ b / np.sqrt((a @ a) * (b @ b)))))
         res = pd.DataFrame(out, columns=["g", "other", "cos"]).astype({"g": "int64", "other": "int64", "cos": "float64"})
