@@ -75,6 +75,7 @@ def lines_of(scanned: DataFrame) -> DataFrame:
     rows = rows.withColumn("spaced", spaced & ~F.col("only_number")).withColumn("title", F.when(F.col("spaced"), F.regexp_replace(F.regexp_replace(F.regexp_replace(title, r" {2,}", "\x01"), " ", ""), "\x01", " ")).otherwise(title))
     # a header's key: figures masked, glyphs as strokes
     rows = rows.withColumn("key", skeleton(F.regexp_replace(F.regexp_replace("title", r"\d", "9"), r"[^\p{L}\p{N}]+", "")))
+    rows = cut(rows)  # else the expressions above are repeated in each that follows
     letters = F.regexp_replace("title", r"[^\p{L}]", "")
     upper = F.length(F.regexp_replace(letters, r"\P{Lu}", ""))
     shape = (~F.col("blank")) & (~F.col("only_number")) & (~F.col("title").rlike(TERMINAL)) & F.col("title").rlike(r"^[\p{Lu}0-9@]|^\S?\p{Lu}") & (F.length(letters) >= 3) & (~F.col("title").rlike(CHAPTER)) & (~F.col("title").rlike(rf"[{HYPHENS}]$"))
@@ -93,6 +94,8 @@ def lines_of(scanned: DataFrame) -> DataFrame:
     first_word = F.length(F.regexp_extract(F.coalesce("next_plain", F.lit("")), r"^\S*", 0))
     short = F.length("l") + 1 + first_word <= F.col("width") - 1
     rows = rows.withColumn("weak", F.col("shape") & ~F.col("strong") & short & (F.length("title") <= 60))
+    rows = cut(rows.withColumn("beside", beside).withColumn("within", within))
+    beside, within = F.col("beside"), F.col("within")
     rows = rows.withColumn("evidence", F.when(F.col("strong"), 1).when(F.col("weak") & (beside | within), 1).otherwise(0))
     known = rows.where("evidence = 1").groupBy("file_path", "key").agg(F.count("*").alias("seen"))
     rows = rows.join(known, ["file_path", "key"], "left")
