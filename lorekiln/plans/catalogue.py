@@ -5,11 +5,567 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from lorekiln.functions import text as T
+from lorekiln.operators import chunking, extract, graph, merge, search
+from lorekiln.session import cut, table
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# views: entities and edges over the star schema
+SUPPLIER, CUSTOMER, PART = 10_000_000_000, 20_000_000_000, 30_000_000_000
+
+
+def entity_view(spark: SparkSession, sf: str) -> DataFrame:
+    t = lambda n: table(spark, sf, n)
+    one = lambda n, i, name, kind: t(n).select(i.cast("long").alias("id"), F.col(name).alias("name"), F.lit(kind).alias("entity_type"))
+    parts = (("region", F.col("r_regionkey"), "r_name", "region"), ("nation", F.col("n_nationkey") + 100, "n_name", "nation"), ("supplier", F.col("s_suppkey") + SUPPLIER, "s_name", "supplier"), ("customer", F.col("c_custkey") + CUSTOMER, "c_name", "customer"), ("part", F.col("p_partkey") + PART, "p_name", "part"))
+    out = one(*parts[0])
+    for p in parts[1:]:
+        out = out.unionByName(one(*p))
+    return out
+
+
+def edge_view(spark: SparkSession, sf: str) -> DataFrame:
+    t = lambda n: table(spark, sf, n)
+    e = lambda df, s, d, r, c: df.select(s.cast("long").alias("src"), d.cast("long").alias("dst"), F.lit(r).alias("rel_type"), c.alias("confidence"))
+    three = lambda k: F.when(k % 3 == 0, "llm_high").when(k % 3 == 1, "llm_low").otherwise("ner")
+    pairs = t("lineitem").select("l_partkey", "l_suppkey").distinct()
+    return (
+        e(t("nation"), F.col("n_nationkey") + 100, F.col("n_regionkey"), "PART_OF", F.lit("curated"))
+        .unionByName(e(t("supplier"), F.col("s_suppkey") + SUPPLIER, F.col("s_nationkey") + 100, "BELONGS_TO", F.lit("metadata")))
+        .unionByName(e(t("customer"), F.col("c_custkey") + CUSTOMER, F.col("c_nationkey") + 100, "BELONGS_TO", three(F.col("c_custkey"))))
+        .unionByName(e(pairs, F.col("l_partkey") + PART, F.col("l_suppkey") + SUPPLIER, "ASSOCIATED_WITH", F.when((F.col("l_partkey") + F.col("l_suppkey")) % 2 == 0, "llm_low").otherwise("co_occurrence")))
+    )
+
+
+ENT = f"""ent AS (
+ SELECT CAST(r_regionkey AS BIGINT) id, r_name name, 'region' entity_type FROM region
+ UNION ALL SELECT n_nationkey + 100, n_name, 'nation' FROM nation
+ UNION ALL SELECT s_suppkey + {SUPPLIER}, s_name, 'supplier' FROM supplier
+ UNION ALL SELECT c_custkey + {CUSTOMER}, c_name, 'customer' FROM customer
+ UNION ALL SELECT p_partkey + {PART}, p_name, 'part' FROM part)"""
+REL = f"""rel AS (
+ SELECT CAST(n_nationkey + 100 AS BIGINT) src, CAST(n_regionkey AS BIGINT) dst, 'PART_OF' rel_type, 'curated' confidence FROM nation
+ UNION ALL SELECT s_suppkey + {SUPPLIER}, s_nationkey + 100, 'BELONGS_TO', 'metadata' FROM supplier
+ UNION ALL SELECT c_custkey + {CUSTOMER}, c_nationkey + 100, 'BELONGS_TO', CASE c_custkey % 3 WHEN 0 THEN 'llm_high' WHEN 1 THEN 'llm_low' ELSE 'ner' END FROM customer
+ UNION ALL SELECT l_partkey + {PART}, l_suppkey + {SUPPLIER}, 'ASSOCIATED_WITH', CASE WHEN (l_partkey + l_suppkey) % 2 = 0 THEN 'llm_low' ELSE 'co_occurrence' END
+  FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem))"""
+BOTH = "both_ways AS (SELECT src a, dst b, rel_type, confidence, true outgoing FROM rel UNION ALL SELECT dst, src, rel_type, confidence, false FROM rel)"
+TIER = "CASE confidence WHEN 'curated' THEN 0 WHEN 'metadata' THEN 1 WHEN 'llm_high' THEN 2 WHEN 'llm_low' THEN 3 WHEN 'ner' THEN 4 WHEN 'co_occurrence' THEN 5 ELSE 6 END"
+PLAIN = "trim(regexp_replace(translate(lower({0}), '" + T.FOLD[0] + "', '" + T.FOLD[1] + "'), '[^a-z0-9]+', ' ', 'g'))"
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# scans, projections, aggregates
+@query("SELECT lower(trim(source)) AS source, upper(lang) AS lang, count(*) AS docs, sum(length(text)) AS chars FROM documents GROUP BY 1, 2")
+def corpus_source_lang_counts(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    return d.groupBy(F.lower(F.trim("source")).alias("source"), F.upper("lang").alias("lang")).agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"))
+
+
+@query(r"""SELECT doc_id, CAST(len(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])[\t\n\f\r \v]+', '\1' || chr(1), 'g'), '\n\n+', chr(1), 'g'), chr(1)),
+ lambda x: regexp_replace(x, '^[\t\n\f\r \v]+|[\t\n\f\r \v]+$', '', 'g')), lambda x: x <> '')) AS INT) AS sentences FROM documents WHERE text IS NOT NULL""")
+def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").where("text is not null")
+    return d.select("doc_id", F.size(T.sentences(F.col("text"))).alias("sentences"))
+
+
+@query()
+def chunk_text_500_50(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.chunked(table(spark, sf, "documents"), "doc_id", "text", 500, 50)
+
+
+@query("SELECT count(*) AS chunks, count(DISTINCT file_path) AS files, sum(length(text)) AS chars, max(chunk_index) AS last_index, count(reference) AS with_reference FROM chunks")
+def chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "chunks")
+    return c.agg(F.count("*").alias("chunks"), F.countDistinct("file_path").alias("files"), F.sum(F.length("text")).alias("chars"), F.max("chunk_index").alias("last_index"), F.count("reference").alias("with_reference"))
+
+
+@query(r"""WITH l AS (SELECT id, unnest(string_split_regex(text, '\r?\n')) AS line FROM chunks)
+SELECT id, CAST(regexp_extract(line, '^([0-9]{1,3})[ \t]', 1) AS INT) AS verse, regexp_extract(line, '^[0-9]{1,3}[ \t]+(.*)$', 1) AS body FROM l WHERE regexp_matches(line, '^[0-9]{1,3}[ \t]+[^ \t\n\r]')""")
+def verse_parse(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.verses(table(spark, sf, "chunks"), "id", "text")
+
+
+@query(r"""SELECT DISTINCT file_path, nullif(regexp_extract(file_path, '^([a-z]{2})/', 1), '') AS lang, regexp_extract(regexp_replace(file_path, '^[a-z]{2}/', ''), '^(.*)/[^/]*$', 1) AS category,
+ regexp_extract(regexp_replace(file_path, '^[a-z]{2}/', ''), '([^/]*)$', 1) AS name, regexp_extract(file_path, '\.([a-z0-9]+)$', 1) AS suffix FROM document_registry WHERE file_path IS NOT NULL""")
+def path_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    p = F.col("file_path")
+    r = table(spark, sf, "document_registry").where("file_path is not null").select("file_path").distinct()
+    return r.select("file_path", T.path_part(p, 0).alias("lang"), T.path_part(p, 1).alias("category"), T.path_part(p, 2).alias("name"), T.path_part(p, 3).alias("suffix"))
+
+
+@query(r"""SELECT id, trim(regexp_extract(reference, '^(.*[^0-9 ])[ ]+[0-9]', 1)) AS book, TRY_CAST(regexp_extract(reference, ' ([0-9]+)[:,]', 1) AS INT) AS chapter,
+ TRY_CAST(regexp_extract(reference, '[:,] ?([0-9]+)', 1) AS INT) AS first_verse, TRY_CAST(nullif(regexp_extract(reference, '-([0-9]+)$', 1), '') AS INT) AS last_verse FROM chunks WHERE reference IS NOT NULL""")
+def reference_parse(spark: SparkSession, sf: str) -> DataFrame:
+    r = F.col("reference")
+    number = lambda p: F.regexp_extract(r, p, 1).try_cast("int")
+    return table(spark, sf, "chunks").where(r.isNotNull()).select("id", F.trim(F.regexp_extract(r, r"^(.*[^0-9 ])[ ]+[0-9]", 1)).alias("book"), number(r" ([0-9]+)[:,]").alias("chapter"), number(r"[:,] ?([0-9]+)").alias("first_verse"), number(r"-([0-9]+)$").alias("last_verse"))
+
+
+@query(r"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+ [0-9]{1,3}:[0-9]{1,3}(?:-[0-9]{1,3})?')) AS reference FROM documents)
+SELECT reference, count(*) AS mentions, count(DISTINCT doc_id) AS docs FROM r GROUP BY 1""")
+def reference_detect(spark: SparkSession, sf: str) -> DataFrame:
+    found = F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]+ [A-Z][a-z]+ [0-9]{1,3}:[0-9]{1,3}(?:-[0-9]{1,3})?"), F.lit(0))
+    d = table(spark, sf, "documents").select("doc_id", F.explode(found).alias("reference"))
+    return d.groupBy("reference").agg(F.count("*").alias("mentions"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query("""SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def json_extract(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    return e.groupBy(F.get_json_object("props", "$.k").try_cast("long").alias("k"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("""SELECT coalesce(CASE WHEN json_valid(metadata) THEN nullif(json_extract_string(metadata, '$.source'), '') END, 'none') AS source, count(*) AS chunks FROM chunks GROUP BY 1""")
+def metadata_sources(spark: SparkSession, sf: str) -> DataFrame:
+    source = F.nullif(F.get_json_object("metadata", "$.source"), F.lit(""))
+    return table(spark, sf, "chunks").groupBy(F.coalesce(source, F.lit("none")).alias("source")).agg(F.count("*").alias("chunks"))
+
+
+LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY last_indexed DESC, sha256) rn FROM document_registry) WHERE rn = 1"
+
+
+def latest_registry(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.first_by(table(spark, sf, "document_registry"), ["file_path"], [F.desc("last_indexed"), F.col("sha256")])
+
+
+@query(f"SELECT file_path, sha256, chunk_count, status FROM ({LATEST})")
+def registry_latest(spark: SparkSession, sf: str) -> DataFrame:
+    return latest_registry(spark, sf).select("file_path", "sha256", "chunk_count", "status")
+
+
+@query("""WITH o AS (SELECT doc_id, sha256(text) h FROM documents WHERE doc_id % 10 <> 3), n AS (SELECT doc_id, sha256(CASE WHEN doc_id % 10 = 4 THEN text || '.' ELSE text END) h FROM documents WHERE doc_id % 10 <> 5)
+SELECT change, count(*) AS docs FROM (SELECT CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN 'deleted' WHEN o.h IS NOT DISTINCT FROM n.h THEN 'unchanged' ELSE 'changed' END change
+ FROM o FULL JOIN n ON o.doc_id = n.doc_id) GROUP BY 1""")
+def doc_hash_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """The two states differ by rule; every document is in one of them."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    old = d.where("doc_id % 10 <> 3").select("doc_id", F.sha2("text", 256).alias("h"))
+    new = d.where("doc_id % 10 <> 5").select("doc_id", F.sha2(F.when(F.col("doc_id") % 10 == 4, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("h"))
+    return merge.difference(old, new, "doc_id", "h").groupBy("change").agg(F.count("*").alias("docs"))
+
+
+@query("""SELECT file_path, sha256(string_agg(chunk_index || chr(0) || sha256(text), chr(10) ORDER BY chunk_index, sha256(text))) AS digest FROM (SELECT DISTINCT file_path, chunk_index, text FROM chunks WHERE text IS NOT NULL) GROUP BY 1""")
+def file_digest(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "chunks").where("text is not null").select("file_path", "chunk_index", F.sha2("text", 256).alias("h")).distinct()
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "h"))), lambda s: F.concat(s["chunk_index"].cast("string"), F.lit("\0"), s["h"]))
+    return c.groupBy("file_path").agg(F.sha2(F.array_join(parts, "\n"), 256).alias("digest"))
+
+
+@query("SELECT file_path, chunk_index, count(*) AS copies, min(id) AS first_id FROM chunks GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "chunks")
+    return c.groupBy("file_path", "chunk_index").agg(F.count("*").alias("copies"), F.min("id").alias("first_id")).where("copies > 1")
+
+
+@query(f"SELECT id, {PLAIN.format('name')} AS plain, " + r"trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(name)), '^(señor|su\s+hijo|the\s+lord|el\s+señor)\s+', ''), '^(the|el|la|los|las|un|una)\s+', ''), '\s+', ' ', 'g')) AS canonical FROM entities")
+def term_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "entities").select("id", T.normalised(F.col("name")).alias("plain"), T.entity_name(F.col("name")).alias("canonical"))
+
+
+@query()
+def garbage_reason(spark: SparkSession, sf: str) -> DataFrame:
+    """Reasons over all words of the chunks, entity names and aliases, with their counts."""
+    words = table(spark, sf, "chunks").select(F.explode(F.split("text", r"\s+")).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    names = table(spark, sf, "entities").select("name").union(table(spark, sf, "entity_aliases").select("alias")).groupBy("name").agg(F.count("*").alias("n"))
+    return words.unionByName(names).withColumn("reason", T.garbage_reason(F.col("name"))).groupBy("reason").agg(F.count("*").alias("names"), F.sum("n").alias("uses"))
+
+
+@query("""SELECT reason, count(*) AS names FROM (SELECT unnest(list_filter([CASE WHEN NOT regexp_matches(s, '[\\p{L}\\p{N}]') THEN 'all_punct' END, CASE WHEN length(s) > 80 THEN 'too_long' END, CASE WHEN length(s) < 3 THEN 'too_short' END,
+ CASE WHEN list_contains(['""".replace("\\\\", "\\") + "', '".join(T.PRONOUNS) + """'], lower(s)) THEN 'pronoun_stopword' END], lambda x: x IS NOT NULL)) AS reason FROM (SELECT DISTINCT trim(c_name) s FROM customer UNION ALL SELECT DISTINCT trim(alias) FROM entity_aliases)) GROUP BY 1""")
+def garbage_multilabel(spark: SparkSession, sf: str) -> DataFrame:
+    names = table(spark, sf, "customer").select(F.trim("c_name").alias("s")).distinct().union(table(spark, sf, "entity_aliases").select(F.trim("alias")).distinct())
+    return names.select(F.explode(T.garbage_reasons(F.col("s"))).alias("reason")).where(F.col("reason").isin("all_punct", "too_long", "too_short", "pronoun_stopword")).groupBy("reason").agg(F.count("*").alias("names"))
+
+
+@query("""SELECT doc_id, CASE WHEN p > 0 THEN (CASE WHEN greatest(1, p - 60) > 1 THEN '...' ELSE '' END) || substring(text, CAST(greatest(1, p - 60) AS INT), 120) || (CASE WHEN greatest(1, p - 60) + 120 <= length(text) THEN '...' ELSE '' END) END AS snippet
+FROM (SELECT doc_id, text, strpos(lower(text), 'lantern') p FROM documents WHERE text IS NOT NULL)""".replace("lantern", "harvest"))
+def snippet(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").where("text is not null")
+    return d.select("doc_id", T.snippet(F.col("text"), F.lit("harvest")).alias("snippet"))
+
+
+@query("SELECT event_type, v[CAST(floor(0.5 * len(v)) AS INT) + 1] AS p50, v[CAST(floor(0.95 * len(v)) AS INT) + 1] AS p95, v[CAST(floor(0.99 * len(v)) AS INT) + 1] AS p99 FROM (SELECT event_type, list(value ORDER BY value) v FROM events WHERE value IS NOT NULL GROUP BY 1)")
+def latency_percentile(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles by index, floor(p n), without interpolation: ranks in one sort by type, no array of a group."""
+    w = Window.partitionBy("event_type")
+    e = table(spark, sf, "events").where("value is not null").withColumn("i", F.row_number().over(w.orderBy("value")) - 1).withColumn("n", F.count("*").over(w))
+    at = lambda p: F.max(F.when(F.col("i") == F.floor(F.lit(p) * F.col("n")), F.col("value")))
+    return e.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+
+
+@query("SELECT count(*) AS docs, count(title) AS title, count(author) AS author, count(series) AS series, count(published_at) AS published_at, count(lang) AS lang FROM documents")
+def fill_rate(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").agg(F.count("*").alias("docs"), *[F.count(c).alias(c) for c in ("title", "author", "series", "published_at", "lang")])
+
+
+@query("SELECT source, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'es') AS es, count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (lang = 'pt') AS pt FROM (SELECT lower(trim(source)) source, lower(lang) lang FROM documents) GROUP BY 1")
+def confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select(F.lower(F.trim("source")).alias("source"), F.lower("lang").alias("lang"))
+    return d.groupBy("source").agg(*[F.count_if(F.col("lang") == x).alias(x) for x in ("en", "es", "fr", "pt")])
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# retrieval
+TERMS = ("covenant", "harvest")
+WORDS = "string_split(" + PLAIN.format("text") + ", ' ')"
+
+
+@query(f"SELECT id, CAST(len(list_filter(w, lambda x: x IN ('covenant', 'harvest'))) AS INT) AS hits FROM (SELECT id, {WORDS} w FROM chunks WHERE text IS NOT NULL) WHERE list_contains(w, 'covenant') AND list_contains(w, 'harvest') AND NOT list_contains(w, 'plough')")
+def fts_match(spark: SparkSession, sf: str) -> DataFrame:
+    return search.match_all(table(spark, sf, "chunks").where("text is not null"), "id", "text", list(TERMS), ["plough"])
+
+
+RANK = f"SELECT id, round(0.1 * len(list_filter({WORDS}, lambda x: x = 'covenant')), 6) AS score FROM chunks WHERE text IS NOT NULL AND list_contains({WORDS}, 'covenant')"
+
+
+@query(f"SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM ({RANK}) ORDER BY score DESC, id LIMIT 20")
+def fts_rank(spark: SparkSession, sf: str) -> DataFrame:
+    return search.top(search.cover_rank(table(spark, sf, "chunks").where("text is not null"), "id", "text", ["covenant"]), "score", "id", 20)
+
+
+@query()
+def fts_cover(spark: SparkSession, sf: str) -> DataFrame:
+    return search.cover_rank(table(spark, sf, "chunks").where("text is not null"), "id", "text", list(TERMS))
+
+
+@query("SELECT q.vec_id AS query, e.vec_id AS vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, e.vec_id) <= 20")
+def knn_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    v = table(spark, sf, "embeddings")
+    return search.nearest(v, v.where("vec_id % 100 = 0"), "vec_id", "embedding", 20).select("query", "vec_id", "score")
+
+
+@query("SELECT q.vec_id AS query, e.vec_id AS vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND q.label = e.label QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, e.vec_id) <= 20")
+def knn_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    v = table(spark, sf, "embeddings")
+    return search.nearest(v, v.where("vec_id % 100 = 0").withColumn("grp", F.col("label")), "vec_id", "embedding", 20, F.col("label")).select("query", "vec_id", "score")
+
+
+KNN = "SELECT chunk_id AS id, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM (SELECT DISTINCT e.chunk_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) score FROM (SELECT * FROM chunk_embeddings WHERE len(embedding) = 384 AND model_version LIKE '%v2' AND list_aggregate(list_transform(embedding, lambda x: CASE WHEN isfinite(x) THEN 0 ELSE 1 END), 'sum') = 0 AND list_aggregate(list_transform(embedding, lambda x: abs(x)), 'sum') > 0) e, (SELECT embedding FROM chunk_embeddings WHERE len(embedding) = 384 AND model_version LIKE '%v2' AND list_aggregate(list_transform(embedding, lambda x: CASE WHEN isfinite(x) THEN 0 ELSE 1 END), 'sum') = 0 AND list_aggregate(list_transform(embedding, lambda x: abs(x)), 'sum') > 0 ORDER BY chunk_id LIMIT 1) q) ORDER BY score DESC, chunk_id LIMIT 30"
+
+
+def usable_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "chunk_embeddings").where("size(embedding) = 384 and model_version like '%v2'")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return e.where(finite & F.exists("embedding", lambda x: x != 0)).select(F.col("chunk_id").alias("id"), "embedding")
+
+
+def hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    texts = search.top(search.cover_rank(table(spark, sf, "chunks").where("text is not null"), "id", "text", ["covenant"]), "score", "id", 30)
+    v = usable_vectors(spark, sf)
+    q = v.orderBy("id").limit(1)
+    score = F.round(search.cosine(F.col("embedding"), F.col("qv")), 6)
+    near = v.join(F.broadcast(q.select(F.col("embedding").alias("qv"))), F.lit(True)).select("id", score.alias("score")).distinct()
+    return search.fuse(texts.select("id", "rank"), search.top(near, "score", "id", 30).select("id", "rank"), "id")
+
+
+FUSED = f"SELECT coalesce(t.id, v.id) AS id, t.rank AS left_rank, v.rank AS right_rank, round(coalesce(0.4 / (60 + t.rank), 0.0) + coalesce(0.6 / (60 + v.rank), 0.0), 8) AS fused FROM (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM ({RANK}) ORDER BY score DESC, id LIMIT 30) t FULL JOIN ({KNN}) v ON t.id = v.id"
+
+
+@query(f"SELECT * FROM ({FUSED}) ORDER BY fused DESC, id LIMIT 20")
+def rrf_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    return hybrid(spark, sf).orderBy(F.desc("fused"), "id").limit(20)
+
+
+AUTHORITY = {"manuals": 60, "study-aids": 57, "books": 40, "commentary": 15}
+
+
+@query(f"""SELECT file_path, chunk_index, round(fused * (1 + authority / 200.0) * CASE WHEN hinted THEN 1.5 ELSE 1 END, 8) AS score FROM (SELECT c.file_path, c.chunk_index, f.fused, CASE regexp_extract(c.file_path, '^(?:[a-z]{{2}}/)?([^/]*)', 1) WHEN 'manuals' THEN 60 WHEN 'study-aids' THEN 57 WHEN 'books' THEN 40 WHEN 'commentary' THEN 15 ELSE 30 END authority,
+ c.file_path IN (SELECT file_path FROM entity_document_mentions WHERE entity_id = 1) hinted, row_number() OVER (PARTITION BY c.file_path, c.chunk_index ORDER BY f.fused DESC, c.id) rn FROM ({FUSED}) f JOIN chunks c ON c.id = f.id) WHERE rn = 1""")
+def retrieve_boosted(spark: SparkSession, sf: str) -> DataFrame:
+    """Fused hits with a boost by authority of their source and by files that mention an entity of the question; copies go."""
+    kind = F.regexp_extract("file_path", r"^(?:[a-z]{2}/)?([^/]*)", 1)
+    authority = F.lit(30)
+    for k, v in AUTHORITY.items():
+        authority = F.when(kind == k, v).otherwise(authority)
+    hints = table(spark, sf, "entity_document_mentions").where("entity_id = 1").select("file_path", F.lit(1.5).alias("boost")).distinct()
+    hits = hybrid(spark, sf).join(table(spark, sf, "chunks").select("id", "file_path", "chunk_index"), "id")
+    hits = graph.first_by(hits, ["file_path", "chunk_index"], [F.desc("fused"), F.col("id")]).join(hints, "file_path", "left")
+    return hits.select("file_path", "chunk_index", F.round(F.col("fused") * (1 + authority / 200.0) * F.coalesce("boost", F.lit(1.0)), 8).alias("score"))
+
+
+@query("""WITH p AS (SELECT src_file_path a, dst_file_path b, layer FROM document_parallels UNION SELECT dst_file_path, src_file_path, layer FROM document_parallels)
+SELECT a AS file_path, b AS parallel, layer, count(c.id) AS chunks FROM p JOIN chunks c ON c.file_path = p.b WHERE a <> b GROUP BY 1, 2, 3""")
+def expand_parallels(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "document_parallels")
+    both = d.select(F.col("src_file_path").alias("a"), F.col("dst_file_path").alias("b"), "layer").union(d.select("dst_file_path", "src_file_path", "layer")).distinct().where("a <> b")
+    n = table(spark, sf, "chunks").groupBy(F.col("file_path").alias("b")).agg(F.count("*").alias("chunks"))
+    return both.join(n, "b").select(F.col("a").alias("file_path"), F.col("b").alias("parallel"), "layer", "chunks")
+
+
+GRAMS = "list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
+
+
+@query(f"""SELECT id, name, round(len(list_intersect(g, q)) / CAST(len(g) + len(q) - len(list_intersect(g, q)) AS DOUBLE), 6) AS score FROM (SELECT p_partkey id, p_name AS name, {GRAMS.format('p_name')} g, {GRAMS.format("'red widget'")} q FROM part WHERE contains(lower(p_name), 'widget')) ORDER BY score DESC, id LIMIT 50""")
+def trigram_find(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    none = spark.createDataFrame([], "entity_id long, alias string")
+    found = graph.find(p.withColumn("entity_type", F.lit("part")), none, "widget", 1 << 30)
+    return found.select("id", "name", F.round(T.similarity(T.trigrams(F.col("name")), T.trigrams(F.lit("red widget"))), 6).alias("score")).orderBy(F.desc("score"), "id").limit(50)
+
+
+@query("""SELECT pattern, count(*) AS hits, min(p_partkey) AS first_id FROM part, (SELECT unnest(['red', 'blue', 'gear', 'bolt']) pattern) WHERE contains(lower(p_name), pattern) GROUP BY 1""")
+def find_batch(spark: SparkSession, sf: str) -> DataFrame:
+    patterns = spark.createDataFrame([("red",), ("blue",), ("gear",), ("bolt",)], "pattern string")
+    p = table(spark, sf, "part").join(F.broadcast(patterns), F.lower("p_name").contains(F.col("pattern")))
+    return p.groupBy("pattern").agg(F.count("*").alias("hits"), F.min("p_partkey").alias("first_id"))
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# graph
+@query(f"WITH {ENT}, {REL} SELECT 'entities' AS what, entity_type AS kind, count(*) AS n FROM ent GROUP BY 2 UNION ALL SELECT 'relations', rel_type, count(*) FROM rel GROUP BY 2")
+def graph_summary(spark: SparkSession, sf: str) -> DataFrame:
+    e = entity_view(spark, sf).groupBy(F.col("entity_type").alias("kind")).agg(F.count("*").alias("n")).withColumn("what", F.lit("entities"))
+    r = edge_view(spark, sf).groupBy(F.col("rel_type").alias("kind")).agg(F.count("*").alias("n")).withColumn("what", F.lit("relations"))
+    return e.unionByName(r)
+
+
+@query(f"WITH {ENT}, {REL}, {BOTH} SELECT a, b, rel_type, confidence, outgoing, name AS other, {TIER} AS tier FROM both_ways JOIN ent ON id = b WHERE a = 107")
+def neighbors_1hop(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.neighbours(entity_view(spark, sf), edge_view(spark, sf), [107]).drop("other_type")
+
+
+@query(f"WITH {REL}, {BOTH}, one AS (SELECT DISTINCT b id FROM both_ways WHERE a = 107), two AS (SELECT DISTINCT b id FROM both_ways WHERE a IN (SELECT id FROM one)) SELECT id, min(hops) AS hops FROM (SELECT CAST(107 AS BIGINT) id, 0 hops UNION ALL SELECT id, 1 FROM one UNION ALL SELECT id, 2 FROM two) GROUP BY 1")
+def neighbors_2hop(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.within_hops(edge_view(spark, sf), [107], 2)
+
+
+@query(f"WITH {ENT}, {REL}, {BOTH} SELECT a, b, rel_type, confidence, outgoing, name AS other, {TIER} AS tier FROM both_ways JOIN ent ON id = b WHERE a IN (105, 107, 111) AND confidence IN ('curated', 'metadata', 'llm_high')")
+def typed_relations(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.neighbours(entity_view(spark, sf), edge_view(spark, sf), [105, 107, 111], floor="llm_high").drop("other_type")
+
+
+@query("SELECT e.name AS name, string_agg(DISTINCT m.file_path, '|' ORDER BY m.file_path) AS files FROM entity_document_mentions m JOIN entities e ON e.id = m.entity_id JOIN document_registry r ON r.file_path = m.file_path WHERE e.id <= 40 GROUP BY e.id, e.name")
+def docs_for_entity(spark: SparkSession, sf: str) -> DataFrame:
+    m = table(spark, sf, "entity_document_mentions").join(table(spark, sf, "document_registry").select("file_path").distinct(), "file_path")
+    e = table(spark, sf, "entities").where("id <= 40").select(F.col("id").alias("entity_id"), "name")
+    return m.join(F.broadcast(e), "entity_id").groupBy("entity_id", "name").agg(F.array_join(F.sort_array(F.collect_set("file_path")), "|").alias("files")).drop("entity_id")
+
+
+@query("SELECT entity_id, coalesce(nullif(resolved_name, ''), '-') AS resolved, count(DISTINCT file_path) AS files FROM entity_document_mentions GROUP BY 1, 2")
+def disambiguated_counts(spark: SparkSession, sf: str) -> DataFrame:
+    m = table(spark, sf, "entity_document_mentions")
+    return m.groupBy("entity_id", F.coalesce(F.nullif("resolved_name", F.lit("")), F.lit("-")).alias("resolved")).agg(F.countDistinct("file_path").alias("files"))
+
+
+@query(f"""WITH RECURSIVE {REL}, t AS (SELECT CAST(1 AS BIGINT) id, 0 AS level, '1' AS path UNION ALL SELECT src, level + 1, path || ',' || src FROM t JOIN rel ON dst = id WHERE rel_type IN ('PART_OF', 'BELONGS_TO') AND level < 2) SELECT id, level, path FROM t""")
+def family_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.descendants(edge_view(spark, sf).where(F.col("rel_type").isin("PART_OF", "BELONGS_TO")), 1, 2)
+
+
+@query()
+def family_path(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.shortest_path(edge_view(spark, sf), SUPPLIER + 1, CUSTOMER + 1)
+
+
+@query("""WITH s AS (SELECT n_nationkey + 100 a, n_nationkey + 101 b FROM nation WHERE n_nationkey % 5 < 2), p AS (SELECT n_regionkey p, n_nationkey + 100 x FROM nation WHERE n_nationkey % 5 = 0),
+sib AS (SELECT a src, b dst FROM s UNION SELECT b, a FROM s), p1 AS (SELECT p, x FROM p UNION SELECT p, dst FROM p JOIN sib ON x = src), p2 AS (SELECT p, x FROM p1 UNION SELECT p, dst FROM p1 JOIN sib ON x = src)
+SELECT CAST(src AS BIGINT) src, 'SIBLING_OF' AS rel_type, CAST(dst AS BIGINT) dst FROM sib UNION ALL SELECT CAST(p AS BIGINT), 'FATHER_OF', CAST(x AS BIGINT) FROM p2""")
+def family_closure(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "nation")
+    key = F.col("n_nationkey").cast("long")
+    sib = n.where("n_nationkey % 5 < 2").select((key + 100).alias("src"), F.lit("SIBLING_OF").alias("rel_type"), (key + 101).alias("dst"))
+    par = n.where("n_nationkey % 5 = 0").select(F.col("n_regionkey").cast("long").alias("src"), F.lit("FATHER_OF").alias("rel_type"), (key + 100).alias("dst"))
+    return graph.closure(sib.unionByName(par), ["SIBLING_OF"], "SIBLING_OF", "FATHER_OF").drop("reason")
+
+
+@query()
+def ppr(spark: SparkSession, sf: str) -> DataFrame:
+    scores = graph.pagerank(edge_view(spark, sf), [107, SUPPLIER + 3])
+    return scores.select("id", F.round("score", 8).alias("score"))
+
+
+@query(f"WITH {REL} SELECT round(avg(d), 6) AS avg_degree, min(d) AS min_degree, max(d) AS max_degree, count(*) AS nodes FROM (SELECT src, count(*) d FROM rel GROUP BY 1)")
+def degree_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.degrees(edge_view(spark, sf))
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# extraction
+SINGLE = f"SELECT {PLAIN.format('name')} term, id, entity_type FROM entities UNION SELECT {PLAIN.format('alias')}, entity_id, entity_type FROM entity_aliases JOIN entities ON id = entity_id"
+
+
+@query(f"""WITH g AS (SELECT * FROM ({SINGLE}) WHERE term <> '' AND NOT contains(term, ' ')), w AS (SELECT DISTINCT id AS chunk_id, unnest({WORDS}) term FROM chunks WHERE text IS NOT NULL)
+SELECT g.id AS entity_id, count(DISTINCT chunk_id) AS chunks FROM w JOIN g ON g.term = w.term GROUP BY 1""")
+def gazetteer_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Single-word names only, which SQL can hold against; gazetteer_entities has the longest-match form."""
+    words = table(spark, sf, "chunks").where("text is not null").select("id", F.explode(F.array_distinct(F.split(T.normalised(F.col("text")), " "))).alias("term"))
+    g = extract.gazetteer(table(spark, sf, "entities"), table(spark, sf, "entity_aliases")).where("n = 1")
+    return words.join(F.broadcast(g), "term").groupBy("entity_id").agg(F.countDistinct("id").alias("chunks"))
+
+
+def found_entities(spark: SparkSession, sf: str) -> DataFrame:
+    g = extract.gazetteer(table(spark, sf, "entities"), table(spark, sf, "entity_aliases"))
+    return extract.mentions(table(spark, sf, "chunks").where("text is not null"), "id", "text", F.broadcast(g))
+
+
+@query()
+def gazetteer_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return found_entities(spark, sf)
+
+
+@query()
+def cooccurrence_relations(spark: SparkSession, sf: str) -> DataFrame:
+    rules = {("person", "place"): "LIVED_IN", ("person", "object"): "ASSOCIATED_WITH", ("person", "concept"): "TEACHES", ("person", "period"): "LIVED_DURING"}
+    return extract.cooccurrence(cut(found_entities(spark, sf)), "id", rules)
+
+
+@query("SELECT doc_id, 'AUTHORED_BY' AS rel_type, author AS target FROM documents WHERE author IS NOT NULL UNION ALL SELECT doc_id, 'PART_OF', series FROM documents WHERE series IS NOT NULL UNION ALL SELECT doc_id, 'PUBLISHED_IN', lower(trim(source)) FROM documents WHERE source IS NOT NULL")
+def meta_unpivot(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", F.col("author").alias("AUTHORED_BY"), F.col("series").alias("PART_OF"), F.lower(F.trim("source")).alias("PUBLISHED_IN"))
+    return d.unpivot("doc_id", ["AUTHORED_BY", "PART_OF", "PUBLISHED_IN"], "rel_type", "target").where("target is not null")
+
+
+@query("SELECT x.l_orderkey AS l_orderkey, x.l_partkey AS a, y.l_partkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber < y.l_linenumber")
+def parallel_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    y = li.select("l_orderkey", F.col("l_partkey").alias("b"), F.col("l_linenumber").alias("m"))
+    return li.join(y, "l_orderkey").where("l_linenumber < m").select("l_orderkey", F.col("l_partkey").alias("a"), "b")
+
+
+@query("SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events")
+def event_chain(spark: SparkSession, sf: str) -> DataFrame:
+    return extract.chain(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "event_id").select("event_id", "previous")
+
+
+@query("SELECT user_id, event_type, count(*) AS frequency, min(ts) AS first_seen, max(ts) AS last_seen, array_to_string(list_sort(list_distinct(list(k)))[1:10], ',') AS samples FROM (SELECT *, json_extract_string(props, '$.k') k FROM events) GROUP BY 1, 2")
+def candidate_counter(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    return e.groupBy("user_id", "event_type").agg(F.count("*").alias("frequency"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.array_join(F.slice(F.sort_array(F.collect_set("k")), 1, 10), ",").alias("samples"))
+
+
+@query("SELECT user_id, event_type, frequency FROM (SELECT user_id, event_type, count(*) frequency, max(ts) last_seen FROM events GROUP BY 1, 2) WHERE NOT (frequency < 14 AND last_seen < (SELECT max(ts) FROM events) - INTERVAL 2 DAY)")
+def candidate_prune(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    c = e.groupBy("user_id", "event_type").agg(F.count("*").alias("frequency"), F.max("ts").alias("last_seen"))
+    c = c.join(F.broadcast(e.agg(F.max("ts").alias("now"))), F.lit(True))
+    return c.where(~((F.col("frequency") < 14) & (F.col("last_seen") < F.col("now") - F.expr("INTERVAL 2 DAYS")))).select("user_id", "event_type", "frequency")
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# merge and quality
+@query("""WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 4 <> 0), n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 1 THEN NULL ELSE 'N' END o_orderstatus, o_totalprice + 1 o_totalprice FROM orders WHERE o_orderkey % 4 < 2)
+SELECT coalesce(n.o_orderkey, o.o_orderkey) AS o_orderkey, CASE WHEN n.o_orderkey IS NULL THEN o.o_orderstatus ELSE coalesce(n.o_orderstatus, o.o_orderstatus) END AS o_orderstatus, round(CASE WHEN n.o_orderkey IS NULL THEN o.o_totalprice ELSE n.o_totalprice END, 2) AS o_totalprice FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey""")
+def upsert_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """The two states are made by rule from all orders."""
+    d = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    new = d.where("o_orderkey % 4 < 2").select("o_orderkey", F.when(F.col("o_orderkey") % 8 != 1, "N").alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
+    return merge.upsert(d.where("o_orderkey % 4 <> 0"), new, ["o_orderkey"], ["o_orderstatus"]).withColumn("o_totalprice", F.round("o_totalprice", 2))
+
+
+@query("""WITH m AS (SELECT entity_id, file_path, resolved_name, confidence FROM entity_document_mentions), o AS (SELECT DISTINCT entity_id, file_path FROM m WHERE entity_id % 2 = 0)
+SELECT entity_id, file_path FROM o UNION SELECT entity_id, file_path FROM m""")
+def insert_absent(spark: SparkSession, sf: str) -> DataFrame:
+    m = table(spark, sf, "entity_document_mentions").select("entity_id", "file_path")
+    return merge.insert_absent(m.where("entity_id % 2 = 0").distinct(), m, ["entity_id", "file_path"], [F.col("entity_id")])
+
+
+@query("SELECT (SELECT count(*) FROM chunks WHERE file_path NOT IN (SELECT file_path FROM document_registry WHERE status = 'error' AND file_path IS NOT NULL)) AS chunks, (SELECT count(*) FROM entity_document_mentions WHERE file_path NOT IN (SELECT file_path FROM document_registry WHERE status = 'error' AND file_path IS NOT NULL)) AS mentions")
+def cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
+    gone = table(spark, sf, "document_registry").where("status = 'error'").select("file_path")
+    c, m = merge.cascade_delete(gone, "file_path", (table(spark, sf, "chunks").select("file_path"), "file_path"), (table(spark, sf, "entity_document_mentions").select("file_path"), "file_path"))
+    return c.agg(F.count("*").alias("chunks")).join(m.agg(F.count("*").alias("mentions")), F.lit(True))
+
+
+PLAN = f"""plan AS (SELECT id, first_value(id) OVER w AS winner, count(*) OVER (PARTITION BY entity_type, canonical) n FROM (SELECT *, {PLAIN.format('name')} canonical FROM ent) WHERE canonical <> '' WINDOW w AS (PARTITION BY entity_type, canonical ORDER BY CASE WHEN lower(name) = canonical THEN 0 ELSE 1 END, id))"""
+
+
+@query(f"WITH {ENT}, {PLAN} SELECT id, winner FROM plan WHERE n > 1")
+def merge_plan(spark: SparkSession, sf: str) -> DataFrame:
+    return merge.merge_plan(entity_view(spark, sf), T.normalised(F.col("name")))
+
+
+@query(f"""WITH {ENT}, {REL}, {PLAN}, m AS (SELECT id, winner FROM plan WHERE n > 1 AND id <> winner)
+SELECT coalesce(a.winner, src) AS src, coalesce(b.winner, dst) AS dst, rel_type, min(confidence) AS confidence FROM rel LEFT JOIN m a ON a.id = src LEFT JOIN m b ON b.id = dst WHERE coalesce(a.winner, src) <> coalesce(b.winner, dst) GROUP BY 1, 2, 3""")
+def merge_apply(spark: SparkSession, sf: str) -> DataFrame:
+    plan = cut(merge.merge_plan(entity_view(spark, sf), T.normalised(F.col("name"))))
+    return merge.merge_apply(edge_view(spark, sf), plan)
+
+
+@query(f"WITH {REL} SELECT rel_type, confidence, count(*) AS n FROM rel WHERE NOT ((rel_type = 'CO_OCCURS_WITH' OR (rel_type IN ('ASSOCIATED_WITH', 'RELATED_TO', 'BELONGS_TO', 'LIVED_DURING', 'EXISTS_DURING', 'REFERENCED_IN', 'TEACHES') AND confidence = 'llm_low')) AND confidence NOT IN ('curated', 'metadata', 'llm_high')) GROUP BY 1, 2")
+def prune_relations(spark: SparkSession, sf: str) -> DataFrame:
+    weak = F.col("rel_type").isin("ASSOCIATED_WITH", "RELATED_TO", "BELONGS_TO", "LIVED_DURING", "EXISTS_DURING", "REFERENCED_IN", "TEACHES") & (F.col("confidence") == "llm_low")
+    noise = ((F.col("rel_type") == "CO_OCCURS_WITH") | weak) & ~F.col("confidence").isin("curated", "metadata", "llm_high")
+    return edge_view(spark, sf).where(~noise).groupBy("rel_type", "confidence").agg(F.count("*").alias("n"))
+
+
+@query("""WITH f AS (SELECT file_path, min(chunk_index) lo, max(chunk_index) hi, count(DISTINCT chunk_index) n FROM chunks GROUP BY 1) SELECT file_path, CAST(hi + 1 - n AS BIGINT) AS missing FROM f WHERE hi + 1 - n > 0""")
+def coverage_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Files whose chunk indexes from 0 on have gaps, and how many are missing."""
+    f = table(spark, sf, "chunks").groupBy("file_path").agg(F.max("chunk_index").alias("hi"), F.countDistinct("chunk_index").alias("n"))
+    return f.withColumn("missing", (F.col("hi") + 1 - F.col("n")).cast("long")).where("missing > 0").select("file_path", "missing")
+
+
+@query(f"""WITH r AS (SELECT file_path, chunk_count, status FROM ({LATEST})), c AS (SELECT file_path, count(DISTINCT chunk_index) n FROM chunks GROUP BY 1)
+SELECT coalesce(r.file_path, c.file_path) AS file_path, CASE WHEN r.file_path IS NULL THEN 'orphan' WHEN c.file_path IS NULL THEN 'no_chunks' WHEN r.chunk_count IS DISTINCT FROM n THEN 'count_differs' WHEN status <> 'indexed' THEN 'not_indexed' ELSE 'ok' END AS finding FROM r FULL JOIN c ON r.file_path = c.file_path""")
+def reconcile_findings(spark: SparkSession, sf: str) -> DataFrame:
+    r = latest_registry(spark, sf).select(F.col("file_path").alias("r"), "chunk_count", "status")
+    c = table(spark, sf, "chunks").groupBy(F.col("file_path").alias("c")).agg(F.countDistinct("chunk_index").alias("n"))
+    finding = F.when(F.col("r").isNull(), "orphan").when(F.col("c").isNull(), "no_chunks").when(~F.col("chunk_count").eqNullSafe(F.col("n")), "count_differs").when(F.col("status") != "indexed", "not_indexed").otherwise("ok")
+    return r.join(c, F.col("r") == F.col("c"), "full").select(F.coalesce("r", "c").alias("file_path"), finding.alias("finding"))
+
+
+@query("""SELECT a.id AS entity_id, a.name AS name, b.entity_id AS alias_of FROM entities a JOIN (SELECT entity_id, alias, entity_type FROM entity_aliases JOIN entities ON id = entity_id) b ON lower(a.name) = lower(b.alias) AND a.entity_type = b.entity_type AND a.id <> b.entity_id""")
+def alias_hygiene(spark: SparkSession, sf: str) -> DataFrame:
+    """Names that are an alias of another entity of the same type."""
+    e = table(spark, sf, "entities").select("id", "name", "entity_type")
+    a = table(spark, sf, "entity_aliases").join(e.select(F.col("id").alias("entity_id"), "entity_type"), "entity_id").select(F.col("entity_id").alias("alias_of"), F.lower("alias").alias("k"), "entity_type")
+    return e.withColumn("k", F.lower("name")).join(a, ["k", "entity_type"]).where("id <> alias_of").select(F.col("id").alias("entity_id"), "name", "alias_of")
+
+
+@query("""SELECT entity_id, name, mention_count, doc_count FROM (SELECT e.id AS entity_id, e.name, coalesce(m.n, 0) AS mention_count, coalesce(m.d, 0) AS doc_count FROM entities e LEFT JOIN (SELECT entity_id, count(*) n, count(DISTINCT file_path) d FROM entity_document_mentions GROUP BY 1) m ON m.entity_id = e.id) ORDER BY mention_count DESC, entity_id LIMIT 50""")
+def profile_list(spark: SparkSession, sf: str) -> DataFrame:
+    m = table(spark, sf, "entity_document_mentions").groupBy("entity_id").agg(F.count("*").alias("n"), F.countDistinct("file_path").alias("d"))
+    e = table(spark, sf, "entities").select(F.col("id").alias("entity_id"), "name").join(m, "entity_id", "left")
+    return e.select("entity_id", "name", F.coalesce("n", F.lit(0)).alias("mention_count"), F.coalesce("d", F.lit(0)).alias("doc_count")).orderBy(F.desc("mention_count"), "entity_id").limit(50)
+
+
+@query("""WITH m AS (SELECT DISTINCT entity_id, file_path FROM entity_document_mentions), p AS (SELECT m.entity_id, m.file_path, regexp_extract(m.file_path, '^(.*)/', 1) volume, min(c.id) chunk_id FROM m JOIN chunks c ON c.file_path = m.file_path GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY entity_id, volume ORDER BY file_path) turn FROM p), o AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY turn, volume) place FROM r) SELECT entity_id, chunk_id, place FROM o WHERE place <= 10""")
+def profile_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """Up to ten passages of an entity, one a document, taken in turns over the volumes. Each file's first chunk is found before the
+    join, so a file's chunks aren't multiplied by its mentions."""
+    m = table(spark, sf, "entity_document_mentions").select("entity_id", "file_path").distinct()
+    c = table(spark, sf, "chunks").groupBy("file_path").agg(F.min("id").alias("chunk_id"))
+    p = m.join(c, "file_path").withColumn("volume", F.regexp_extract("file_path", "^(.*)/", 1))
+    p = p.withColumn("turn", F.row_number().over(Window.partitionBy("entity_id", "volume").orderBy("file_path")))
+    return p.withColumn("place", F.row_number().over(Window.partitionBy("entity_id").orderBy("turn", "volume"))).where("place <= 10").select("entity_id", "chunk_id", "place")
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def windowed_counts(spark: SparkSession, sf: str) -> DataFrame:
+    from lorekiln.streaming.ingest import windowed_counts as counts
+
+    return counts(table(spark, sf, "events"), "1 hour", "1 hour")
+
+
+@query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def pricing_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
