@@ -23,7 +23,7 @@ def clean_source(c):
 def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
     """How many documents of each length make up ``budget`` tokens, or the most tokens under it.
 
-    Every length first gives its proportional share; whole documents, long ones first, then bring the rest down to
+    A budget beyond REST first takes its proportional share of every length; whole documents, long ones first, then bring the rest down to
     REST tokens; a bounded knapsack over the lengths left (reachable sums as the bits of one integer) fits that rest.
     """
     total = sum(k * v for k, v in counts.items())
@@ -31,7 +31,7 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
         return dict(counts)
     if budget <= 0:
         return {}
-    take = {k: v * budget // total for k, v in counts.items()}
+    take = {k: v * budget // total if budget > REST else 0 for k, v in counts.items()}
     rest = budget - sum(k * v for k, v in take.items())
     for k in sorted(counts, reverse=True):
         while rest - REST >= k and take[k] < counts[k]:

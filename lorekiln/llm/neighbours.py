@@ -311,7 +311,7 @@ def search(rows: DataFrame, index: Search, dim: int, k: int, floor: float, is_qu
     return hits.withColumn("rn", first).where(F.col("rn") <= k).drop("rn")
 
 
-def nearest(df: DataFrame, k: int = 5, floor: float = 0.0, target: float = 0.95, key: str = "chunk_id", vector: str = "embedding", model: str = "model_version", dim: int = 384, is_query: str | None = None) -> DataFrame:
+def nearest(df: DataFrame, k: int = 5, floor: float = -1.0, target: float = 0.95, key: str = "chunk_id", vector: str = "embedding", model: str = "model_version", dim: int = 384, is_query: str | None = None) -> DataFrame:
     """(model, id, other, cos, rank): for each query id its k most similar other ids of the same model.
 
     Unusable vectors (null, of another length, not finite, all zero) neither ask nor answer; vectors needn't have unit
