@@ -569,3 +569,115 @@ def windowed_counts(spark: SparkSession, sf: str) -> DataFrame:
 def pricing_rollup(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# more operators
+#: Authority by category, and patterns of question kinds, both in order of precedence.
+CATEGORY_AUTHORITY = [("manuals", 60), ("manuales", 60), ("study-aids", 57), ("ayudas", 57), ("books", 40), ("libros", 40), ("commentary", 15), ("comentarios", 15)]
+KINDS = [("soteriological", "repentance|redemption|arrepentimiento"), ("doctrinal", "teach|principle|enseña|doctrin"), ("historical", "year|century|histor|años"), ("teaching", "lesson|example|lección|ejemplo")]
+
+
+@query("SELECT id, authority, CASE WHEN authority >= 57 THEN 'Correlated' WHEN authority >= 45 THEN 'GA Official' WHEN authority >= 35 THEN 'GA Unofficial' WHEN authority >= 25 THEN 'Institutional' ELSE 'Scholarly' END AS label FROM (SELECT id, CASE regexp_extract(regexp_replace(file_path, '^[a-z]{2}/', ''), '^([^/]*)', 1) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in CATEGORY_AUTHORITY) + " ELSE 30 END AS authority FROM chunks)")
+def authority_score(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.regexp_extract(F.regexp_replace("file_path", "^[a-z]{2}/", ""), "^([^/]*)", 1)
+    a = F.lit(30)
+    for k, v in reversed(CATEGORY_AUTHORITY):
+        a = F.when(kind == k, v).otherwise(a)
+    label = F.when(F.col("authority") >= 57, "Correlated").when(F.col("authority") >= 45, "GA Official").when(F.col("authority") >= 35, "GA Unofficial").when(F.col("authority") >= 25, "Institutional").otherwise("Scholarly")
+    return table(spark, sf, "chunks").select("id", a.alias("authority")).withColumn("label", label)
+
+
+@query("SELECT kind, count(*) AS docs FROM (SELECT CASE WHEN greatest(" + ", ".join(f"k{i}" for i in range(4)) + ") = 0 THEN 'exploratory' " + " ".join(f"WHEN k{i} = greatest(k0, k1, k2, k3) THEN '{n}'" for i, (n, _) in enumerate(KINDS)) + " END AS kind FROM (SELECT " + ", ".join(f"len(regexp_extract_all(lower(text), '{p}')) AS k{i}" for i, (_, p) in enumerate(KINDS)) + " FROM documents WHERE text IS NOT NULL)) GROUP BY 1")
+def question_type(spark: SparkSession, sf: str) -> DataFrame:
+    """The kind with most matches, the first of equal ones."""
+    d = table(spark, sf, "documents").where("text is not null").select(*[F.regexp_count(F.lower("text"), F.lit(p)).alias(f"k{i}") for i, (_, p) in enumerate(KINDS)])
+    most = F.greatest("k0", "k1", "k2", "k3")
+    kind = F.when(most == 0, "exploratory")
+    for i, (n, _) in enumerate(KINDS):
+        kind = kind.when(F.col(f"k{i}") == most, n)
+    return d.select(kind.alias("kind")).groupBy("kind").agg(F.count("*").alias("docs"))
+
+
+@query("SELECT CASE WHEN m LIKE 'S%' THEN 'SEE_ALSO' ELSE 'SEE_ALSO_ES' END AS rel_type, regexp_replace(m, '^(See|Véase) ', '') AS target, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '(?:See|Véase) [A-Z][^0-9.;]*[0-9]+:[0-9]+')) m FROM documents) GROUP BY 1, 2")
+def xref_extract(spark: SparkSession, sf: str) -> DataFrame:
+    m = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("(?:See|Véase) [A-Z][^0-9.;]*[0-9]+:[0-9]+"), F.lit(0))).alias("m"))
+    return m.groupBy(F.when(F.col("m").startswith("S"), "SEE_ALSO").otherwise("SEE_ALSO_ES").alias("rel_type"), F.regexp_replace("m", "^(See|Véase) ", "").alias("target")).agg(F.count("*").alias("n"))
+
+
+@query()
+def family_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    from lorekiln.operators.family import family_edges
+
+    return family_edges(table(spark, sf, "chunks"), "id", "text")
+
+
+@query("WITH n AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS a, b.p_name AS b, levenshtein(a.p_name, b.p_name) AS distance FROM n a JOIN n b ON substring(a.p_name, 1, 1) = substring(b.p_name, 1, 1) AND a.p_name < b.p_name WHERE levenshtein(a.p_name, b.p_name) <= 3")
+def fuzzy_title(spark: SparkSession, sf: str) -> DataFrame:
+    """Different titles within three edits, among those that begin alike."""
+    n = table(spark, sf, "part").select(F.col("p_name").alias("a")).distinct().withColumn("k", F.substring("a", 1, 1))
+    pairs = n.join(n.withColumnRenamed("a", "b"), "k").where("a < b")
+    return pairs.select("a", "b", F.levenshtein("a", "b").alias("distance")).where("distance <= 3")
+
+
+@query("SELECT a AS src, b AS dst, layer FROM (SELECT DISTINCT dst_file_path a, src_file_path b, layer FROM document_parallels WHERE src_file_path <> dst_file_path) x WHERE NOT EXISTS (SELECT 1 FROM document_parallels p WHERE p.src_file_path = a AND p.dst_file_path = b AND p.layer = x.layer)")
+def missing_reciprocals(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "document_parallels").select(F.col("src_file_path").alias("src"), F.col("dst_file_path").alias("dst"), "layer").where("src <> dst")
+    return p.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "layer").distinct().join(p, ["src", "dst", "layer"], "left_anti")
+
+
+@query(f"""WITH g AS (SELECT * FROM ({SINGLE}) WHERE term <> '' AND NOT contains(term, ' ')), w AS (SELECT DISTINCT id AS chunk_id, unnest({WORDS}) term FROM chunks WHERE length(text) > 100)
+SELECT chunk_id, count(DISTINCT g.id) AS entities FROM w JOIN g ON g.term = w.term GROUP BY 1 ORDER BY entities DESC, chunk_id LIMIT 100""")
+def rich_passages(spark: SparkSession, sf: str) -> DataFrame:
+    words = table(spark, sf, "chunks").where(F.length("text") > 100).select(F.col("id").alias("chunk_id"), F.explode(F.array_distinct(F.split(T.normalised(F.col("text")), " "))).alias("term"))
+    g = extract.gazetteer(table(spark, sf, "entities"), table(spark, sf, "entity_aliases")).where("n = 1")
+    return words.join(F.broadcast(g), "term").groupBy("chunk_id").agg(F.countDistinct("entity_id").alias("entities")).orderBy(F.desc("entities"), "chunk_id").limit(100)
+
+
+@query("SELECT event_id, count(*) OVER w AS n, round(epoch_us(ts) / 1e6 - epoch_us(first_value(ts) OVER w) / 1e6, 3) AS seconds FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")
+def rolling_throughput(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-99, 0)
+    sec = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
+    return table(spark, sf, "events").select("event_id", F.count("*").over(w).alias("n"), F.round(sec(F.col("ts")) - sec(F.first("ts").over(w)), 3).alias("seconds"))
+
+
+RANGES = r"""SELECT DISTINCT file_path, id, trim(regexp_extract(reference, '^(.*[^0-9 ])[ ]+[0-9]', 1)) book, TRY_CAST(regexp_extract(reference, ' ([0-9]+):', 1) AS INT) chapter, TRY_CAST(regexp_extract(reference, ':([0-9]+)', 1) AS INT) lo, TRY_CAST(regexp_extract(reference, '-([0-9]+)$', 1) AS INT) hi FROM chunks WHERE reference IS NOT NULL"""
+
+
+@query(f"WITH r AS ({RANGES}) SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.book = b.book AND a.chapter = b.chapter AND a.id < b.id AND a.lo <= b.hi AND b.lo <= a.hi")
+def overlapping_references(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks whose verse ranges overlap: an equi-join on book and chapter, which holds few chunks, then the range."""
+    r = F.col("reference")
+    number = lambda p: F.regexp_extract(r, p, 1).try_cast("int")
+    x = table(spark, sf, "chunks").where(r.isNotNull()).select("id", F.trim(F.regexp_extract(r, r"^(.*[^0-9 ])[ ]+[0-9]", 1)).alias("book"), number(r" ([0-9]+):").alias("chapter"), number(r":([0-9]+)").alias("lo"), number(r"-([0-9]+)$").alias("hi")).distinct()
+    y = x.select(F.col("id").alias("b"), "book", "chapter", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    return x.join(y, ["book", "chapter"]).where("id < b and lo <= hi2 and lo2 <= hi").select(F.col("id").alias("a"), "b")
+
+
+@query(f"SELECT c.concept_id AS concept_id, c.term_es AS term_es, e.id AS entity_id, count(m.file_path) AS mentions FROM concept_bridge c LEFT JOIN entities e ON {PLAIN.format('c.term_en')} = {PLAIN.format('e.name')} LEFT JOIN entity_document_mentions m ON m.entity_id = e.id GROUP BY 1, 2, 3")
+def bilingual_bridge(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "concept_bridge").withColumn("k", T.normalised(F.col("term_en")))
+    e = table(spark, sf, "entities").select(F.col("id").alias("entity_id"), T.normalised(F.col("name")).alias("k"))
+    m = table(spark, sf, "entity_document_mentions").groupBy("entity_id").agg(F.count("file_path").alias("mentions"))
+    return c.join(e, "k", "left").join(m, "entity_id", "left").select("concept_id", "term_es", "entity_id", F.coalesce("mentions", F.lit(0)).alias("mentions"))
+
+
+@query("SELECT coalesce(nullif(lower(substring(CASE WHEN json_valid(metadata) THEN json_extract_string(metadata, '$.lang') END, 1, 2)), ''), regexp_extract(file_path, '^([a-z]{2})/', 1), '') AS lang, count(*) AS chunks FROM chunks GROUP BY 1")
+def metadata_language(spark: SparkSession, sf: str) -> DataFrame:
+    lang = F.coalesce(F.nullif(F.lower(F.substring(F.get_json_object("metadata", "$.lang"), 1, 2)), F.lit("")), F.regexp_extract("file_path", "^([a-z]{2})/", 1))
+    return table(spark, sf, "chunks").groupBy(lang.alias("lang")).agg(F.count("*").alias("chunks"))
+
+
+@query("SELECT file_path, id, place FROM (SELECT file_path, id, row_number() OVER (PARTITION BY file_path ORDER BY length(text) DESC NULLS LAST, id) AS place FROM chunks) WHERE place <= 3")
+def longest_per_file(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.partitionBy("file_path").orderBy(F.desc_nulls_last(F.col("n")), "id")
+    return table(spark, sf, "chunks").select("file_path", "id", F.length("text").alias("n")).withColumn("place", F.row_number().over(w)).where("place <= 3").select("file_path", "id", "place")
+
+
+@query("SELECT entity_id, resolved_name, CAST(total // n AS BIGINT) AS mention_count FROM (SELECT DISTINCT entity_id, resolved_name FROM entity_document_mentions WHERE resolved_name <> '') s JOIN (SELECT entity_id, count(*) total, count(DISTINCT nullif(resolved_name, '')) n FROM entity_document_mentions GROUP BY 1) t USING (entity_id)")
+def profile_split(spark: SparkSession, sf: str) -> DataFrame:
+    """A profile's mentions divided evenly, in whole numbers, over the senses of its name."""
+    m = table(spark, sf, "entity_document_mentions")
+    t = m.groupBy("entity_id").agg(F.count("*").alias("total"), F.countDistinct(F.nullif("resolved_name", F.lit(""))).alias("n"))
+    s = m.where("resolved_name <> ''").select("entity_id", "resolved_name").distinct()
+    return s.join(t, "entity_id").select("entity_id", "resolved_name", F.floor(F.col("total") / F.col("n")).alias("mention_count"))

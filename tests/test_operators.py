@@ -122,3 +122,23 @@ def test_without_the_training_data_subpackage():
 
     code = "import sys; sys.modules['lorekiln.llm'] = None; import __spark_entry__ as e; assert 'rrf_hybrid' in e.queries() and not any(k.startswith('p1_') for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+
+
+def test_snapshots_swap_whole(spark, tmp_path):
+    from lorekiln.sources import snapshots
+
+    root = str(tmp_path / "t")
+    assert snapshots.versions(spark, root) == []
+    for n in (1, 2, 3):
+        assert snapshots.write(spark.range(n), root) == n
+    assert snapshots.read(spark, root).count() == 3 and snapshots.versions(spark, root) == [2, 3]
+    (tmp_path / "t/v4").mkdir()  # a run that died
+    assert snapshots.read(spark, root).count() == 3
+
+
+def test_family_sentences(spark):
+    from lorekiln.operators.family import family_edges
+
+    rows = [(1, "Then Orin, son of Belthar, spoke; Ana hija de Rosa Luz vino. Orin begat Tamur."), (2, "Orin's brother Dov came. the son of man. Orin son of Orin."), (3, None)]
+    got = {(r.src, r.rel_type, r.dst) for r in family_edges(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()}
+    assert got == {("Orin", "SON_OF", "Belthar"), ("Ana", "DAUGHTER_OF", "Rosa Luz"), ("Orin", "FATHER_OF", "Tamur"), ("Dov", "BROTHER_OF", "Orin")}
