@@ -17,6 +17,9 @@ CONNECTORS = [
     (r"'s son,? ", "SON_OF", True), (r"'s daughter,? ", "DAUGHTER_OF", True), (r"'s brother,? ", "BROTHER_OF", True), (r"'s wife,? ", "WIFE_OF", True),
 ]
 
+#: Words that open a sentence before a name.
+OPENERS = r"^(?:Then|And|But|Now|When|So|For|Y|Entonces|Cuando|Pero|Mas|Así) "
+
 
 def family_edges(docs: DataFrame, key: str, text: str, not_names: list[str] = ()) -> DataFrame:
     """(key, src, rel_type, dst), distinct: both names capitalised, different, and none of ``not_names`` (places, titles)."""
@@ -25,6 +28,7 @@ def family_edges(docs: DataFrame, key: str, text: str, not_names: list[str] = ()
         pattern = NAME + connector + NAME
         hit = docs.select(key, F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("m"))
         a, b = F.regexp_extract("m", pattern, 1), F.regexp_extract("m", pattern, 2)
+        a = F.regexp_replace(a, OPENERS, "")
         src, dst = (b, a) if turned else (a, b)
         found.append(hit.select(key, src.alias("src"), F.lit(relation).alias("rel_type"), dst.alias("dst")))
     out = reduce(DataFrame.unionByName, found).where("src <> dst").distinct()

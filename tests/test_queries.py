@@ -1,9 +1,11 @@
 """Every core query with a SQL form against DuckDB over the smallest tables; the others run."""
 
 import glob
+import numbers
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -15,8 +17,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables"
 
 def plain(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    none = lambda x: x is None or x is pd.NaT or (isinstance(x, float) and x != x)
-    value = lambda x: "-" if none(x) else f"{float(x):.6f}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+    none = lambda x: x is None or (not isinstance(x, str) and pd.api.types.is_scalar(x) and pd.isna(x))
+    value = lambda x: "-" if none(x) else f"{float(x):.6f}" if isinstance(x, numbers.Real) and not isinstance(x, (bool, np.bool_)) else str(x)
     return sorted(tuple(value(x) for x in row) for row in df.itertuples(index=False))
 
 
