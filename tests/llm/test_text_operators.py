@@ -155,6 +155,20 @@ def test_alignment(spark):
     assert sum(r.chunk_id_b == 500 for r in got) == 7
 
 
+@pytest.mark.parametrize("n,gone", [(1600, (0, 0)), (5000, (600, 1100))])
+def test_long_works_align_whole(spark, n, gone):
+    keep = [i for i in range(n) if not gone[0] <= i < gone[1]]
+    number = [100_000 + i * 7919 % 900_001 for i in range(n)]
+    en = [f"{GLOSSARY[i % 5][0]} sold {GLOSSARY[i % 3][0]} for {number[i]} coins." for i in range(n)]
+    es = [f"{GLOSSARY[i % 5][1]} vendió {GLOSSARY[i % 3][1]} por {number[i]} monedas." for i in keep]
+    rows = [(k * 1000 + i, f"{side}/w.txt", i // 40, " ".join(x[i : i + 40]), 0, side) for k, (side, x) in enumerate((("en", en), ("es", es))) for i in range(0, len(x), 40)]
+    rows = [(j, *r[1:]) for j, r in enumerate(rows)]
+    index = {r[0]: r[2] for r in rows}
+    got = {(index[r.chunk_id_a] * 40 + r.sentence_a, index[r.chunk_id_b] * 40 + r.sentence_b) for r in bitext.alignment(chunks(spark, rows).drop("chunk_id"), None, GLOSSARY).collect()}
+    want = {(i, j) for j, i in enumerate(keep)}
+    assert len(got & want) >= 0.99 * len(want) and len(got & want) >= 0.99 * len(got)
+
+
 def test_alignment_bears_awkward_rows(spark):
     assert bitext.alignment(chunks(spark, AWKWARD), None, []).count() == 0
     assert bitext.alignment(chunks(spark, []), spark.createDataFrame([], "src_file_path string, dst_file_path string, rel_type string"), [(None, "x")]).count() == 0
