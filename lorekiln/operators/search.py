@@ -79,3 +79,23 @@ def top(df: DataFrame, score: str, key: str, k: int) -> DataFrame:
     """The k best rows with their rank; ties go to the smaller key. Spark takes them per task first."""
     best = df.orderBy(F.desc(score), key).limit(k)
     return best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(score), key)))
+
+
+def within_edits(df: DataFrame, text: str, k: int) -> DataFrame:
+    """(a, b, distance): different texts of at most k edits (insertions, deletions, replacements), ``a`` before ``b``.
+
+    Exact: k edits leave one of the k + 1 pieces of a text whole, shifted by at most k, so pairs that share no piece of theirs are
+    never compared. Pieces are cut by length, and a text looks for those of every length within k of its own. Nulls are left
+    out, repeated texts count once; texts shorter than k + 1 have empty pieces and meet all of about their length.
+    """
+    n = df.select(F.col(text).alias("a")).where("a is not null").distinct().withColumn("n", F.length("a"))
+    start = lambda i, n: F.floor(n * i / (k + 1)).cast("int")
+    pieces = n.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k)))).withColumn("s", start(F.col("i"), F.col("n")))
+    pieces = pieces.select(F.col("a").alias("b"), F.col("n").alias("m"), "i", F.substring("a", F.col("s") + 1, start(F.col("i") + 1, F.col("n")) - F.col("s")).alias("piece"))
+    # a text no shorter than the one that is cut
+    seen = n.withColumn("m", F.explode(F.sequence(F.greatest(F.lit(0), F.col("n") - k), F.col("n")))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k))))
+    seen = seen.withColumn("s", start(F.col("i"), F.col("m"))).withColumn("size", start(F.col("i") + 1, F.col("m")) - F.col("s"))
+    seen = seen.withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0), F.col("s") - k), F.greatest(F.lit(0), F.least(F.col("s") + k, F.col("n") - F.col("size"))))))
+    seen = seen.select("a", "n", "m", "i", F.substring("a", F.col("at") + 1, F.col("size")).alias("piece")).distinct()
+    pairs = seen.join(pieces, ["m", "i", "piece"]).where("n > m or a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.withColumn("distance", F.levenshtein("a", "b")).where(F.col("distance") <= k)

@@ -620,6 +620,12 @@ def fuzzy_title(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select("a", "b", F.levenshtein("a", "b").alias("distance")).where("distance <= 3")
 
 
+@query("WITH n AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS a, b.p_name AS b, levenshtein(a.p_name, b.p_name) AS distance FROM n a JOIN n b ON a.p_name < b.p_name WHERE levenshtein(a.p_name, b.p_name) <= 3")
+def fuzzy_title_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Different titles within three edits, however they begin."""
+    return search.within_edits(table(spark, sf, "part"), "p_name", 3)
+
+
 @query("SELECT a AS src, b AS dst, layer FROM (SELECT DISTINCT dst_file_path a, src_file_path b, layer FROM document_parallels WHERE src_file_path <> dst_file_path) x WHERE NOT EXISTS (SELECT 1 FROM document_parallels p WHERE p.src_file_path = a AND p.dst_file_path = b AND p.layer = x.layer)")
 def missing_reciprocals(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "document_parallels").select(F.col("src_file_path").alias("src"), F.col("dst_file_path").alias("dst"), "layer").where("src <> dst")

@@ -142,3 +142,19 @@ def test_family_sentences(spark):
     rows = [(1, "Then Orin, son of Belthar, spoke; Ana hija de Rosa Luz vino. Orin begat Tamur."), (2, "Orin's brother Dov came. the son of man. Orin son of Orin."), (3, None)]
     got = {(r.src, r.rel_type, r.dst) for r in family_edges(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()}
     assert got == {("Orin", "SON_OF", "Belthar"), ("Ana", "DAUGHTER_OF", "Rosa Luz"), ("Orin", "FATHER_OF", "Tamur"), ("Dov", "BROTHER_OF", "Orin")}
+
+
+def test_within_edits_against_brute_force(spark):
+    rng = random.Random(8)
+    texts = sorted({"".join(rng.choice("abñ ") for _ in range(rng.randint(0, 11))) for _ in range(250)} | {"blue bolt", "old bolt"})
+    got = {(r.a, r.b, r.distance) for r in search.within_edits(spark.createDataFrame([(t,) for t in [*texts, None, "old bolt"]], "t string"), "t", 3).collect()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    assert got == {(a, b, d) for a in texts for b in texts if a < b and (d := distance(a, b)) <= 3} and ("blue bolt", "old bolt", 3) in got
