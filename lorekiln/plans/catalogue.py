@@ -368,6 +368,15 @@ def docs_for_entity(spark: SparkSession, sf: str) -> DataFrame:
     return m.join(F.broadcast(e), "entity_id").groupBy("entity_id", "name").agg(F.array_join(F.sort_array(F.collect_set("file_path")), "|").alias("files")).drop("entity_id")
 
 
+@query("SELECT e.name AS name, string_agg(DISTINCT m.file_path, '|' ORDER BY m.file_path) AS files FROM entity_document_mentions m JOIN entities e ON e.id = m.entity_id JOIN document_registry r ON r.file_path = m.file_path GROUP BY e.id, e.name")
+def docs_for_entity_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The registered files of every mentioned entity; a file counts once before the list is built."""
+    m = table(spark, sf, "entity_document_mentions").select("entity_id", "file_path").distinct()
+    m = m.join(table(spark, sf, "document_registry").select("file_path"), "file_path", "left_semi")
+    files = m.groupBy("entity_id").agg(F.array_join(F.sort_array(F.collect_list("file_path")), "|").alias("files"))
+    return files.join(table(spark, sf, "entities").select(F.col("id").alias("entity_id"), "name").distinct(), "entity_id").select("name", "files")
+
+
 @query("SELECT entity_id, coalesce(nullif(resolved_name, ''), '-') AS resolved, count(DISTINCT file_path) AS files FROM entity_document_mentions GROUP BY 1, 2")
 def disambiguated_counts(spark: SparkSession, sf: str) -> DataFrame:
     m = table(spark, sf, "entity_document_mentions")

@@ -38,3 +38,9 @@ def test_query(spark, duck, name):
         want = duck.execute(catalogue.oracle_sql()[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert plain(got) == plain(want)
+
+
+def test_files_of_every_entity(spark, duck):
+    got = catalogue.queries()["docs_for_entity_all"](spark, DATA).count()
+    assert got == duck.execute("select count(distinct entity_id) from entity_document_mentions m semi join document_registry using (file_path) where entity_id in (select id from entities)").fetchone()[0]
+    assert got > catalogue.queries()["docs_for_entity"](spark, DATA).count()
