@@ -50,3 +50,20 @@ def cooccurrence(found: DataFrame, key: str, rules: dict[tuple[str, str], str],
 def chain(df: DataFrame, keys: list[str], order: list, value: str) -> DataFrame:
     """Adds ``previous``: the value before in the order of each key (PRECEDED_BY)."""
     return df.withColumn("previous", F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def verse_ranges(df: DataFrame, key: str, reference: str) -> DataFrame:
+    """(key, book, chapter, lo, hi) of references such as 'Book 9:1-6', 'Book 9:1–6', 'Book 9, 1-6' and 'Book 9:1', which is a
+    range of one verse; what isn't a verse (pages, null) is left out, repeated rows count once."""
+    r = F.col(reference)
+    number = lambda p: F.regexp_extract(r, p, 1).try_cast("int")
+    lo = number(r"[:,] ?([0-9]+)")
+    x = df.where(r.isNotNull()).select(key, F.trim(F.regexp_extract(r, r"^(.*[^0-9 ,:])[ ]+[0-9]+[:,]", 1)).alias("book"), number(r" ([0-9]+)[:,]").alias("chapter"), lo.alias("lo"), F.coalesce(number(r"[-–]([0-9]+)$"), lo).alias("hi"))
+    return x.where("chapter is not null and lo is not null").distinct()
+
+
+def overlapping(ranges: DataFrame, key: str) -> DataFrame:
+    """(a, b): keys of overlapping ranges, the smaller first: an equi-join on book and chapter, then the range."""
+    x = ranges.withColumnRenamed(key, "a")
+    y = ranges.select(F.col(key).alias("b"), "book", "chapter", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    return x.join(y, ["book", "chapter"]).where("a < b and lo <= hi2 and lo2 <= hi").select("a", "b").distinct()

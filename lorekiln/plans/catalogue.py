@@ -669,6 +669,15 @@ def overlapping_references(spark: SparkSession, sf: str) -> DataFrame:
     return x.join(y, ["book", "chapter"]).where("id < b and lo <= hi2 and lo2 <= hi").select(F.col("id").alias("a"), "b")
 
 
+WHOLE_RANGES = r"""SELECT DISTINCT id, book, chapter, lo, coalesce(hi, lo) hi FROM (SELECT id, trim(regexp_extract(reference, '^(.*[^0-9 ,:])[ ]+[0-9]+[:,]', 1)) book, TRY_CAST(regexp_extract(reference, ' ([0-9]+)[:,]', 1) AS INT) chapter, TRY_CAST(regexp_extract(reference, '[:,] ?([0-9]+)', 1) AS INT) lo, TRY_CAST(nullif(regexp_extract(reference, '[-–]([0-9]+)$', 1), '') AS INT) hi FROM chunks WHERE reference IS NOT NULL)"""
+
+
+@query(f"WITH r AS ({WHOLE_RANGES}) SELECT DISTINCT a.id AS a, b.id AS b FROM r a JOIN r b ON a.book = b.book AND a.chapter = b.chapter AND a.id < b.id AND a.lo <= b.hi AND b.lo <= a.hi")
+def overlapping_references_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks whose verse ranges overlap, in every way of writing them."""
+    return extract.overlapping(extract.verse_ranges(table(spark, sf, "chunks"), "id", "reference"), "id")
+
+
 @query(f"SELECT c.concept_id AS concept_id, c.term_es AS term_es, e.id AS entity_id, count(m.file_path) AS mentions FROM concept_bridge c LEFT JOIN entities e ON {PLAIN.format('c.term_en')} = {PLAIN.format('e.name')} LEFT JOIN entity_document_mentions m ON m.entity_id = e.id GROUP BY 1, 2, 3")
 def bilingual_bridge(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "concept_bridge").withColumn("k", T.normalised(F.col("term_en")))

@@ -158,3 +158,9 @@ def test_within_edits_against_brute_force(spark):
         return row[-1]
 
     assert got == {(a, b, d) for a in texts for b in texts if a < b and (d := distance(a, b)) <= 3} and ("blue bolt", "old bolt", 3) in got
+
+
+def test_ranges_overlap_however_written(spark):
+    rows = [(1, "Book 9:1-6"), (2, "Book 9:5–9"), (3, "Book 9, 6-7"), (4, "Book 9:9"), (5, "Book 8:1-9"), (6, "p. 9"), (7, None), (8, "Book 9, 20")]
+    got = extract.overlapping(extract.verse_ranges(spark.createDataFrame(rows, "id long, r string"), "id", "r"), "id")
+    assert {(r.a, r.b) for r in got.collect()} == {(1, 2), (1, 3), (2, 3), (2, 4)}
