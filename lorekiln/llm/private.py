@@ -11,6 +11,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lorekiln.session import cut
 
 KINDS = ("email", "address", "phone", "id_number", "name")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
@@ -243,9 +246,16 @@ def spans(t: str, public: frozenset[str]) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda x: x[1])
 
 
-#: Invented surrogates, by the ending's gender.
-GIVEN = {"f": ["Adela", "Brisa", "Corina", "Delia", "Elvira", "Flora", "Gala", "Irena", "Livia", "Mirna"], "m": ["Adrio", "Bento", "Corvin", "Darel", "Emeric", "Fausto", "Gideon", "Haldor", "Ivor", "Marlo"]}
-SURNAMES = ["Abercorn", "Balvaneda", "Corriente", "Dellaway", "Escalera", "Fenwold", "Garrido", "Holmwick", "Istúriz", "Jarvane", "Keldon", "Lorenzana", "Merrowby", "Novillo", "Oakridge", "Peralta", "Quintana", "Rosewell", "Salcedo", "Thornley"]
+#: Syllables of invented names. No onset begins with a coda, so that different syllables never spell the same name.
+ONSETS, VOWELS, CODAS = "b br c cl d dr f g gr j m p t tr v z".split(), "aeiou", ["", "n", "r", "l", "s"]
+SYLLABLES = [o + v + c for o in ONSETS for v in VOWELS for c in CODAS]
+ENDINGS = {"f": [o + "a" for o in ONSETS], "m": [o + v for o in ONSETS for v in ("o", "an", "el", "en", "in", "or")]}
+
+
+FIGURES_EN, FIGURES_ES = FIGURES[:1] + FIGURES[2:11], FIGURES[11:]
+VALUE = {w: d for names in (FIGURES_EN, FIGURES_ES) for d, w in enumerate(names)} | {"oh": 0}
+FIGURE = re.compile(rf"(?<!\w)(?:{'|'.join(FIGURES)})(?!\w)", re.I)
+ADDRESS_NAME = re.compile(rf"(?<=\s)(?!{STREET})({CAP})(?=\s{STREET}|,|\s\d)")
 
 
 def _draw(key: bytes, *parts: str) -> int:
@@ -260,66 +270,101 @@ def _plain(w: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", w.lower()) if not unicodedata.combining(c))
 
 
+def invented(key: bytes, kind: str, plain: str, turn: int) -> str:
+    """The form that an original gets in its ``turn``, never itself: a mail address (64 bits), or a name of four syllables (over
+    10 to the 9th forms a gender), which keeps the gender of the original's ending."""
+    while True:
+        n = _draw(key, kind, plain, str(turn))
+        if kind == "email":
+            new = f"user{n:016x}@example.org"
+        else:
+            ends = ENDINGS["f" if plain.endswith("a") else "m"]
+            n, i = divmod(n, len(ends))
+            new = "".join(SYLLABLES[n // len(SYLLABLES) ** k % len(SYLLABLES)] for k in range(3)) + ends[i]
+        if new != plain:
+            return new.capitalize() if kind == "word" else new
+        turn += 1 << 32
+
+
+def _permuted(key: bytes, n: int, base: int, size: int) -> int:
+    """Another number of ``size`` figures for each: a keyed permutation (Feistel rounds over both halves of the figures) carries
+    a step to the next number, so it has no fixed point and no two numbers meet."""
+    if size == 1:
+        order = sorted(range(base), key=lambda x: _draw(key, "figure", str(base), str(x)))
+        return order[(order.index(n) + 1) % base]
+    low = size // 2
+    halves = (base**low, base ** (size - low))
+
+    def rounds(n: int, sign: int) -> int:
+        a, b = divmod(n, halves[0])  # a has size - low figures, b has low
+        for r in range(10) if sign > 0 else reversed(range(10)):
+            if r % 2:
+                a = (a + sign * _draw(key, "round", str(size), str(r), str(b))) % halves[1]
+            else:
+                b = (b + sign * _draw(key, "round", str(size), str(r), str(a))) % halves[0]
+        return a * halves[0] + b
+
+    return rounds((rounds(n, 1) + 1) % base**size, -1)
+
+
 class Surrogates:
-    """Surrogates of one document: equal originals get equal ones, different originals different ones (collisions move on),
-    and a name's parts are replaced part by part, so that a surname alone still refers to the person named in full."""
+    """Surrogates: equal originals get equal ones in every document, different originals different ones, and a name's parts are
+    replaced part by part, so that a surname alone still refers to the person named in full.
 
-    def __init__(self, key: bytes) -> None:
-        self.key, self.by, self.used = key, {}, set()
+    Figures and initials are permuted, which needs no check. Names' words and mail addresses are drawn; ``turns`` holds the turns
+    of those whose first draws meet another original's, for all documents. Without it collisions move on among what was asked
+    for so far. ``by`` holds the drawn ones by kind and original."""
 
-    def _distinct(self, kind: str, original: str, make) -> str:
+    def __init__(self, key: bytes, turns: dict[tuple[str, str], int] | None = None) -> None:
+        self.key, self.turns, self.by, self.used = key, turns or {}, {}, set()
+
+    def _distinct(self, kind: str, original: str) -> str:
         k = (kind, _plain(original))
         if k not in self.by:
-            turn = 0
-            while True:
-                new = make(turn)
-                if ((kind, new.lower()) not in self.used and _plain(new) != k[1]) or turn > 200:
-                    break
+            turn = self.turns.get(k, 0)
+            while (kind, new := invented(self.key, *k, turn)) in self.used:
                 turn += 1
-            self.used.add((kind, new.lower()))
+            self.used.add((kind, new))
             self.by[k] = new
         return self.by[k]
 
-    def figures(self, kind: str, old: str) -> str:
-        def make(turn: int) -> str:
-            n = _draw(self.key, kind, _plain(old), str(turn))
-            out = []
-            for c in old:
-                n, d = (n // 10 or _draw(self.key, str(n), c, str(len(out)))), n % 10
-                out.append(str(d) if c.isdigit() else c)
-            return "".join(out)
-
-        return self._distinct(kind, old, make)
-
-    def word(self, old: str, place: str) -> str:
-        if len(old) == 2 and old.endswith("."):
-            return chr(65 + _draw(self.key, "i", old) % 26) + "."
-        gender = "f" if _plain(old).endswith("a") else "m"
-        pool = GIVEN[gender] if place == "given" else SURNAMES
-
-        def make(turn: int) -> str:
-            n = _draw(self.key, place, _plain(old)) + turn
-            return pool[n % len(pool)] + ("" if turn < len(pool) else pool[(n // len(pool)) % len(pool)].lower())
-
-        known = next((v for (k, o), v in self.by.items() if o == _plain(old) and k in ("given", "surname")), None)
-        return _cased(known or self._distinct(place, old, make), old)
+    def digits(self, old: str) -> str:
+        """Other figures in the places of the figures, of the same number whatever stands between them."""
+        own = [int(c) for c in old if c.isdigit()]
+        if not own:
+            return old
+        new = iter(str(_permuted(self.key, int("".join(map(str, own))), 10, len(own))).zfill(len(own)))
+        return "".join(next(new) if c.isdigit() else c for c in old)
+
+    def word(self, old: str) -> str:
+        folded = _folded(old)
+        if len(folded) == 2 and folded.endswith("."):
+            c = _plain(folded[0])
+            return chr(65 + _permuted(self.key, ord(c) - 97, 26, 1)) + "." if "a" <= c <= "z" and len(c) == 1 else folded
+        return _cased(self._distinct("word", old), old)
 
     def of(self, kind: str, old: str) -> str:
         if kind in ("phone", "id_number") and any(c.isdigit() for c in old):
-            return self.figures(kind, old)
+            return self.digits(old)
         if kind == "phone":
-            words = old.split(" ")
-            return self._distinct(kind, old, lambda turn: " ".join(_cased((FIGURES[10:] if _plain(words[0]) in FIGURES[10:] or "cero" in _plain(old) else FIGURES[:1] + FIGURES[2:11])[_draw(self.key, str(i), old, str(turn)) % 10], w) for i, w in enumerate(words)))
+            words = list(FIGURE.finditer(old))
+            names = FIGURES_ES if any(_plain(w.group()) in FIGURES_ES for w in words) else FIGURES_EN
+            values = "".join(str(VALUE[_plain(w.group())]) for w in words)
+            new, at = self.digits(values), 0
+            out = []
+            for w, d in zip(words, new):
+                out += [old[at : w.start()], _cased(names[int(d)], w.group())]
+                at = w.end()
+            return "".join([*out, old[at:]])
         if kind == "email":
-            return self._distinct(kind, old, lambda turn: f"user{_draw(self.key, kind, _plain(old), str(turn)) % 10**6}@example.org")
-        units = list(UNIT.finditer(old))
+            return self._distinct(kind, old)
         if kind == "name":
             out, at = [], 0
-            for i, u in enumerate(units):
-                out += [old[at : u.start(2)], self.word(u.group(2), "given" if i == 0 and len(units) > 1 else "surname")]
+            for u in UNIT.finditer(old):
+                out += [old[at : u.start(2)], self.word(u.group(2))]
                 at = u.end(2)
             return "".join([*out, old[at:]])
-        return self._distinct(kind, old, lambda turn: re.sub(r"\d", lambda m: str(_draw(self.key, str(m.start()), old, str(turn)) % 10), re.sub(rf"(?<=\s)(?!{STREET})({CAP})(?=\s{STREET}|,|\s\d)", lambda m: SURNAMES[_draw(self.key, m.group(), str(turn)) % len(SURNAMES)], old)))
+        return re.sub(r"\d+", lambda m: self.digits(m.group()), ADDRESS_NAME.sub(lambda m: self.word(m.group()), old))
 
 
 def _replace(t: str, found: list[tuple[str, int, int]], by) -> str:
@@ -352,26 +397,61 @@ def detect(df: DataFrame, public_names: list[str], key: str = "doc_id", text: st
     return df.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).where(F.col(text).isNotNull()).mapInArrow(run, f"{key} long, kind string, start_char int, end_char int")
 
 
+def originals(texts: DataFrame, public: frozenset[str], key: bytes) -> DataFrame:
+    """(kind, original): the distinct words of names and mail addresses, in their plain form, of one column of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = Surrogates(key)
+            for t in b.column(0).to_pylist():
+                for kind, a, z in spans(t, public) if t else ():
+                    s.of(kind, t[a:z])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in s.by], pa.string()), pa.array([x[1] for x in s.by], pa.string())], names=["kind", "original"])
+
+    return cut(texts.mapInArrow(run, "kind string, original string").distinct())
+
+
+def moved(found: DataFrame, key: bytes, draw=invented) -> dict[tuple[str, str], int]:
+    """The turns of originals whose earlier draws meet another one's; the first in order keeps the form, until no two meet.
+
+    Only those that meet come to the driver: some n * n / 3e9 of n distinct words, 300 of a million."""
+    turns: dict[tuple[str, str], int] = {}
+    while True:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                forms = [draw(key, k, o, turns.get((k, o), 0)) for k, o in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(forms, pa.string())], names=["kind", "original", "form"])
+
+        w = Window.partitionBy("kind", "form").orderBy("original")
+        met = found.mapInArrow(run, "kind string, original string, form string").withColumn("rn", F.row_number().over(w)).where("rn > 1").select("kind", "original").collect()
+        if not met:
+            return turns
+        for r in met:
+            turns[r["kind"], r["original"]] = turns.get((r["kind"], r["original"]), 0) + 1
+
+
 def masked(df: DataFrame, public_names: list[str], secret: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text, surrogate_text, n_found): the text with typed placeholders, and with keyed surrogates in their stead.
 
-    Texts without personal information come out as they are, nulls as null. Surrogates depend on ``secret`` and the original,
-    so equal originals match across documents; the collision check is within a document.
+    Texts without personal information come out as they are, nulls as null. Surrogates depend on ``secret`` and the original, so
+    equal originals match across documents and different ones differ; only where two originals of the corpus draw the same
+    form, one of them moves on. For that a first pass gathers the distinct originals.
     """
     public = frozenset(_folded(n) for n in public_names if n and n[:1].isupper())
     k = secret.encode()
+    rows = df.select(F.col(key).cast("long").alias(key), F.col(text).alias(text))
+    turns = moved(originals(rows.select(text), public, k), k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             plain, fake, n = [], [], []
             for t in b.column(1).to_pylist():
                 found = spans(t, public) if t else []
-                s = Surrogates(k)
-                for kind, a, z in sorted(found, key=lambda x: -(x[2] - x[1])):  # full names first: they fix their parts
-                    s.of(kind, t[a:z])
+                s = Surrogates(k, turns)
                 plain.append(_replace(t, found, lambda kind, old: PLACEHOLDER[kind]) if t else t)
                 fake.append(_replace(t, found, s.of) if t else t)
                 n.append(len(found))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(plain, pa.string()), pa.array(fake, pa.string()), pa.array(n, pa.int32())], names=[key, "text", "surrogate_text", "n_found"])
 
-    return df.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).mapInArrow(run, f"{key} long, text string, surrogate_text string, n_found int")
+    return rows.mapInArrow(run, f"{key} long, text string, surrogate_text string, n_found int")

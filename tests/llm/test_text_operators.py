@@ -1,6 +1,7 @@
 """Operators over text: rules on small cases, brute force, and the awkward inputs each must bear."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -272,3 +273,35 @@ def test_surrogates_stay_distinct():
     assert len({s.of("phone", n) for n in numbers}) == 300 and s.of("phone", numbers[0]) == s.of("phone", numbers[0])
     names = [f"Name{chr(97 + i)}q Surname{chr(97 + i)}x" for i in range(20)]
     assert len({s.of("name", n) for n in names}) == 20
+
+
+def test_surrogates_agree_across_documents(spark):
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    given = [(a + b + c).capitalize() for a in syllables[:6] for b in syllables[:5] for c in ("ra", "ro", "nel", "lia")]
+    # every given name in two texts, among others each time; one text has 120
+    texts = [" ".join(f"Ask Mr. {g} Wex{g.lower()}." for g in names) for names in ([given[i] for i in range(0, 120, 2)], given, given[::-1][:70], given[40:44])]
+    texts += [f"Call 412-555-{i:04d} or write to {g.lower()}{i}@mail.example now." for i, g in enumerate(given * 4)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    by, back = {}, {}
+    for r in private.masked(rows, [], "k").collect():
+        old, new = (re.findall(r"[\w.@-]+", t) for t in (texts[r.doc_id], r.surrogate_text))
+        assert len(old) == len(new)
+        for x, y in zip(old, new):
+            x, y = x.rstrip("."), y.rstrip(".")
+            assert by.setdefault(x, y) == y and back.setdefault(y, x) == x
+    assert all(by[g] != g for g in given) and len(by) > 240 + 2 * 480
+
+
+def test_surrogates_that_meet_move_on(spark):
+    few = lambda key, kind, plain, turn: f"form{(len(plain) + turn) % 40}"
+    found = spark.createDataFrame([("word", "x" * (1 + i % 3) + str(i)) for i in range(30)], "kind string, original string")
+    turns = private.moved(found, b"k", few)
+    assert len({few(b"k", r.kind, r.original, turns.get((r.kind, r.original), 0)) for r in found.collect()}) == 30
+
+
+def test_permuted_figures():
+    for size in (1, 2, 3):
+        got = [private._permuted(b"k", n, 10, size) for n in range(10**size)]
+        assert sorted(got) == list(range(10**size)) and all(n != g for n, g in enumerate(got))
+    s = private.Surrogates(b"k")
+    assert len(s.of("phone", "five five five zero one one four").split()) == 7 and s.of("phone", "cero uno dos").split()[0] in private.FIGURES_ES
