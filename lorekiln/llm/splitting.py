@@ -35,58 +35,77 @@ SENTENCE = (
 _AT_START = rf"(?<=[.?!\"'”»›’)\]\s\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200B}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{FEFF}}])(?!{WS})"
 LINE, SENTENCE = rf"(?:{_AT_START}{LINE})", rf"(?:{_AT_START}{SENTENCE})"
 UNIT = rf"(?:{_AT_START}(?:{LINE}|{SENTENCE}))"
-SENTINEL = "\x01"
+MARK_CHARACTER = "\x01"
+#: Prefix sums run in blocks of so many items, so that a text of n units costs n times this at most, not n squared.
+BLOCK = 256
 
 
-def unit_starts(text: Column) -> Column:
-    """Offsets (code points) where natural units begin, 0 first. Null gives null, an empty text [0].
-
-    Characters U+0001 in the text are harmless: they are masked to U+0002 beforehand, which keeps every offset.
-    """
-    masked = F.regexp_replace(text, SENTINEL, "\x02")
-    lengths = F.transform(F.split(F.regexp_replace(masked, rf"(?<!^){UNIT}", SENTINEL), SENTINEL), lambda p: F.length(p))
-    none = F.array().cast("array<int>")
-    return F.aggregate(lengths, F.struct(F.lit(0).alias("at"), none.alias("starts")), lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")), lambda a: a["starts"])
+def marked(text: Column) -> Column:
+    """The text with a mark before each natural unit but the first. U+0001 of the text itself is masked to U+0002 beforehand, which
+    keeps every offset; only lengths are taken from the marked text, never characters."""
+    return F.regexp_replace(F.regexp_replace(text, MARK_CHARACTER, "\x02"), rf"(?<!^){UNIT}", MARK_CHARACTER)
 
 
 def piece_pattern(limit: int) -> str:
-    """Alternatives by strength, each bounded by ``limit``: all that is left, up to a line's unit, up to a sentence, up to any
-    unit however early, after white space, and at last any character."""
+    """Bounded alternatives over a marked text by strength of what follows: all that is left, up to a line's unit, up to any unit, up
+    to a unit however early, after white space, and at last any character. Marks count, so a piece is shorter by its units."""
     half = max(1, limit // 2)
-    return rf"(?s)(?:.{{1,{limit}}}\z|.{{{half},{limit}}}(?={LINE})|.{{{half},{limit}}}(?={SENTENCE})|.{{1,{limit}}}(?={UNIT})|.{{1,{limit}}}(?<={WS})|.{{1,{limit}}})"
+    mark = MARK_CHARACTER
+    return rf"(?s)(?:.{{1,{limit}}}\z|.{{{half},{limit}}}(?<=\n[ \t]{{0,4}})(?={mark})|.{{{half},{limit}}}(?={mark})|.{{1,{limit}}}(?={mark})|.{{1,{limit}}}(?<={WS})|.{{1,{limit}}})"
+
+
+def before(lengths: Column) -> Column:
+    """For each of an array's numbers the sum of those before it."""
+    none = F.array().cast("array<int>")
+
+    def sums(xs: Column, start: Column) -> Column:
+        step = lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        return F.aggregate(xs, F.struct(start.cast("int").alias("at"), none.alias("out")), step, lambda a: a["out"])
+
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, n: a + n)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, BLOCK))
+    starts = sums(F.transform(blocks, total), F.lit(0))
+    return F.when(F.size(lengths) == 0, none).otherwise(F.flatten(F.zip_with(blocks, starts, sums)))
 
 
 def pieces(text: Column, max_size: int, overlap: int) -> Column:
-    """Pieces of one text as an array of (piece_no, piece_start, piece_end): the extraction's cuts, each piece after the first
-    beginning ``overlap`` code points before its cut (or at the piece before, if that is shorter). Texts within the limit
-    are one piece; empty ones too; null gives null."""
-    body = max_size - overlap
-    lengths = F.transform(F.regexp_extract_all(text, F.lit(piece_pattern(body)), F.lit(0)), lambda p: F.length(p))
-    row = "array<struct<piece_no:int,piece_start:int,piece_end:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("before"), F.array().cast(row).alias("out"))
+    """Pieces of one text as an array of (piece_no, piece_start, piece_end, unit_starts).
+
+    The extraction's cuts, each piece after the first beginning ``overlap`` code points before its cut (or at the piece before, if
+    that is shorter); ``unit_starts`` are the offsets in the text of the natural units that begin at or after the cut, the first
+    one of a text at 0. A text within the limit is one piece; an empty one too; null gives null.
+    """
+    found = F.regexp_extract_all(marked(text), F.lit(piece_pattern(max_size - overlap)), F.lit(0))
+    whole = F.when(F.length(text) <= max_size, F.array(marked(text))).otherwise(found)
+    parts = F.transform(whole, lambda p: F.struct(F.transform(F.split(p, MARK_CHARACTER), lambda u: F.length(u)).alias("units"), F.length(F.replace(p, F.lit(MARK_CHARACTER), F.lit(""))).alias("n")))
+    cuts = F.zip_with(parts, before(F.transform(parts, lambda p: p["n"])), lambda p, at: F.struct(p["units"].alias("units"), p["n"].alias("n"), at.alias("at")))
 
-    def add(a: Column, n: Column) -> Column:
-        piece = F.struct(F.size(a["out"]).alias("piece_no"), (a["at"] - F.least(a["before"], F.lit(overlap))).alias("piece_start"), (a["at"] + n).alias("piece_end"))
-        return F.struct((a["at"] + n).alias("at"), n.alias("before"), F.concat(a["out"], F.array(piece)).alias("out"))
+    def piece(p: Column, i: Column) -> Column:
+        # what stands before a piece's first mark belongs to a unit of the piece before; at the text's start it is a unit
+        starts = F.transform(before(p["units"]), lambda x: x + p["at"])
+        starts = F.when(i == 0, starts).otherwise(F.slice(starts, 2, F.greatest(F.lit(0), F.size(starts) - 1)))
+        back = F.when(i == 0, 0).otherwise(F.least(F.lit(overlap), F.element_at(cuts, F.greatest(F.lit(1), i))["n"]))
+        return F.struct(i.cast("int").alias("piece_no"), (p["at"] - back).cast("int").alias("piece_start"), (p["at"] + p["n"]).cast("int").alias("piece_end"), starts.alias("unit_starts"))
 
-    many = F.aggregate(lengths, start, add, lambda a: a["out"])
-    return F.when(F.length(text) <= max_size, F.array(F.struct(F.lit(0).alias("piece_no"), F.lit(0).alias("piece_start"), F.length(text).alias("piece_end")))).otherwise(many)
+    return F.transform(cuts, piece)
 
 
 def split_chunks(chunks: DataFrame, max_size: int, overlap: int, bucket: int = 256) -> DataFrame:
     """All chunks with oversized ones divided: (chunk_id, file_path, chunk_index, piece_no, start_char, end_char, text).
 
     chunk_index counts the pieces of a file in order (copies of a chunk share its numbers); it is a two-level prefix sum over
-    buckets of old indexes, so that no task orders a whole large file. start_char and end_char are the old start plus the
+    buckets of old indexes, so that no task orders a whole large file. A chunk without an old index comes after those of its file
+    that have one, by id; a chunk without a file_path is a file of its own. start_char and end_char are the old start plus the
     piece's offsets; where the old start is missing or negative they count from the chunk's own text. Null texts give no piece.
     """
     cut = chunks.where("text is not null").select(F.col("id").alias("chunk_id"), "file_path", F.col("chunk_index").alias("old_index"), "start_char", "text", pieces(F.col("text"), max_size, overlap).alias("p"))
-    cut = cut.withColumn("n", F.size("p"))
-    per_index = cut.groupBy("file_path", "old_index").agg(F.max("n").alias("n")).withColumn("b", F.floor(F.col("old_index") / bucket))
-    per_bucket = per_index.groupBy("file_path", "b").agg(F.sum("n").alias("s")).withColumn("base", F.coalesce(F.sum("s").over(Window.partitionBy("file_path").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")
-    within = F.coalesce(F.sum("n").over(Window.partitionBy("file_path", "b").orderBy("old_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = per_index.withColumn("within", within).join(per_bucket, ["file_path", "b"]).select("file_path", "old_index", (F.col("base") + F.col("within")).alias("first_index"))
-    out = cut.join(first, ["file_path", "old_index"]).withColumn("q", F.explode("p"))
+    own = F.coalesce(F.col("chunk_id").cast("long"), F.xxhash64("text"))
+    cut = cut.withColumn("file", F.coalesce("file_path", F.concat(F.lit("\0"), own.cast("string")))).withColumn("place", F.coalesce(F.col("old_index").cast("decimal(38,0)"), F.lit(1 << 62).cast("decimal(38,0)") + own))
+    per_index = cut.groupBy("file", "place").agg(F.max(F.size("p")).alias("n")).withColumn("b", F.floor(F.col("place") / bucket))
+    per_bucket = per_index.groupBy("file", "b").agg(F.sum("n").alias("s")).withColumn("base", F.coalesce(F.sum("s").over(Window.partitionBy("file").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("file", "b").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = per_index.withColumn("within", within).join(per_bucket, ["file", "b"]).select("file", "place", (F.col("base") + F.col("within")).alias("first_index"))
+    out = cut.join(first, ["file", "place"]).withColumn("q", F.explode("p"))
     origin = F.when(F.col("start_char") >= 0, F.col("start_char")).otherwise(0).cast("int")
     return out.select(
         "chunk_id", "file_path", (F.col("first_index") + F.col("q.piece_no")).cast("int").alias("chunk_index"), F.col("q.piece_no").alias("piece_no"), (origin + F.col("q.piece_start")).cast("int").alias("start_char"), (origin + F.col("q.piece_end")).cast("int").alias("end_char"),
