@@ -15,12 +15,14 @@ LANGUAGES = ("en", "es", "fr", "pt")
 HIDDEN = 16
 #: Bounds of the labelled sample: chunks of a language, and windows (of WINDOW bytes) of a language.
 SAMPLE_CHUNKS, SAMPLE_WINDOWS, WINDOW = 400, 3_000, 64
-STEPS, BATCH, RATE = 300, 64, 0.015
+STEPS, BATCH, RATE, BATCH_READ = 300, 64, 0.015, 256
 #: Position log-probabilities lean on each other: a sentence counts them at this rate, and a change of language costs SWITCH.
 RATE_OF_EVIDENCE, SWITCH = 0.12, 6.0
-#: Units of more bytes are read in windows, so that a text without stops doesn't set the length of a batch.
-LONGEST = 320
-UNIT_END = re.compile(r"(?<=[.?!])[\"'”»›’)\]]*\s+|(?<=[.?!][\"'”»›’)\]])\s+|(?<=[.?!][\"'”»›’)\]][\"'”»›’)\]])\s+")
+#: Units of more bytes are read in windows, so that a text without stops doesn't set the length of a batch; windows overlap.
+LONGEST, OVERLAP = 320, 32
+UNIT_END = re.compile(r"[.?!][\"'”»›’)\]]*\s+")
+#: No UTF-8 text has this byte, so it fills up a batch.
+PADDING = 255
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -42,7 +44,7 @@ class Network:
         for d in "fb":
             self.p |= {f"x{d}": u(257, 3 * hidden), f"u{d}": u(hidden, 3 * hidden), f"c{d}": np.zeros(3 * hidden, "f4")}
         self.p |= {"o": u(2 * hidden, n_out), "q": np.zeros(n_out, "f4")}
-        self.h, self.n_out = hidden, n_out
+        self.h, self.n_out, self._kept, self._buffers = hidden, n_out, None, {}
 
     def run(self, x: np.ndarray, d: str, keep: bool = False):
         """States (T, B, H) of one direction for bytes x (T, B), 256 for padding at the end."""
@@ -70,49 +72,61 @@ class Network:
         at = np.where(t < lengths, lengths - 1 - t, t)
         return np.take_along_axis(x, at if x.ndim == 2 else at[:, :, None], 0)
 
-    def log_probabilities(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """(T, B, languages); both directions step together, one stack of two."""
-        t_all, b, n = x.shape[0], x.shape[1], self.h
-        # sigmoids are taken of negated sums and tanh as 2 sigmoid(2 x) - 1, all by one exponential; gates lie apart and every
-        # step writes into the same buffers
-        by_gate = lambda w, k: np.stack([w(d).reshape(-1, 3, n)[:, k] for d in "fb"])
-        wx = lambda d: self.p[f"x{d}"] + self.p[f"c{d}"]
-        u = lambda d: self.p[f"u{d}"]
-        w_gates = -np.stack([by_gate(wx, 0), by_gate(wx, 1)], 1).reshape(-1, n)  # (direction, gate, byte)
-        w_new = -2 * by_gate(wx, 2).reshape(-1, n)
-        u_gates = -np.stack([by_gate(u, 0), by_gate(u, 1)], 1)
-        u_new = -2 * by_gate(u, 2)
-        xs = np.stack([x, self._turned(x, lengths)], 1).astype(np.intp)
-        at_new = xs + np.array([0, 257])[:, None]
-        at_gates = xs[:, :, None] + np.array([[0, 257], [514, 771]])[:, :, None]
-        h, gates, g, m, a = np.zeros((2, b, n), "f4"), np.empty((2, 2, b, n), "f4"), np.empty((2, 2, b, n), "f4"), np.empty((2, b, n), "f4"), np.empty((2, b, n), "f4")
-        hs = np.empty((2, t_all, b, n), "f4")
-        with np.errstate(over="ignore", invalid="ignore"):
-            for t in range(t_all):
-                np.take(w_gates, at_gates[t], axis=0, out=gates, mode="clip")
-                np.matmul(h[:, None], u_gates, out=g)
-                gates += g
-                np.exp(gates, out=gates)
-                gates += 1
-                np.reciprocal(gates, out=gates)
-                np.matmul(h, u_new, out=m)
-                m *= gates[:, 0]
-                np.take(w_new, at_new[t], axis=0, out=a, mode="clip")
-                m += a
-                np.exp(m, out=m)
-                m += 1
-                np.divide(2, m, out=m)
-                m -= 1
-                h -= m
-                h *= gates[:, 1]
-                h += m
-                hs[:, t] = h
-        o = self.p["o"]
-        f, r = ((hs[k].reshape(-1, n) @ o[k * n : (k + 1) * n]).reshape(t_all, b, -1) for k in (0, 1))
-        s = f + self._turned(r, lengths) + self.p["q"]
-        s -= s.max(-1, keepdims=True)
-        s -= np.log(np.exp(s).sum(-1, keepdims=True))
-        return s
+    def _tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Input rows by (gate, direction, byte) and recurrent weights by (gate, direction), scaled so that a gate's sigmoid is
+        (tanh + 1) / 2; padding keeps the state, so the backward direction may begin with it."""
+        if self._kept is None:
+            n = self.h
+            by_gate = lambda w, k: np.stack([w(d).reshape(-1, 3, n)[:, k] for d in "fb"])
+            x = np.stack([c * by_gate(lambda d: self.p[f"x{d}"] + self.p[f"c{d}"], k) for k, c in enumerate((0.5, 0.5, 1.0))])
+            x[:, :, PADDING] = 0
+            x[1, :, PADDING] = 40
+            u = np.stack([0.5 * by_gate(lambda d: self.p[f"u{d}"], k) for k in range(3)])
+            self._kept = x.reshape(-1, n).astype("f4"), u.astype("f4")
+        return self._kept
+
+    def _room(self, name: str, *shape: int) -> np.ndarray:
+        """A buffer that lasts from call to call: fresh memory for every batch costs more than the sums in it."""
+        size = int(np.prod(shape))
+        if name not in self._buffers or self._buffers[name].size < size:
+            self._buffers[name] = np.empty(size, np.intp if name == "at" else "f4")
+        return self._buffers[name][:size].reshape(shape)
+
+    def log_probabilities(self, x: np.ndarray) -> np.ndarray:
+        """(languages, T, B) for bytes x (T, B), valid until the next call; both directions step together, gates lie apart, every
+        step writes into the same buffers."""
+        t_all, b, n, k = x.shape[0], x.shape[1], self.h, self.n_out
+        rows, u = self._tables()
+        at, hs = self._room("at", t_all, 3, 2, b), self._room("hs", t_all, 2, b, n)
+        offset = 257 * np.arange(6).reshape(3, 2, 1)
+        np.add(x[:, None], offset[:, 0], out=at[:, :, 0])
+        np.add(x[::-1, None], offset[:, 1], out=at[:, :, 1])
+        h = np.zeros((2, b, n), "f4")
+        a, g = self._room("a", 3, 2, b, n), self._room("g", 3, 2, b, n)
+        gates, m, g_gates, g_new = a[:2], a[2], g[:2], g[2]
+        for t in range(t_all):
+            np.take(rows, at[t], axis=0, out=a, mode="clip")
+            np.matmul(h, u, out=g)
+            gates += g_gates
+            np.tanh(gates, out=gates)
+            gates += 1
+            g_new *= gates[0]
+            m += g_new
+            np.tanh(m, out=m)
+            h = np.subtract(h, m, out=hs[t])
+            h *= gates[1]
+            h *= 0.5
+            h += m
+        o = self.p["o"].T
+        s, back = self._room("s", t_all, k, b), self._room("back", t_all, k, b)
+        np.matmul(o[:, :n], hs[:, 0].swapaxes(1, 2), out=s)
+        np.matmul(o[:, n:], hs[:, 1].swapaxes(1, 2), out=back)
+        s += back[::-1]
+        s += self.p["q"][:, None]
+        s -= s.max(1, keepdims=True)
+        np.exp(s, out=back)
+        s -= np.log(back.sum(1, keepdims=True))
+        return s.swapaxes(0, 1)
 
     def gradients(self, x: np.ndarray, lengths: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean cross entropy over all positions, by backpropagation through time."""
@@ -161,11 +175,11 @@ class Network:
 
 
 def padded(seqs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes (T, B), filled up at the end, and the lengths."""
     lengths = np.array([len(s) for s in seqs])
-    x = np.full((max(1, lengths.max(initial=1)), len(seqs)), 256, dtype=np.int16)
-    for j, s in enumerate(seqs):
-        x[: len(s), j] = np.frombuffer(s, np.uint8)
-    return x, lengths
+    most = max(1, lengths.max(initial=1))
+    joined = b"".join([s.ljust(most, b"\xff") for s in seqs])
+    return np.frombuffer(joined, np.uint8).reshape(len(seqs), most).T.astype(np.int16), lengths
 
 
 def train(texts: list[tuple[str, str]], languages: tuple[str, ...] = LANGUAGES, steps: int = STEPS, seed: int = 3) -> Network:
@@ -194,6 +208,7 @@ def train(texts: list[tuple[str, str]], languages: tuple[str, ...] = LANGUAGES,
             g = g * min(1.0, 1.0 / (norm + 1e-9))
             first[k] += 0.1 * (g - first[k])
             second[k] += 0.01 * (g * g - second[k])
+            net._kept = None
             net.p[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype("f4")
     return net
 
@@ -202,40 +217,46 @@ def units(text: str) -> list[tuple[int, str]]:
     """(offset, unit): what lies between sentence ends and between lines, without blank ones."""
     out, at = [], 0
     for m in UNIT_END.finditer(text):
-        if text[at : m.start()].strip():
-            out.append((at, text[at : m.start()]))
+        out.append((at, text[at : m.start() + 1]))
         at = m.end()
     if text[at:].strip():
         out.append((at, text[at:]))
     return out
 
 
-def _windows(b: bytes) -> list[bytes]:
-    return [b[i : i + LONGEST] for i in range(0, len(b), LONGEST)]
+def _windows(b: bytes) -> list[tuple[bytes, int, int]]:
+    """(window, from, to): what the network reads and which of its positions count; between windows it reads OVERLAP more bytes on
+    either side, so that every position is labelled with what stands around it."""
+    if len(b) <= LONGEST:
+        return [(b, 0, len(b))]
+    return [(b[max(0, i - OVERLAP) : i + LONGEST + OVERLAP], min(i, OVERLAP), min(i, OVERLAP) + min(LONGEST, len(b) - i)) for i in range(0, len(b), LONGEST)]
 
 
-def label_units(net: Network, texts: list[str | None]) -> list[list[tuple[int, int, int, np.ndarray]]]:
-    """For each text (offset, end, letters, summed position log-probabilities) of its units."""
-    where, seqs, out = [], [], []
-    for i, t in enumerate(texts):
+def label_units(net: Network, texts: list[str | None]) -> tuple[list[list[tuple[int, int]]], np.ndarray]:
+    """For each text the (offset, end) of its units with letters; and the summed position log-probabilities of all units in order."""
+    unit_of, windows, seqs, out, n = [], [], [], [], 0
+    for t in texts:
         rows = []
         for at, u in units(t) if t else ():
-            letters = sum(map(str.isalpha, u))
-            rows.append([at, at + len(u), letters, np.zeros(net.n_out)])
-            if letters:
-                for w in _windows((u if u.isascii() else unicodedata.normalize("NFC", u)).encode()):
-                    where.append(rows[-1])
+            if any(map(str.isalpha, u)):
+                rows.append((at, at + len(u)))
+                for w, a, b in _windows((u if u.isascii() else unicodedata.normalize("NFC", u)).encode()):
+                    unit_of.append(n)
+                    windows.append((a, b))
                     seqs.append(w)
+                n += 1
         out.append(rows)
-    order = sorted(range(len(seqs)), key=lambda k: len(seqs[k]))
-    for lo in range(0, len(order), 512):
-        part = order[lo : lo + 512]
-        x, lengths = padded([seqs[k] for k in part])
-        lp = net.log_probabilities(x, lengths)
-        lp *= (np.arange(x.shape[0])[:, None] < lengths)[:, :, None]
-        for k, s in zip(part, lp.sum(0)):
-            where[k][3] += s
-    return out
+    scores = np.zeros((n, net.n_out))
+    order = np.argsort([len(s) for s in seqs], kind="stable")
+    unit_of, counted = np.array(unit_of, int), np.array(windows, int).reshape(-1, 2)
+    for lo in range(0, len(order), BATCH_READ):
+        part = order[lo : lo + BATCH_READ]
+        x, _ = padded([seqs[k] for k in part])
+        t = np.arange(x.shape[0])[:, None]
+        lp = net.log_probabilities(x)
+        lp *= (t >= counted[part, 0]) & (t < counted[part, 1])
+        np.add.at(scores, unit_of[part], lp.sum(1).T)
+    return out, scores
 
 
 def best_path(scores: np.ndarray) -> np.ndarray:
@@ -255,18 +276,19 @@ def best_path(scores: np.ndarray) -> np.ndarray:
 
 def segments_of(net: Network, texts: list[str | None]) -> list[list[tuple[int, int, int, float]]]:
     """For each text its segments (language, start, end, confidence); texts without letters have none."""
-    out = []
-    for rows in label_units(net, texts):
-        rows = [r for r in rows if r[2]]
-        if not rows:
-            out.append([])
-            continue
-        scores = RATE_OF_EVIDENCE * np.array([r[3] for r in rows])
-        path = best_path(scores)
-        cuts = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), len(rows)]
+    placed, scores = label_units(net, texts)
+    scores *= RATE_OF_EVIDENCE
+    best, out, at = scores.argmax(1), [], 0
+    for rows in placed:
+        n = len(rows)
+        own, path = scores[at : at + n], best[at : at + n]
+        at += n
+        if n > 1 and (path != path[0]).any():  # units that agree need no path
+            path = best_path(own)
+        cuts = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), n] if n else [0]
         segs = []
         for a, b in zip(cuts, cuts[1:]):
-            total = scores[a:b].sum(0)
+            total = own[a:b].sum(0)
             p = np.exp(total - total.max())
             segs.append((int(path[a]), rows[a][0], rows[b - 1][1], float(p[path[a]] / p.sum())))
         out.append(segs)

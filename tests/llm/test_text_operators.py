@@ -30,8 +30,17 @@ def test_unit_starts(spark):
         starts.append(at)
         at += len(u)
     text = "".join(UNITS)
-    got = spark.createDataFrame([(text,)], "t string").select(splitting.unit_starts(F.col("t")).alias("s")).first().s
-    assert got == starts
+    for most, overlap in ((1000, 100), (60, 10), (25, 5)):  # whatever the pieces, the same units are met
+        got = spark.createDataFrame([(text,)], "t string").select(splitting.pieces(F.col("t"), most, overlap).alias("p")).first().p
+        assert [s for p in got for s in p.unit_starts] == starts
+
+
+def test_prefix_sums(spark):
+    rng = random.Random(3)
+    for n in (0, 1, 255, 256, 257, 1500):
+        xs = [rng.randint(0, 9) for _ in range(n)]
+        got = spark.createDataFrame([(xs,)], "x array<int>").select(splitting.before(F.col("x")).alias("s")).first().s
+        assert got == [sum(xs[:i]) for i in range(n)]
 
 
 def test_pieces_cover_the_text(spark):
@@ -54,7 +63,9 @@ def test_pieces_cover_the_text(spark):
 
 def test_splitting_bears_awkward_rows(spark):
     got = splitting.split_chunks(chunks(spark, AWKWARD), 1500, 120).collect()
-    assert max(len(r.text) for r in got) <= 1500 and {r.chunk_id for r in got} == {2, 4, 5}
+    assert max(len(r.text) for r in got) <= 1500 and {r.chunk_id for r in got} == {2, 3, 4, 5}
+    mixed = [(i, *f, "One. Two.", 0, "en") for i, f in enumerate([("a", None), ("a", 1), ("a", 0), (None, 3), (None, None), ("a", None)])]
+    assert [r.chunk_index for r in splitting.split_chunks(chunks(spark, mixed), 1500, 120).orderBy("chunk_id").collect()] == [2, 1, 0, 0, 0, 3]
     assert splitting.split_chunks(chunks(spark, []), 1500, 120).count() == 0
 
 
@@ -98,8 +109,9 @@ def test_network_gradient():
     grads = net.gradients(x, n, label)
 
     def loss():
-        lp = net.log_probabilities(x, n)
-        return -sum(lp[: n[j], j, label[j]].sum() for j in range(3)) / n.sum()
+        net._kept = None
+        lp = net.log_probabilities(x)
+        return -sum(lp[label[j], : n[j], j].sum() for j in range(3)) / n.sum()
 
     for k, g in grads.items():
         i = np.unravel_index(np.abs(g).argmax(), g.shape)
