@@ -23,9 +23,23 @@ TWO_GLYPHS = (("m", "rn"), ("n", "ri"), ("d", "ei"), ("u", "ii"), ("h", "ii"), (
 ROMAN = r"(?:[ivxlc]{1,8}|[IVXLC]{1,8})"
 PAGE_WORDS = ("p", "pp", "pg", "pag", "page", "pagina", "folio", "fol")
 TERMINAL = r"[.?!…:;,][\"'”»›’)\]]*$"
+DIVIDED = rf"\p{{L}}\p{{M}}*[{SPECKS}]?[{HYPHENS}]$"
 CHAPTER = r"(?iu)^\s*(?:chapter|cap[ií]tulo|chapitre|part|parte|book|libro|livre|section|secci[oó]n)\s+(?:[ivxlc]+|\d+)\s*$"
-#: A file counts as scanned where at least this part of its lines break off within a sentence.
+#: A file counts as scanned where at least this part of its lines break off within a sentence, and a page shows besides: a word
+#: divided at a line's end, a line that holds only a number, a number apart from a title, a title amid a sentence, or a mark inside
+#: a word. Neither sign depends on the file's size.
 BROKEN_LINES = 0.3
+SIGN = (
+    rf"\p{{Ll}}[{HYPHENS}][ \t]*\n[ \t]*\p{{Ll}}|\p{{L}}[{SPECKS}{THIN}]\p{{L}}|[\p{{Ll}}\p{{N}},;][ \t]*\n\s*\p{{Lu}}[^.?!;:\n]{{2,80}}\n\s*\p{{Ll}}"
+    r"|(?m)^[^\p{L}\p{N}\n]*(?:[Pp][.\p{L}]{0,5} ?)?[0-9lIOoSB]{0,2}[0-9][0-9lIOoSB]{0,2}[^\p{L}\p{N}\n]*$|^[ \t]*[0-9]{1,4}[ \t]{2,}\p{Lu}|\p{L}[ \t]{2,}[0-9]{1,4}[ \t]*$"
+)
+#: A title's first strokes by which its cut-off forms meet.
+KEY_LENGTH = 14
+#: The most frequent forms of all, which are certainly no misreadings: tokens of these are left out before a shuffle. It is a
+#: bound on what the driver holds, not on the result.
+COMMON = 2_000
+#: Tables of so many rows at most are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def skeleton(c: Column) -> Column:
@@ -35,8 +49,16 @@ def skeleton(c: Column) -> Column:
     return reduce(lambda a, p: F.replace(a, F.lit(p[0]), F.lit(p[1])), TWO_GLYPHS, s)
 
 
+WORD = r"[^\s.,?!;:()«»“”\"¿¡…\[\]—]+"
+
+
 def _words(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(r"[^\s.,?!;:()«»“”\"¿¡…\[\]—]+"), F.lit(0))
+    return F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A checkpointed table for a join: broadcast where its measured size allows it."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def _form(w: Column) -> Column:
@@ -46,24 +68,26 @@ def _form(w: Column) -> Column:
 
 
 def scanned_chunks(chunks: DataFrame) -> DataFrame:
-    """All chunks (id, file_path, text) with ``scanned``, a property of the file: enough lines break off within a sentence."""
+    """The chunks (id, file, chunk_index, text) of scanned files; see BROKEN_LINES. A chunk without a file_path is a file of its own."""
     broken = rf"[\p{{L}}\p{{N}},;:)][{HYPHENS}]?[ \t]*\n[ \t]*[\p{{Ll}}]"
-    per_file = chunks.groupBy("file_path").agg(F.sum(F.regexp_count("text", F.lit(broken))).alias("broken"), F.sum(F.regexp_count("text", F.lit(r"(?m)^.*\S.*$"))).alias("lines"))
-    scanned = per_file.where((F.col("broken") >= 3) & (F.col("broken") >= BROKEN_LINES * F.col("lines"))).select("file_path", F.lit(True).alias("scanned"))
-    return chunks.join(scanned, "file_path", "left").withColumn("scanned", F.coalesce("scanned", F.lit(False)))
-
-
-def lines_of(scanned: DataFrame) -> DataFrame:
-    """Lines of scanned chunks with what is on them: (id, file_path, line_no, line, kind, is_header, is_number, next_word, ...).
-
-    kind is blank, noise (header or page number) or body. Windows run within a chunk.
-    """
-    rows = scanned.select("id", "file_path", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("l", F.regexp_replace("line", r"^[\s\x{A0}\x{2000}-\x{200B}]+|[\s\x{A0}\x{2000}-\x{200B}]+$", ""))
+    chunks = chunks.select("id", F.coalesce("file_path", F.concat(F.lit("\0"), F.col("id").cast("string"))).alias("file"), "chunk_index", "text").where("text is not null")
+    lined = chunks.withColumn("lined", F.instr("text", "\n") > 0)
+    count = lambda p: F.sum(F.when(F.col("lined"), F.regexp_count("text", F.lit(p))).otherwise(0))
+    lines = F.sum(F.when(F.col("lined"), F.regexp_count("text", F.lit(r"(?m)^.*\S.*$"))).otherwise(F.when(F.col("text").rlike(r"\S"), 1).otherwise(0)))
+    per_file = lined.groupBy("file").agg(count(broken).alias("broken"), count(SIGN).alias("signs"), lines.alias("lines"))
+    scanned = cut(per_file.where((F.col("broken") > 0) & (F.col("signs") > 0) & (F.col("broken") >= BROKEN_LINES * F.col("lines"))).select("file"))
+    return chunks.join(_small(scanned), "file", "left_semi")
+
+
+def _features(scanned: DataFrame) -> DataFrame:
+    """Lines of scanned chunks with what each shows by itself."""
+    rows = scanned.select("id", "file", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("l", F.regexp_replace("line", r"^[\s\x{A0}\x{2000}-\x{200B}]+|[\s\x{A0}\x{2000}-\x{200B}]+$", ""))
     digits = r"[0-9lIOoSB|]{0,3}[0-9][0-9lIOoSB|]{0,3}"
     number = rf"(?:{digits}|{ROMAN})"
     edge = r"[^\p{L}\p{N}.,;:?!]*"
-    bare = F.col("l").rlike(rf"^{edge}{number}{edge}$")
-    worded = F.col("l").rlike(rf"^{edge}[\p{{L}}@0-9]{{1,7}}[.]?\s*{digits}{edge}$") & skeleton(F.regexp_extract("l", rf"^{edge}([\p{{L}}@0-9]{{1,7}}?)[.]?\s*{digits}{edge}$", 1)).isin([_skeleton_of(w) for w in PAGE_WORDS])
+    few = F.length("l") <= 40
+    bare = few & F.col("l").rlike(rf"^{edge}{number}{edge}$")
+    worded = few & F.col("l").rlike(rf"^{edge}[\p{{L}}@0-9]{{1,7}}[.]?\s*{digits}{edge}$") & skeleton(F.regexp_extract("l", rf"^{edge}([\p{{L}}@0-9]{{1,7}}?)[.]?\s*{digits}{edge}$", 1)).isin([_skeleton_of(w) for w in PAGE_WORDS])
     rows = rows.withColumn("blank", F.col("l") == "").withColumn("only_number", bare | worded)
     gap = r"(?:[ \t\x{A0}]{2,}|[ \t]*[|·•][ \t]*)"
     mark = rf"(?:[\[(·|–-][ ]?)?(?:p\.|pp\.|p[aá]g\.|[Pp]age|P[aá]gina)?[ ]?{number}(?:[ ]?[\])·|–-])?"
@@ -72,43 +96,64 @@ def lines_of(scanned: DataFrame) -> DataFrame:
     rows = rows.withColumn("has_number", has_number)
     title = F.when(F.col("has_number"), F.regexp_replace(F.regexp_replace("l", tail, ""), lead, "")).otherwise(F.col("l"))
     spaced = title.rlike(r"^\S(?: {1,2}\S)+(?: {2,}\S(?: {1,2}\S)*)*$") & title.rlike(r"^\S \S \S|^\S\s{2,}\S \S")
-    rows = rows.withColumn("spaced", spaced & ~F.col("only_number")).withColumn("title", F.when(F.col("spaced"), F.regexp_replace(F.regexp_replace(F.regexp_replace(title, r" {2,}", "\x01"), " ", ""), "\x01", " ")).otherwise(title))
-    # a header's key: figures masked, glyphs as strokes
-    rows = rows.withColumn("key", skeleton(F.regexp_replace(F.regexp_replace("title", r"\d", "9"), r"[^\p{L}\p{N}]+", "")))
-    rows = cut(rows)  # else the expressions above are repeated in each that follows
+    return rows.withColumn("spaced", spaced & ~F.col("only_number")).withColumn("title", F.when(F.col("spaced"), F.regexp_replace(F.regexp_replace(F.regexp_replace(title, r" {2,}", "\x01"), " ", ""), "\x01", " ")).otherwise(title))
+
+
+def lines_of(scanned: DataFrame) -> DataFrame:
+    """Lines of scanned chunks with what is on them: (id, line_no, l, blank, is_header, is_number, body, divided, continues,
+    next_body, prev_body).
+
+    A running header has the shape of a title, and the page shows that it is none of the author's: its letters, figures masked and
+    glyphs as strokes, come again in the file or run through other scanned files, or a page number is on the line or beside it, or
+    it stands between two parts of one sentence. A title that occurs once between finished sentences is the author's. Windows run within a chunk; what its first and
+    last lines continue comes from the neighbouring chunks of the file, by their index.
+    """
+    rows = cut(_features(scanned))  # else the expressions are repeated in each that follows
     letters = F.regexp_replace("title", r"[^\p{L}]", "")
     upper = F.length(F.regexp_replace(letters, r"\P{Lu}", ""))
-    shape = (~F.col("blank")) & (~F.col("only_number")) & (~F.col("title").rlike(TERMINAL)) & F.col("title").rlike(r"^[\p{Lu}0-9@]|^\S?\p{Lu}") & (F.length(letters) >= 3) & (~F.col("title").rlike(CHAPTER)) & (~F.col("title").rlike(rf"[{HYPHENS}]$"))
+    shape = (~F.col("blank")) & (~F.col("only_number")) & (F.length("l") <= 120) & (~F.col("title").rlike(TERMINAL)) & F.col("title").rlike(r"^[\p{Lu}0-9@]|^\S?\p{Lu}") & (F.length(letters) >= 3) & (~F.col("title").rlike(CHAPTER)) & (~F.col("title").rlike(rf"[{HYPHENS}]$"))
     capitals = (F.length(letters) >= 5) & (upper >= 0.8 * F.length(letters))
     titled = F.col("title").rlike(r"^(?:[\p{Lu}][^\s]*\s+){2,}[\p{Lu}][^\s]*$")
-    by_chunk = Window.partitionBy("id").orderBy("line_no")
-    after, before = by_chunk.rowsBetween(1, Window.unboundedFollowing), by_chunk.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("shape", shape).withColumn("strong", F.col("shape") & (F.col("spaced") | F.col("has_number") | capitals | titled | F.col("line").rlike(r"^[ \t]{4,}\S")))
+    down, up = Window.partitionBy("id").orderBy("line_no"), Window.partitionBy("id").orderBy(F.desc("line_no"))
+    past = (Window.unboundedPreceding, -1)
     plain = F.when(~F.col("blank") & ~F.col("only_number") & ~F.col("strong"), F.col("l"))
-    # sentence-case titles: short for the page, between two parts of one sentence or beside a page number, and more than once in the file
-    width = rows.where("not blank and not only_number and not strong").groupBy("file_path").agg(F.percentile_approx(F.length("l"), 0.9).alias("width"))
-    rows = rows.join(width, "file_path", "left")
-    rows = rows.withColumn("next_plain", F.first(plain, ignorenulls=True).over(after)).withColumn("prev_plain", F.last(plain, ignorenulls=True).over(before))
-    beside = F.coalesce(F.lag("only_number").over(by_chunk), F.lit(False)) | F.coalesce(F.lead("only_number").over(by_chunk), F.lit(False))
+    rows = rows.withColumn("prev_plain", F.last(plain, ignorenulls=True).over(down.rowsBetween(*past))).withColumn("number_before", F.lag("only_number").over(down)).withColumn("blank_before", F.lag("blank").over(down))
+    rows = rows.withColumn("next_plain", F.last(plain, ignorenulls=True).over(up.rowsBetween(*past))).withColumn("number_after", F.lag("only_number").over(up)).withColumn("blank_after", F.lag("blank").over(up))
     within = F.col("prev_plain").isNotNull() & F.col("next_plain").isNotNull() & ~F.coalesce(F.col("prev_plain").rlike(r"[.?!…][\"'”»›’)\]]*$"), F.lit(True)) & F.col("next_plain").rlike(r"^[\p{Ll}0-9]")
-    first_word = F.length(F.regexp_extract(F.coalesce("next_plain", F.lit("")), r"^\S*", 0))
-    short = F.length("l") + 1 + first_word <= F.col("width") - 1
-    rows = rows.withColumn("weak", F.col("shape") & ~F.col("strong") & short & (F.length("title") <= 60))
-    rows = cut(rows.withColumn("beside", beside).withColumn("within", within))
-    beside, within = F.col("beside"), F.col("within")
-    rows = rows.withColumn("evidence", F.when(F.col("strong"), 1).when(F.col("weak") & (beside | within), 1).otherwise(0))
-    known = rows.where("evidence = 1").groupBy("file_path", "key").agg(F.count("*").alias("seen"))
-    rows = rows.join(known, ["file_path", "key"], "left")
-    alone_line = F.coalesce(F.lag("blank").over(by_chunk), F.lit(True)) | F.coalesce(F.lead("blank").over(by_chunk), F.lit(True))
-    header = F.col("strong") | (F.col("weak") & F.col("seen").isNotNull() & ((F.col("evidence") == 1) | alone_line)) | (F.col("shape") & (F.col("seen") >= 2) & F.col("weak"))
-    rows = rows.withColumn("is_header", F.coalesce(header, F.lit(False))).withColumn("is_number", F.col("only_number") | (F.col("has_number") & F.col("is_header")))
-    rows = rows.withColumn("body", ~F.col("blank") & ~F.col("is_header") & ~F.col("is_number"))
+    none = F.lit(False)
+    rows = rows.withColumn("beside", F.coalesce("number_before", none) | F.coalesce("number_after", none)).withColumn("within", within).withColumn("alone", F.coalesce("blank_before", F.lit(True)) | F.coalesce("blank_after", F.lit(True)))
+    rows = rows.withColumn("first_word", F.length(F.regexp_extract(F.coalesce("next_plain", F.lit("")), r"^\S*", 0)))
+    rows = cut(rows.select("id", "file", "line_no", "l", "blank", "only_number", "has_number", "title", "shape", "strong", "beside", "within", "alone", "first_word"))
+    # the file's width counts its plain lines; titles are few, so only they meet it
+    width = rows.where("not blank and not only_number and not strong").groupBy("file").agg(F.percentile_approx(F.length("l"), 0.9).alias("width"))
+    titles = rows.where("shape").withColumn("key", F.substring(skeleton(F.regexp_replace(F.regexp_replace("title", r"\d", "9"), r"[^\p{L}\p{N}]+", "")), 1, KEY_LENGTH)).join(width, "file", "left")
+    weak = ~F.col("strong") & F.coalesce(F.length("l") + 1 + F.col("first_word") <= F.col("width") - 1, F.lit(False)) & (F.length("title") <= 60)
+    titles = titles.withColumn("weak", weak).where("strong or weak").withColumn("shown", (F.col("beside") | F.col("within") | F.col("has_number")).cast("int"))
+    seen = titles.groupBy("file", "key").agg(F.count("*").alias("n"), F.sum("shown").alias("n_shown"), F.count_if("strong").alias("n_strong"))
+    titles = cut(titles.join(seen, ["file", "key"]))
+    header = (F.col("shown") == 1) | (F.col("strong") & (F.col("n") >= 2)) | (F.col("weak") & ((F.col("n_shown") + F.col("n_strong") >= 2) | ((F.col("n_shown") + F.col("n_strong") >= 1) & F.col("alone"))))
+    titles = titles.withColumn("header", F.coalesce(header, none))
+    elsewhere = titles.where("header and n_shown > 0").groupBy("key").agg(F.countDistinct("file").alias("files")).where("files > 1").select("key")
+    again = titles.where("strong and not header").join(elsewhere, "key", "left_semi")
+    headers = titles.where("header").select("id", "line_no").unionByName(again.select("id", "line_no")).groupBy("id").agg(F.collect_set("line_no").alias("headers"))  # the lines of a chunk
+    rows = rows.join(headers, "id", "left").withColumn("is_header", F.coalesce(F.array_contains("headers", F.col("line_no")), none))
+    rows = rows.withColumn("is_number", F.col("only_number") | (F.col("has_number") & F.col("is_header"))).withColumn("body", ~F.col("blank") & ~F.col("is_header") & ~F.col("is_number"))
     b = F.when(F.col("body"), F.col("l"))
-    rows = rows.withColumn("next_body", F.first(b, ignorenulls=True).over(after)).withColumn("prev_body", F.last(b, ignorenulls=True).over(before))
-    divided = rf"\p{{L}}\p{{M}}*[{SPECKS}]?[{HYPHENS}]$"
-    rows = rows.withColumn("divided", F.col("body") & F.col("l").rlike(divided) & F.coalesce(F.col("next_body").rlike(r"^[^\s\p{N}]*\p{L}"), F.lit(True)))
-    rows = rows.withColumn("continues", F.coalesce(F.col("body") & F.col("prev_body").rlike(divided), F.lit(False)))
-    return rows.select("id", "file_path", "line_no", "line", "l", "blank", "is_header", "is_number", "body", "divided", "continues", "next_body", "prev_body")
+    rows = rows.withColumn("prev_body", F.last(b, ignorenulls=True).over(down.rowsBetween(*past))).withColumn("next_body", F.last(b, ignorenulls=True).over(up.rowsBetween(*past)))
+    rows = cut(rows.select("id", "line_no", "l", "blank", "is_header", "is_number", "body", "prev_body", "next_body"))
+    # what a chunk's last line goes on with stands in the file's next chunk, unless the chunks overlap
+    ends = rows.where("body and (prev_body is null or next_body is null)").groupBy("id").agg(F.max(F.when(F.col("prev_body").isNull(), F.col("l"))).alias("first"), F.max(F.when(F.col("next_body").isNull(), F.col("l"))).alias("last"))
+    ends = ends.join(scanned.select("id", "file", "chunk_index").where("chunk_index is not null"), "id")
+    one = ends.groupBy("file", "chunk_index").agg(F.min_by(F.struct("first", "last"), "id").alias("e"))
+    goes_on = F.col("a.e.last").rlike(DIVIDED) & F.col("b.e.first").rlike(r"^\p{Ll}")
+    across = one.alias("a").join(one.withColumn("chunk_index", F.col("chunk_index") - 1).alias("b"), ["file", "chunk_index"]).where(goes_on).select("file", "chunk_index", F.col("a.e.last").alias("last"), F.col("b.e.first").alias("first"))
+    into = ends.join(across, ["file", "chunk_index", "last"]).select("id", across["first"].alias("after_chunk"))
+    onto = ends.join(across.withColumn("chunk_index", F.col("chunk_index") + 1), ["file", "chunk_index", "first"]).select("id", across["last"].alias("before_chunk"))
+    borders = into.join(onto, "id", "full").groupBy("id").agg(F.max("after_chunk").alias("after_chunk"), F.max("before_chunk").alias("before_chunk"))
+    rows = rows.join(borders, "id", "left").withColumn("next_body", F.when(F.col("body"), F.coalesce("next_body", "after_chunk")).otherwise(F.col("next_body"))).withColumn("prev_body", F.when(F.col("body"), F.coalesce("prev_body", "before_chunk")).otherwise(F.col("prev_body")))
+    rows = rows.withColumn("divided", F.col("body") & F.col("l").rlike(DIVIDED) & F.coalesce(F.col("next_body").rlike(r"^[^\s\p{N}]*\p{L}"), F.lit(True)))
+    return rows.withColumn("continues", F.coalesce(F.col("body") & F.col("prev_body").rlike(DIVIDED), none)).drop("after_chunk", "before_chunk")
 
 
 def _skeleton_of(w: str) -> str:
@@ -118,31 +163,42 @@ def _skeleton_of(w: str) -> str:
 
 
 def tokens_of(lines: DataFrame) -> DataFrame:
-    """Words of body lines where they begin: (id, line_no, pos, word, joined, form). A divided word is given whole: ``word`` is
-    its part on the line, ``joined`` both parts without the hyphen, ``hyphened`` with it."""
-    words = _words(F.regexp_replace("l", rf"[{HYPHENS}]$", ""))
-    body = lines.where("body").select("id", "file_path", "line_no", "divided", "continues", "next_body", F.posexplode(words).alias("pos", "word"), F.size(words).alias("n"))
-    rest = F.regexp_extract("next_body", r"^[^\s.,?!;:()«»“”\"¿¡…\[\]—]+", 0)
-    last = F.col("divided") & (F.col("pos") == F.col("n") - 1)
+    """Words of body lines where they begin: (id, line_no, pos, word, whole, hyphened, form, follows, precedes). A divided word is
+    given whole: ``word`` is its part on the line, ``whole`` both parts without the hyphen, ``hyphened`` with it."""
+    w = lines.where("body").withColumn("w", _words(F.regexp_replace("l", rf"[{HYPHENS}]$", ""))).withColumn("before", F.element_at(_words(F.col("prev_body")), -1))
+    at = lambda i: F.get("w", F.col("pos") + i)
+    body = w.select("id", "line_no", "divided", "continues", "next_body", "before", "w", F.posexplode("w").alias("pos", "word"))
+    rest = F.regexp_extract("next_body", rf"^{WORD}", 0)
+    last = F.col("divided") & (F.col("pos") == F.size("w") - 1)
     body = body.where(~(F.col("continues") & (F.col("pos") == 0))).where(~(last & F.col("next_body").isNull()))
     whole = F.when(last, F.concat("word", rest)).otherwise(F.col("word"))
-    body = body.withColumn("whole", whole).withColumn("hyphened", F.when(last, F.concat("word", F.lit("-"), rest)))
-    follows = F.lead("word").over(Window.partitionBy("id", "line_no").orderBy("pos"))
-    precedes = F.lag("whole").over(Window.partitionBy("id").orderBy("line_no", "pos"))
-    return body.where(F.col("whole").rlike(r"\p{L}")).withColumn("form", _form(F.col("whole"))).withColumn("hyphened_form", F.lower("hyphened")).withColumn("follows", follows).withColumn("precedes", F.lower(precedes))
+    body = body.select("id", "line_no", "pos", "word", whole.alias("whole"), F.when(last, F.concat("word", F.lit("-"), rest)).alias("hyphened"), at(1).alias("follows"), F.lower(F.when(F.col("pos") == 0, F.col("before")).otherwise(at(-1))).alias("precedes"))
+    return body.where(F.col("whole").rlike(r"\p{L}")).withColumn("form", _form(F.col("whole")))
 
 
-def misread_forms(tokens: DataFrame, clean: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(form, better, k) and the counts of all forms: forms of scanned files that a far more frequent form of the same strokes explains.
+def _counted(texts: DataFrame, name: str) -> DataFrame:
+    """(form, name): words of texts, counted as they stand first, so that only different ones are shuffled and examined."""
+    n = texts.select(F.explode(_words(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("w").rlike(r"\p{L}"))
+    return n.groupBy(_form(F.col("w")).alias("form")).agg(F.sum("n").alias(name))
 
-    Counts are over all chunks: ``clean`` are those of files that weren't scanned. A form that unscanned files know in
-    proportion is a word of its own; a form with specks or with capitals inside needs only a known reading.
-    """
-    n_clean = clean.select(F.explode(_words(F.col("text"))).alias("w")).where(F.col("w").rlike(r"\p{L}")).select(_form(F.col("w")).alias("form")).groupBy("form").agg(F.count("*").alias("n_clean"))
+
+def word_counts(chunks: DataFrame, scanned: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(form, n_clean, n_scan, k, total) over all chunks: how often files that weren't scanned have a form, how often scanned ones
+    do, and its strokes. Unscanned counts are those of all texts less those of the scanned ones."""
+    every, raw = _counted(chunks.where("text is not null"), "n_all"), _counted(scanned, "n_raw")
     n_scan = tokens.where("hyphened is null").groupBy("form").agg(F.count("*").alias("n_scan"))
     divided = tokens.where("hyphened is not null").select("form").distinct().withColumn("n_div", F.lit(1))
-    counts = n_clean.join(n_scan, "form", "full").join(divided, "form", "full").select("form", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_clean", "n_scan")])
-    counts = cut(counts.withColumn("k", skeleton(F.col("form"))).withColumn("total", F.col("n_clean") + F.col("n_scan")))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    counts = every.join(raw, "form", "left").join(n_scan, "form", "full").join(divided, "form", "full").select("form", (zero("n_all") - zero("n_raw")).alias("n_clean"), zero("n_scan").alias("n_scan"), zero("n_div").alias("n_div"))
+    return cut(counts.where("n_clean + n_scan + n_div > 0").select("form", "n_clean", "n_scan", skeleton(F.col("form")).alias("k"), (F.col("n_clean") + F.col("n_scan")).alias("total")))
+
+
+def misread_forms(counts: DataFrame) -> DataFrame:
+    """(form, better, k): forms of scanned files that a far more frequent form of the same strokes explains.
+
+    A form that unscanned files know in proportion is a word of its own; a form with specks or with capitals inside needs only a
+    known reading.
+    """
     speck = F.col("form").rlike(rf"[{SPECKS}@]|\p{{L}}\d|\d\p{{L}}")
     odd = speck | F.col("form").rlike(f"[{THIN}]") | (F.col("form") != F.lower("form"))
     readings = counts.where(~odd).groupBy("k").agg(F.max_by("form", F.struct("n_clean", "n_scan", "form")).alias("better"), F.max(F.struct("n_clean", "n_scan")).alias("m"))
@@ -150,37 +206,52 @@ def misread_forms(tokens: DataFrame, clean: DataFrame) -> tuple[DataFrame, DataF
     rare = F.col("n_clean") * 2 <= F.col("n_scan")
     known = F.col("better").isNotNull() & (F.col("better") != F.col("form"))
     wrong = (odd & rare & F.col("form").rlike(rf"[{SPECKS}]") & F.col("form").rlike(r"\p{L}")) | (odd & known & rare & (F.col("top") >= 3)) | (~odd & known & rare & (F.col("top") >= 10 * F.greatest(F.lit(1), F.col("total"))) & (F.col("top") >= 10))
-    return both.where(wrong & ~F.col("form").rlike(r"^[ivxlcdm]+$")).select("form", F.when(known, F.col("better")).otherwise(F.regexp_replace(F.lower("form"), rf"[{SPECKS}{THIN}]", "")).alias("better"), "k"), counts
+    return cut(both.where(wrong & ~F.col("form").rlike(r"^[ivxlcdm]+$")).select("form", F.when(known, F.col("better")).otherwise(F.regexp_replace(F.lower("form"), rf"[{SPECKS}{THIN}]", "")).alias("better"), "k"))
 
 
-def torn_words(tokens: DataFrame, counts: DataFrame) -> DataFrame:
+def torn_words(tokens: DataFrame, counts: DataFrame, common: list[str]) -> DataFrame:
     """(id, line_no, pos, mended): a word torn in two by a blank, at its first part: together the parts are a known word, while
     one of them is hardly a word in files that weren't scanned."""
     stray = counts.where("n_clean * 2 <= n_scan").select("form")
     pairs = tokens.where("hyphened is null and follows is not null").select("id", "line_no", "pos", "form", F.lower("follows").alias("next_form"), F.lower(F.concat("whole", "follows")).alias("mended"))
-    a = pairs.join(stray, "form", "left_semi")
-    b = pairs.join(stray.select(F.col("form").alias("next_form")), "next_form", "left_semi").select(*a.columns)
     known = counts.where("n_clean >= 3").select(F.col("form").alias("mended"))
-    return a.unionByName(b).join(known, "mended", "left_semi").select("id", "line_no", "pos", "mended").distinct()
+    a = pairs.where(~F.col("form").isin(common)).join(stray, "form", "left_semi")
+    b = pairs.where(F.col("form").isin(common) & ~F.col("next_form").isin(common)).join(stray.select(F.col("form").alias("next_form")), "next_form", "left_semi").select(*a.columns)
+    c = pairs.where(~F.col("form").isin(common) & ~F.col("next_form").isin(common)).join(stray.select(F.col("form").alias("next_form")), "next_form", "left_semi").select(*a.columns)
+    return a.unionByName(b).unionByName(c).join(known, "mended", "left_semi").select("id", "line_no", "pos", "mended").distinct()
 
 
 def analysed(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines, tokens) of the scanned files; ``better`` is a misread token's reading, ``mended`` the word of which a torn token is
-    the first part. Among several readings of the same strokes the one most often found after the same word is taken, then
-    the most frequent."""
-    marked = scanned_chunks(chunks.where(F.col("text").isNotNull()).select("id", "file_path", "text"))
-    lines = cut(lines_of(marked.where("scanned")))
-    tokens = cut(tokens_of(lines))
-    wrong, counts = misread_forms(tokens, marked.where("not scanned"))
+    """(lines, tokens): the lines of scanned files, and the tokens that need repair: misread ones have a reading ``better``, those
+    of which a torn word begins ``mended``, divided ones ``hyphened``. Among several readings of the same strokes the one most
+    often found after the same word is taken, then the most frequent."""
+    scanned = cut(scanned_chunks(chunks))
+    lines = cut(lines_of(scanned))
+    tokens = tokens_of(lines)
+    counts = word_counts(chunks, scanned, tokens)
+    wrong = misread_forms(counts)
+    # the most frequent forms of all: neither misread nor stray, so their tokens, most of all, meet none of the tables below
+    frequent = counts.join(wrong, "form", "left_anti").where("n_clean * 2 > n_scan").orderBy(F.desc("total"), "form").limit(COMMON)
+    common = [r["form"] for r in frequent.select("form").collect()]
+    columns = ["id", "line_no", "pos", "word", "whole", "hyphened", "follows", "precedes", "form"]
+    plain = tokens.where(F.col("hyphened").isNull() & ~F.col("form").isin(common)).select(*columns).join(wrong, "form").withColumn("compound", F.lit(False))
     # a compound divided at its own hyphen is a known word, whatever its joined letters look like
-    kept = counts.where("total >= 2").select(F.col("form").alias("hyphened_form"), F.lit(True).alias("compound"))
-    tokens = tokens.join(kept, "hyphened_form", "left").join(wrong, "form", "left").withColumn("better", F.when(F.col("compound").isNull(), F.col("better")))
-    context = tokens.where("better is null and hyphened is null").groupBy("precedes", "form").agg(F.count("*").alias("n")).select("precedes", F.col("form").alias("reading"), "n")
-    readings = counts.where("n_clean >= 3").select("k", F.col("form").alias("reading"), "n_clean")
-    some = tokens.where("better is not null").select("id", "line_no", "pos", "precedes", "k").join(readings, "k").join(context, ["precedes", "reading"], "left")
+    kept = counts.where("total >= 2 and form like '%-%'").select(F.col("form").alias("hyphened_form"), F.lit(True).alias("compound"))
+    divided = tokens.where("hyphened is not null").select(*columns, F.lower("hyphened").alias("hyphened_form")).join(kept, "hyphened_form", "left").join(wrong, "form", "left")
+    divided = divided.withColumn("compound", F.coalesce("compound", F.lit(False))).withColumn("better", F.when(~F.col("compound"), F.col("better")))
+    found = cut(plain.select(*columns, "better", "k", "compound").unionByName(divided.select(*columns, "better", "k", "compound")))
+    # several readings: the words before decide
+    readings = counts.where("n_clean >= 3").select("k", F.col("form").alias("reading"), "n_clean").join(wrong.select("k").distinct(), "k", "left_semi")
+    several = cut(readings.join(readings.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"), "k", "left_semi"))
+    context = tokens.where("hyphened is null and precedes is not null").select("precedes", F.col("form").alias("reading")).join(_small(several.select("reading").distinct()), "reading", "left_semi").groupBy("precedes", "reading").agg(F.count("*").alias("n"))
+    some = found.where("better is not null").select("id", "line_no", "pos", "precedes", "k").join(several, "k").join(context, ["precedes", "reading"], "left")
     chosen = some.groupBy("id", "line_no", "pos").agg(F.max_by("reading", F.struct(F.coalesce("n", F.lit(0)), "n_clean", "reading")).alias("reading"))
-    tokens = tokens.join(chosen, ["id", "line_no", "pos"], "left").withColumn("better", F.when(F.col("better").isNotNull(), F.coalesce("reading", "better")))
-    return lines, tokens.join(torn_words(tokens.drop("reading"), counts), ["id", "line_no", "pos"], "left")
+    found = found.join(chosen, ["id", "line_no", "pos"], "left").withColumn("better", F.when(F.col("better").isNotNull(), F.coalesce("reading", "better"))).drop("reading", "k")
+    torn = torn_words(tokens, counts, common).join(tokens.where("hyphened is null").select(*columns), ["id", "line_no", "pos"])
+    misread = found.where("hyphened is null").select("id", "line_no", "pos", "better")
+    torn = torn.join(misread, ["id", "line_no", "pos"], "left").withColumn("compound", F.lit(False))
+    alone = found.join(torn.select("id", "line_no", "pos"), ["id", "line_no", "pos"], "left_anti").withColumn("mended", F.lit(None).cast("string"))
+    return lines, alone.unionByName(torn.select(*alone.columns))
 
 
 def defects(chunks: DataFrame) -> DataFrame:
@@ -204,10 +275,10 @@ def repaired(chunks: DataFrame) -> DataFrame:
     compound is known elsewhere; lines flow together until a blank line that no sentence runs across.
     """
     lines, tokens = analysed(chunks)
-    fixes = tokens.where("better is not null or hyphened is not null or mended is not null").groupBy("id", "line_no").agg(F.collect_list(F.struct(F.when(F.col("mended").isNotNull(), F.concat("word", F.lit(" "), "follows")).otherwise(F.col("word")).alias("a"), F.when(F.col("mended").isNotNull(), F.concat("word", "follows")).when(F.col("better").isNotNull(), _cased(F.col("better"), F.col("word"))).alias("b"), F.col("hyphened").isNotNull().alias("last"), F.col("whole").alias("whole"), F.col("compound").isNotNull().alias("compound"))).alias("fixes"))
+    fixes = tokens.where("better is not null or hyphened is not null or mended is not null").groupBy("id", "line_no").agg(F.collect_list(F.struct(F.when(F.col("mended").isNotNull(), F.concat("word", F.lit(" "), "follows")).otherwise(F.col("word")).alias("a"), F.when(F.col("mended").isNotNull(), F.concat("word", "follows")).when(F.col("better").isNotNull(), _cased(F.col("better"), F.col("word"))).alias("b"), F.col("hyphened").isNotNull().alias("last"), F.col("whole").alias("whole"), F.col("compound").alias("compound"))).alias("fixes"))
     body = lines.where("body").join(fixes, ["id", "line_no"], "left")
     # within the line each misread word is replaced; at its end the divided word is completed, and cut from the next line
-    start = F.when(F.col("continues"), F.regexp_replace("l", r"^[^\s.,?!;:()«»“”\"¿¡…\[\]—]+", "")).otherwise(F.col("l"))
+    start = F.when(F.col("continues"), F.regexp_replace("l", rf"^{WORD}", "")).otherwise(F.col("l"))
     body = body.withColumn("t", start).withColumn("t", F.expr(rf"""aggregate(coalesce(fixes, array()), t, (t, f) -> CASE
         WHEN f.last THEN concat(regexp_replace(t, '\\S+[{HYPHENS}]$', ''), coalesce(f.b, if(f.compound, concat(f.a, '-', substring(f.whole, length(f.a) + 1)), f.whole)))
         ELSE replace(t, f.a, f.b) END)"""))

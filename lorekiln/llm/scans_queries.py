@@ -9,7 +9,7 @@ from lorekiln.session import spread, table
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "chunks").select("id", "file_path", "text"), "id")
+    return spread(table(spark, sf, "chunks").select("id", "file_path", "chunk_index", "text"), "id")
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -82,6 +82,24 @@ def test_scan_defects(spark):
     assert text == "The council of the town sold the copper lamp for nine coins and the teacher spoke about patience according to the record. The council of the town sold the copper lamp."
 
 
+def test_a_title_of_the_author_stays(spark):
+    page = "The council of the town sold the cop-\nper lamp for nine coins and the teacher\nspoke about patience.\n\nTHE LOST LAMP\n\nThe teacher spoke about patience accor-\nding to the record and the council of\nthe town sold nine coins.\n"
+    rows = [(i, "en/plain.txt", i, CLEAN, 0, "en") for i in range(5)] + [(10, "en/scan.txt", 0, page, 0, "en")]
+    assert {(r.line_no, r.defect) for r in scans.defects(chunks(spark, rows)).collect()} == {(0, "hyphen"), (6, "hyphen")}
+    assert "THE LOST LAMP" in " ".join(r.text for r in scans.repaired(chunks(spark, rows)).collect())
+    # the same title over every page is none
+    rows += [(11, "en/scan.txt", 1, page, 0, "en")]
+    assert {(r.chunk_id, r.line_no) for r in scans.defects(chunks(spark, rows)).where("defect = 'header'").collect()} == {(10, 4), (11, 4)}
+
+
+def test_short_scans_and_divisions_across_chunks(spark):
+    rows = [(i, "en/plain.txt", i, CLEAN, 0, "en") for i in range(5)] + [(10, "en/s.txt", 0, "The teacher sold the cop-\nper lamp for nine pa-", 0, "en"), (11, "en/s.txt", 1, "tience coins and the\nrecord.", 0, "en"), (12, None, None, "The teacher sold the cop-\nper lamp.", 0, "en")]
+    got = {(r.chunk_id, r.line_no, r.defect) for r in scans.defects(chunks(spark, rows)).collect()}
+    assert got == {(10, 0, "hyphen"), (10, 1, "hyphen"), (12, 0, "hyphen")}
+    text = {r.chunk_id: r.text for r in scans.repaired(chunks(spark, rows)).collect()}
+    assert text == {10: "The teacher sold the copper lamp for nine patience", 11: "coins and the record.", 12: "The teacher sold the copper lamp."}
+
+
 def test_scans_bear_awkward_rows(spark):
     assert scans.defects(chunks(spark, AWKWARD)).count() == 0
     assert scans.defects(chunks(spark, [])).count() == 0
