@@ -54,6 +54,12 @@ def piece_pattern(limit: int) -> str:
     return rf"(?s)(?:.{{1,{limit}}}\z|.{{{half},{limit}}}(?<=\n[ \t]{{0,4}})(?={mark})|.{{{half},{limit}}}(?={mark})|.{{1,{limit}}}(?={mark})|.{{1,{limit}}}(?<={WS})|.{{1,{limit}}})"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is named: expressions within a lambda are evaluated anew for each
+    item otherwise."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def before(lengths: Column) -> Column:
     """For each of an array's numbers the sum of those before it."""
     none = F.array().cast("array<int>")
@@ -63,31 +69,37 @@ def before(lengths: Column) -> Column:
         return F.aggregate(xs, F.struct(start.cast("int").alias("at"), none.alias("out")), step, lambda a: a["out"])
 
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, n: a + n)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, BLOCK))
-    starts = sums(F.transform(blocks, total), F.lit(0))
-    return F.when(F.size(lengths) == 0, none).otherwise(F.flatten(F.zip_with(blocks, starts, sums)))
+    blocks = lambda xs: F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")), lambda b: F.slice(xs, b * BLOCK + 1, BLOCK))
+    whole = lambda xs: _let(blocks(xs), lambda bs: F.flatten(F.zip_with(bs, sums(F.transform(bs, total), F.lit(0)), sums)))
+    return _let(lengths, lambda xs: F.when(F.size(xs) == 0, none).when(F.size(xs) <= BLOCK, sums(xs, F.lit(0))).otherwise(whole(xs)))
 
 
-def pieces(text: Column, max_size: int, overlap: int) -> Column:
+def pieces(text: Column, max_size: int, overlap: int, whole_units: bool = True) -> Column:
     """Pieces of one text as an array of (piece_no, piece_start, piece_end, unit_starts).
 
     The extraction's cuts, each piece after the first beginning ``overlap`` code points before its cut (or at the piece before, if
     that is shorter); ``unit_starts`` are the offsets in the text of the natural units that begin at or after the cut, the first
-    one of a text at 0. A text within the limit is one piece; an empty one too; null gives null.
+    one of a text at 0. A text within the limit is one piece; an empty one too; null gives null. ``whole_units`` false leaves
+    out the units of texts within the limit.
     """
-    found = F.regexp_extract_all(marked(text), F.lit(piece_pattern(max_size - overlap)), F.lit(0))
-    whole = F.when(F.length(text) <= max_size, F.array(marked(text))).otherwise(found)
-    parts = F.transform(whole, lambda p: F.struct(F.transform(F.split(p, MARK_CHARACTER), lambda u: F.length(u)).alias("units"), F.length(F.replace(p, F.lit(MARK_CHARACTER), F.lit(""))).alias("n")))
-    cuts = F.zip_with(parts, before(F.transform(parts, lambda p: p["n"])), lambda p, at: F.struct(p["units"].alias("units"), p["n"].alias("n"), at.alias("at")))
+    size = lambda p: F.length(F.replace(p, F.lit(MARK_CHARACTER), F.lit("")))
+
+    def cut(found: Column) -> Column:
+        return _let(F.transform(found, size), lambda ns: F.transform(F.arrays_zip(found.alias("p"), ns.alias("n"), before(ns).alias("at"), F.concat(F.array(F.lit(0)), ns).alias("last")), piece))
 
     def piece(p: Column, i: Column) -> Column:
         # what stands before a piece's first mark belongs to a unit of the piece before; at the text's start it is a unit
-        starts = F.transform(before(p["units"]), lambda x: x + p["at"])
-        starts = F.when(i == 0, starts).otherwise(F.slice(starts, 2, F.greatest(F.lit(0), F.size(starts) - 1)))
-        back = F.when(i == 0, 0).otherwise(F.least(F.lit(overlap), F.element_at(cuts, F.greatest(F.lit(1), i))["n"]))
-        return F.struct(i.cast("int").alias("piece_no"), (p["at"] - back).cast("int").alias("piece_start"), (p["at"] + p["n"]).cast("int").alias("piece_end"), starts.alias("unit_starts"))
+        starts = F.transform(before(F.transform(F.split(p["p"], MARK_CHARACTER), lambda u: F.length(u))), lambda x: x + p["at"])
+        starts = _let(starts, lambda s: F.when(i == 0, s).otherwise(F.slice(s, 2, F.greatest(F.lit(1), F.size(s)))))
+        return F.struct(i.cast("int").alias("piece_no"), (p["at"] - F.least(F.lit(overlap), p["last"])).cast("int").alias("piece_start"), (p["at"] + p["n"]).cast("int").alias("piece_end"), starts.alias("unit_starts"))
 
-    return F.transform(cuts, piece)
+    found = lambda m: F.when(F.length(text) <= max_size, F.array(m)).otherwise(F.regexp_extract_all(m, F.lit(piece_pattern(max_size - overlap)), F.lit(0)))
+    # the pieces are those before the zipped array's end: ``last`` is one longer
+    many = F.filter(_let(_let(marked(text), found), cut), lambda q: q["piece_end"].isNotNull())
+    if whole_units:
+        return many
+    one = F.struct(F.lit(0).alias("piece_no"), F.lit(0).alias("piece_start"), F.length(text).alias("piece_end"), F.lit(None).cast("array<int>").alias("unit_starts"))
+    return F.when(F.length(text) <= max_size, F.array(one)).otherwise(many)
 
 
 def split_chunks(chunks: DataFrame, max_size: int, overlap: int, bucket: int = 256) -> DataFrame:
@@ -98,7 +110,7 @@ def split_chunks(chunks: DataFrame, max_size: int, overlap: int, bucket: int = 2
     that have one, by id; a chunk without a file_path is a file of its own. start_char and end_char are the old start plus the
     piece's offsets; where the old start is missing or negative they count from the chunk's own text. Null texts give no piece.
     """
-    cut = chunks.where("text is not null").select(F.col("id").alias("chunk_id"), "file_path", F.col("chunk_index").alias("old_index"), "start_char", "text", pieces(F.col("text"), max_size, overlap).alias("p"))
+    cut = chunks.where("text is not null").select(F.col("id").alias("chunk_id"), "file_path", F.col("chunk_index").alias("old_index"), "start_char", "text", pieces(F.col("text"), max_size, overlap, False).alias("p"))
     own = F.coalesce(F.col("chunk_id").cast("long"), F.xxhash64("text"))
     cut = cut.withColumn("file", F.coalesce("file_path", F.concat(F.lit("\0"), own.cast("string")))).withColumn("place", F.coalesce(F.col("old_index").cast("decimal(38,0)"), F.lit(1 << 62).cast("decimal(38,0)") + own))
     per_index = cut.groupBy("file", "place").agg(F.max(F.size("p")).alias("n")).withColumn("b", F.floor(F.col("place") / bucket))
