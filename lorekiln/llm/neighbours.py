@@ -19,8 +19,11 @@ from lorekiln.session import cut
 #: Bound of the rows that fit the tree, and of those that calibrate it.
 FIT_ROWS, CALIBRATION_ROWS = 16_384, 384
 BRANCH = 8
-#: Rows of a leaf and of a block (a subtree that one task searches), in fit rows and in all rows.
-LEAF_FIT, LEAF_ROWS, BLOCK_ROWS = 12, 256, 4_096
+#: Rows of a leaf and of a block (a subtree that one task searches), in fit rows and in all rows; a block with more rows or more
+#: visitors than SHARD_ROWS is dealt over several tasks.
+LEAF_FIT, LEAF_ROWS, BLOCK_ROWS, SHARD_ROWS = 12, 256, 8_192, 16_384
+#: Fit rows whose visits tell how many visitors a block gets.
+VISITOR_ROWS = 2_048
 
 
 @dataclass
@@ -105,21 +108,6 @@ def unit_vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
         return at[ok], (x[ok] / n[ok, None]).astype("f4")
 
 
-def packed(v: bytes) -> bytes:
-    """A half-precision vector in one byte a number; its products stay within some 0.0005."""
-    x = np.frombuffer(v, "f2").astype("f4")
-    return np.rint(x * (127 / max(float(np.abs(x).max()), 1e-9))).astype("i1").tobytes()
-
-
-def unpacked(vs: pd.Series, dim: int) -> np.ndarray:
-    """Unit vectors of half-precision and of packed rows."""
-    x = np.empty((len(vs), dim), "f4")
-    half = vs.map(len).to_numpy() == 2 * dim
-    x[half] = np.frombuffer(b"".join(vs[half]), "f2").reshape(-1, dim)
-    x[~half] = np.frombuffer(b"".join(vs[~half]), "i1").reshape(-1, dim)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-
-
 def _raw(df: DataFrame, key: str, vector: str, model: str) -> DataFrame:
     return df.where(F.col(key).isNotNull() & F.col(model).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(model).alias("model"), F.col(vector).alias("v"))
 
@@ -159,18 +147,27 @@ class Search:
     visits: int
     recall: float
     counts: dict[int, int]
+    visitors: dict[int, float] = field(default_factory=dict)
+
+    def shards(self) -> dict[int, tuple[int, int]]:
+        """Over how many parts the rows and the visitors of each block are dealt."""
+        per_block: dict[int, int] = {}
+        for leaf, c in self.counts.items():
+            b = self.tree.leaf_block[leaf]
+            per_block[b] = per_block.get(b, 0) + c
+        parts = lambda n: max(1, -(-int(n) // SHARD_ROWS))
+        return {b: (parts(per_block.get(b, 0)), parts(self.visitors.get(b, 0))) for b in set(per_block) | set(self.visitors)}
 
 
-def fit(rows: DataFrame, n: int, dim: int, k: int, floor: float, target: float, max_visits: int = 64) -> Search:
+def fit(rows: DataFrame, n: int, dim: int, k: int, floor: float, target: float) -> Search:
     """Builds the tree on about FIT_ROWS rows at most (those of smallest hash) and calibrates the leaf visits on CALIBRATION_ROWS.
 
     The calibration queries are held against *all* rows by brute force, in blocks, in one distributed pass that also counts
-    the rows by leaf; visits widen until ``target`` of their true neighbours (the k nearest of at least ``floor``) are in
-    the leaves visited."""
+    the rows by leaf; visits widen, to all leaves if need be, until ``target`` of their true neighbours (the k nearest of at
+    least ``floor``) are in the leaves visited. ``recall`` is what the queries reach then."""
     want = max(min(FIT_ROWS, max(64, n * LEAF_FIT // LEAF_ROWS)), CALIBRATION_ROWS)
     thin = rows.where(F.pmod(F.xxhash64("g"), F.lit(1 << 20)) <= F.lit(int((1 << 20) * min(1.0, 1.02 * want / max(n, 1)))))
-    got = sorted(thin.collect(), key=lambda r: (r.g, r.id))
-    got = [r for i, r in enumerate(got) if not i or r.g != got[i - 1].g]
+    got = sorted(thin.dropDuplicates(["g"]).collect(), key=lambda r: r.g)  # a vector's copies meet before they reach the driver
     if not got:
         return Search(Tree(np.zeros((1, dim), "f4"), [[]], {0: 0}), 1, 1.0, {})
     x = np.stack([np.frombuffer(r.v, "f2").astype("f4") for r in got])
@@ -213,22 +210,23 @@ def fit(rows: DataFrame, n: int, dim: int, k: int, floor: float, target: float,
     if not len(ranks):
         return Search(tree, min(4, all_leaves), 1.0, counts)
     need = int(ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))) - 1)]) + 1
-    visits = max(1, min(max(need, 2), max_visits if floor > 0 else all_leaves, all_leaves))
-    return Search(tree, visits, float((ranks < visits).mean()), counts)
+    visits = min(max(need, 2), all_leaves)
+    visitors: dict[int, float] = {}
+    some = x[:: max(1, len(x) // VISITOR_ROWS)]
+    for p in tree.products(some).tolist():
+        for b in {tree.leaf_block[leaf] for leaf in tree.visits(p, visits)}:
+            visitors[b] = visitors.get(b, 0.0) + n / len(some)
+    return Search(tree, visits, float((ranks < visits).mean()), counts, visitors)
 
 
 def search(rows: DataFrame, index: Search, dim: int, k: int, floor: float, is_query: str = "true") -> DataFrame:
-    """(model, g, near): for each query row its k nearest other rows of at least ``floor``, as an array of (cos, g).
+    """(model, g, other, cos): for each query row its k nearest other rows of at least ``floor``.
 
-    A row goes once to its own block, with the leaf it lies in and, if it is a query, the leaves it visits there; a query
-    goes besides, packed to one byte a number, to each other block in which it visits leaves. Blocks of more rows than planned are dealt over shards,
-    each of which sees all of the block's queries: the products are the same, only more tasks share them."""
+    A row goes to its own block with the leaf it lies in; a query goes to each block in which it visits leaves, with those
+    leaves. Vectors travel in half precision. A block of many rows or many visitors is dealt over rows x visitors: each part sees
+    some of the rows and some of the visitors, every pair of which meets in one part, and the parts' finds are ranked together."""
     tree, visits = index.tree, index.visits
-    per_block: dict[int, int] = {}
-    for leaf, c in index.counts.items():
-        b = tree.leaf_block[leaf]
-        per_block[b] = per_block.get(b, 0) + c
-    shards = {b: max(1, -(-c // (4 * BLOCK_ROWS))) for b, c in per_block.items()}
+    shards = index.shards()
     schema = "model string, block int, shard int, g long, leaf int, visits array<int>, v binary"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,30 +246,28 @@ def search(rows: DataFrame, index: Search, dim: int, k: int, floor: float, is_qu
             out: list[tuple] = []
             for i, v, p in zip(new, raw, near):
                 leaves = tree.visits(p, visits if asks[i] else 1)
-                home = leaves[0]
                 by: dict[int, list[int]] = {}
                 for x in leaves if asks[i] else ():
                     by.setdefault(tree.leaf_block[x], []).append(x)
-                own = tree.leaf_block[home]
-                mine = g[i] % shards.get(own, 1)
-                for s in range(shards.get(own, 1)):
-                    if s == mine or own in by:
-                        out.append((m[i], own, s, g[i], home if s == mine else -1, by.get(own, []), v if s == mine else packed(v)))
-                small = packed(v) if len(by) > (own in by) else b""
-                for other, xs in by.items():
-                    if other != own:
-                        out += [(m[i], other, s, g[i], -1, xs, small) for s in range(shards.get(other, 1))]
+                own = tree.leaf_block[leaves[0]]
+                for block in {own, *by}:
+                    r_all, q_all = shards.get(block, (1, 1))
+                    r, q = g[i] % r_all, g[i] // r_all % q_all
+                    # as a row with all parts of the visitors, as a visitor with all parts of the rows
+                    for at in range(q_all) if block == own else ():
+                        out.append((m[i], own, r * q_all + at, g[i], leaves[0], by.get(own, []) if at == q else [], v))
+                    for at in range(r_all) if block in by else ():
+                        if block != own or at != r:
+                            out.append((m[i], block, at * q_all + q, g[i], -1, by[block], v))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary()))], names=["model", "block", "shard", "g", "leaf", "visits", "v"])
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf.g.duplicated().any():  # copies from several tasks: one row, the unpacked one, with the leaf and the visits of any
-            pdf = pdf.assign(n=-pdf.visits.map(len), own=-pdf.v.map(len)).sort_values(["g", "own", "n"], kind="stable")
-            by = pdf.groupby("g")
-            pdf = pdf.assign(leaf=by.leaf.transform("max"), most=by.n.transform("min"))
-            asks = pdf[pdf.n == pdf.most].drop_duplicates("g").set_index("g").visits
+        if pdf.g.duplicated().any():  # copies from several tasks: one row, with the leaf and the visits of any
+            pdf = pdf.assign(n=-pdf.visits.map(len)).sort_values(["g", "n"], kind="stable")
+            pdf["leaf"] = pdf.groupby("g").leaf.transform("max")
             pdf = pdf.drop_duplicates("g").reset_index(drop=True)
-            pdf["visits"] = asks.loc[pdf.g].to_numpy()
-        x = unpacked(pdf.v, dim)
+        x = np.frombuffer(b"".join(pdf.v), "f2").astype("f4").reshape(-1, dim)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
         g, leaf = pdf.g.to_numpy(), pdf.leaf.to_numpy()
         ask: dict[int, list[int]] = {}
         for i, vs in enumerate(pdf.visits):
@@ -315,8 +311,9 @@ def nearest(df: DataFrame, k: int = 5, floor: float = -1.0, target: float = 0.95
     """(model, id, other, cos, rank): for each query id its k most similar other ids of the same model.
 
     Unusable vectors (null, of another length, not finite, all zero) neither ask nor answer; vectors needn't have unit
-    length. Exact copies count as neighbours with cosine 1; they are searched once, as one representative, and come back with
-    at most k + 1 ids each, smallest first, which is all that k neighbours can need. Ties go to the smaller id. Repeated rows
+    length. Vectors travel in half precision, so a cosine is within 0.0005 of that of the stored ones (0.00002 as a rule); those
+    that agree in it count as copies with cosine 1: they are searched once, as one representative, and come back with at most
+    k + 1 ids each, smallest first, which is all that k neighbours can need. Ties go to the smaller id. Repeated rows
     count once. ``floor`` is a least cosine that belongs to the question: recall is then calibrated on neighbours of at
     least that. ``is_query`` is an SQL condition on ``id``. Extra columns are ignored; an empty table gives no rows.
     """

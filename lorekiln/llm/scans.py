@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,7 +34,7 @@ CHAPTER = r"(?iu)^\s*(?:chapter|cap[ií]tulo|chapitre|part|parte|book|libro|livr
 #: a word. Neither sign depends on the file's size.
 BROKEN_LINES = 0.3
 SIGN = (
-    rf"\p{{Ll}}[{HYPHENS}][ \t]*\n[ \t]*\p{{Ll}}|\p{{L}}[{SPECKS}{THIN}]\p{{L}}|[\p{{Ll}}\p{{N}},;][ \t]*\n\s*\p{{Lu}}[^.?!;:\n]{{2,80}}\n\s*\p{{Ll}}"
+    rf"\p{{Ll}}[{HYPHENS}][ \t]*\n[ \t]*\p{{Ll}}|\p{{L}}[{SPECKS}{THIN}]\p{{L}}|\p{{Ll}}[\p{{Lu}}0-9]\p{{Ll}}|[\p{{Ll}}\p{{N}},;][ \t]*\n\s*\p{{Lu}}[^.?!;:\n]{{2,80}}\n\s*\p{{Ll}}"
     r"|(?m)^[^\p{L}\p{N}\n]*(?:[Pp][.\p{L}]{0,5} ?)?[0-9lIOoSB]{0,2}[0-9][0-9lIOoSB]{0,2}[^\p{L}\p{N}\n]*$|^[ \t]*[0-9]{1,4}[ \t]{2,}\p{Lu}|\p{L}[ \t]{2,}[0-9]{1,4}[ \t]*$"
 )
 #: A title's first strokes by which its cut-off forms meet.
@@ -64,7 +68,7 @@ def _small(df: DataFrame) -> DataFrame:
 def _form(w: Column) -> Column:
     """How a word counts in the vocabulary: without case, unless capitals stand within it."""
     odd = w.rlike(r"\p{Ll}\p{M}*\p{Lu}|\p{Lu}{2,}\p{Ll}|^\p{Lu}\p{Ll}*[-'’]?\p{Ll}*\p{Lu}\p{Lu}\p{Ll}")
-    return F.when(odd, w).otherwise(F.lower(w))
+    return F.when(w == F.lower(w), w).when(odd, w).otherwise(F.lower(w))
 
 
 def scanned_chunks(chunks: DataFrame) -> DataFrame:
@@ -176,21 +180,41 @@ def tokens_of(lines: DataFrame) -> DataFrame:
     return body.where(F.col("whole").rlike(r"\p{L}")).withColumn("form", _form(F.col("whole")))
 
 
-def _counted(texts: DataFrame, name: str) -> DataFrame:
-    """(form, name): words of texts, counted as they stand first, so that only different ones are shuffled and examined."""
-    n = texts.select(F.explode(_words(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("w").rlike(r"\p{L}"))
-    return n.groupBy(_form(F.col("w")).alias("form")).agg(F.sum("n").alias(name))
+#: Different words that a task counts before it hands them on.
+COUNTED = 500_000
+ASCII_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
+_APART = dict.fromkeys(map(ord, ".,?!;:()«»“”\"¿¡…[]—"), " ")
+
+
+def _counted(texts: DataFrame) -> DataFrame:
+    """(w, n): the words of texts and how often a task met them; a word may come several times. Counting where the text is read,
+    without a row for each word, takes a fifth of the time of an explode."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter[str] = Counter()
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["w", "n"])
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                n.update(ASCII_SPACE.split(t.translate(_APART)))
+            if len(n) > COUNTED:
+                yield batch()
+                n.clear()
+        yield batch()
+
+    return texts.where("text is not null").select("text").mapInArrow(run, "w string, n long")
 
 
 def word_counts(chunks: DataFrame, scanned: DataFrame, tokens: DataFrame) -> DataFrame:
     """(form, n_clean, n_scan, k, total) over all chunks: how often files that weren't scanned have a form, how often scanned ones
     do, and its strokes. Unscanned counts are those of all texts less those of the scanned ones."""
-    every, raw = _counted(chunks.where("text is not null"), "n_all"), _counted(scanned, "n_raw")
-    n_scan = tokens.where("hyphened is null").groupBy("form").agg(F.count("*").alias("n_scan"))
-    divided = tokens.where("hyphened is not null").select("form").distinct().withColumn("n_div", F.lit(1))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    counts = every.join(raw, "form", "left").join(n_scan, "form", "full").join(divided, "form", "full").select("form", (zero("n_all") - zero("n_raw")).alias("n_clean"), zero("n_scan").alias("n_scan"), zero("n_div").alias("n_div"))
-    return cut(counts.where("n_clean + n_scan + n_div > 0").select("form", "n_clean", "n_scan", skeleton(F.col("form")).alias("k"), (F.col("n_clean") + F.col("n_scan")).alias("total")))
+    zero = F.lit(0).cast("long")
+    every = _counted(chunks).select("w", F.col("n").alias("n_clean"), zero.alias("n_scan"), zero.alias("n_div"))
+    raw = _counted(scanned).select("w", (-F.col("n")).alias("n_clean"), zero.alias("n_scan"), zero.alias("n_div"))
+    own = tokens.select(F.col("whole").alias("w"), zero.alias("n_clean"), F.when(F.col("hyphened").isNull(), 1).otherwise(0).cast("long").alias("n_scan"), F.when(F.col("hyphened").isNull(), 0).otherwise(1).cast("long").alias("n_div"))
+    total = [F.sum(c).alias(c) for c in ("n_clean", "n_scan", "n_div")]
+    words = every.unionByName(raw).unionByName(own).groupBy("w").agg(*total).where(F.col("w").rlike(r"\p{L}"))
+    counts = words.groupBy(_form(F.col("w")).alias("form")).agg(*total).where("n_clean + n_scan + n_div > 0")
+    return cut(counts.select("form", "n_clean", "n_scan", skeleton(F.col("form")).alias("k"), (F.col("n_clean") + F.col("n_scan")).alias("total")))
 
 
 def misread_forms(counts: DataFrame) -> DataFrame:
@@ -201,63 +225,67 @@ def misread_forms(counts: DataFrame) -> DataFrame:
     """
     speck = F.col("form").rlike(rf"[{SPECKS}@]|\p{{L}}\d|\d\p{{L}}")
     odd = speck | F.col("form").rlike(f"[{THIN}]") | (F.col("form") != F.lower("form"))
-    readings = counts.where(~odd).groupBy("k").agg(F.max_by("form", F.struct("n_clean", "n_scan", "form")).alias("better"), F.max(F.struct("n_clean", "n_scan")).alias("m"))
-    both = counts.join(readings, "k", "left").withColumn("top", F.col("m.n_clean") + F.col("m.n_scan"))
-    rare = F.col("n_clean") * 2 <= F.col("n_scan")
+    best = F.max(F.when(~F.col("odd"), F.struct("n_clean", "n_scan", "form"))).over(Window.partitionBy("k"))
+    both = counts.withColumn("odd", odd).withColumn("m", best).withColumn("better", F.col("m.form")).withColumn("top", F.col("m.n_clean") + F.col("m.n_scan"))
+    odd, rare = F.col("odd"), F.col("n_clean") * 2 <= F.col("n_scan")
     known = F.col("better").isNotNull() & (F.col("better") != F.col("form"))
     wrong = (odd & rare & F.col("form").rlike(rf"[{SPECKS}]") & F.col("form").rlike(r"\p{L}")) | (odd & known & rare & (F.col("top") >= 3)) | (~odd & known & rare & (F.col("top") >= 10 * F.greatest(F.lit(1), F.col("total"))) & (F.col("top") >= 10))
     return cut(both.where(wrong & ~F.col("form").rlike(r"^[ivxlcdm]+$")).select("form", F.when(known, F.col("better")).otherwise(F.regexp_replace(F.lower("form"), rf"[{SPECKS}{THIN}]", "")).alias("better"), "k"))
 
 
-def torn_words(tokens: DataFrame, counts: DataFrame, common: list[str]) -> DataFrame:
+PLACE = ["id", "line_no", "pos"]
+
+
+def torn_words(tokens: DataFrame, counts: DataFrame) -> DataFrame:
     """(id, line_no, pos, mended): a word torn in two by a blank, at its first part: together the parts are a known word, while
     one of them is hardly a word in files that weren't scanned."""
-    stray = counts.where("n_clean * 2 <= n_scan").select("form")
-    pairs = tokens.where("hyphened is null and follows is not null").select("id", "line_no", "pos", "form", F.lower("follows").alias("next_form"), F.lower(F.concat("whole", "follows")).alias("mended"))
+    pairs = tokens.where("hyphened is null and follows is not null").select(*PLACE, F.explode(F.array("form", F.lower("follows"))).alias("form"), F.lower(F.concat("whole", "follows")).alias("mended"))
     known = counts.where("n_clean >= 3").select(F.col("form").alias("mended"))
-    a = pairs.where(~F.col("form").isin(common)).join(stray, "form", "left_semi")
-    b = pairs.where(F.col("form").isin(common) & ~F.col("next_form").isin(common)).join(stray.select(F.col("form").alias("next_form")), "next_form", "left_semi").select(*a.columns)
-    c = pairs.where(~F.col("form").isin(common) & ~F.col("next_form").isin(common)).join(stray.select(F.col("form").alias("next_form")), "next_form", "left_semi").select(*a.columns)
-    return a.unionByName(b).unionByName(c).join(known, "mended", "left_semi").select("id", "line_no", "pos", "mended").distinct()
+    stray = counts.where("n_clean * 2 <= n_scan").select("form")
+    return pairs.join(known, "mended", "left_semi").join(stray, "form", "left_semi").select(*PLACE, "mended").distinct()
 
 
-def analysed(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines, tokens): the lines of scanned files, and the tokens that need repair: misread ones have a reading ``better``, those
-    of which a torn word begins ``mended``, divided ones ``hyphened``. Among several readings of the same strokes the one most
-    often found after the same word is taken, then the most frequent."""
+def analysed(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(lines, found, counts, tokens): the lines of scanned files, and of their tokens those that need repair: misread ones have a
+    reading ``better``, those of which a torn word begins ``mended``, divided ones ``hyphened``; the counts of all forms."""
     scanned = cut(scanned_chunks(chunks))
     lines = cut(lines_of(scanned))
     tokens = tokens_of(lines)
     counts = word_counts(chunks, scanned, tokens)
     wrong = misread_forms(counts)
-    # the most frequent forms of all: neither misread nor stray, so their tokens, most of all, meet none of the tables below
+    # the most frequent forms of all, neither misread nor stray, meet none of the tables below: tokens of these, most of all, are
+    # left out, but for those before another word
     frequent = counts.join(wrong, "form", "left_anti").where("n_clean * 2 > n_scan").orderBy(F.desc("total"), "form").limit(COMMON)
     common = [r["form"] for r in frequent.select("form").collect()]
-    columns = ["id", "line_no", "pos", "word", "whole", "hyphened", "follows", "precedes", "form"]
-    plain = tokens.where(F.col("hyphened").isNull() & ~F.col("form").isin(common)).select(*columns).join(wrong, "form").withColumn("compound", F.lit(False))
+    seldom = cut(tokens.where(F.col("hyphened").isNotNull() | ~F.col("form").isin(common) | ~F.lower("follows").isin(common)))
+    misread = seldom.join(wrong.select("form", "better", "k"), "form").select(*PLACE, "better", "k")
     # a compound divided at its own hyphen is a known word, whatever its joined letters look like
-    kept = counts.where("total >= 2 and form like '%-%'").select(F.col("form").alias("hyphened_form"), F.lit(True).alias("compound"))
-    divided = tokens.where("hyphened is not null").select(*columns, F.lower("hyphened").alias("hyphened_form")).join(kept, "hyphened_form", "left").join(wrong, "form", "left")
-    divided = divided.withColumn("compound", F.coalesce("compound", F.lit(False))).withColumn("better", F.when(~F.col("compound"), F.col("better")))
-    found = cut(plain.select(*columns, "better", "k", "compound").unionByName(divided.select(*columns, "better", "k", "compound")))
-    # several readings: the words before decide
-    readings = counts.where("n_clean >= 3").select("k", F.col("form").alias("reading"), "n_clean").join(wrong.select("k").distinct(), "k", "left_semi")
+    kept = counts.where("total >= 2 and form like '%-%'").select(F.col("form").alias("compound_form"))
+    compound = seldom.where("hyphened is not null").select(*PLACE, F.lower("hyphened").alias("compound_form")).join(kept, "compound_form", "left_semi").select(*PLACE, F.lit(True).alias("compound"))
+    marks = [misread.select(*PLACE, "better", "k", F.lit(None).cast("boolean").alias("compound"), F.lit(None).cast("string").alias("mended"))]
+    marks.append(compound.select(*PLACE, F.lit(None).cast("string").alias("better"), F.lit(None).cast("string").alias("k"), "compound", F.lit(None).cast("string").alias("mended")))
+    marks.append(torn_words(seldom, counts).select(*PLACE, F.lit(None).cast("string").alias("better"), F.lit(None).cast("string").alias("k"), F.lit(None).cast("boolean").alias("compound"), "mended"))
+    marks = reduce(DataFrame.unionByName, marks).groupBy(*PLACE).agg(*[F.max(c).alias(c) for c in ("better", "k", "compound", "mended")])
+    found = seldom.join(marks, PLACE, "left").where("better is not null or mended is not null or hyphened is not null")
+    return lines, found.withColumn("compound", F.coalesce("compound", F.lit(False))).withColumn("better", F.when(~F.col("compound"), F.col("better"))), counts, tokens
+
+
+def with_readings(found: DataFrame, counts: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Misread tokens with the reading that the context supports: among several of the same strokes the one most often found after
+    the same word, then the most frequent."""
+    found = cut(found)
+    readings = counts.where("n_clean >= 3").select("k", F.col("form").alias("reading"), "n_clean").join(found.where("better is not null").select("k").distinct(), "k", "left_semi")
     several = cut(readings.join(readings.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"), "k", "left_semi"))
     context = tokens.where("hyphened is null and precedes is not null").select("precedes", F.col("form").alias("reading")).join(_small(several.select("reading").distinct()), "reading", "left_semi").groupBy("precedes", "reading").agg(F.count("*").alias("n"))
-    some = found.where("better is not null").select("id", "line_no", "pos", "precedes", "k").join(several, "k").join(context, ["precedes", "reading"], "left")
-    chosen = some.groupBy("id", "line_no", "pos").agg(F.max_by("reading", F.struct(F.coalesce("n", F.lit(0)), "n_clean", "reading")).alias("reading"))
-    found = found.join(chosen, ["id", "line_no", "pos"], "left").withColumn("better", F.when(F.col("better").isNotNull(), F.coalesce("reading", "better"))).drop("reading", "k")
-    torn = torn_words(tokens, counts, common).join(tokens.where("hyphened is null").select(*columns), ["id", "line_no", "pos"])
-    misread = found.where("hyphened is null").select("id", "line_no", "pos", "better")
-    torn = torn.join(misread, ["id", "line_no", "pos"], "left").withColumn("compound", F.lit(False))
-    alone = found.join(torn.select("id", "line_no", "pos"), ["id", "line_no", "pos"], "left_anti").withColumn("mended", F.lit(None).cast("string"))
-    return lines, alone.unionByName(torn.select(*alone.columns))
+    some = found.where("better is not null").select(*PLACE, "precedes", "k").join(several, "k").join(context, ["precedes", "reading"], "left")
+    chosen = some.groupBy(*PLACE).agg(F.max_by("reading", F.struct(F.coalesce("n", F.lit(0)), "n_clean", "reading")).alias("reading"))
+    return found.join(chosen, PLACE, "left").withColumn("better", F.when(F.col("better").isNotNull(), F.coalesce("reading", "better"))).drop("reading")
 
 
 def defects(chunks: DataFrame) -> DataFrame:
     """(chunk_id, line_no, defect) of every scanned line; see the problem's statement. Null texts and files that weren't scanned
     give none; repeated chunk ids give one row; an empty table gives no rows."""
-    lines, tokens = analysed(chunks)
+    lines, tokens, _, _ = analysed(chunks)
     of = lambda d, name: d.select(F.col("id").alias("chunk_id"), "line_no", F.lit(name).alias("defect"))
     parts = [of(lines.where("divided"), "hyphen"), of(lines.where("is_header"), "header"), of(lines.where("is_number"), "page_number"), of(tokens.where("better is not null or mended is not null"), "misread")]
     return reduce(DataFrame.unionByName, parts).distinct()
@@ -274,7 +302,8 @@ def repaired(chunks: DataFrame) -> DataFrame:
     Headers and page numbers go; misread words take their better reading; a divided word is joined, with its hyphen where the
     compound is known elsewhere; lines flow together until a blank line that no sentence runs across.
     """
-    lines, tokens = analysed(chunks)
+    lines, found, counts, every = analysed(chunks)
+    tokens = with_readings(found, counts, every)
     fixes = tokens.where("better is not null or hyphened is not null or mended is not null").groupBy("id", "line_no").agg(F.collect_list(F.struct(F.when(F.col("mended").isNotNull(), F.concat("word", F.lit(" "), "follows")).otherwise(F.col("word")).alias("a"), F.when(F.col("mended").isNotNull(), F.concat("word", "follows")).when(F.col("better").isNotNull(), _cased(F.col("better"), F.col("word"))).alias("b"), F.col("hyphened").isNotNull().alias("last"), F.col("whole").alias("whole"), F.col("compound").alias("compound"))).alias("fixes"))
     body = lines.where("body").join(fixes, ["id", "line_no"], "left")
     # within the line each misread word is replaced; at its end the divided word is completed, and cut from the next line
