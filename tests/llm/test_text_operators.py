@@ -200,6 +200,19 @@ def test_long_works_align_whole(spark, n, gone):
     assert len(got & want) >= 0.99 * len(want) and len(got & want) >= 0.99 * len(got)
 
 
+def test_an_abridgement_aligns(spark):
+    rows = works(spark)
+    long = rows[0][3] + " " + " ".join(f"Nobody spoke of {a} on day {i}." for i, a in enumerate("rain snow wind fire dust corn wool salt milk iron".split() * 6))
+    rows[0] = (rows[0][0], rows[0][1], 0, long, 0, "en")
+    got = bitext.alignment(chunks(spark, rows).drop("chunk_id"), None, GLOSSARY).where("chunk_id_a = 0").collect()
+    assert {(r.sentence_a, r.sentence_b) for r in got} >= {(0, 0), (1, 1), (3, 3), (5, 4)}
+
+
+def test_sums_of_groups():
+    m = np.arange(8, dtype="f4").reshape(4, 2)
+    assert bitext._sums(m, np.array([0, 1, 3]), [0, 2, 0, 1]).tolist() == [[0, 0], [2, 4], [0, 0], [6, 7]]
+
+
 def test_alignment_bears_awkward_rows(spark):
     assert bitext.alignment(chunks(spark, AWKWARD), None, []).count() == 0
     assert bitext.alignment(chunks(spark, []), spark.createDataFrame([], "src_file_path string, dst_file_path string, rel_type string"), [(None, "x")]).count() == 0
