@@ -22,6 +22,8 @@ BRANCH = 8
 #: Rows of a leaf and of a block (a subtree that one task searches), in fit rows and in all rows; a block with more rows or more
 #: visitors than SHARD_ROWS is dealt over several tasks.
 LEAF_FIT, LEAF_ROWS, BLOCK_ROWS, SHARD_ROWS = 12, 256, 8_192, 16_384
+#: Over so many parts the rows of a brute-force comparison are dealt.
+PARTS = 32
 #: Fit rows whose visits tell how many visitors a block gets.
 VISITOR_ROWS = 2_048
 
@@ -302,7 +304,9 @@ def search(rows: DataFrame, index: Search, dim: int, k: int, floor: float, is_qu
         return res
 
     dealt = rows.select("id", "model", "g", "v", F.expr(is_query).alias("asks")).mapInArrow(deal, schema)
-    hits = dealt.groupBy("model", "block", "shard").applyInPandas(within, "model string, g long, other long, cos double").where(F.col("cos") >= floor)
+    # as many partitions as parts, so that the largest doesn't grow with the data
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, sum(r * q for r, q in shards.values()))
+    hits = dealt.repartition(parts, "model", "block", "shard").groupBy("model", "block", "shard").applyInPandas(within, "model string, g long, other long, cos double").where(F.col("cos") >= floor)
     first = F.row_number().over(Window.partitionBy("model", "g").orderBy(F.desc("cos"), "other"))
     return hits.withColumn("rn", first).where(F.col("rn") <= k).drop("rn")
 
@@ -336,3 +340,35 @@ def nearest(df: DataFrame, k: int = 5, floor: float = -1.0, target: float = 0.95
     members = members.join(hot.withColumn("is_hot", F.lit(True)), ["model", "g", "salt"], "left").select("model", "g", "id", F.when(F.col("is_hot"), F.col("salt")).otherwise(-1).alias("salt"))
     picked = members.join(both, ["model", "g", "salt"]).select("model", "id", F.posexplode(F.slice(F.filter("near", lambda n: n["other"] != F.col("id")), 1, k)).alias("rank", "n"))
     return picked.select("model", "id", F.col("n.other").alias("other"), F.least(F.lit(1.0), -F.col("n.key")).alias("cos"), (F.col("rank") + 1).alias("rank"))
+
+
+def brute_force(df: DataFrame, k: int = 5, key: str = "chunk_id", vector: str = "embedding", model: str = "model_version", dim: int = 384, is_query: str = "id % 100 = 0", block: int = 512) -> DataFrame:
+    """(model, id, other, cos): the exact k most similar of every query id, against all vectors, for measuring an index.
+
+    Queries are dealt into blocks of about ``block`` and rows over PARTS; a task multiplies one block with one part and keeps k a
+    query. Rows are sent once a block, so this is for a stated set of queries, not for all rows. An id that comes twice counts once.
+    """
+    rows = rows_of(df, dim, key, vector, model).dropDuplicates(["model", "id"])
+    asked = rows.where(is_query)
+    blocks = max(1, -(-asked.count() // block))
+    left = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).withColumn("asks", F.lit(True))
+    right = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).withColumn("asks", F.lit(False))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks = pdf.asks.to_numpy()
+        x = np.frombuffer(b"".join(pdf.v), "f2").astype("f4").reshape(-1, dim)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        ids, q, r = pdf.id.to_numpy(), np.flatnonzero(asks), np.flatnonzero(~asks)
+        out = []
+        if len(q) and len(r):
+            s = x[q] @ x[r].T
+            s[ids[q][:, None] == ids[r][None, :]] = -2
+            for i, row in zip(ids[q].tolist(), s):
+                best = np.argpartition(-row, min(k, len(row) - 1))[:k] if len(row) > 1 else np.zeros(1, int)
+                out += [(i, int(ids[r[j]]), float(row[j])) for j in best if row[j] > -1.5]
+        res = pd.DataFrame(out, columns=["id", "other", "cos"]).astype({"id": "int64", "other": "int64", "cos": "float64"})
+        res.insert(0, "model", pdf.model.iloc[0])
+        return res
+
+    hits = left.unionByName(right).groupBy("model", "block", "part").applyInPandas(run, "model string, id long, other long, cos double")
+    return hits.withColumn("rn", F.row_number().over(Window.partitionBy("model", "id").orderBy(F.desc("cos"), "other"))).where(F.col("rn") <= k).drop("rn")

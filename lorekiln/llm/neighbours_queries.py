@@ -25,5 +25,21 @@ def p5_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return near.select("model", F.col("id").alias("chunk_id"), "rank", F.col("other").alias("neighbour_id"), F.round("cos", 6).alias("cosine"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_nearest)}
-ORACLE_SQL: dict[str, str] = {}
+def p5_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """One row: how many queries p5_nearest has, how many neighbours they have by brute force against all vectors, and whether it
+    finds at least nine tenths of them."""
+    near = p5_nearest(spark, sf).select("model", "chunk_id", "neighbour_id")
+    true = neighbours.brute_force(vectors(spark, sf), k=10, is_query="id % 100 = 0").select("model", F.col("id").alias("chunk_id"), F.col("other").alias("neighbour_id"))
+    both = true.join(near.withColumn("hit", F.lit(1)), ["model", "chunk_id", "neighbour_id"], "left")
+    return both.agg(F.countDistinct("model", "chunk_id").alias("queries"), F.count("*").alias("neighbours"), (F.coalesce(F.sum("hit"), F.lit(0)) >= 0.9 * F.count("*")).alias("recall_reached"))
+
+
+#: Usable vectors as TESTDATA.md has them, one row for each id of a model.
+_USABLE = """SELECT DISTINCT chunk_id, model_version FROM chunk_embeddings WHERE chunk_id IS NOT NULL AND model_version IS NOT NULL AND len(embedding) = 384
+ AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"""
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_nearest, p5_recall)}
+ORACLE_SQL: dict[str, str] = {
+    "p5_recall": f"""WITH v AS ({_USABLE}), n AS (SELECT model_version, count(*) AS n FROM v GROUP BY 1)
+SELECT count(*) AS queries, CAST(sum(least(10, n - 1)) AS BIGINT) AS neighbours, true AS recall_reached FROM v JOIN n USING (model_version) WHERE chunk_id % 100 = 0 AND n > 1""",
+}
