@@ -27,5 +27,16 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.where((F.col("n_segments") > 1) | ~F.col("language").eqNullSafe(F.col("lang"))).select("chunk_id", "segment_no", "lang").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_segments)}
-ORACLE_SQL: dict[str, str] = {}
+def p3_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """For each chunk with letters: whether its segments are in order, apart and numbered from 0, change language each time, and have
+    confidences from 0 to 1."""
+    s = p3_segments(spark, sf).groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("segment_no", "start_char", "end_char", "lang", "confidence"))).alias("s"))
+    pair = lambda f: F.forall(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | f(F.get("s", i - 1), F.get("s", i)))
+    ordered = pair(lambda a, b: (b["start_char"] >= a["end_char"]) & (b["segment_no"] == a["segment_no"] + 1)) & (F.get("s", F.lit(0))["segment_no"] == 0)
+    return s.select("chunk_id", ordered.alias("in_order"), pair(lambda a, b: a["lang"] != b["lang"]).alias("changes"), F.forall("s", lambda x: x["confidence"].between(0, 1) & (x["start_char"] < x["end_char"])).alias("sound"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_segments, p3_invariants)}
+ORACLE_SQL: dict[str, str] = {
+    "p3_invariants": r"SELECT DISTINCT id AS chunk_id, true AS in_order, true AS changes, true AS sound FROM chunks WHERE regexp_matches(text, '\p{L}')",
+}

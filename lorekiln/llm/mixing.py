@@ -61,8 +61,8 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
 def plan(histogram: dict[str, dict[int, int]], targets: dict[str, tuple[float, int]], total: int | None = None) -> tuple[dict[str, tuple[int, dict[int, int]]], int]:
     """For each source the full repeats and the documents of each length once more; and the mixture's size.
 
-    Without ``total`` the mixture is as large as every share can be met at without a source exceeding its repeats. The
-    size then shrinks to what the sources reached, so that a source that misses its budget doesn't skew the shares.
+    Without ``total`` the mixture is as large as every share can be met at without a source exceeding its repeats; with it, a
+    source that cannot reach its budget gives all it may, and the shares reached say so.
     """
     size = {s: sum(k * v for k, v in histogram.get(s, {}).items()) for s in targets}
     most = min((size[s] * cap / share for s, (share, cap) in targets.items() if share > 0 and size[s] > 0), default=0)

@@ -60,17 +60,19 @@ def pack(sized: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
     """Containers of all documents: (lot, container, position, key, piece_no, n_pieces, piece_tokens).
 
     Documents are dealt by a hash of the key into lots of about ``lot_tokens`` tokens, so that a task never holds more
-    than a lot whatever the corpus has; each lot is packed for itself. Null and empty texts (0 tokens) get no container
-    of their own: they are listed with container null and position null. Rows with the same key are separate pieces of
-    work and both are placed. An empty table gives no rows.
+    than a lot whatever the corpus has; each lot is packed for itself. Null and empty texts (null or 0 tokens) get no container
+    of their own: they are listed with container null and position null. Rows with the same key, or with none, are separate
+    pieces of work and all are placed. An empty table gives no rows.
     """
-    p = pieces(sized.where(F.col(key).isNotNull()).select(key, size), capacity, size)
+    p = pieces(sized.select(key, F.coalesce(F.col(size), F.lit(0)).alias(size)), capacity, size)
     total = sized.agg(F.coalesce(F.sum(F.col(size).cast("long")), F.lit(0))).first()[0]
     lots = max(1, round(total / lot_tokens))
-    p = p.withColumn("lot", F.pmod(F.xxhash64(key), F.lit(lots)).cast("int"))
+    # one key may come very often, so its pieces and sizes share the dealing
+    p = p.withColumn("lot", F.pmod(F.xxhash64(key, "piece_no", "piece_tokens"), F.lit(lots)).cast("int"))
     schema = f"lot int, container int, position int, {key} bigint, piece_no int, n_pieces int, piece_tokens int"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf[key] = pdf[key].astype("Int64")
         pdf = pdf.sort_values(["piece_tokens", key, "piece_no"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         filled = pdf[pdf.piece_tokens > 0].copy()
         empty = pdf[pdf.piece_tokens <= 0].copy()
@@ -80,3 +82,22 @@ def pack(sized: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
         return out[["lot", "container", "position", key, "piece_no", "n_pieces", "piece_tokens"]].astype({"container": "Int32", "position": "Int32"})
 
     return p.select("lot", key, "piece_no", "n_pieces", "piece_tokens").groupBy("lot").applyInPandas(run, schema)
+
+
+def first_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Containers by plain first fit of descending sizes, to measure the cost-balanced ones against."""
+    free: list[int] = []
+    place = np.empty(len(sizes), dtype=np.int64)
+    for i, s in enumerate(sizes.tolist()):
+        k = next((k for k, room in enumerate(free) if room >= s), len(free))
+        if k == len(free):
+            free.append(capacity)
+        free[k] -= s
+        place[i] = k
+    return place
+
+
+def cost_spread(sizes: np.ndarray, place: np.ndarray) -> float:
+    """The standard deviation of the sequences' quadratic costs over their mean: 0 where all cost the same."""
+    cost = np.bincount(place, weights=sizes.astype("f8") ** 2)
+    return float(cost.std() / max(cost.mean(), 1e-9))

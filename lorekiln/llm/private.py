@@ -18,7 +18,8 @@ from lorekiln.session import cut
 KINDS = ("email", "address", "phone", "id_number", "name")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
 
-U = "A-ZÀ-ÖØ-Þ"
+#: Capitals of the Latin, Cyrillic and Greek scripts.
+U = "A-ZÀ-ÖØ-ÞА-ЯЁΆΈ-ΏΑ-ΡΣ-Ϋ"
 M = "̀-ͯ"
 CAP = rf"[{U}](?:[\w{M}]|['’](?=\w))+(?:[-‐][{U}](?:[\w{M}]|['’](?=\w))+)*"
 INITIAL = rf"[{U}][{M}]?\."
@@ -250,6 +251,17 @@ def spans(t: str, public: frozenset[str]) -> list[tuple[str, int, int]]:
 ONSETS, VOWELS, CODAS = "b br c cl d dr f g gr j m p t tr v z".split(), "aeiou", ["", "n", "r", "l", "s"]
 SYLLABLES = [o + v + c for o in ONSETS for v in VOWELS for c in CODAS]
 ENDINGS = {"f": [o + "a" for o in ONSETS], "m": [o + v for o in ONSETS for v in ("o", "an", "el", "en", "in", "or")]}
+#: The letters of the syllables in other scripts, one for one.
+SCRIPTS = {
+    "cyrillic": str.maketrans("abcdefgijlmnoprstuvz", "абкдефгижлмнопрстувз"),
+    "greek": str.maketrans("abcdefgijlmnoprstuvz", "αβκδεφγιχλμνοπρστυξζ"),
+}
+#: Titles that tell a person's gender, and given names whose ending doesn't.
+TITLE_GENDER = dict.fromkeys("mr sr hno bro brother father don hermano obispo señor padre tío uncle".split(), 1) | dict.fromkeys("mrs ms miss sra srta hna sister mother doña hermana señora madre tía aunt señorita dra doctora".split(), -1)
+NOT_BY_ENDING = dict.fromkeys("joshua luca elisha ezra nikita borja bautista andrea micah noah jonah isaiah jeremiah никита илья лука фома кузьма".split(), "m") | dict.fromkeys(
+    "carmen isabel ruth esther raquel mercedes dolores pilar rocio consuelo rosario luz beatriz ines elizabeth margaret susan karen jennifer alice anne grace helen jane joan kate mary nancy rachel sarah hannah leah любовь".split(), "f"
+)
+FEMININE = re.compile(r"(?:a|ette|elle|ine|ia|yn|а|я|α|η)$")
 
 
 FIGURES_EN, FIGURES_ES = FIGURES[:1] + FIGURES[2:11], FIGURES[11:]
@@ -270,19 +282,24 @@ def _plain(w: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", w.lower()) if not unicodedata.combining(c))
 
 
-def invented(key: bytes, kind: str, plain: str, turn: int) -> str:
-    """The form that an original gets in its ``turn``, never itself: a mail address (64 bits), or a name of four syllables (over
-    10 to the 9th forms a gender), which keeps the gender of the original's ending."""
+def gender_of(plain: str, votes: int) -> str:
+    """The gender an invented name must have: that of the titles the name has in all documents, else by the name itself."""
+    return "m" if votes > 0 else "f" if votes < 0 else NOT_BY_ENDING.get(plain) or ("f" if FEMININE.search(plain) else "m")
+
+
+def invented(key: bytes, plain: str, gender: str, turn: int) -> str:
+    """The form that a word gets in its ``turn``, never itself: four syllables (over 10 to the 9th forms a gender) in its script."""
     while True:
-        n = _draw(key, kind, plain, str(turn))
-        if kind == "email":
-            new = f"user{n:016x}@example.org"
-        else:
-            ends = ENDINGS["f" if plain.endswith("a") else "m"]
-            n, i = divmod(n, len(ends))
-            new = "".join(SYLLABLES[n // len(SYLLABLES) ** k % len(SYLLABLES)] for k in range(3)) + ends[i]
+        n = _draw(key, "word", plain, str(turn))
+        ends = ENDINGS[gender]
+        n, i = divmod(n, len(ends))
+        new = "".join(SYLLABLES[n // len(SYLLABLES) ** k % len(SYLLABLES)] for k in range(3)) + ends[i]
+        if "а" <= plain[:1] <= "џ":
+            new = new.translate(SCRIPTS["cyrillic"])
+        elif "α" <= plain[:1] <= "ω":
+            new = new.translate(SCRIPTS["greek"])
         if new != plain:
-            return new.capitalize() if kind == "word" else new
+            return new
         turn += 1 << 32
 
 
@@ -307,151 +324,209 @@ def _permuted(key: bytes, n: int, base: int, size: int) -> int:
     return rounds((rounds(n, 1) + 1) % base**size, -1)
 
 
-class Surrogates:
-    """Surrogates: equal originals get equal ones in every document, different originals different ones, and a name's parts are
-    replaced part by part, so that a surname alone still refers to the person named in full.
-
-    Figures and initials are permuted, which needs no check. Names' words and mail addresses are drawn; ``turns`` holds the turns
-    of those whose first draws meet another original's, for all documents. Without it collisions move on among what was asked
-    for so far. ``by`` holds the drawn ones by kind and original."""
-
-    def __init__(self, key: bytes, turns: dict[tuple[str, str], int] | None = None) -> None:
-        self.key, self.turns, self.by, self.used = key, turns or {}, {}, set()
-
-    def _distinct(self, kind: str, original: str) -> str:
-        k = (kind, _plain(original))
-        if k not in self.by:
-            turn = self.turns.get(k, 0)
-            while (kind, new := invented(self.key, *k, turn)) in self.used:
-                turn += 1
-            self.used.add((kind, new))
-            self.by[k] = new
-        return self.by[k]
-
-    def digits(self, old: str) -> str:
-        """Other figures in the places of the figures, of the same number whatever stands between them."""
-        own = [int(c) for c in old if c.isdigit()]
-        if not own:
-            return old
-        new = iter(str(_permuted(self.key, int("".join(map(str, own))), 10, len(own))).zfill(len(own)))
-        return "".join(next(new) if c.isdigit() else c for c in old)
-
-    def word(self, old: str) -> str:
-        folded = _folded(old)
-        if len(folded) == 2 and folded.endswith("."):
-            c = _plain(folded[0])
-            return chr(65 + _permuted(self.key, ord(c) - 97, 26, 1)) + "." if "a" <= c <= "z" and len(c) == 1 else folded
-        return _cased(self._distinct("word", old), old)
-
-    def of(self, kind: str, old: str) -> str:
-        if kind in ("phone", "id_number") and any(c.isdigit() for c in old):
-            return self.digits(old)
-        if kind == "phone":
-            words = list(FIGURE.finditer(old))
-            names = FIGURES_ES if any(_plain(w.group()) in FIGURES_ES for w in words) else FIGURES_EN
-            values = "".join(str(VALUE[_plain(w.group())]) for w in words)
-            new, at = self.digits(values), 0
-            out = []
-            for w, d in zip(words, new):
-                out += [old[at : w.start()], _cased(names[int(d)], w.group())]
-                at = w.end()
-            return "".join([*out, old[at:]])
-        if kind == "email":
-            return self._distinct(kind, old)
-        if kind == "name":
-            out, at = [], 0
-            for u in UNIT.finditer(old):
-                out += [old[at : u.start(2)], self.word(u.group(2))]
-                at = u.end(2)
-            return "".join([*out, old[at:]])
-        return re.sub(r"\d+", lambda m: self.digits(m.group()), ADDRESS_NAME.sub(lambda m: self.word(m.group()), old))
-
-
-def _replace(t: str, found: list[tuple[str, int, int]], by) -> str:
-    out, at = [], 0
-    for kind, a, b in found:
-        out += [t[at:a], by(kind, t[a:b])]
-        at = b
-    return "".join([*out, t[at:]])
+#: The parts of a mail address that are replaced: words and figures, but not the words for @ and dot, nor the last label.
+MAIL_PART = re.compile(rf"(?:{AT.pattern})|{DOT}|[^\W\d_]+|\d+")
+WORDS = re.compile(r"[^\W\d_]+")
+
+
+def parts(kind: str, old: str) -> list[tuple[str, str]]:
+    """What a surrogate is made of, in order: (what, text), what being word (another word for it), figures (others of the same
+    number), initial, spoken (a figure in words) or as (stays)."""
+    out: list[tuple[str, str]] = []
+
+    def add(what: str, text: str) -> None:
+        if text:
+            out.append((what, text))
+
+    def words(text: str) -> None:
+        at = 0
+        for m in WORDS.finditer(text):
+            add("as", text[at : m.start()])
+            add("initial" if len(m.group()) == 1 else "word", m.group())
+            at = m.end()
+        add("as", text[at:])
+
+    at = 0
+    if kind == "name":
+        for u in UNIT.finditer(old):
+            add("as", old[at : u.start(2)])
+            words(u.group(2))
+            at = u.end(2)
+    elif kind == "email":
+        found = list(MAIL_PART.finditer(old))
+        last = max((m.start() for m in found if WORDS.fullmatch(m.group())), default=-1)
+        for m in found:
+            add("as", old[at : m.start()])
+            word, figures = WORDS.fullmatch(m.group()), m.group().isdigit()
+            add("figures" if figures else "word" if word and m.start() != last else "as", m.group())
+            at = m.end()
+    elif kind == "address":
+        names = {m.start(): m.end() for m in ADDRESS_NAME.finditer(old)}
+        for m in re.finditer(r"\d+|\S+", old):
+            if m.start() < at:
+                continue
+            add("as", old[at : m.start()])
+            at = m.end()
+            if m.start() in names:
+                words(old[m.start() : names[m.start()]])
+                at = names[m.start()]
+            else:
+                add("figures" if m.group().isdigit() else "as", m.group())
+    elif any(c.isdigit() for c in old):
+        add("number", old)
+        at = len(old)
+    else:
+        for m in FIGURE.finditer(old):
+            add("as", old[at : m.start()])
+            add("spoken", m.group())
+            at = m.end()
+    add("as", old[at:])
+    return out
+
+
+def plain_words(kind: str, old: str) -> list[str]:
+    """The words of an original that are replaced by drawn ones, in plain form."""
+    return [_plain(_folded(t)) for what, t in parts(kind, old) if what == "word"]
+
+
+def surrogate(key: bytes, kind: str, old: str, forms: dict[str, str]) -> str:
+    """The surrogate of an original; ``forms`` holds the drawn form of each of its words. Figures and initials are permuted."""
+
+    def digits(text: str) -> str:
+        own = [int(c) for c in text if c.isdigit()]
+        new = iter(str(_permuted(key, int("".join(map(str, own))), 10, len(own))).zfill(len(own)))
+        return "".join(next(new) if c.isdigit() else c for c in text)
+
+    def initial(text: str) -> str:
+        c = _plain(text)
+        new = chr(97 + _permuted(key, ord(c) - 97, 26, 1)) if "a" <= c <= "z" and len(c) == 1 else c
+        return new.upper() if text.isupper() else new
+
+    def word(text: str) -> str:
+        folded = _folded(text)
+        new = forms[_plain(folded)]
+        return new.upper() if folded.isupper() and len(folded) > 1 else new if folded.islower() else new.capitalize()
+
+    split = parts(kind, old)
+    spoken = [t for what, t in split if what == "spoken"]
+    names = FIGURES_ES if any(_plain(t) in FIGURES_ES for t in spoken) else FIGURES_EN
+    told = iter(digits("".join(str(VALUE[_plain(t)]) for t in spoken))) if spoken else iter(())
+    by = {"as": lambda t: t, "word": word, "figures": digits, "number": digits, "initial": initial, "spoken": lambda t: _cased(names[int(next(told))], t)}
+    return "".join(by[what](t) for what, t in split)
+
+
+def _vote(before: str) -> int:
+    """What the title before a name says of the person: 1 a man, -1 a woman, 0 nothing."""
+    last = before.split()[-1:] if before[-1:].isspace() else []
+    return TITLE_GENDER.get(_folded(last[0]).lower().rstrip("."), 0) if last else 0
 
 
 def detect(df: DataFrame, public_names: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, kind, start_char, end_char): one row for each occurrence. One Arrow pass without a shuffle.
+    """(key, text_hash, kind, start_char, end_char, original, vote): one row for each occurrence. One Arrow pass without a shuffle.
 
     ``public_names``: names of known entities and their aliases (a table of fixed size), which aren't private people. Null and
-    empty texts give nothing; other columns are ignored; repeated rows give repeated occurrences.
+    empty texts give nothing; other columns are ignored; repeated rows give repeated occurrences. ``vote`` is for a whole name
+    what the title before it says of the gender. Names are found in Latin, Cyrillic and Greek letters; scripts without
+    capitals aren't covered.
     """
     public = frozenset(_folded(n) for n in public_names if n and n[:1].isupper())
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32())
+    names = [key, "text_hash", "kind", "start_char", "end_char", "original", "vote"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, kinds, starts, ends = [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            rows = []
+            for i, h, t in zip(*(b.column(k).to_pylist() for k in range(3))):
                 for kind, a, z in spans(t, public) if t else ():
-                    ids.append(i)
-                    kinds.append(kind)
-                    starts.append(a)
-                    ends.append(z)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=[key, "kind", "start_char", "end_char"])
+                    one = t[a:z]
+                    rows.append((i, h, kind, a, z, one, _vote(t[max(0, a - 16) : a]) if kind == "name" and len(one.split()) > 1 else 0))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=names)
+
+    rows = df.select(F.col(key).cast("long").alias(key), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).where("text is not null")
+    return rows.mapInArrow(run, f"{key} long, text_hash long, kind string, start_char int, end_char int, original string, vote int")
 
-    return df.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).where(F.col(text).isNotNull()).mapInArrow(run, f"{key} long, kind string, start_char int, end_char int")
 
+def drawn_forms(words: DataFrame, key: bytes, draw=invented) -> DataFrame:
+    """(plain, form) of the distinct words of ``words`` (plain, vote): keyed draws, different for different words.
 
-def originals(texts: DataFrame, public: frozenset[str], key: bytes) -> DataFrame:
-    """(kind, original): the distinct words of names and mail addresses, in their plain form, of one column of texts."""
+    Of several words that draw the same form the first in order keeps it, the others draw again, until no two meet; all of it
+    by windows over the forms, so nothing comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = Surrogates(key)
-            for t in b.column(0).to_pylist():
-                for kind, a, z in spans(t, public) if t else ():
-                    s.of(kind, t[a:z])
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in s.by], pa.string()), pa.array([x[1] for x in s.by], pa.string())], names=["kind", "original"])
+            plain, votes, turns = (b.column(k).to_pylist() for k in range(3))
+            forms = [draw(key, p, gender_of(p, v), t) for p, v, t in zip(plain, votes, turns)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(forms, pa.string())], names=["plain", "votes", "turn", "form"])
 
-    return cut(texts.mapInArrow(run, "kind string, original string").distinct())
+    state = words.groupBy("plain").agg(F.sum("vote").alias("votes")).withColumn("turn", F.lit(0).cast("long"))
+    while True:
+        state = state.mapInArrow(run, "plain string, votes long, turn long, form string")
+        ranked = cut(state.withColumn("rn", F.row_number().over(Window.partitionBy("form").orderBy("turn", "plain"))))
+        if ranked.where("rn > 1").isEmpty():
+            return ranked.select("plain", "form")
+        state = ranked.select("plain", "votes", F.when(F.col("rn") > 1, F.col("turn") + 1).otherwise(F.col("turn")).alias("turn"))
 
 
-def moved(found: DataFrame, key: bytes, draw=invented) -> dict[tuple[str, str], int]:
-    """The turns of originals whose earlier draws meet another one's; the first in order keeps the form, until no two meet.
+def replacements(df: DataFrame, public_names: list[str], secret: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text_hash, kind, start_char, end_char, surrogate): one row for each occurrence, repeated rows once, with its keyed
+    surrogate.
 
-    Only those that meet come to the driver: some n * n / 3e9 of n distinct words, 300 of a million."""
-    turns: dict[tuple[str, str], int] = {}
-    while True:
+    Equal originals get equal surrogates in every document, different ones different ones, and a name's parts are replaced word by
+    word, so that a surname alone still refers to the person named in full. A surrogate has its original's kind, script, case and
+    format (hyphens, initials, separators, how @ and dots are written), and a given name's gender: that of the titles it has
+    in all documents, else by a table and its ending. ``secret`` keys everything. Null keys are kept as they are.
+    """
+    k = secret.encode()
+    found = cut(detect(df, public_names, key, text).distinct())
+    place = [key, "text_hash", "kind", "start_char", "end_char"]
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                forms = [draw(key, k, o, turns.get((k, o), 0)) for k, o in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(forms, pa.string())], names=["kind", "original", "form"])
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for kind, old, vote in zip(*(b.column(c).to_pylist() for c in range(3))):
+                rows += [(w, vote if i == 0 else 0) for i, w in enumerate(plain_words(kind, old))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[], []], (pa.string(), pa.int32()))], names=["plain", "vote"])
 
-        w = Window.partitionBy("kind", "form").orderBy("original")
-        met = found.mapInArrow(run, "kind string, original string, form string").withColumn("rn", F.row_number().over(w)).where("rn > 1").select("kind", "original").collect()
-        if not met:
-            return turns
-        for r in met:
-            turns[r["kind"], r["original"]] = turns.get((r["kind"], r["original"]), 0) + 1
+    forms = drawn_forms(found.select("kind", "original", "vote").mapInArrow(split, "plain string, vote int"), k)
 
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(kind, old, w) for kind, old in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for w in plain_words(kind, old) or [None]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else [[]] * 3)], names=["kind", "original", "plain"])
 
-def masked(df: DataFrame, public_names: list[str], secret: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text, surrogate_text, n_found): the text with typed placeholders, and with keyed surrogates in their stead.
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = [surrogate(k, kind, old, dict(pairs)) for kind, old, pairs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), ([(x["plain"], x["form"]) for x in row] for row in b.column(2).to_pylist()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new, pa.string())], names=["kind", "original", "surrogate"])
 
-    Texts without personal information come out as they are, nulls as null. Surrogates depend on ``secret`` and the original, so
-    equal originals match across documents and different ones differ; only where two originals of the corpus draw the same
-    form, one of them moves on. For that a first pass gathers the distinct originals.
-    """
-    public = frozenset(_folded(n) for n in public_names if n and n[:1].isupper())
-    k = secret.encode()
-    rows = df.select(F.col(key).cast("long").alias(key), F.col(text).alias(text))
-    turns = moved(originals(rows.select(text), public, k), k)
+    # different originals only, however often they occur
+    originals = found.select("kind", "original").distinct().mapInArrow(listed, "kind string, original string, plain string")
+    plain, drawn = originals.where("plain is null").select("kind", "original", F.array().cast("array<struct<plain:string,form:string>>").alias("forms")), originals.where("plain is not null").join(forms, "plain").groupBy("kind", "original").agg(F.collect_set(F.struct("plain", "form")).alias("forms"))
+    table = cut(plain.unionByName(drawn).mapInArrow(made, "kind string, original string, surrogate string"))
+    return found.join(table, ["kind", "original"]).select(*place, "surrogate")
+
+
+def masked(df: DataFrame, public_names: list[str], secret: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text, surrogate_text, n_found): the text with typed placeholders, and with keyed surrogates in their stead; see
+    ``replacements``. Texts without personal information come out as they are, nulls as null, repeated rows each."""
+    found = replacements(df, public_names, secret, key, text).groupBy(key, "text_hash").agg(F.sort_array(F.collect_list(F.struct("start_char", "end_char", "kind", "surrogate"))).alias("found"))
+    # the occurrences of one text
+    rows = df.select(F.col(key).cast("long").alias(key), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).alias("r")
+    same = F.col(f"r.{key}").eqNullSafe(F.col(f"f.{key}")) & (F.col("r.text_hash") == F.col("f.text_hash"))
+    both = rows.join(found.alias("f"), same, "left").select(f"r.{key}", "r.text", "f.found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             plain, fake, n = [], [], []
-            for t in b.column(1).to_pylist():
-                found = spans(t, public) if t else []
-                s = Surrogates(k, turns)
-                plain.append(_replace(t, found, lambda kind, old: PLACEHOLDER[kind]) if t else t)
-                fake.append(_replace(t, found, s.of) if t else t)
-                n.append(len(found))
+            for t, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                kept, new, at = [], [], 0
+                for f in found or ():
+                    kept += [t[at : f["start_char"]], PLACEHOLDER[f["kind"]]]
+                    new += [t[at : f["start_char"]], f["surrogate"]]
+                    at = f["end_char"]
+                plain.append("".join([*kept, t[at:]]) if found else t)
+                fake.append("".join([*new, t[at:]]) if found else t)
+                n.append(len(found or ()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(plain, pa.string()), pa.array(fake, pa.string()), pa.array(n, pa.int32())], names=[key, "text", "surrogate_text", "n_found"])
 
-    return rows.mapInArrow(run, f"{key} long, text string, surrogate_text string, n_found int")
+    return both.mapInArrow(run, f"{key} long, text string, surrogate_text string, n_found int")
