@@ -7,11 +7,23 @@ from pyspark.sql import functions as F
 
 #: Letters and their plain forms.
 FOLD = ("áàâãäéèêëíìîïóòôõöúùûüñç", "aaaaaeeeeiiiiooooouuuunc")
-#: Pronouns, archaic verbs and sentence openers that are no names; URL, markup, heading and unit patterns.
+#: Pronouns and archaic verbs that are no names; words that open Spanish sentences; measures; top-level domains.
 PRONOUNS = "thou thee thy thine ye he she it him her us we they them el él ella ellos ellas nos nosotros yo tú tu su mi me te se".split()
 ARCHAIC = "hath saith spake smote doth shalt wilt cometh goeth maketh taketh dwelt begat".split()
-OPENERS = "Así Entonces Cuando Mientras Aunque Porque Pues Desde Hasta Luego Conforme Mas Sino Tampoco También Quizás Quizá Acaso Apenas Después Antes Siempre Nunca Jamás Quien Quienes".split()
-UNITS = "meter metro mile milla foot feet pie inch pulgada degree grado percent yard yarda pound libra gram gramo liter litro second segundo minute minuto hour hora year año ano day día dia cubit codo".split()
+OPENERS = "Así Entonces Cuando Cuándo Mientras Aunque Porque Pues Desde Hasta Luego Conforme Mas Sino Tampoco También Quizás Quizá Acaso Apenas Después Antes Siempre Nunca Jamás Quien Quienes Quién Quiénes".split()
+UNITS = r"meter metro kilometer kil[oó]metro mile milla foot feet pie inch pulgada degree grado percent por\s*ciento cent[ií]metro cent[ií]grade yard yarda ounce onza pound libra gram gramo liter litro second segundo minute minuto hour hora year a[ñn]o day d[ií]a cubit codo".split(" ")
+DOMAINS = "org com net edu gov io".split()
+#: Names and abbreviations of books, English and Spanish, as patterns of the part they share and its endings.
+BOOKS = (
+    "gen(esis)? génesis exod(us|o)? ex éxodo lev(iticus|[íi]tico)? num(bers|eros)? n[uú]meros deut(eronom(y|io))? josh(ua)? josu[ée] judg(es)? jueces ruth rut sam(uel)? k(in)?gs? reyes chr(on(icles)?)? cr[oó]n(icas)? "
+    "ezra esdras neh(emiah|em[íi]as)? esth(er)? ester job ps(alms?|\\.)? salmos? prov(erbs|erbios)? eccl(esiastes|esiast[eé]s)? song(s)? cant(ares)? isa(iah|[íi]as)? jer(emiah|em[íi]as)? lam(entations|entaciones)? "
+    "ezek(iel)? ezequiel dan(iel)? hos(ea)? oseas joel amos am[oó]s obad(iah|[íi]as)? abd[íi]as jon(ah|[aá]s)? mic(ah)? miqueas nah(um|[uú]m)? hab(akkuk|acuc)? zeph(aniah)? sofon[íi]as hag(gai|eo)? zech(ariah)? zec zacar[íi]as mal(achi|aqu[íi]as)? "
+    "matt(hew)? mt mateo mark mk marcos luke lk lucas john jn juan acts hechos rom(ans|anos)? ro cor(inthians|intios)? gal(atians|atas|átas)? eph(esians|esios)? phil(ippians|ipenses)? col(ossians|osenses)? thess(alonians)? tesalonicenses "
+    "tim(othy|oteo)? tit(us|o)? phlm filem[oó]n heb(rews|reos)? jas james jms santiago pet(er)? pedro jude judas rev(elation)? rv apocalipsis "
+    "nephi nefi jacob enos en[óo]s jarom omni mosiah mos[íi]ah alma hel(aman|am[áa]n)? mormon morm[óo]n ether [ée]ter moroni d(&|y)c dc dyc moses mois[ée]s abr(aham)? jsh jsm js-h js-m"
+).split()
+#: Chapter and verse right after a name, which make it a citation's book.
+CITATION = r"\.?\s+\d{1,3}:\d{1,3}(?:[-–]\d{1,3})?"
 STOP_WORDS = "a al an and are as at be but by con de del el en es for from had has have he her his in is it la las lo los más no of on or para pero por que se she sin su the their they this to un una was were who with y".split()
 
 
@@ -32,6 +44,16 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 
 
+#: Pairs of characters that double decoding leaves; signs that begin no name.
+MOJIBAKE = "Ã[¡¢£¤¥¦§¨©ª«®¯°±²³´µ¶·¸¹º»Ã]|â€[™œ\u009d\u009ctm\\s]|Â[\u00ad·¦¥]|Ï[Î€¬†]|[ÏÎ]{2,}"
+LEADING = r"^[\x{2022}\x{2023}\x{25E6}\x{2043}\x{2219}\x{B7}\x{21A9}\x{2190}-\x{21FF}\x{2070}-\x{209F}\[({<*+=|\\/~_\-\x{2010}-\x{2015}]"
+
+
+def _word(words: list[str], end: str = "") -> str:
+    """A pattern for one of the words between signs that are no letters, figures or underscores."""
+    return rf"(^|[^\p{{L}}\p{{N}}_])({'|'.join(words)}){end}([^\p{{L}}\p{{N}}_]|$)"
+
+
 def garbage_rules(c: Column) -> list[tuple[str, Column]]:
     """(reason, condition) in order of precedence, for a trimmed name."""
     n = F.length(c)
@@ -44,17 +66,17 @@ def garbage_rules(c: Column) -> list[tuple[str, Column]]:
         ("too_short", n < 3),
         ("too_long", n > 80),
         ("all_punct", alnum == 0),
-        ("url_like", low.rlike(r"https?://|www\.|[a-z0-9][a-z0-9-]*\.(org|com|net|edu|gov|io)\b")),
-        ("html_fragment", c.rlike(r"<\s*/?\s*[a-z][a-z0-9]*(\s+[^>]*)?>|&(amp|lt|gt|quot|nbsp|#[0-9]+);")),
-        ("mojibake", c.rlike("Ã[¡-»Ã]|â€[™œ]|Â[­·¦¥]")),
-        ("scripture_ref", c.rlike(r"^\s*(\d\s+)?[\p{L}.&]+(\s[\p{L}]+)?\s+\d+[:.]\s*\d+")),
-        ("archaic_verb", low.rlike(r"(^|[^\p{L}])(" + "|".join(ARCHAIC) + r")([^\p{L}]|$)")),
+        ("url_like", low.rlike(rf"https?://|www\.|[a-z0-9][a-z0-9-]*\.({'|'.join(DOMAINS)})\b")),
+        ("html_fragment", c.rlike(r"<\s*/?\s*[a-z][a-z0-9]*(\s+[^>]*)?>|\b(id|class|href|src|rel|style|data-\w+)\s*=\s*[\"']|&(amp|lt|gt|quot|nbsp|#[0-9]+);")),
+        ("mojibake", c.rlike(MOJIBAKE)),
+        ("scripture_ref", low.rlike(rf"^\s*((read|ver|véase|see)\s+)?(\d\s+)?({'|'.join(BOOKS)})\.?\s+\d+")),
+        ("archaic_verb", low.rlike(_word(ARCHAIC))),
         ("xref_fragment", low.rlike("^(see |véase )")),
         ("pronoun_stopword", low.isin(PRONOUNS)),
-        ("leading_punct", c.rlike(r"^[•‣◦·\[({<*+=|\\/~_-]")),
+        ("leading_punct", c.rlike(LEADING)),
         ("markdown_heading", c.rlike(r"^#{1,6}\s|\s#{2,}\s*$|^#{2,}$")),
-        ("measurement", low.rlike(r"(^|[^\p{L}])(" + "|".join(UNITS) + r")s?([^\p{L}]|$)") & (digits >= 0.18 * alnum)),
-        ("sentence_fragment_es", c.rlike("^(" + "|".join(OPENERS) + r")\s+\S")),
+        ("measurement", low.rlike(_word(UNITS, "s?")) & (digits >= 0.18 * alnum)),
+        ("sentence_fragment_es", c.rlike("^(" + "|".join(OPENERS) + r")\s+[\p{L}\p{N}_]")),
         ("lowercase_token", c.rlike("^[a-záéíóúñüç]+$")),
     ]
 

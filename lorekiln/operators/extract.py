@@ -6,6 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lorekiln.functions.text import FOLD
+
+
+#: The relation that two entities of one text have by their types, in either order. Two of the same type are a rule too.
+TYPE_RULES = {
+    ("person", "place"): "ASSOCIATED_WITH", ("person", "concept"): "TEACHES", ("person", "people"): "BELONGS_TO", ("person", "object"): "ASSOCIATED_WITH", ("concept", "scripture"): "REFERENCED_IN", ("person", "scripture"): "REFERENCED_IN",
+    ("person", "person"): "CO_OCCURS_WITH", ("concept", "concept"): "RELATED_TO", ("person", "period"): "LIVED_DURING", ("place", "period"): "EXISTS_DURING", ("role", "organization"): "PRESIDES_OVER", ("role", "unit"): "PRESIDES_OVER",
+    ("role", "ordinance"): "AUTHORIZED_TO_PERFORM", ("role", "council"): "MEMBER_OF", ("role", "meeting"): "CONDUCTS_INTERVIEW", ("role", "fund"): "MANAGES_FUND", ("role", "program"): "OVERSEES", ("organization", "unit"): "ORGANIZED_UNDER",
+    ("ordinance", "ordinance"): "PREREQUISITE_FOR", ("ordinance", "concept"): "COVENANT_OF", ("policy", "ordinance"): "GOVERNS_POLICY", ("role", "role"): "REPORTS_TO", ("unit", "unit"): "UNIT_CONTAINS", ("organization", "organization"): "RELATED_TO",
+    ("program", "organization"): "ORGANIZED_UNDER", ("document", "concept"): "RELATED_TO",
+}
+#: Up to so many different first words become literals of a filter; more meet the texts in a join.
+FIRST_WORDS = 5_000
+
 
 def gazetteer(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """(term, entity_id, entity_type, n): normalised names and aliases with all their senses."""
@@ -17,34 +31,62 @@ def gazetteer(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     return g.select("term", "entity_id", "entity_type").distinct().withColumn("n", F.size(F.split("term", " ")))
 
 
-def mentions(docs: DataFrame, key: str, text: str, dictionary: DataFrame, longest: int = 5) -> DataFrame:
-    """(key, entity_id, entity_type, pos, n): dictionary terms on whole words, the longest at a place first and none within a
-    longer one; one row for each entity of a text, at its first place.
+def mentions(docs: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
+    """(key, entity_id, entity_type, pos, n): dictionary terms on whole words, read from the left, the longest at a place, without
+    overlaps; all senses of a term count, and an entity once a text, at its first place.
 
-    Word n-grams meet the dictionary in an equi-join, so the cost doesn't grow with the dictionary. Overlaps are resolved per
-    text: a hit goes if a longer hit covers it.
+    Only places whose word opens a term are looked at, and only grams of lengths the dictionary has, however long; they meet it in an
+    equi-join. A term directly before chapter and verse is a citation's book and no mention. Null texts give none.
     """
-    from lorekiln.functions.text import normalised
-
-    words = docs.select(key, F.split(normalised(F.col(text)), " ").alias("w"))
-    grams = words.select(key, "w", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w")))).alias("n")).select(key, "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))).alias("pos", "term"))
-    hits = grams.join(dictionary, ["term", "n"]).select(key, "pos", "n", "entity_id", "entity_type")
-    spans = hits.groupBy(key).agg(F.collect_set(F.struct("pos", "n")).alias("spans"))
-    covered = F.exists("spans", lambda s: (s["n"] > F.col("n")) & (s["pos"] <= F.col("pos")) & (s["pos"] + s["n"] >= F.col("pos") + F.col("n")))
-    free = hits.join(spans, key).where(~covered)
-    return free.groupBy(key, "entity_id", "entity_type").agg(F.min(F.struct("pos", "n")).alias("at")).select(key, "entity_id", "entity_type", F.col("at.pos").alias("pos"), F.col("at.n").alias("n"))
-
-
-def cooccurrence(found: DataFrame, key: str, rules: dict[tuple[str, str], str], default: str = "CO_OCCURS_WITH") -> DataFrame:
-    """(a, b, rel_type, texts): pairs of entities of one text, smaller id first, typed by their two types, with the number of
-    texts. Pairs are counted as they arise, so only distinct pairs are shuffled on."""
-    x = found.select(key, F.col("entity_id").alias("a"), F.col("entity_type").alias("ta"))
-    y = found.select(key, F.col("entity_id").alias("b"), F.col("entity_type").alias("tb"))
-    kind = F.lit(None).cast("string")
-    for (s, t), r in rules.items():
-        kind = F.coalesce(kind, F.when(((F.col("ta") == s) & (F.col("tb") == t)) | ((F.col("ta") == t) & (F.col("tb") == s)), F.lit(r)))
-    pairs = x.join(y, key).where("a < b").withColumn("rel_type", F.coalesce(kind, F.lit(default)))
-    return pairs.groupBy("a", "b", "rel_type").agg(F.count("*").alias("texts"))
+    from lorekiln.functions.text import CITATION, normalised
+
+    g = dictionary.select("term", "n", "entity_id", "entity_type").where("term <> ''")
+    lengths = sorted(r["n"] for r in g.select("n").distinct().collect())  # at most as many as the longest term has words
+    firsts = g.select(F.substring_index("term", " ", 1).alias("w")).distinct()
+    some = [r["w"] for r in firsts.limit(FIRST_WORDS + 1).collect()]
+    cited = F.regexp_replace(F.lower(F.col(text)), CITATION, " \x01 ")  # a mark in place of chapter and verse
+    words = F.split(F.trim(F.regexp_replace(F.translate(cited, *FOLD), "[^a-z0-9\x01]+", " ")), " ")
+    d = docs.where(F.col(text).isNotNull()).select(key, words.alias("w"))
+    grams = lambda p: F.filter(F.transform(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: F.struct(p.cast("int").alias("pos"), n.alias("n"), F.array_join(F.slice("w", p + 1, n), " ").alias("term"), F.coalesce(F.get("w", p + n) == "\x01", F.lit(False)).alias("cited"))), lambda x: (x["pos"] + x["n"] <= F.size("w")) & ~x["cited"])
+    places = F.sequence(F.lit(0), F.size("w") - 1)
+    if len(some) <= FIRST_WORDS:
+        opening = F.filter(places, lambda i: F.get("w", i).isin(some))
+        found = d.select(key, F.explode(F.flatten(F.transform(opening, grams))).alias("x"))
+    else:  # too many first words for a filter: the places meet them by a join
+        at = d.select(key, "w", F.posexplode("w").alias("p", "first")).join(firsts.withColumnRenamed("w", "first"), "first", "left_semi")
+        found = at.select(key, F.explode(grams(F.col("p"))).alias("x"))
+    hits = found.select(key, "x.pos", "x.n", "x.term").join(g, ["term", "n"]).select(key, "pos", "n", "entity_id", "entity_type")
+    # the hits of one text, a fold from the left
+    senses = hits.groupBy(key, "pos", "n").agg(F.collect_set(F.struct("entity_id", "entity_type")).alias("senses"))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", (-F.col("n")).alias("k"), "senses")))
+    kind = hits.schema["entity_type"].dataType.simpleString()
+    ids = hits.schema["entity_id"].dataType.simpleString()
+    row = f"array<struct<pos:int,n:int,senses:array<struct<entity_id:{ids},entity_type:{kind}>>>>"
+    step = lambda a, x: F.when(x["pos"] >= a["end"], F.struct((x["pos"] - x["k"]).alias("end"), F.concat(a["out"], F.array(F.struct(x["pos"].alias("pos"), (-x["k"]).alias("n"), x["senses"].alias("senses")))).alias("out"))).otherwise(a)
+    kept = senses.groupBy(key).agg(ordered.alias("h")).select(key, F.explode(F.aggregate("h", F.struct(F.lit(0).alias("end"), F.array().cast(row).alias("out")), step, lambda a: a["out"])).alias("x"))
+    each = kept.select(key, F.col("x.pos").alias("pos"), F.col("x.n").alias("n"), F.explode("x.senses").alias("s")).select(key, "pos", "n", "s.entity_id", "s.entity_type")
+    return each.groupBy(key, "entity_id", "entity_type").agg(F.min(F.struct("pos", "n")).alias("at")).select(key, "entity_id", "entity_type", F.col("at.pos").alias("pos"), F.col("at.n").alias("n"))
+
+
+def cooccurrence(found: DataFrame, key: str, rules: dict[tuple[str, str], str], default: str = "CO_OCCURS_WITH", curated: DataFrame | None = None) -> DataFrame:
+    """(a, b, rel_type, texts): pairs of different entities of one text with their relation and the number of texts.
+
+    ``curated`` (src, dst, rel_type, one row a pair) goes before the rules and gives the direction; other pairs are typed by their
+    types and stand smaller id first. A text's entities are listed once and paired within its row, so no join multiplies
+    them; pairs are counted before they are shuffled. Types that no rule names have the default.
+    """
+    one = found.groupBy(key).agg(F.sort_array(F.collect_set(F.struct(F.col("entity_id").alias("e"), F.col("entity_type").alias("t")))).alias("es"))
+    pairs = one.select(key, "es", F.posexplode("es").alias("i", "x")).select(key, "x", F.explode(F.slice("es", F.col("i") + 2, F.greatest(F.lit(0), F.size("es") - F.col("i") - 1))).alias("y")).where("x.e <> y.e")
+    kind = F.lit(default)
+    for (s, t), r in reversed(list(rules.items())):
+        kind = F.when(((F.col("x.t") == s) & (F.col("y.t") == t)) | ((F.col("x.t") == t) & (F.col("y.t") == s)), F.lit(r)).otherwise(kind)
+    counts = pairs.select(F.col("x.e").alias("a"), F.col("y.e").alias("b"), kind.alias("rel_type")).groupBy("a", "b", "rel_type").agg(F.count("*").alias("texts"))
+    if curated is None:
+        return counts
+    c = curated.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.struct("src", "dst", "rel_type").alias("c")).groupBy("a", "b").agg(F.min("c").alias("c"))
+    both = counts.groupBy("a", "b").agg(F.sum("texts").alias("all_texts"), F.collect_list(F.struct("rel_type", "texts")).alias("by")).join(c, ["a", "b"], "left")
+    typed = both.withColumn("r", F.explode(F.when(F.col("c").isNotNull(), F.array(F.struct(F.col("c.rel_type").alias("rel_type"), F.col("all_texts").alias("texts")))).otherwise(F.col("by"))))
+    return typed.select(F.coalesce("c.src", "a").alias("a"), F.coalesce("c.dst", "b").alias("b"), "r.rel_type", "r.texts")
 
 
 def chain(df: DataFrame, keys: list[str], order: list, value: str) -> DataFrame:
@@ -62,8 +104,18 @@ def verse_ranges(df: DataFrame, key: str, reference: str) -> DataFrame:
     return x.where("chapter is not null and lo is not null").distinct()
 
 
-def overlapping(ranges: DataFrame, key: str) -> DataFrame:
-    """(a, b): keys of overlapping ranges, the smaller first: an equi-join on book and chapter, then the range."""
-    x = ranges.withColumnRenamed(key, "a")
-    y = ranges.select(F.col(key).alias("b"), "book", "chapter", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    return x.join(y, ["book", "chapter"]).where("a < b and lo <= hi2 and lo2 <= hi").select("a", "b").distinct()
+def overlapping(ranges: DataFrame, key: str, width: int = 8) -> DataFrame:
+    """(a, b): keys of overlapping ranges, the smaller first.
+
+    Equal ranges, which many keys may share, are compared once: distinct ranges meet in buckets of ``width`` verses, and a pair is
+    looked at only in the bucket where the later of the two begins. The keys then join on their range. A range turned round has none.
+    """
+    r = ranges.where("lo <= hi")
+    own = r.select(key, F.struct("book", "chapter", "lo", "hi").alias("r"))
+    one = r.select("book", "chapter", "lo", "hi").distinct()
+    cells = one.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
+    other = cells.select("book", "chapter", "cell", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    pairs = cells.join(other, ["book", "chapter", "cell"]).where((F.col("lo") <= F.col("hi2")) & (F.col("lo2") <= F.col("hi")) & (F.col("cell") == F.floor(F.greatest("lo", "lo2") / width)))
+    pairs = pairs.select(F.struct("book", "chapter", "lo", "hi").alias("x"), F.struct("book", "chapter", F.col("lo2").alias("lo"), F.col("hi2").alias("hi")).alias("y"))
+    left, right = own.select(F.col(key).alias("a"), F.col("r").alias("x")), own.select(F.col(key).alias("b"), F.col("r").alias("y"))
+    return left.join(pairs, "x").join(right, "y").where("a < b").select("a", "b").distinct()

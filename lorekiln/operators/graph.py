@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorekiln.functions import text as T
+from lorekiln.functions.arrays import small
 from lorekiln.session import cut
 
 #: Tiers of confidence from the surest on; others rank after them.
@@ -33,18 +34,25 @@ def neighbours(entities: DataFrame, edges: DataFrame, ids: list[int], floor: str
     return hit.join(named, "b").withColumn("tier", T.ranked(F.col("confidence"), TIERS))
 
 
+def _steps(edges: DataFrame, front: DataFrame) -> DataFrame:
+    """(from, b): undirected steps from the nodes of ``front`` (id). The front meets each end of the edges before anything is made
+    distinct or doubled; while it is small it is broadcast, so the edges aren't shuffled."""
+    f = small(front.select(F.col("id").alias("from")))
+    out = edges.select(F.col("src").alias("from"), F.col("dst").alias("b")).join(f, "from")
+    return out.unionByName(edges.select(F.col("dst").alias("from"), F.col("src").alias("b")).join(f, "from"))
+
+
 def within_hops(edges: DataFrame, ids: list[int], depth: int) -> DataFrame:
     """(id, hops): nodes at most ``depth`` undirected steps away, each once, at its least distance; the seeds have 0.
 
     A loop of joins with an anti join on what was seen: polynomial where enumerating paths would explode.
     """
     spark = edges.sparkSession
-    both = both_ways(edges).select("a", "b").distinct()
     seen = spark.createDataFrame([(i, 0) for i in dict.fromkeys(ids)], "id long, hops int")
     front = seen
     for d in range(1, depth + 1):
-        step = front.join(both, front["id"] == both["a"]).select(F.col("b").alias("id")).distinct()
-        front = cut(step.join(seen, "id", "left_anti").withColumn("hops", F.lit(d)))
+        step = _steps(edges, front).select(F.col("b").alias("id")).distinct()
+        front = cut(step.join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(d)))
         if front.isEmpty():
             break
         seen = cut(seen.unionByName(front))
@@ -54,14 +62,13 @@ def within_hops(edges: DataFrame, ids: list[int], depth: int) -> DataFrame:
 def shortest_path(edges: DataFrame, start: int, goal: int, most: int = 12) -> DataFrame:
     """(hops, path): one shortest undirected path, of equal ones the one whose ids are least; none gives no row."""
     spark = edges.sparkSession
-    both = both_ways(edges).select("a", "b").distinct()
     front = spark.createDataFrame([(start, [start])], "id long, path array<long>")
     seen = front.select("id")
     for hops in range(most + 1):
         hit = front.where(F.col("id") == goal)
         if not hit.isEmpty():
             return hit.select(F.lit(hops).alias("hops"), F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
-        step = front.join(both, front["id"] == both["a"]).select(F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path"))
+        step = _steps(edges, front).distinct().join(front, F.col("from") == front["id"]).select(F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path"))
         front = cut(step.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
         if front.isEmpty():
             break
@@ -84,32 +91,37 @@ def descendants(edges: DataFrame, root: int, depth: int) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def pagerank(edges: DataFrame, seeds: list[int], alpha: float = 0.5, steps: int = 20, tolerance: float = 1e-6) -> DataFrame:
-    """(id, score): personalised PageRank on the subgraph of the seeds and their neighbours.
+def pagerank(edges: DataFrame, seeds: list[int], alpha: float = 0.5, steps: int = 20, tolerance: float = 1e-6, k: int | None = None) -> DataFrame:
+    """(id, score): personalised PageRank on the subgraph of the seeds and their neighbours, the ``k`` best if given.
 
-    alpha is the weight of the restart; mass starts evenly; the restart is spread over all seeds given, found or not. Nodes
-    without neighbours take an even share of the whole mass. Edges count once in each direction, whatever their types.
+    alpha is the weight of the restart, which is spread over all seeds; mass starts evenly. An edge counts once in each direction,
+    whatever its types; a loop counts twice at its node. A node without edges takes an even share of the whole mass. Steps end
+    as soon as the scores differ by less than ``tolerance`` in all, at the latest after ``steps``. Seeds that no edge has give
+    no row, unless another seed has one.
     """
-    both = both_ways(edges).select("a", "b").where("a <> b").distinct()
-    core = cut(both.where(F.col("a").isin(seeds)).select(F.col("b").alias("id")).union(both.where(F.col("a").isin(seeds)).select("a")).distinct())
-    sub = both.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi")
-    degree = sub.groupBy("a").agg(F.count("*").alias("deg"))
-    sub = cut(sub.join(degree, "a"))
+    seeds = list(dict.fromkeys(seeds))
+    mine = edges.where(F.col("src").isin(seeds) | F.col("dst").isin(seeds))
+    core = cut(mine.select(F.col("src").alias("id")).union(mine.select("dst")).distinct())
     n = core.count()
     if n == 0:
         return core.withColumn("score", F.lit(0.0))
+    ends = small(core)
+    inner = edges.select("src", "dst").join(ends.withColumnRenamed("id", "src"), "src", "left_semi").join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    inner = inner.select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).distinct()
+    sub = inner.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(inner.select(F.col("y").alias("a"), F.col("x").alias("b")))
+    sub = cut(sub.join(sub.groupBy("a").agg(F.count("*").alias("deg")), "a"))
     restart = F.when(F.col("id").isin(seeds), F.lit(1.0 / len(seeds))).otherwise(0.0)
     score = core.withColumn("score", F.lit(1.0 / n))
-    for step in range(1, steps + 1):
+    for _ in range(steps):
         got = sub.join(score, sub["a"] == score["id"]).groupBy("b").agg(F.sum(F.col("score") / F.col("deg")).alias("got"))
-        new = core.join(got, core["id"] == got["b"], "left").select("id", (alpha * restart + (1 - alpha) * F.coalesce("got", F.lit(0.0))).alias("new"))
-        before, score = score, new.select("id", F.col("new").alias("score"))
-        if step % 5 == 0 or step == steps:  # the lineage is cut, and convergence looked at, every fifth step
-            both_scores = cut(score.join(before.select("id", F.col("score").alias("before")), "id"))
-            score = both_scores.select("id", "score")
-            if both_scores.agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0] < tolerance:
-                break
-    return score
+        both = cut(score.join(got, score["id"] == got["b"], "left").select("id", F.col("score").alias("before"), "got"))
+        total = both.agg(F.sum("before")).first()[0]
+        both = both.select("id", "before", (alpha * restart + (1 - alpha) * F.coalesce("got", F.lit(total / n))).alias("score"))
+        moved = both.agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0]
+        score = both.select("id", "score")
+        if moved < tolerance:
+            break
+    return score.orderBy(F.desc("score"), "id").limit(k) if k else score
 
 
 def closure(facts: DataFrame, symmetric: list[str], siblings: str, parent: str) -> DataFrame:
@@ -128,15 +140,19 @@ def closure(facts: DataFrame, symmetric: list[str], siblings: str, parent: str)
         known = cut(known.unionByName(new))
 
 
-def find(entities: DataFrame, aliases: DataFrame, needle: str, k: int = 20) -> DataFrame:
-    """(id, name, entity_type, score): entities whose name or an alias contains the needle (without regard to case), best
-    trigram similarity of name and aliases first."""
-    probe = T.trigrams(F.lit(needle))
-    low = F.lit(needle.lower())
-    names = entities.select("id", F.col("name").alias("label")).union(aliases.select(F.col("entity_id").alias("id"), F.col("alias")))
-    hit = names.where(F.lower("label").contains(low)).withColumn("score", T.similarity(T.trigrams(F.col("label")), probe))
-    best = hit.groupBy("id").agg(F.max("score").alias("score"))
-    return best.join(entities.select("id", "name", "entity_type"), "id").select("id", "name", "entity_type", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+def find(entities: DataFrame, aliases: DataFrame, needle: str, k: int = 20, entity_type: str | None = None) -> DataFrame:
+    """(id, name, entity_type, score): entities whose name or an alias contains the needle without regard to case, most similar first,
+    ties by id. The score is the greatest trigram similarity of the name and of the aliases that were found (all of them
+    where the name was). A blank needle finds nothing."""
+    if not needle.strip():
+        return entities.select("id", "name", "entity_type", F.lit(0.0).alias("score")).where("false")
+    probe, low = T.trigrams(F.lit(needle)), F.lit(needle.lower())
+    e = entities if entity_type is None else entities.where(F.col("entity_type") == entity_type)
+    e = e.select("id", "name", "entity_type", F.lower("name").contains(low).alias("named"))
+    both = e.join(aliases.select(F.col("entity_id").alias("id"), "alias"), "id", "left").where(F.col("named") | F.lower("alias").contains(low))
+    own = F.round(T.similarity(T.trigrams(F.col("name")), probe), 6)
+    other = F.max(F.when(F.col("alias").isNotNull(), F.round(T.similarity(T.trigrams(F.col("alias")), probe), 6)))
+    return both.groupBy("id", "name", "entity_type").agg(F.greatest(F.max(own), F.coalesce(other, F.lit(0.0))).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
 def degrees(edges: DataFrame) -> DataFrame:

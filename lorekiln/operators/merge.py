@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekiln.functions.text import ranked
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_old: list[str] = ()) -> DataFrame:
     """Rows of ``new`` replace those of ``old`` with the same key (nulls equal), others stay. Columns in ``keep_old`` keep the old
@@ -56,10 +58,17 @@ def merge_plan(entities: DataFrame, canonical: Column) -> DataFrame:
     return e.where("n > 1").select("id", "winner")
 
 
-def merge_apply(edges: DataFrame, plan: DataFrame) -> DataFrame:
-    """Edges with merged ends rewritten, without loops that this makes and without repeated (src, dst, rel_type)."""
+def merge_apply(edges: DataFrame, plan: DataFrame, order: list | None = None) -> DataFrame:
+    """Edges with merged ends rewritten, without loops that this makes and without repeated (src, dst, rel_type).
+
+    Of edges that become the same the first by ``order`` stays with its confidence: the order in which they were recorded, where the
+    table has one; without it, the surest tier.
+    """
+    from lorekiln.operators.graph import TIERS, first_by
+
     p = plan.where("id <> winner")
     e = edges
     for end in ("src", "dst"):
         e = e.join(p.select(F.col("id").alias(end), F.col("winner").alias("w_" + end)), end, "left").withColumn(end, F.coalesce("w_" + end, end)).drop("w_" + end)
-    return e.where("src <> dst").groupBy("src", "dst", "rel_type").agg(F.min("confidence").alias("confidence"))
+    rank = ranked(F.col("confidence"), TIERS)
+    return first_by(e.where("src <> dst"), ["src", "dst", "rel_type"], order or [rank, F.col("confidence")]).select("src", "dst", "rel_type", "confidence")

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorekiln.functions import text as T
-
-
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, pos): positions of each term of a document that isn't a stop word; stemming is left to a hook."""
-    words = docs.select(key, F.posexplode(F.split(T.normalised(F.col(text)), " ")).alias("pos", "term"))
-    words = words.where((F.col("term") != "") & ~F.col("term").isin(T.STOP_WORDS))
-    return words.groupBy(key, "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("pos"))
+from lorekiln.functions.arrays import let
 
 
 def match_all(docs: DataFrame, key: str, text: str, terms: list[str], without: list[str] = ()) -> DataFrame:
@@ -30,25 +29,31 @@ def match_all(docs: DataFrame, key: str, text: str, terms: list[str], without: l
     return d.select(key, F.size(F.filter("w", lambda x: x.isin(*terms))).alias("hits"))
 
 
-def cover_rank(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
-    """(key, score): cover density. A single term scores 0.1 for each occurrence; several score, over the minimal spans between
-    neighbouring occurrences of different terms that hold all of them, 0.1 / (1 + words of the span that match nothing).
+def cover_rank(docs: DataFrame, key: str, text: str, terms: list[str], token=None) -> DataFrame:
+    """(key, score): cover density. A cover is a shortest stretch that holds all terms; each scores 0.1 / (1 + words in it that are no
+    hits). A single term's covers are its occurrences. Documents that lack a term have no row.
 
-    Spans are found within a document's own array of hits (array functions); nothing is shuffled.
+    One fold over a document's own hits from the right: it holds the next occurrence of each term, which together end the cover
+    that begins here; a cover counts unless the one to its right ends at the same place. ``token`` turns words into the terms'
+    form (a stemmer, say).
     """
-    n = len(terms)
     words = F.split(T.normalised(F.col(text)), " ")
-    hits = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("p"), w.alias("w"))), lambda s: s["w"].isin(*terms))
-    d = docs.select(key, hits.alias("h")).where(F.size(F.array_distinct(F.transform("h", lambda s: s["w"]))) == n)
-    if n == 1:
-        return d.select(key, F.round(F.size("h") * F.lit(0.1), 6).alias("score"))
-    span = lambda i: F.slice("h", i + 1, n)  # noqa: E731 - n neighbouring hits
-    whole = lambda i: F.size(F.array_distinct(F.transform(span(i), lambda s: s["w"]))) == n
-    width = lambda i: F.element_at(span(i), -1)["p"] - F.element_at(span(i), 1)["p"] + 1
-    starts = F.sequence(F.lit(0), F.size("h") - n)
-    score = F.aggregate(F.transform(F.filter(starts, whole), lambda i: F.lit(0.1) / (1 + width(i) - n)), F.lit(0.0), lambda a, x: a + x)
-    loose = F.lit(0.1) / (1 + F.element_at("h", -1)["p"] - F.element_at("h", 1)["p"])
-    return d.select(key, F.round(F.when(score > 0, score).otherwise(loose), 6).alias("score"))
+    words = words if token is None else F.transform(words, token)
+    at = F.array(*[F.lit(t) for t in terms])
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("p"), F.array_position(at, w).cast("int").alias("t"))), lambda s: s["t"] > 0)
+    n = len(terms)
+    none = F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("p"))
+    start = F.struct(F.array_repeat(none, F.lit(n)).alias("next"), F.lit(-1).alias("end"), F.lit(0.0).alias("score"))
+
+    def step(a: Column, x: Column) -> Column:
+        now = F.transform(a["next"], lambda o, k: F.when(k + 1 == x["t"], F.struct(x["i"].alias("i"), x["p"].alias("p"))).otherwise(o))
+        return let(now, lambda nx: let(F.when(F.forall(nx, lambda o: o["i"] >= 0), F.array_max(nx)), lambda e: F.struct(
+            nx.alias("next"), F.coalesce(e["i"], F.lit(-1)).alias("end"),
+            (a["score"] + F.when(e.isNotNull() & (e["i"] != a["end"]), F.lit(0.1) / (1 + (e["p"] - x["p"]) - (e["i"] - x["i"]))).otherwise(0.0)).alias("score"))))
+
+    d = docs.select(key, hits.alias("h")).where(F.size(F.array_distinct(F.transform("h", lambda s: s["t"]))) == n)
+    placed = F.reverse(F.transform("h", lambda s, i: F.struct(i.cast("int").alias("i"), s["p"].cast("int").alias("p"), s["t"].alias("t"))))
+    return d.select(key, F.round(F.aggregate(placed, start, step, lambda a: a["score"]), 6).alias("score"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -56,15 +61,54 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, same: Column | None = None) -> DataFrame:
-    """(query, key, score, rank): the exact k nearest of a stated, small set of queries, each against all vectors.
+def unit(v: Column) -> Column:
+    """A vector of doubles at length 1; null, empty and zero vectors give null."""
+    x = F.transform(v, lambda e: e.cast("double"))
+    return let(x, lambda y: let(F.sqrt(F.aggregate(y, F.lit(0.0), lambda s, e: s + e * e)), lambda n: F.when(n > 0, F.transform(y, lambda e: e / n))))
 
-    The queries (a few rows) are broadcast; each task ranks its own rows first (a window group limit), so that only k rows a
-    query and task are shuffled.
+
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, same: Column | None = None, block: int = 256) -> DataFrame:
+    """(query, key, score, rank): the exact k nearest of a stated set of queries, each against all vectors.
+
+    Queries are packed into blocks, a row for each ``block`` of them, and every vector's row meets a block once, in Arrow batches that
+    are multiplied as matrices; each task keeps k a query before anything is shuffled. Blocks are broadcast while the queries are
+    few (measured), else joined on their number. Rows whose group (``same``, held against the queries' ``grp``) differs don't meet.
     """
-    q = F.broadcast(queries.select(F.col(key).alias("query"), F.col(vector).alias("qv"), *([F.col("grp").alias("qgrp")] if same is not None else [])))
-    cond = F.lit(True) if same is None else (same == F.col("qgrp"))
-    scored = vectors.join(q, cond).where(F.size(vector) == F.size("qv")).select("query", key, F.round(cosine(F.col(vector), F.col("qv")), 6).alias("score"))
+    grp = F.lit(0) if same is None else same
+    rows = vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), grp.cast("string").alias("g"), F.col(vector).cast("array<double>").alias("v"))
+    qgrp = F.col("grp") if same is not None else F.lit(0)
+    asked = queries.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("qid"), qgrp.cast("string").alias("qg"), F.col(vector).cast("array<double>").alias("qv"))
+    n = asked.count()
+    blocks = max(1, -(-n // block))
+    packed = asked.withColumn("b", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).groupBy("b").agg(F.sort_array(F.collect_list(F.struct("qid", "qg", "qv"))).alias("qs"))
+    each = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = each.join(F.broadcast(packed) if n * 8 <= 1_000_000 else packed, "b").select("b", "id", "g", "v", "qs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            for part in {x.as_py() for x in t.column("b").unique()}:
+                own = t.filter(pc.equal(t.column("b"), part))
+                qs = own.column("qs")[0].as_py()
+                out: list[tuple] = []
+                sizes = np.array([len(v) for v in own.column("v").to_pylist()])
+                for dim in {len(q["qv"]) for q in qs}:
+                    at, mine = np.flatnonzero(sizes == dim), [q for q in qs if len(q["qv"]) == dim]
+                    if not len(at) or not dim:
+                        continue
+                    x, y = np.array(own.column("v").take(pa.array(at)).to_pylist(), dtype="f8"), np.array([q["qv"] for q in mine], dtype="f8")
+                    with np.errstate(all="ignore"):
+                        s = np.round((y @ x.T) / (np.linalg.norm(y, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]), 6)
+                    ids, gs = own.column("id").to_numpy()[at], np.array(own.column("g").to_pylist(), dtype=object)[at]
+                    for q, row in zip(mine, s):
+                        ok = np.flatnonzero(np.isfinite(row) & (gs == q["qg"]))
+                        if len(ok) > k:
+                            ok = ok[np.lexsort((ids[ok], -row[ok]))[:k]]
+                        out += [(q["qid"], int(ids[j]), float(row[j])) for j in ok]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["query", key, "score"])
+
+    scored = met.mapInArrow(run, f"query long, {key} long, score double")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))).where(F.col("rank") <= k)
 
 
@@ -99,3 +143,23 @@ def within_edits(df: DataFrame, text: str, k: int) -> DataFrame:
     seen = seen.select("a", "n", "m", "i", F.substring("a", F.col("at") + 1, F.col("size")).alias("piece")).distinct()
     pairs = seen.join(pieces, ["m", "i", "piece"]).where("n > m or a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs.withColumn("distance", F.levenshtein("a", "b")).where(F.col("distance") <= k)
+
+
+def index_percentiles(df: DataFrame, group: str, value: str, at: dict[str, float]) -> DataFrame:
+    """(group, a column for each of ``at``): the value at place floor(p n) of a group's sorted values; nulls don't count.
+
+    Values are counted first; counts are summed within ranges of values and over the ranges, so that a group with most of the rows is
+    spread over as many tasks as it has ranges. Ranges are cut at quantiles of all values.
+    """
+    n = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
+    cuts = df.approxQuantile(value, [i / 64 for i in range(1, 64)], 0.001)
+    bucket = F.aggregate(F.array(*[F.lit(c) for c in sorted(set(cuts))] or [F.lit(0.0)]), F.lit(0), lambda a, c: a + (F.col(value) > c).cast("int"))
+    n = n.withColumn("bucket", bucket)
+    per = n.groupBy(group, "bucket").agg(F.sum("n").alias("s"))
+    w = Window.partitionBy(group)
+    per = per.withColumn("base", F.coalesce(F.sum("s").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("s").over(w))
+    upto = F.sum("n").over(Window.partitionBy(group, "bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    same = F.col(f"a.{group}").eqNullSafe(F.col(f"b.{group}")) & (F.col("a.bucket") == F.col("b.bucket"))
+    rows = n.withColumn("upto", upto).alias("a").join(per.alias("b"), same).select(f"a.{group}", f"a.{value}", (F.col("b.base") + F.col("a.upto")).alias("upto"), "b.total")
+    # the first value of which more than floor(p n) rows are no greater
+    return rows.groupBy(group).agg(*[F.min(F.when(F.col("upto") > F.floor(F.lit(p) * F.col("total")), F.col(value))).alias(name) for name, p in at.items()])

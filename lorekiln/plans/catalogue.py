@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorekiln.functions import text as T
-from lorekiln.operators import chunking, extract, graph, merge, search
+from lorekiln.operators import chunking, extract, graph, maintenance, merge, search
 from lorekiln.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,9 +95,24 @@ def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.size(T.sentences(F.col("text"))).alias("sentences"))
 
 
-@query()
+@query(r"""WITH RECURSIVE s AS (SELECT doc_id, unnest(l) k, generate_subscripts(l, 1) i, len(l) m FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])[\t\n\f\r \v]+', '\1' || chr(1), 'g'), '\n\n+', chr(1), 'g'), chr(1)),
+ lambda x: len(list_filter(string_split_regex(x, '[\t\n\f\r \v]+'), lambda w: w <> ''))), lambda k: k > 0) l FROM documents WHERE text IS NOT NULL)),
+f(doc_id, i, lo, hi, closed_lo, closed_hi) AS (SELECT doc_id, 1, 0, CAST(k AS BIGINT), NULL::BIGINT, NULL::BIGINT FROM s WHERE i = 1
+ UNION ALL SELECT f.doc_id, f.i + 1, CASE WHEN hi - lo + k > 500 THEN (CASE WHEN hi - lo > 50 THEN hi - 50 ELSE hi END) ELSE lo END, hi + k, CASE WHEN hi - lo + k > 500 THEN lo END, CASE WHEN hi - lo + k > 500 THEN hi END FROM f JOIN s ON s.doc_id = f.doc_id AND s.i = f.i + 1),
+c AS (SELECT doc_id, closed_lo lo, closed_hi hi FROM f WHERE closed_hi IS NOT NULL UNION ALL SELECT f.doc_id, lo, hi FROM f JOIN (SELECT doc_id, max(i) i FROM s GROUP BY 1) e ON e.doc_id = f.doc_id AND e.i = f.i), w AS (SELECT doc_id, list_filter(string_split_regex(text, '[\t\n\f\r \v]+'), lambda w: w <> '') w FROM documents)
+SELECT c.doc_id AS doc_id, CAST(row_number() OVER (PARTITION BY c.doc_id ORDER BY hi) - 1 AS INT) AS chunk_index, CAST(hi - lo AS INT) AS n_words, array_to_string(w[lo + 1 : hi], ' ') AS text FROM c JOIN w ON w.doc_id = c.doc_id""")
 def chunk_text_500_50(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.chunked(table(spark, sf, "documents"), "doc_id", "text", 500, 50)
+    return chunking.chunked(table(spark, sf, "documents"), "doc_id", "text", 500, 50).drop("start_char", "end_char")
+
+
+@query("SELECT doc_id, true AS in_place, true AS in_order FROM documents WHERE regexp_matches(text, '[^ \\t\\n\\f\\r\\v]')")
+def chunk_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """For each text whether its chunks (80 words, 10 of overlap) are the words between their offsets, and follow each other."""
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("whole"))
+    c = chunking.chunked(d, "doc_id", "whole", 80, 10).join(d, "doc_id")
+    same = F.trim(F.regexp_replace(F.substring(F.col("whole"), F.col("start_char") + 1, F.col("end_char") - F.col("start_char")), r"\s+", " ")) == F.col("text")
+    ends = F.lag("end_char").over(Window.partitionBy("doc_id").orderBy("chunk_index"))
+    return c.select("doc_id", same.alias("same"), (F.coalesce(ends, F.lit(0)) < F.col("end_char")).alias("after")).groupBy("doc_id").agg(F.bool_and("same").alias("in_place"), F.bool_and("after").alias("in_order"))
 
 
 @query("SELECT count(*) AS chunks, count(DISTINCT file_path) AS files, sum(length(text)) AS chars, max(chunk_index) AS last_index, count(reference) AS with_reference FROM chunks")
@@ -106,10 +121,12 @@ def chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
     return c.agg(F.count("*").alias("chunks"), F.countDistinct("file_path").alias("files"), F.sum(F.length("text")).alias("chars"), F.max("chunk_index").alias("last_index"), F.count("reference").alias("with_reference"))
 
 
-@query(r"""WITH l AS (SELECT id, unnest(string_split_regex(text, '\r?\n')) AS line FROM chunks)
-SELECT id, CAST(regexp_extract(line, '^([0-9]{1,3})[ \t]', 1) AS INT) AS verse, regexp_extract(line, '^[0-9]{1,3}[ \t]+(.*)$', 1) AS body FROM l WHERE regexp_matches(line, '^[0-9]{1,3}[ \t]+[^ \t\n\r]')""")
+@query(r"""WITH l AS (SELECT id, pos, regexp_replace(line, '[ \t\f\v\r]+$', '') line FROM (SELECT id, unnest(string_split_regex(text, '\r?\n')) AS line, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS pos FROM chunks WHERE text IS NOT NULL)),
+m AS (SELECT *, regexp_matches(line, '^[0-9]{1,3}[ \t\f\v]+[^ \t\n\r\f\v]') opens FROM l WHERE line <> ''), g AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos) g FROM m)
+SELECT id, CAST(max(CASE WHEN opens THEN regexp_extract(line, '^([0-9]{1,3})', 1) END) AS INT) AS verse, string_agg(CASE WHEN opens THEN regexp_extract(line, '^[0-9]{1,3}[ \t\f\v]+(.*)$', 1) ELSE regexp_replace(line, '^[ \t\f\v]+', '') END, ' ' ORDER BY pos) AS body FROM g WHERE g > 0 GROUP BY id, g""")
 def verse_parse(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.verses(table(spark, sf, "chunks"), "id", "text")
+    """Verses with the lines that go on with them."""
+    return chunking.verses(table(spark, sf, "chunks").where("text is not null"), "id", "text").drop("pos")
 
 
 @query(r"""SELECT DISTINCT file_path, nullif(regexp_extract(file_path, '^([a-z]{2})/', 1), '') AS lang, regexp_extract(regexp_replace(file_path, '^[a-z]{2}/', ''), '^(.*)/[^/]*$', 1) AS category,
@@ -121,11 +138,11 @@ def path_metadata(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(r"""SELECT id, trim(regexp_extract(reference, '^(.*[^0-9 ])[ ]+[0-9]', 1)) AS book, TRY_CAST(regexp_extract(reference, ' ([0-9]+)[:,]', 1) AS INT) AS chapter,
- TRY_CAST(regexp_extract(reference, '[:,] ?([0-9]+)', 1) AS INT) AS first_verse, TRY_CAST(nullif(regexp_extract(reference, '-([0-9]+)$', 1), '') AS INT) AS last_verse FROM chunks WHERE reference IS NOT NULL""")
+ TRY_CAST(regexp_extract(reference, '[:,] ?([0-9]+)', 1) AS INT) AS first_verse, TRY_CAST(nullif(regexp_extract(reference, '[-–]([0-9]+)$', 1), '') AS INT) AS last_verse FROM chunks WHERE reference IS NOT NULL""")
 def reference_parse(spark: SparkSession, sf: str) -> DataFrame:
     r = F.col("reference")
     number = lambda p: F.regexp_extract(r, p, 1).try_cast("int")
-    return table(spark, sf, "chunks").where(r.isNotNull()).select("id", F.trim(F.regexp_extract(r, r"^(.*[^0-9 ])[ ]+[0-9]", 1)).alias("book"), number(r" ([0-9]+)[:,]").alias("chapter"), number(r"[:,] ?([0-9]+)").alias("first_verse"), number(r"-([0-9]+)$").alias("last_verse"))
+    return table(spark, sf, "chunks").where(r.isNotNull()).select("id", F.trim(F.regexp_extract(r, r"^(.*[^0-9 ])[ ]+[0-9]", 1)).alias("book"), number(r" ([0-9]+)[:,]").alias("chapter"), number(r"[:,] ?([0-9]+)").alias("first_verse"), number(r"[-–]([0-9]+)$").alias("last_verse"))
 
 
 @query(r"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+ [0-9]{1,3}:[0-9]{1,3}(?:-[0-9]{1,3})?')) AS reference FROM documents)
@@ -189,19 +206,44 @@ def term_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "entities").select("id", T.normalised(F.col("name")).alias("plain"), T.entity_name(F.col("name")).alias("canonical"))
 
 
-@query()
+#: The distinct words of the chunks, and names and aliases, with how often they are used.
+NAMES = r"""SELECT name, count(*) n FROM (SELECT unnest(string_split_regex(text, '[ \t\n\f\r\v]+')) name FROM chunks) GROUP BY 1 UNION ALL SELECT name, count(*) FROM (SELECT name FROM entities UNION ALL SELECT alias FROM entity_aliases) GROUP BY 1"""
+
+
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def garbage_sql() -> str:
+    rx = lambda c, p: f"regexp_matches({c}, {_sql(p)})"
+    word = lambda ws, end="": rf"(^|[^\p{{L}}\p{{N}}_])({'|'.join(ws)}){end}([^\p{{L}}\p{{N}}_]|$)"
+    alnum = r"length(regexp_replace(s, '[^\p{L}\p{N}]', '', 'g'))"
+    cases = [
+        ("empty", "s = ''"), ("nul_bytes", "contains(s, chr(0))"), ("too_short", "length(s) < 3"), ("too_long", "length(s) > 80"), ("all_punct", f"{alnum} = 0"),
+        ("url_like", rx("low", rf"https?://|www\.|[a-z0-9][a-z0-9-]*\.({'|'.join(T.DOMAINS)})\b")), ("html_fragment", rx("s", r"<\s*/?\s*[a-z][a-z0-9]*(\s+[^>]*)?>|\b(id|class|href|src|rel|style|data-\w+)\s*=\s*[\"']|&(amp|lt|gt|quot|nbsp|#[0-9]+);")),
+        ("mojibake", rx("s", T.MOJIBAKE)), ("scripture_ref", rx("low", rf"^\s*((read|ver|véase|see)\s+)?(\d\s+)?({'|'.join(T.BOOKS)})\.?\s+\d+")), ("archaic_verb", rx("low", word(T.ARCHAIC))), ("xref_fragment", rx("low", "^(see |véase )")),
+        ("pronoun_stopword", "low IN ('" + "', '".join(T.PRONOUNS) + "')"), ("leading_punct", rx("s", T.LEADING)), ("markdown_heading", rx("s", r"^#{1,6}\s|\s#{2,}\s*$|^#{2,}$")),
+        ("measurement", rx("low", word(T.UNITS, "s?")) + f" AND length(regexp_replace(s, '[^0-9]', '', 'g')) >= 0.18 * {alnum}"), ("sentence_fragment_es", rx("s", "^(" + "|".join(T.OPENERS) + r")\s+[\p{L}\p{N}_]")), ("lowercase_token", rx("s", "^[a-záéíóúñüç]+$")),
+    ]
+    return "CASE " + " ".join(f"WHEN {cond} THEN '{name}'" for name, cond in cases) + " END"
+
+
+@query(rf"""SELECT reason, count(*) AS names, CAST(sum(n) AS BIGINT) AS uses FROM (SELECT n, {garbage_sql()} AS reason FROM (SELECT n, s, lower(s) low FROM (SELECT n, coalesce(regexp_replace(name, '^[ \t\n\f\r\v]+|[ \t\n\f\r\v]+$', '', 'g'), '') s FROM ({NAMES}) WHERE name IS NOT NULL))) GROUP BY 1""")
 def garbage_reason(spark: SparkSession, sf: str) -> DataFrame:
     """Reasons over all words of the chunks, entity names and aliases, with their counts."""
     words = table(spark, sf, "chunks").select(F.explode(F.split("text", r"\s+")).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
-    names = table(spark, sf, "entities").select("name").union(table(spark, sf, "entity_aliases").select("alias")).groupBy("name").agg(F.count("*").alias("n"))
+    names = table(spark, sf, "entities").select("name").union(table(spark, sf, "entity_aliases").select("alias")).groupBy("name").agg(F.count("*").alias("n")).where("name is not null")
     return words.unionByName(names).withColumn("reason", T.garbage_reason(F.col("name"))).groupBy("reason").agg(F.count("*").alias("names"), F.sum("n").alias("uses"))
 
 
-@query("""SELECT reason, count(*) AS names FROM (SELECT unnest(list_filter([CASE WHEN NOT regexp_matches(s, '[\\p{L}\\p{N}]') THEN 'all_punct' END, CASE WHEN length(s) > 80 THEN 'too_long' END, CASE WHEN length(s) < 3 THEN 'too_short' END,
- CASE WHEN list_contains(['""".replace("\\\\", "\\") + "', '".join(T.PRONOUNS) + """'], lower(s)) THEN 'pronoun_stopword' END], lambda x: x IS NOT NULL)) AS reason FROM (SELECT DISTINCT trim(c_name) s FROM customer UNION ALL SELECT DISTINCT trim(alias) FROM entity_aliases)) GROUP BY 1""")
+@query(rf"""SELECT reason, count(*) AS names FROM (SELECT unnest(list_filter([CASE WHEN NOT regexp_matches(s, '[\p{{L}}\p{{N}}]') THEN 'all_punct' END, CASE WHEN length(s) > 80 THEN 'too_long' END, CASE WHEN length(s) < 3 THEN 'too_short' END,
+ CASE WHEN lower(s) IN ('{"', '".join(T.PRONOUNS)}') THEN 'pronoun_stopword' END, CASE WHEN regexp_matches(lower(s), '^(see |véase )') THEN 'xref_fragment' END, CASE WHEN regexp_matches(lower(s), '(^|[^\p{{L}}\p{{N}}_])({"|".join(T.ARCHAIC)})([^\p{{L}}\p{{N}}_]|$)') THEN 'archaic_verb' END,
+ CASE WHEN regexp_matches(lower(s), 'https?://|www\.|[a-z0-9][a-z0-9-]*\.({"|".join(T.DOMAINS)})\b') THEN 'url_like' END], lambda x: x IS NOT NULL)) AS reason FROM (SELECT DISTINCT name s FROM ({NAMES}) WHERE name IS NOT NULL)) GROUP BY 1""")
 def garbage_multilabel(spark: SparkSession, sf: str) -> DataFrame:
-    names = table(spark, sf, "customer").select(F.trim("c_name").alias("s")).distinct().union(table(spark, sf, "entity_aliases").select(F.trim("alias")).distinct())
-    return names.select(F.explode(T.garbage_reasons(F.col("s"))).alias("reason")).where(F.col("reason").isin("all_punct", "too_long", "too_short", "pronoun_stopword")).groupBy("reason").agg(F.count("*").alias("names"))
+    """All reasons of the set-based clean-up that hold for a distinct word, name or alias."""
+    words = table(spark, sf, "chunks").select(F.explode(F.split("text", r"\s+")).alias("s"))
+    names = words.union(table(spark, sf, "entities").select("name")).union(table(spark, sf, "entity_aliases").select("alias")).where("s is not null").distinct()
+    return names.select(F.explode(T.garbage_reasons(F.col("s"))).alias("reason")).groupBy("reason").agg(F.count("*").alias("names"))
 
 
 @query("""SELECT doc_id, CASE WHEN p > 0 THEN (CASE WHEN greatest(1, p - 60) > 1 THEN '...' ELSE '' END) || substring(text, CAST(greatest(1, p - 60) AS INT), 120) || (CASE WHEN greatest(1, p - 60) + 120 <= length(text) THEN '...' ELSE '' END) END AS snippet
@@ -213,11 +255,8 @@ def snippet(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_type, v[CAST(floor(0.5 * len(v)) AS INT) + 1] AS p50, v[CAST(floor(0.95 * len(v)) AS INT) + 1] AS p95, v[CAST(floor(0.99 * len(v)) AS INT) + 1] AS p99 FROM (SELECT event_type, list(value ORDER BY value) v FROM events WHERE value IS NOT NULL GROUP BY 1)")
 def latency_percentile(spark: SparkSession, sf: str) -> DataFrame:
-    """Percentiles by index, floor(p n), without interpolation: ranks in one sort by type, no array of a group."""
-    w = Window.partitionBy("event_type")
-    e = table(spark, sf, "events").where("value is not null").withColumn("i", F.row_number().over(w.orderBy("value")) - 1).withColumn("n", F.count("*").over(w))
-    at = lambda p: F.max(F.when(F.col("i") == F.floor(F.lit(p) * F.col("n")), F.col("value")))
-    return e.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    """Percentiles by index, floor(p n), without interpolation."""
+    return search.index_percentiles(table(spark, sf, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 @query("SELECT count(*) AS docs, count(title) AS title, count(author) AS author, count(series) AS series, count(published_at) AS published_at, count(lang) AS lang FROM documents")
@@ -250,11 +289,29 @@ def fts_rank(spark: SparkSession, sf: str) -> DataFrame:
     return search.top(search.cover_rank(table(spark, sf, "chunks").where("text is not null"), "id", "text", ["covenant"]), "score", "id", 20)
 
 
-@query()
+def cover_sql(terms: tuple[str, ...]) -> str:
+    """Shortest stretches with all terms: from each hit on to the first place where every term has come; of those that end together
+    the shortest."""
+    nxt = ", ".join(f"min(CASE WHEN w = '{t}' THEN i END) OVER n AS i{k}" for k, t in enumerate(terms))
+    end = ", ".join(f"i{k}" for k in range(len(terms)))
+    some = " AND ".join(f"i{k} IS NOT NULL" for k in range(len(terms)))
+    inlist = ", ".join(f"'{t}'" for t in terms)
+    return f"""WITH t AS (SELECT id, unnest({WORDS}) w, generate_subscripts({WORDS}, 1) p FROM chunks WHERE text IS NOT NULL), h AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p) i FROM t WHERE w IN ({inlist})),
+e AS (SELECT *, {nxt} FROM h WINDOW n AS (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), r AS (SELECT id, i, p, greatest({end}) j FROM e WHERE {some}), c AS (SELECT id, j, max(i) i FROM r GROUP BY 1, 2)
+SELECT c.id AS id, round(sum(0.1 / (1 + (b.p - a.p) - (b.i - a.i))), 6) AS score FROM c JOIN h a ON a.id = c.id AND a.i = c.i JOIN h b ON b.id = c.id AND b.i = c.j GROUP BY 1"""
+
+
+@query(cover_sql(TERMS))
 def fts_cover(spark: SparkSession, sf: str) -> DataFrame:
     return search.cover_rank(table(spark, sf, "chunks").where("text is not null"), "id", "text", list(TERMS))
 
 
+@query(cover_sql(("the", "of", "hope")))
+def fts_cover_three(spark: SparkSession, sf: str) -> DataFrame:
+    """Three terms, two of them frequent, so that stretches overlap and repeat terms."""
+    return search.cover_rank(table(spark, sf, "chunks").where("text is not null"), "id", "text", ["the", "of", "hope"])
+
+
 @query("SELECT q.vec_id AS query, e.vec_id AS vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, e.vec_id) <= 20")
 def knn_cosine(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "embeddings")
@@ -281,8 +338,10 @@ def hybrid(spark: SparkSession, sf: str) -> DataFrame:
     v = usable_vectors(spark, sf)
     q = v.orderBy("id").limit(1)
     score = F.round(search.cosine(F.col("embedding"), F.col("qv")), 6)
-    near = v.join(F.broadcast(q.select(F.col("embedding").alias("qv"))), F.lit(True)).select("id", score.alias("score")).distinct()
-    return search.fuse(texts.select("id", "rank"), search.top(near, "score", "id", 30).select("id", "rank"), "id")
+    near = v.join(F.broadcast(q.select(F.col("embedding").alias("qv"))), F.lit(True)).select("id", score.alias("score"))  # one query row
+    # repeated rows (an id comes twice at most) go after the best are found
+    best = near.orderBy(F.desc("score"), "id").limit(60).distinct()
+    return search.fuse(texts.select("id", "rank"), search.top(best, "score", "id", 30).select("id", "rank"), "id")
 
 
 FUSED = f"SELECT coalesce(t.id, v.id) AS id, t.rank AS left_rank, v.rank AS right_rank, round(coalesce(0.4 / (60 + t.rank), 0.0) + coalesce(0.6 / (60 + v.rank), 0.0), 8) AS fused FROM (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM ({RANK}) ORDER BY score DESC, id LIMIT 30) t FULL JOIN ({KNN}) v ON t.id = v.id"
@@ -322,12 +381,22 @@ def expand_parallels(spark: SparkSession, sf: str) -> DataFrame:
 GRAMS = "list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
 
 
-@query(f"""SELECT id, name, round(len(list_intersect(g, q)) / CAST(len(g) + len(q) - len(list_intersect(g, q)) AS DOUBLE), 6) AS score FROM (SELECT p_partkey id, p_name AS name, {GRAMS.format('p_name')} g, {GRAMS.format("'red widget'")} q FROM part WHERE contains(lower(p_name), 'widget')) ORDER BY score DESC, id LIMIT 50""")
+SIMILAR = "round(len(list_intersect({0}, q)) / CAST(len({0}) + len(q) - len(list_intersect({0}, q)) AS DOUBLE), 6)"
+
+
+@query(f"""WITH q AS (SELECT {GRAMS.format("'or'")} q), j AS (SELECT id, name, alias FROM entities LEFT JOIN entity_aliases ON entity_id = id WHERE contains(lower(name), 'or') OR contains(lower(alias), 'or'))
+SELECT id, name, greatest(max({SIMILAR.format(GRAMS.format('name'))}), coalesce(max({SIMILAR.format(GRAMS.format('alias'))}), 0)) AS score FROM j, q GROUP BY 1, 2 ORDER BY score DESC, id LIMIT 50""")
 def trigram_find(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    none = spark.createDataFrame([], "entity_id long, alias string")
-    found = graph.find(p.withColumn("entity_type", F.lit("part")), none, "widget", 1 << 30)
-    return found.select("id", "name", F.round(T.similarity(T.trigrams(F.col("name")), T.trigrams(F.lit("red widget"))), 6).alias("score")).orderBy(F.desc("score"), "id").limit(50)
+    """Entities whose name or an alias contains 'or', most similar first; names count with the similarity of either."""
+    return graph.find(table(spark, sf, "entities"), table(spark, sf, "entity_aliases"), "or", 50).drop("entity_type")
+
+
+@query(f"""SELECT id, name, round(len(list_intersect(g, q)) / CAST(len(g) + len(q) - len(list_intersect(g, q)) AS DOUBLE), 6) AS score FROM (SELECT p_partkey id, p_name AS name, {GRAMS.format('p_name')} g, {GRAMS.format("'red widget'")} q FROM part WHERE contains(lower(p_name), 'widget')) ORDER BY score DESC, id LIMIT 50""")
+def trigram_rank(spark: SparkSession, sf: str) -> DataFrame:
+    """Part names with 'widget' by their likeness to 'red widget': each is scored once, and each task keeps its best 50."""
+    p = table(spark, sf, "part").where(F.lower("p_name").contains("widget"))
+    probe = F.lit("red widget")
+    return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.round(T.similarity(T.trigrams(F.col("p_name")), T.trigrams(probe)), 6).alias("score")).orderBy(F.desc("score"), "id").limit(50)
 
 
 @query("""SELECT pattern, count(*) AS hits, min(p_partkey) AS first_id FROM part, (SELECT unnest(['red', 'blue', 'gear', 'bolt']) pattern) WHERE contains(lower(p_name), pattern) GROUP BY 1""")
@@ -361,15 +430,8 @@ def typed_relations(spark: SparkSession, sf: str) -> DataFrame:
     return graph.neighbours(entity_view(spark, sf), edge_view(spark, sf), [105, 107, 111], floor="llm_high").drop("other_type")
 
 
-@query("SELECT e.name AS name, string_agg(DISTINCT m.file_path, '|' ORDER BY m.file_path) AS files FROM entity_document_mentions m JOIN entities e ON e.id = m.entity_id JOIN document_registry r ON r.file_path = m.file_path WHERE e.id <= 40 GROUP BY e.id, e.name")
-def docs_for_entity(spark: SparkSession, sf: str) -> DataFrame:
-    m = table(spark, sf, "entity_document_mentions").join(table(spark, sf, "document_registry").select("file_path").distinct(), "file_path")
-    e = table(spark, sf, "entities").where("id <= 40").select(F.col("id").alias("entity_id"), "name")
-    return m.join(F.broadcast(e), "entity_id").groupBy("entity_id", "name").agg(F.array_join(F.sort_array(F.collect_set("file_path")), "|").alias("files")).drop("entity_id")
-
-
 @query("SELECT e.name AS name, string_agg(DISTINCT m.file_path, '|' ORDER BY m.file_path) AS files FROM entity_document_mentions m JOIN entities e ON e.id = m.entity_id JOIN document_registry r ON r.file_path = m.file_path GROUP BY e.id, e.name")
-def docs_for_entity_all(spark: SparkSession, sf: str) -> DataFrame:
+def docs_for_entity(spark: SparkSession, sf: str) -> DataFrame:
     """The registered files of every mentioned entity; a file counts once before the list is built."""
     m = table(spark, sf, "entity_document_mentions").select("entity_id", "file_path").distinct()
     m = m.join(table(spark, sf, "document_registry").select("file_path"), "file_path", "left_semi")
@@ -388,9 +450,16 @@ def family_tree(spark: SparkSession, sf: str) -> DataFrame:
     return graph.descendants(edge_view(spark, sf).where(F.col("rel_type").isin("PART_OF", "BELONGS_TO")), 1, 2)
 
 
-@query()
+@query(f"""WITH {REL}, {BOTH}, s AS (SELECT DISTINCT a, b FROM both_ways WHERE rel_type <> 'ASSOCIATED_WITH'), goal AS (SELECT min(c.src) g FROM rel c JOIN rel cn ON cn.src = c.dst JOIN rel sn ON sn.dst = cn.dst AND sn.src <> cn.src JOIN rel x ON x.dst = sn.src WHERE x.src = {SUPPLIER + 1} AND c.src >= {CUSTOMER} AND c.src < {PART} AND cn.rel_type = 'PART_OF' AND sn.rel_type = 'PART_OF'),
+p1 AS (SELECT b id, [{SUPPLIER + 1}, b] path FROM s WHERE a = {SUPPLIER + 1}), p2 AS (SELECT s.b id, list_append(path, s.b) path FROM p1 JOIN s ON s.a = p1.id WHERE s.b < 1000), p3 AS (SELECT s.b id, list_append(path, s.b) path FROM p2 JOIN s ON s.a = p2.id WHERE s.b < 1000), p4 AS (SELECT s.b id, list_append(path, s.b) path FROM p3 JOIN s ON s.a = p3.id)
+SELECT CAST(len(path) - 1 AS INT) AS hops, array_to_string(path, ',') AS path FROM p4, goal WHERE id = g ORDER BY path LIMIT 1""")
 def family_path(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.shortest_path(edge_view(spark, sf), SUPPLIER + 1, CUSTOMER + 1)
+    """One shortest path between a supplier and the first customer of another nation of its region, over places only."""
+    e = edge_view(spark, sf).where("rel_type <> 'ASSOCIATED_WITH'")
+    own = table(spark, sf, "supplier").where("s_suppkey = 1").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("r"), F.col("s_nationkey").alias("own"))
+    others = table(spark, sf, "nation").join(own, F.col("n_regionkey") == F.col("r")).where("n_nationkey <> own")
+    goal = table(spark, sf, "customer").join(others, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").agg(F.min("c_custkey")).first()[0]
+    return graph.shortest_path(e, SUPPLIER + 1, CUSTOMER + (goal or 0))
 
 
 @query("""WITH s AS (SELECT n_nationkey + 100 a, n_nationkey + 101 b FROM nation WHERE n_nationkey % 5 < 2), p AS (SELECT n_regionkey p, n_nationkey + 100 x FROM nation WHERE n_nationkey % 5 = 0),
@@ -404,10 +473,12 @@ def family_closure(spark: SparkSession, sf: str) -> DataFrame:
     return graph.closure(sib.unionByName(par), ["SIBLING_OF"], "SIBLING_OF", "FATHER_OF").drop("reason")
 
 
-@query()
+@query(f"""WITH RECURSIVE {REL}, core AS (SELECT DISTINCT unnest([src, dst]) id FROM rel WHERE src IN (107, {SUPPLIER + 3}) OR dst IN (107, {SUPPLIER + 3})), inner_edges AS (SELECT DISTINCT least(src, dst) x, greatest(src, dst) y FROM rel WHERE src IN (FROM core) AND dst IN (FROM core)),
+sub AS (SELECT x a, y b FROM inner_edges UNION ALL SELECT y, x FROM inner_edges), deg AS (SELECT a, count(*) deg FROM sub GROUP BY 1), r(step, id, score) AS (SELECT 0, id, 1.0::DOUBLE / (SELECT count(*) FROM core) FROM core
+ UNION ALL SELECT step + 1, id, 0.5 * CASE WHEN id IN (107, {SUPPLIER + 3}) THEN 0.5 ELSE 0 END + 0.5 * sum(got) FROM (SELECT r.step, sub.b id, r.score / deg.deg got FROM r JOIN sub ON sub.a = r.id JOIN deg ON deg.a = r.id WHERE r.step < 20) GROUP BY step, id)
+SELECT id, round(score, 5) AS score FROM r WHERE step = 20""")
 def ppr(spark: SparkSession, sf: str) -> DataFrame:
-    scores = graph.pagerank(edge_view(spark, sf), [107, SUPPLIER + 3])
-    return scores.select("id", F.round("score", 8).alias("score"))
+    return graph.pagerank(edge_view(spark, sf), [107, SUPPLIER + 3]).select("id", F.round("score", 5).alias("score"))
 
 
 @query(f"WITH {REL} SELECT round(avg(d), 6) AS avg_degree, min(d) AS min_degree, max(d) AS max_degree, count(*) AS nodes FROM (SELECT src, count(*) d FROM rel GROUP BY 1)")
@@ -428,21 +499,31 @@ def gazetteer_words(spark: SparkSession, sf: str) -> DataFrame:
     g = extract.gazetteer(table(spark, sf, "entities"), table(spark, sf, "entity_aliases")).where("n = 1")
     return words.join(F.broadcast(g), "term").groupBy("entity_id").agg(F.countDistinct("id").alias("chunks"))
 
+CITED = "trim(regexp_replace(translate(regexp_replace(lower(text), '[.]?[ \\t\\n\\f\\r]+[0-9]{1,3}:[0-9]{1,3}(?:[-–][0-9]{1,3})?', ' ' || chr(1) || ' ', 'g'), '" + T.FOLD[0] + "', '" + T.FOLD[1] + "'), '[^a-z0-9\\x01]+', ' ', 'g'))"
+
+#: Dictionary hits on whole words of the chunks, read from the left, the longest at a place, a citation's book left out.
+FOUND = f"""dict AS (SELECT DISTINCT term, id AS entity_id, entity_type, CAST(len(string_split(term, ' ')) AS INT) n FROM ({SINGLE}) WHERE term <> ''),
+tok AS (SELECT id, string_split({CITED}, ' ') w FROM chunks WHERE text IS NOT NULL), pos AS (SELECT id, w, CAST(unnest(range(0, len(w))) AS INT) pos FROM tok),
+hit AS (SELECT p.id, p.pos, d.n, d.entity_id, d.entity_type FROM (SELECT id, w, pos, unnest((SELECT list(DISTINCT n) FROM dict)) n FROM pos) p JOIN dict d ON d.n = p.n AND d.term = array_to_string(p.w[p.pos + 1 : p.pos + p.n], ' ') WHERE p.pos + p.n <= len(p.w) AND (p.pos + p.n = len(p.w) OR p.w[p.pos + p.n + 1] <> chr(1))),
+best AS (SELECT id, pos, max(n) n FROM hit GROUP BY 1, 2), link AS (SELECT a.id, a.pos, a.n, min(b.pos) nxt FROM best a LEFT JOIN best b ON b.id = a.id AND b.pos >= a.pos + a.n GROUP BY 1, 2, 3),
+walk AS (SELECT l.id, l.pos, l.n, l.nxt FROM link l JOIN (SELECT id, min(pos) pos FROM best GROUP BY 1) f ON f.id = l.id AND f.pos = l.pos UNION ALL SELECT l.id, l.pos, l.n, l.nxt FROM walk v JOIN link l ON l.id = v.id AND l.pos = v.nxt),
+found AS (SELECT h.id, h.entity_id, h.entity_type, min({{pos: h.pos, n: h.n}}) first_at FROM walk v JOIN hit h ON h.id = v.id AND h.pos = v.pos AND h.n = v.n GROUP BY 1, 2, 3)"""
+
 
 def found_entities(spark: SparkSession, sf: str) -> DataFrame:
     g = extract.gazetteer(table(spark, sf, "entities"), table(spark, sf, "entity_aliases"))
-    return extract.mentions(table(spark, sf, "chunks").where("text is not null"), "id", "text", F.broadcast(g))
+    return extract.mentions(table(spark, sf, "chunks"), "id", "text", g)
 
 
-@query()
+@query(f"WITH RECURSIVE {FOUND} SELECT id, entity_id, entity_type, first_at.pos AS pos, first_at.n AS n FROM found")
 def gazetteer_entities(spark: SparkSession, sf: str) -> DataFrame:
     return found_entities(spark, sf)
 
 
-@query()
+@query(f"""WITH RECURSIVE {FOUND}, pair AS (SELECT x.id, x.entity_id a, y.entity_id b, least(x.entity_type, y.entity_type) s, greatest(x.entity_type, y.entity_type) t FROM found x JOIN found y ON x.id = y.id AND x.entity_id < y.entity_id)
+SELECT a, b, CASE WHEN s = t AND s = 'person' THEN 'CO_OCCURS_WITH' WHEN s = t AND s = 'concept' THEN 'RELATED_TO' {" ".join(f"WHEN s = '{min(x, y)}' AND t = '{max(x, y)}' THEN '{r}'" for (x, y), r in extract.TYPE_RULES.items() if x != y)} ELSE 'CO_OCCURS_WITH' END AS rel_type, count(*) AS texts FROM pair GROUP BY 1, 2, 3""")
 def cooccurrence_relations(spark: SparkSession, sf: str) -> DataFrame:
-    rules = {("person", "place"): "LIVED_IN", ("person", "object"): "ASSOCIATED_WITH", ("person", "concept"): "TEACHES", ("person", "period"): "LIVED_DURING"}
-    return extract.cooccurrence(cut(found_entities(spark, sf)), "id", rules)
+    return extract.cooccurrence(cut(found_entities(spark, sf)), "id", extract.TYPE_RULES)
 
 
 @query("SELECT doc_id, 'AUTHORED_BY' AS rel_type, author AS target FROM documents WHERE author IS NOT NULL UNION ALL SELECT doc_id, 'PART_OF', series FROM documents WHERE series IS NOT NULL UNION ALL SELECT doc_id, 'PUBLISHED_IN', lower(trim(source)) FROM documents WHERE source IS NOT NULL")
@@ -465,8 +546,12 @@ def event_chain(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT user_id, event_type, count(*) AS frequency, min(ts) AS first_seen, max(ts) AS last_seen, array_to_string(list_sort(list_distinct(list(k)))[1:10], ',') AS samples FROM (SELECT *, json_extract_string(props, '$.k') k FROM events) GROUP BY 1, 2")
 def candidate_counter(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k"))
-    return e.groupBy("user_id", "event_type").agg(F.count("*").alias("frequency"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.array_join(F.slice(F.sort_array(F.collect_set("k")), 1, 10), ",").alias("samples"))
+    """Counts with ten samples at most: these are found among distinct ones by rank, so no set grows with a key's rows."""
+    e = table(spark, sf, "events").select("user_id", "event_type", "ts", F.get_json_object("props", "$.k").alias("k"))
+    by = e.groupBy("user_id", "event_type", "k").agg(F.count("*").alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    ranked = by.withColumn("rn", F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy(F.asc_nulls_last("k"))))
+    some = F.sort_array(F.collect_list(F.when(F.col("rn") <= 10, F.col("k"))))
+    return ranked.groupBy("user_id", "event_type").agg(F.sum("n").alias("frequency"), F.min("lo").alias("first_seen"), F.max("hi").alias("last_seen"), F.array_join(some, ",").alias("samples"))
 
 
 @query("SELECT user_id, event_type, frequency FROM (SELECT user_id, event_type, count(*) frequency, max(ts) last_seen FROM events GROUP BY 1, 2) WHERE NOT (frequency < 14 AND last_seen < (SELECT max(ts) FROM events) - INTERVAL 2 DAY)")
@@ -510,8 +595,8 @@ def merge_plan(spark: SparkSession, sf: str) -> DataFrame:
     return merge.merge_plan(entity_view(spark, sf), T.normalised(F.col("name")))
 
 
-@query(f"""WITH {ENT}, {REL}, {PLAN}, m AS (SELECT id, winner FROM plan WHERE n > 1 AND id <> winner)
-SELECT coalesce(a.winner, src) AS src, coalesce(b.winner, dst) AS dst, rel_type, min(confidence) AS confidence FROM rel LEFT JOIN m a ON a.id = src LEFT JOIN m b ON b.id = dst WHERE coalesce(a.winner, src) <> coalesce(b.winner, dst) GROUP BY 1, 2, 3""")
+@query(f"""WITH {ENT}, {REL}, {PLAN}, m AS (SELECT id, winner FROM plan WHERE n > 1 AND id <> winner), r AS (SELECT coalesce(a.winner, src) src, coalesce(b.winner, dst) dst, rel_type, confidence, {TIER} AS tier FROM rel LEFT JOIN m a ON a.id = src LEFT JOIN m b ON b.id = dst)
+SELECT src, dst, rel_type, arg_min(confidence, tier) AS confidence FROM r WHERE src <> dst GROUP BY 1, 2, 3""")
 def merge_apply(spark: SparkSession, sf: str) -> DataFrame:
     plan = cut(merge.merge_plan(entity_view(spark, sf), T.normalised(F.col("name"))))
     return merge.merge_apply(edge_view(spark, sf), plan)
@@ -524,11 +609,16 @@ def prune_relations(spark: SparkSession, sf: str) -> DataFrame:
     return edge_view(spark, sf).where(~noise).groupBy("rel_type", "confidence").agg(F.count("*").alias("n"))
 
 
-@query("""WITH f AS (SELECT file_path, min(chunk_index) lo, max(chunk_index) hi, count(DISTINCT chunk_index) n FROM chunks GROUP BY 1) SELECT file_path, CAST(hi + 1 - n AS BIGINT) AS missing FROM f WHERE hi + 1 - n > 0""")
+@query("""WITH c AS (SELECT DISTINCT file_path, chunk_index, start_char, end_char FROM chunks), o AS (SELECT *, lag(end_char) OVER (PARTITION BY file_path ORDER BY chunk_index, start_char, end_char) before FROM c WHERE start_char >= 0 AND end_char > start_char)
+SELECT f.file_path AS file_path, missing, coalesce(gaps, 0) AS gaps, coalesce(overlapping, 0) AS overlapping FROM (SELECT file_path, CAST(max(chunk_index) + 1 - count(DISTINCT chunk_index) AS BIGINT) missing FROM c GROUP BY 1) f LEFT JOIN (SELECT file_path, count(*) FILTER (start_char > before + 2) gaps, count(*) FILTER (start_char < before) overlapping FROM o GROUP BY 1) g ON g.file_path IS NOT DISTINCT FROM f.file_path""")
 def coverage_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Files whose chunk indexes from 0 on have gaps, and how many are missing."""
-    f = table(spark, sf, "chunks").groupBy("file_path").agg(F.max("chunk_index").alias("hi"), F.countDistinct("chunk_index").alias("n"))
-    return f.withColumn("missing", (F.col("hi") + 1 - F.col("n")).cast("long")).where("missing > 0").select("file_path", "missing")
+    """For each file how many chunk indexes from 0 on are missing, and how often a chunk begins more than a blank line after the one
+    before, or within it."""
+    c = table(spark, sf, "chunks").select("file_path", "chunk_index", "start_char", "end_char").distinct()
+    before = F.lag("end_char").over(Window.partitionBy("file_path").orderBy("chunk_index", "start_char", "end_char"))
+    g = c.where("start_char >= 0 and end_char > start_char").withColumn("before", before).groupBy(F.col("file_path").alias("g")).agg(F.count_if(F.col("start_char") > F.col("before") + 2).alias("gaps"), F.count_if(F.col("start_char") < F.col("before")).alias("overlapping"))
+    f = c.groupBy("file_path").agg((F.max("chunk_index") + 1 - F.countDistinct("chunk_index")).cast("long").alias("missing"))
+    return f.join(g, F.col("file_path").eqNullSafe(F.col("g")), "left").select("file_path", "missing", F.coalesce("gaps", F.lit(0)).alias("gaps"), F.coalesce("overlapping", F.lit(0)).alias("overlapping"))
 
 
 @query(f"""WITH r AS (SELECT file_path, chunk_count, status FROM ({LATEST})), c AS (SELECT file_path, count(DISTINCT chunk_index) n FROM chunks GROUP BY 1)
@@ -540,12 +630,31 @@ def reconcile_findings(spark: SparkSession, sf: str) -> DataFrame:
     return r.join(c, F.col("r") == F.col("c"), "full").select(F.coalesce("r", "c").alias("file_path"), finding.alias("finding"))
 
 
-@query("""SELECT a.id AS entity_id, a.name AS name, b.entity_id AS alias_of FROM entities a JOIN (SELECT entity_id, alias, entity_type FROM entity_aliases JOIN entities ON id = entity_id) b ON lower(a.name) = lower(b.alias) AND a.entity_type = b.entity_type AND a.id <> b.entity_id""")
+#: Part names stand for entities; each has the name of another for an alias, by a fixed rule.
+NAMED_PARTS = "ent AS (SELECT min(p_partkey) id, p_name name FROM part GROUP BY 2), num AS (SELECT *, row_number() OVER (ORDER BY id) - 1 r, count(*) OVER () n FROM ent), al AS (SELECT x.id entity_id, y.name alias FROM num x JOIN num y ON y.r = (x.r * 7 + 3) % x.n WHERE x.r % 3 = 0)"
+
+
+def named_parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id")).withColumn("entity_type", F.lit("part"))
+    every = Window.partitionBy(F.lit(1))  # distinct names, a list of fixed length
+    num = e.withColumn("r", F.row_number().over(every.orderBy("id")) - 1).withColumn("n", F.count("*").over(every))
+    y = num.select(F.col("name").alias("alias"), F.col("r").alias("s"))
+    return e, num.where("r % 3 = 0").join(y, F.col("s") == (F.col("r") * 7 + 3) % F.col("n")).select(F.col("id").alias("entity_id"), "alias")
+
+
+@query(f"""WITH {NAMED_PARTS} SELECT a.id AS entity_id, a.name AS name, b.entity_id AS alias_of, CASE WHEN a.name LIKE '%bolt' THEN 'kept' ELSE 'removed' END AS verdict FROM ent a JOIN al b ON lower(a.name) = lower(b.alias) AND a.id <> b.entity_id""")
 def alias_hygiene(spark: SparkSession, sf: str) -> DataFrame:
-    """Names that are an alias of another entity of the same type."""
-    e = table(spark, sf, "entities").select("id", "name", "entity_type")
-    a = table(spark, sf, "entity_aliases").join(e.select(F.col("id").alias("entity_id"), "entity_type"), "entity_id").select(F.col("entity_id").alias("alias_of"), F.lower("alias").alias("k"), "entity_type")
-    return e.withColumn("k", F.lower("name")).join(a, ["k", "entity_type"]).where("id <> alias_of").select(F.col("id").alias("entity_id"), "name", "alias_of")
+    """Names that are an alias of another entity of the same type, removed but for listed exceptions."""
+    e, a = named_parts(spark, sf)
+    return maintenance.alias_conflicts(e, a, F.col("name").like("%bolt"))
+
+
+@query(f"""WITH {NAMED_PARTS}, bad AS (SELECT DISTINCT a.id, b.entity_id FROM ent a JOIN al b ON lower(a.name) = lower(b.alias) AND a.id <> b.entity_id WHERE a.name NOT LIKE '%bolt'), heir AS (SELECT id, min(entity_id) heir FROM bad WHERE entity_id NOT IN (SELECT id FROM bad) GROUP BY 1)
+SELECT DISTINCT heir AS entity_id, alias FROM al JOIN heir ON al.entity_id = heir.id WHERE alias <> (SELECT name FROM ent WHERE ent.id = heir)""")
+def alias_transfer(spark: SparkSession, sf: str) -> DataFrame:
+    """Aliases of removed entities, which go to the entity whose alias they were."""
+    e, a = named_parts(spark, sf)
+    return maintenance.alias_heirs(e, a, F.col("name").like("%bolt"))
 
 
 @query("""SELECT entity_id, name, mention_count, doc_count FROM (SELECT e.id AS entity_id, e.name, coalesce(m.n, 0) AS mention_count, coalesce(m.d, 0) AS doc_count FROM entities e LEFT JOIN (SELECT entity_id, count(*) n, count(DISTINCT file_path) d FROM entity_document_mentions GROUP BY 1) m ON m.entity_id = e.id) ORDER BY mention_count DESC, entity_id LIMIT 50""")
@@ -614,23 +723,32 @@ def xref_extract(spark: SparkSession, sf: str) -> DataFrame:
     return m.groupBy(F.when(F.col("m").startswith("S"), "SEE_ALSO").otherwise("SEE_ALSO_ES").alias("rel_type"), F.regexp_replace("m", "^(See|Véase) ", "").alias("target")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(r"""WITH d AS (SELECT p_partkey id, CASE p_partkey % 6 WHEN 0 THEN 'And ' || a || ', the son of ' || b || ', spoke.' WHEN 1 THEN a || ' begat ' || b || '.' WHEN 2 THEN a || ', esposa de ' || b WHEN 3 THEN a || ' la madre de ' || b WHEN 4 THEN a || ', hermano de ' || b ELSE 'Monte ' || a || ', padre de ' || b END t,
+ a, b, p_partkey % 6 k FROM (SELECT p_partkey, upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] || 'im' a, upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] || 'el' b FROM part))
+SELECT id, CASE WHEN k IN (0, 2) THEN b ELSE a END AS src, CASE k WHEN 0 THEN 'FATHER_OF' WHEN 1 THEN 'FATHER_OF' WHEN 2 THEN 'SPOUSE_OF' WHEN 3 THEN 'MOTHER_OF' ELSE 'BROTHER_OF' END AS rel_type, CASE WHEN k IN (0, 2) THEN a ELSE b END AS dst FROM d WHERE k < 5""")
 def family_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences made of part names by a fixed rule, six forms of them; the last names a mountain, which is no one's father."""
     from lorekiln.operators.family import family_edges
 
-    return family_edges(table(spark, sf, "chunks"), "id", "text")
+    word = lambda i, end: F.concat(F.initcap(F.element_at(F.split("p_name", " "), i)), F.lit(end))
+    a, b = word(1, "im"), word(2, "el")
+    forms = ["And {a}, the son of {b}, spoke.", "{a} begat {b}.", "{a}, esposa de {b}", "{a} la madre de {b}", "{a}, hermano de {b}", "Monte {a}, padre de {b}"]
+    text = F.lit(None).cast("string")
+    for k, f in enumerate(forms):
+        text = F.when(F.col("p_partkey") % 6 == k, F.replace(F.replace(F.lit(f), F.lit("{a}"), a), F.lit("{b}"), b)).otherwise(text)
+    return family_edges(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.alias("t")), "id", "t")
 
 
-@query("WITH n AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS a, b.p_name AS b, levenshtein(a.p_name, b.p_name) AS distance FROM n a JOIN n b ON substring(a.p_name, 1, 1) = substring(b.p_name, 1, 1) AND a.p_name < b.p_name WHERE levenshtein(a.p_name, b.p_name) <= 3")
-def fuzzy_title(spark: SparkSession, sf: str) -> DataFrame:
-    """Different titles within three edits, among those that begin alike."""
-    n = table(spark, sf, "part").select(F.col("p_name").alias("a")).distinct().withColumn("k", F.substring("a", 1, 1))
-    pairs = n.join(n.withColumnRenamed("a", "b"), "k").where("a < b")
-    return pairs.select("a", "b", F.levenshtein("a", "b").alias("distance")).where("distance <= 3")
+@query()
+def family_in_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Family relations stated in the chunks."""
+    from lorekiln.operators.family import family_edges
+
+    return family_edges(table(spark, sf, "chunks"), "id", "text")
 
 
 @query("WITH n AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS a, b.p_name AS b, levenshtein(a.p_name, b.p_name) AS distance FROM n a JOIN n b ON a.p_name < b.p_name WHERE levenshtein(a.p_name, b.p_name) <= 3")
-def fuzzy_title_all(spark: SparkSession, sf: str) -> DataFrame:
+def fuzzy_title(spark: SparkSession, sf: str) -> DataFrame:
     """Different titles within three edits, however they begin."""
     return search.within_edits(table(spark, sf, "part"), "p_name", 3)
 
@@ -656,24 +774,11 @@ def rolling_throughput(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.count("*").over(w).alias("n"), F.round(sec(F.col("ts")) - sec(F.first("ts").over(w)), 3).alias("seconds"))
 
 
-RANGES = r"""SELECT DISTINCT file_path, id, trim(regexp_extract(reference, '^(.*[^0-9 ])[ ]+[0-9]', 1)) book, TRY_CAST(regexp_extract(reference, ' ([0-9]+):', 1) AS INT) chapter, TRY_CAST(regexp_extract(reference, ':([0-9]+)', 1) AS INT) lo, TRY_CAST(regexp_extract(reference, '-([0-9]+)$', 1) AS INT) hi FROM chunks WHERE reference IS NOT NULL"""
-
-
-@query(f"WITH r AS ({RANGES}) SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.book = b.book AND a.chapter = b.chapter AND a.id < b.id AND a.lo <= b.hi AND b.lo <= a.hi")
-def overlapping_references(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks whose verse ranges overlap: an equi-join on book and chapter, which holds few chunks, then the range."""
-    r = F.col("reference")
-    number = lambda p: F.regexp_extract(r, p, 1).try_cast("int")
-    x = table(spark, sf, "chunks").where(r.isNotNull()).select("id", F.trim(F.regexp_extract(r, r"^(.*[^0-9 ])[ ]+[0-9]", 1)).alias("book"), number(r" ([0-9]+):").alias("chapter"), number(r":([0-9]+)").alias("lo"), number(r"-([0-9]+)$").alias("hi")).distinct()
-    y = x.select(F.col("id").alias("b"), "book", "chapter", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    return x.join(y, ["book", "chapter"]).where("id < b and lo <= hi2 and lo2 <= hi").select(F.col("id").alias("a"), "b")
-
-
 WHOLE_RANGES = r"""SELECT DISTINCT id, book, chapter, lo, coalesce(hi, lo) hi FROM (SELECT id, trim(regexp_extract(reference, '^(.*[^0-9 ,:])[ ]+[0-9]+[:,]', 1)) book, TRY_CAST(regexp_extract(reference, ' ([0-9]+)[:,]', 1) AS INT) chapter, TRY_CAST(regexp_extract(reference, '[:,] ?([0-9]+)', 1) AS INT) lo, TRY_CAST(nullif(regexp_extract(reference, '[-–]([0-9]+)$', 1), '') AS INT) hi FROM chunks WHERE reference IS NOT NULL)"""
 
 
-@query(f"WITH r AS ({WHOLE_RANGES}) SELECT DISTINCT a.id AS a, b.id AS b FROM r a JOIN r b ON a.book = b.book AND a.chapter = b.chapter AND a.id < b.id AND a.lo <= b.hi AND b.lo <= a.hi")
-def overlapping_references_all(spark: SparkSession, sf: str) -> DataFrame:
+@query(f"WITH r AS ({WHOLE_RANGES}) SELECT DISTINCT a.id AS a, b.id AS b FROM r a JOIN r b ON a.book = b.book AND a.chapter = b.chapter AND a.id < b.id AND a.lo <= b.hi AND b.lo <= a.hi AND a.lo <= a.hi AND b.lo <= b.hi")
+def overlapping_references(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks whose verse ranges overlap, in every way of writing them."""
     return extract.overlapping(extract.verse_ranges(table(spark, sf, "chunks"), "id", "reference"), "id")
 

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,22 +13,47 @@ from lorekiln.sources import readers
 from lorekiln.streaming.ingest import ingest_once
 
 
-@pytest.mark.parametrize("name,reason", [(None, "empty"), ("  ", "empty"), ("ab", "too_short"), ("x" * 81, "too_long"), ("...!", "all_punct"), ("www.some.org", "url_like"), ("<b>Bold</b>", "html_fragment"), ("Mary hath spoken", "archaic_verb"), ("see Alma", "xref_fragment"), ("They", "pronoun_stopword"), ("• Point", "leading_punct"), ("## Heading", "markdown_heading"), ("45 miles", "measurement"), ("Entonces dijo", "sentence_fragment_es"), ("word", "lowercase_token"), ("Ana María", None), ("St. Orin", None)])
+@pytest.mark.parametrize("name,reason", [(None, "empty"), ("  ", "empty"), ("ab", "too_short"), ("x" * 81, "too_long"), ("...!", "all_punct"), ("www.some.org", "url_like"), ("<b>Bold</b>", "html_fragment"), ("Mary hath spoken", "archaic_verb"), ("see Alma", "xref_fragment"), ("They", "pronoun_stopword"), ("• Point", "leading_punct"), ("## Heading", "markdown_heading"), ("45 miles", "measurement"), ("Entonces dijo", "sentence_fragment_es"), ("word", "lowercase_token"), ("Nahum 2", "scripture_ref"), ("1 Alma 55:17", "scripture_ref"), ("class='x'", "html_fragment"), ("\u21a9 back", "leading_punct"), ("\u00b9Note", None), ("29 ounces", "measurement"), ("50 por ciento", "measurement"), ("Quién sabe", "sentence_fragment_es"), ("Jos Ã L", None), ("SÃ³ Ã©l", "mojibake"), ("Ana María", None), ("St. Orin", None)])
 def test_garbage(spark, name, reason):
     df = spark.createDataFrame([(name,)], "name string").select(T.garbage_reason(F.col("name")).alias("r"))
     assert df.first().r == reason
 
 
-def test_chunking_keeps_words_and_overlap():
+def packed(text, size, overlap):
+    """The rule in plain Python: (words, chunk) pairs."""
+    out, held = [], []
+    for sentence in re.split(r"(?<=[.!?])\s+|\n\n+", text):
+        w = sentence.split()
+        if held and w and len(held) + len(w) > size:
+            out.append(" ".join(held))
+            held = held[-overlap:] if overlap and len(held) > overlap else []
+        held = held + w
+    return [*out, " ".join(held)] if held else out
+
+
+def test_chunking_against_brute_force(spark):
     rng = random.Random(1)
-    text = " ".join(" ".join(f"w{rng.randint(0, 99)}" for _ in range(rng.randint(1, 12))) + "." for _ in range(50))
-    parts = chunking.pack_sentences(text, 30, 5)
-    assert all(len(p.split()) <= 35 for p in parts)
-    for a, b in zip(parts, parts[1:]):
-        assert a.split()[-5:] == b.split()[:5]
-    rebuilt = parts[0].split() + [w for p in parts[1:] for w in p.split()[5:]]
-    assert rebuilt == text.split()
-    assert chunking.pack_sentences("", 5, 1) == [] and chunking.pack_sentences("   ", 5, 1) == []
+    sentence = lambda: " ".join(f"w{rng.randint(0, 99)}" for _ in range(rng.randint(1, 12))) + rng.choice([".", "!", "?", ".\n\n"])
+    texts = [" ".join(sentence() for _ in range(rng.randint(0, 60))) for _ in range(25)] + ["", "  \n ", None, "one " * 700]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").withColumn("w", F.lit("clash"))
+    for size, overlap in ((30, 5), (5, 1), (500, 50), (20, 0)):
+        got = {}
+        for r in chunking.chunked(df, "id", "t", size, overlap).orderBy("id", "chunk_index").collect():
+            got.setdefault(r.id, []).append(r.text)
+            assert texts[r.id][r.start_char : r.end_char].split() == r.text.split() and r.n_words == len(r.text.split())
+        assert got == {i: packed(t, size, overlap) for i, t in enumerate(texts) if t and t.strip()}
+
+
+def test_verse_and_section_chunks(spark):
+    verse = "Heading\n1 In the beginning\n  it was dark.\n\n2 Then came light.\n3 " + "word " * 40 + "\n4 End."
+    got = chunking.verse_chunks(spark.createDataFrame([(1, verse), (2, "No verses. Only text."), (3, None)], "id long, t string"), "id", "t", 10, 30).orderBy("id", "chunk_index").collect()
+    assert [(r.id, r.first_verse, r.last_verse) for r in got] == [(1, 1, 2), (1, 3, 3), (1, 4, 4), (2, None, None)]
+    assert got[0].text == "1 In the beginning it was dark. 2 Then came light."
+    book = "Preamble.\n\n## 1.1 First\n\nA b c.\n\n## 1.2 Second\n\nD e f.\n\n## 2.1 Long\n\n" + "\n\n".join("x " * 12 for _ in range(4))
+    got = chunking.section_chunks(spark.createDataFrame([(1, book), (2, "Plain text only.")], "id long, t string"), "id", "t", 30, 5).orderBy("id", "chunk_index").collect()
+    assert [(r.id, r.chunk_index, r.reference) for r in got] == [(1, 0, "1.1"), (1, 1, "2.1"), (1, 2, "2.1"), (1, 3, "2.1"), (2, 0, None)]
+    assert got[0].text.startswith("## 1.1 First") and "## 1.2 Second" in got[0].text and all(r.text.startswith("## 2.1 Long\n\n") for r in got[1:4])
+    assert sum(r.text.count("x") for r in got[1:4]) == 48 + 2 * 5
 
 
 EDGES = [(1, 2, "A", "curated"), (2, 3, "A", "ner"), (3, 4, "B", "llm_low"), (4, 5, "B", "metadata"), (9, 9, "A", "ner")]
@@ -50,6 +76,10 @@ def test_pagerank_properties(spark):
     assert s[1] == pytest.approx(1) and s[2] == pytest.approx(0)
     assert sum(r.score for r in graph.pagerank(e, [1, 2]).collect()) == pytest.approx(1, abs=1e-4)
     assert graph.pagerank(e, [77]).count() == 0
+    loops = spark.createDataFrame([(1, 2, "A", "ner"), (9, 9, "A", "ner")], "src long, dst long, rel_type string, confidence string")
+    s = {r.id: r.score for r in graph.pagerank(loops, [1, 9]).collect()}
+    assert set(s) == {1, 2, 9} and sum(s.values()) == pytest.approx(1, abs=1e-4) and s[9] == pytest.approx(0.5, abs=1e-3)
+    assert graph.pagerank(e, [1], k=2).count() == 2
 
 
 def test_closure(spark):
@@ -68,18 +98,18 @@ def test_merge_algebra(spark):
     assert merge.insert_absent(once, new, ["k"], [F.col("v")]).count() == 4
 
 
-def test_cover_rank_against_brute_force(spark):
+@pytest.mark.parametrize("terms", [["ab"], ["ab", "cd"], ["ab", "cd", "ef"], ["ab", "cd", "ef", "gh"]])
+def test_cover_rank_against_brute_force(spark, terms):
     rng = random.Random(2)
-    docs = [(i, " ".join(rng.choice("ab cd ef gh ij kl".split()) for _ in range(rng.randint(0, 25)))) for i in range(80)]
+    docs = [(i, " ".join(rng.choice("ab cd ef gh ij kl".split()) for _ in range(rng.randint(0, 25)))) for i in range(80)] + [(99, None)]
 
     def brute(t):
-        hits = [(p, w) for p, w in enumerate(t.split()) if w in ("ab", "cd")]
-        if len({w for _, w in hits}) < 2:
-            return None
-        s = sum(0.1 / (1 + (y - x + 1) - 2) for (x, a), (y, b) in zip(hits, hits[1:]) if a != b)
-        return round(s, 6)
+        w = (t or "").split()
+        spans = [(i, j) for i in range(len(w)) for j in range(i, len(w)) if set(terms) <= set(w[i : j + 1])]
+        shortest = [(i, j) for i, j in spans if not any((x, y) != (i, j) and i <= x and y <= j for x, y in spans)]
+        return round(sum(0.1 / (1 + sum(x not in terms for x in w[i : j + 1])) for i, j in shortest), 6) if shortest else None
 
-    got = {r.id: r.score for r in search.cover_rank(spark.createDataFrame(docs, "id long, text string"), "id", "text", ["ab", "cd"]).collect()}
+    got = {r.id: r.score for r in search.cover_rank(spark.createDataFrame(docs, "id long, text string"), "id", "text", terms).collect()}
     assert got == pytest.approx({i: b for i, t in docs if (b := brute(t)) is not None}, abs=1e-5)
 
 
@@ -89,6 +119,23 @@ def test_mentions_take_the_longest(spark):
     assert {(r.entity_id, r.pos) for r in extract.mentions(d, "id", "text", g).collect()} == {(1, 1), (3, 6)}
 
 
+def test_mentions_neither_overlap_nor_cite(spark, monkeypatch):
+    d = spark.createDataFrame([(1, "By the red iron gate house. Orin 3:4 says so; Orin himself, of the very old house by the river of salt, not."), (2, None), (3, "")], "id long, text string")
+    g = spark.createDataFrame([("red iron gate", 1, "object", 3), ("gate house", 2, "object", 2), ("orin", 3, "person", 1), ("orin", 4, "place", 1), ("the very old house by the river of salt", 5, "place", 9)], "term string, entity_id long, entity_type string, n int")
+    want = {(1, 2), (3, 9), (4, 9), (5, 12)}
+    found = lambda: {(r.entity_id, r.pos) for r in extract.mentions(d, "id", "text", g).collect()}
+    assert found() == want
+    monkeypatch.setattr(extract, "FIRST_WORDS", 1)
+    assert found() == want
+
+
+def test_curated_relations_go_before_rules(spark):
+    found = spark.createDataFrame([(1, 10, "person"), (1, 20, "place"), (1, 30, "thing"), (2, 10, "person"), (2, 20, "place")], "id long, entity_id long, entity_type string")
+    curated = spark.createDataFrame([(20, "HOME_OF", 10)], "src long, rel_type string, dst long")
+    got = {(r.a, r.rel_type, r.b, r.texts) for r in extract.cooccurrence(found, "id", extract.TYPE_RULES, curated=curated).collect()}
+    assert got == {(20, "HOME_OF", 10, 2), (10, "CO_OCCURS_WITH", 30, 1), (20, "CO_OCCURS_WITH", 30, 1)}
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "en").mkdir()
     (tmp_path / "en/a.txt").write_text("plain")
@@ -136,12 +183,27 @@ def test_snapshots_swap_whole(spark, tmp_path):
     assert snapshots.read(spark, root).count() == 3
 
 
+FAMILY = [
+    ("Then Orin, son of Belthar, spoke.", {("Belthar", "FATHER_OF", "Orin")}),
+    ("Ana hija de Rosa Luz vino.", {("Rosa Luz", "FATHER_OF", "Ana")}),
+    ("Orin begat Tamur. Belthar engendró a Dov.", {("Orin", "FATHER_OF", "Tamur"), ("Belthar", "FATHER_OF", "Dov")}),
+    ("Mara, the mother of Orin, and Dov, father of Tamur", {("Mara", "MOTHER_OF", "Orin"), ("Dov", "FATHER_OF", "Tamur")}),
+    ("Mara, esposa de Dov; Sela, wife of Orin", {("Dov", "SPOUSE_OF", "Mara"), ("Orin", "SPOUSE_OF", "Sela")}),
+    ("Dov, hermano de Orin. Sela the sister of Mara", {("Dov", "BROTHER_OF", "Orin"), ("Sela", "SISTER_OF", "Mara")}),
+    ("Orin, son of Belthar, the son of Dov", {("Belthar", "FATHER_OF", "Orin"), ("Dov", "FATHER_OF", "Belthar")}),
+    ("the son of man. Orin, son of Orin. ORIN BEL, son of Dov. Mount Orin, father of Dov. Dov, son of Dov Tamur. Dov, brother of Jared", set()),
+]
+
+
 def test_family_sentences(spark):
     from lorekiln.operators.family import family_edges
 
-    rows = [(1, "Then Orin, son of Belthar, spoke; Ana hija de Rosa Luz vino. Orin begat Tamur."), (2, "Orin's brother Dov came. the son of man. Orin son of Orin."), (3, None)]
-    got = {(r.src, r.rel_type, r.dst) for r in family_edges(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()}
-    assert got == {("Orin", "SON_OF", "Belthar"), ("Ana", "DAUGHTER_OF", "Rosa Luz"), ("Orin", "FATHER_OF", "Tamur"), ("Dov", "BROTHER_OF", "Orin")}
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(FAMILY)] + [(99, None), (98, "")], "id long, t string").withColumn("src", F.lit("clash"))
+    got = {}
+    for r in family_edges(rows, "id", "t").collect():
+        got.setdefault(r.id, set()).add((r.src, r.rel_type, r.dst))
+    assert got == {i: want for i, (_, want) in enumerate(FAMILY) if want}
+    assert {r.src for r in family_edges(rows, "id", "t", ["Dov"]).where("id = 3").collect()} == {"Mara"}
 
 
 def test_within_edits_against_brute_force(spark):

