@@ -164,3 +164,78 @@ def degrees(edges: DataFrame) -> DataFrame:
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
+
+
+def files_of(names: DataFrame, entities: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(name, files): the files of each name asked for, in order; an empty array where the entity is unknown or has none."""
+    asked = names.select("name").where("name is not null").distinct()
+    m = mentions.select("entity_id", "file_path").where("file_path is not null").distinct()
+    hit = entities.select(F.col("id").alias("entity_id"), "name").join(asked, "name", "left_semi").join(m, "entity_id").select("name", "file_path").distinct()
+    lists = hit.groupBy("name").agg(F.sort_array(F.collect_list("file_path")).alias("files"))
+    return asked.join(lists, "name", "left").select("name", F.coalesce("files", F.array().cast("array<string>")).alias("files"))
+
+
+def resolved(names: DataFrame, entities: DataFrame, aliases: DataFrame, preferred: list[str] = ("person",)) -> DataFrame:
+    """(name, id): the entity that a name or alias means, without regard to case: by preferred types in order, names before aliases,
+    then the smallest id. Unknown names have a null id."""
+    labels = entities.select("id", "entity_type", F.lower("name").alias("k"), F.lit(0).alias("of")).unionByName(aliases.join(entities.select(F.col("id").alias("entity_id"), "entity_type"), "entity_id").select(F.col("entity_id").alias("id"), "entity_type", F.lower("alias").alias("k"), F.lit(1).alias("of")))
+    asked = names.select("name").distinct().withColumn("k", F.lower("name"))
+    hit = first_by(asked.join(labels, "k"), ["name"], [T.ranked(F.col("entity_type"), list(preferred)), F.col("of"), F.col("id")])
+    return asked.select("name").join(hit.select("name", "id"), "name", "left")
+
+
+def other_names(entities: DataFrame, aliases: DataFrame, language: str) -> DataFrame:
+    """(id, name, other): each entity's first alias of a language, null without one."""
+    a = aliases.where(F.col("language") == language).groupBy(F.col("entity_id").alias("id")).agg(F.min("alias").alias("other"))
+    return entities.select("id", "name").join(a, "id", "left")
+
+
+def ancestors(edges: DataFrame, root: int, depth: int) -> DataFrame:
+    """(id, level, path): every path upwards over parent edges (src is the parent), ``depth`` (1 to 10) levels at most, none twice over
+    a node. Level 0 is the root."""
+    return descendants(edges.select("src", "dst"), root, depth)
+
+
+def tree(edges: DataFrame, entities: DataFrame, root: int, depth: int = 3, parents: tuple[str, ...] = ("FATHER_OF", "MOTHER_OF"), spouses: str = "SPOUSE_OF") -> dict:
+    """A family tree as nested dicts (id, name, spouses, parents, children), for display. Rows come from the path queries, whose size
+    the depth bounds; a person met on two paths of one generation appears once under the same child or parent."""
+    kin = edges.where(F.col("rel_type").isin(*parents)).select("src", "dst")
+    up = [r.path.split(",") for r in ancestors(kin, root, depth).collect()]
+    down = [r.path.split(",") for r in descendants(kin.select(F.col("dst").alias("src"), F.col("src").alias("dst")), root, depth).collect()]
+    s = edges.where(F.col("rel_type") == spouses)
+    wed = sorted({r.id for r in s.where(F.col("src") == root).select(F.col("dst").alias("id")).union(s.where(F.col("dst") == root).select("src")).collect()})
+    ids = sorted({int(x) for p in up + down for x in p} | set(wed) | {root})
+    names = {r.id: r.name for r in entities.where(F.col("id").isin(ids)).select("id", "name").collect()}
+    new = lambda i: {"id": i, "name": names.get(i), "spouses": [], "parents": [], "children": []}
+    top = new(root) | {"spouses": [{"id": i, "name": names.get(i)} for i in wed]}
+    for paths, side in ((up, "parents"), (down, "children")):
+        for p in sorted(paths):
+            at = top
+            for i in map(int, p[1:]):
+                nxt = next((x for x in at[side] if x["id"] == i), None)
+                if nxt is None:
+                    nxt = new(i)
+                    at[side].append(nxt)
+                at = nxt
+    return top
+
+
+def structure_edges(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities, edges) of a hierarchy written as paths (file_path): every folder and file with its depth, PART_OF the folder above."""
+    parts = paths.select(F.split("file_path", "/").alias("p")).where("file_path is not null").distinct()
+    steps = parts.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.struct(F.array_join(F.slice("p", 1, i), "/").alias("name"), i.alias("depth"), F.array_join(F.slice("p", 1, i - 1), "/").alias("above")))).alias("s")).select("s.*").distinct()
+    return steps.select("name", "depth"), steps.where("depth > 1").select(F.col("name").alias("src"), F.lit("PART_OF").alias("rel_type"), F.col("above").alias("dst"))
+
+
+def narrative_cliques(paths: DataFrame) -> DataFrame:
+    """(narrative, a, b): every ordered couple of different files of one narrative. A narrative has a handful of files; the output is
+    the couples themselves."""
+    one = paths.where("narrative is not null").select("narrative", "file_path").distinct().groupBy("narrative").agg(F.sort_array(F.collect_list("file_path")).alias("f"))
+    return one.select("narrative", F.explode("f").alias("a"), "f").select("narrative", "a", F.explode("f").alias("b")).where("a <> b")
+
+
+def limited(found: DataFrame, order: list, each: int, names: int, group: str | None = None) -> DataFrame:
+    """``each`` x ``names`` rows in all, as batch look-ups are limited; with ``group``, ``each`` rows of every group instead."""
+    if group is None:
+        return found.orderBy(*order).limit(each * names)
+    return found.withColumn("_rn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_rn") <= each).drop("_rn")

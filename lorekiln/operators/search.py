@@ -38,8 +38,13 @@ def cover_rank(docs: DataFrame, key: str, text: str, terms: list[str], token=Non
     form (a stemmer, say).
     """
     words = F.split(T.normalised(F.col(text)), " ")
-    words = words if token is None else F.transform(words, token)
-    at = F.array(*[F.lit(t) for t in terms])
+    return cover_words(docs.select(key, (words if token is None else F.transform(words, token)).alias("_w")), key, "_w", terms, token)
+
+
+def cover_words(docs: DataFrame, key: str, words: str, terms: list[str], token=None) -> DataFrame:
+    """``cover_rank`` over an array of words that is there already."""
+    terms = list(dict.fromkeys(terms))
+    at = F.array(*[F.lit(t) if token is None else token(F.lit(t)) for t in terms])
     hits = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("p"), F.array_position(at, w).cast("int").alias("t"))), lambda s: s["t"] > 0)
     n = len(terms)
     none = F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("p"))

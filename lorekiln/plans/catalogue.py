@@ -810,3 +810,6 @@ def profile_split(spark: SparkSession, sf: str) -> DataFrame:
     t = m.groupBy("entity_id").agg(F.count("*").alias("total"), F.countDistinct(F.nullif("resolved_name", F.lit(""))).alias("n"))
     s = m.where("resolved_name <> ''").select("entity_id", "resolved_name").distinct()
     return s.join(t, "entity_id").select("entity_id", "resolved_name", F.floor(F.col("total") / F.col("n")).alias("mention_count"))
+
+
+from lorekiln.plans import graph_queries, retrieval_queries, text_queries  # noqa: E402, F401 - they register themselves
