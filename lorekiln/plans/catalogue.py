@@ -812,4 +812,4 @@ def profile_split(spark: SparkSession, sf: str) -> DataFrame:
     return s.join(t, "entity_id").select("entity_id", "resolved_name", F.floor(F.col("total") / F.col("n")).alias("mention_count"))
 
 
-from lorekiln.plans import graph_queries, retrieval_queries, text_queries  # noqa: E402, F401 - they register themselves
+from lorekiln.plans import corpus_queries, graph_queries, retrieval_queries, text_queries  # noqa: E402, F401 - they register themselves

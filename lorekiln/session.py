@@ -14,15 +14,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with ``checkpoint()``.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a local one is set.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines see: the cluster's ``spark.checkpoint.dir``. Where it is unset a local one is set on a single machine
+    (tests); on a cluster, where no other machine would see it, that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "lorekiln-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = os.path.join(tempfile.gettempdir(), "lorekiln-checkpoints")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with ``checkpoint()`` in the shared folder. With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes
+    a checkpoint when nothing refers to it any more."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
