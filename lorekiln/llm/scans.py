@@ -164,17 +164,21 @@ def _skeleton_of(w: str) -> str:
     return reduce(lambda a, p: a.replace(*p), TWO_GLYPHS, s)
 
 
-def tokens_of(lines: DataFrame) -> DataFrame:
+def tokens_of(lines: DataFrame, common: list[str] = ()) -> DataFrame:
     """Words of body lines where they begin: (id, line_no, pos, word, whole, hyphened, form, follows, precedes). A divided word is
-    given whole: ``word`` is its part on the line, ``whole`` both parts without the hyphen, ``hyphened`` with it."""
+    given whole: ``word`` is its part on the line, ``whole`` both parts without the hyphen, ``hyphened`` with it. Words of ``common`` before
+    another such word are left out before anything is made of them, but at a line's end."""
     w = lines.where("body").withColumn("w", _words(F.regexp_replace("l", rf"[{HYPHENS}]$", ""))).withColumn("before", F.element_at(_words(F.col("prev_body")), -1))
-    at = lambda i: F.get("w", F.col("pos") + i)
-    body = w.select("id", "line_no", "divided", "continues", "next_body", "before", "w", F.posexplode("w").alias("pos", "word"))
+    words = F.transform("w", lambda x, i: F.struct(i.cast("int").alias("pos"), x.alias("word"), F.get("w", i + 1).alias("follows"), F.when(i == 0, F.col("before")).otherwise(F.get("w", i - 1)).alias("precedes")))
+    if common:
+        every = [*common, *(c.capitalize() for c in common)]
+        words = F.filter(words, lambda x: ~x["word"].isin(every) | ~F.coalesce(x["follows"].isin(every), F.lit(False)))
+    body = w.select("id", "line_no", "divided", "continues", "next_body", (F.size("w") - 1).alias("end"), F.explode(words).alias("x")).select("id", "line_no", "divided", "continues", "next_body", "end", "x.*")
     rest = F.regexp_extract("next_body", rf"^{WORD}", 0)
-    last = F.col("divided") & (F.col("pos") == F.size("w") - 1)
+    last = F.col("divided") & (F.col("pos") == F.col("end"))
     body = body.where(~(F.col("continues") & (F.col("pos") == 0))).where(~(last & F.col("next_body").isNull()))
     whole = F.when(last, F.concat("word", rest)).otherwise(F.col("word"))
-    body = body.select("id", "line_no", "pos", "word", whole.alias("whole"), F.when(last, F.concat("word", F.lit("-"), rest)).alias("hyphened"), at(1).alias("follows"), F.lower(F.when(F.col("pos") == 0, F.col("before")).otherwise(at(-1))).alias("precedes"))
+    body = body.select("id", "line_no", "pos", "word", whole.alias("whole"), F.when(last, F.concat("word", F.lit("-"), rest)).alias("hyphened"), "follows", F.lower("precedes").alias("precedes"))
     return body.where(F.col("whole").rlike(r"\p{L}")).withColumn("form", _form(F.col("whole")))
 
 
@@ -261,8 +265,7 @@ def analysed(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFr
     # left out, but for those before another word
     frequent = counts.join(wrong, "form", "left_anti").where("n_clean * 2 > n_scan").orderBy(F.desc("total"), "form").limit(COMMON)
     common = [r["form"] for r in frequent.select("form").collect()]
-    is_common = lambda w, form: F.col(w).isin(common) | form.isin(common)  # noqa: E731 - most words stand as their form
-    seldom = cut(tokens.where(F.col("hyphened").isNotNull() | ~is_common("whole", F.col("form")) | ~is_common("follows", F.lower("follows"))))
+    seldom = cut(tokens_of(lines, common))
     misread = seldom.join(wrong.select("form", "better", "k"), "form").select(*PLACE, "better", "k")
     # a compound divided at its own hyphen is a known word, whatever its joined letters look like
     kept = counts.where("total >= 2 and form like '%-%'").select(F.col("form").alias("compound_form"))
