@@ -132,3 +132,62 @@ def ranked(value: Column, order: list[str]) -> Column:
     for i, v in enumerate(order[1:], 1):
         out = out.when(value == v, i)
     return out.otherwise(len(order))
+
+
+def scripture_path(path: Column) -> Column:
+    """(lang, volume, book, chapter) of '{lang}/scriptures/{volume}/[{book}/]{chapter}.txt', whichever slashes it has; null for another path.
+    Sections of the volume dc have no book."""
+    p = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+    pattern = r"(?:^|/)([a-z]{2})/scriptures/([a-z]+)/(?:([a-z0-9-]+)/)?([0-9]+)\.txt$"
+    part = lambda i: F.regexp_extract(p, pattern, i)
+    book = F.when(part(2) != "dc", F.nullif(part(3), F.lit("")))
+    return F.when(p.rlike(pattern), F.struct(part(1).alias("lang"), part(2).alias("volume"), book.alias("book"), part(4).cast("int").alias("chapter")))
+
+
+def is_below(path: Column, folder: str) -> Column:
+    """Whether a folder (of one or more parts) is among a path's."""
+    return F.concat(F.lit("/"), F.replace(path, F.lit("\\"), F.lit("/"))).contains(f"/{folder}/")
+
+
+def references(text: Column) -> Column:
+    """The citations of a text in order: (book, chapter, verses), verses as written ('3, 5–7', or empty for a chapter). Longer book names go
+    before their abbreviations."""
+    book = rf"(?i)((?:[1-4]\s)?(?<![\p{{L}}])(?:{'|'.join(BOOKS).replace('(', '(?:')})\.?)\s+(\d{{1,3}})(?::(\d{{1,3}}(?:\s*[,–-]\s*\d{{1,3}}(?!\d*:))*))?"
+    one = lambda i: F.regexp_extract_all(text, F.lit(book), F.lit(i))
+    return F.zip_with(F.arrays_zip(one(1).alias("book"), one(2).alias("chapter")), one(3), lambda b, v: F.struct(F.regexp_replace(b["book"], r"\s+|\.$", " ").alias("book"), b["chapter"].cast("int").alias("chapter"), v.alias("verses")))
+
+
+def verse_list(verses: Column) -> Column:
+    """'3, 5–7 (4-9)' as ranges [(3, 3), (5, 7), (4, 9)]; what isn't a number or range is passed over, an empty text gives none."""
+    items = F.regexp_extract_all(verses, F.lit(r"\d+\s*(?:[–-]\s*\d+)?"), F.lit(0))
+    lo = lambda x: F.regexp_extract(x, r"^(\d+)", 1).try_cast("int")
+    return F.transform(items, lambda x: F.struct(lo(x).alias("lo"), F.coalesce(F.regexp_extract(x, r"[–-]\s*(\d+)$", 1).try_cast("int"), lo(x)).alias("hi")))
+
+
+def footnote_references(text: Column) -> Column:
+    """The citations of a footnote as (book, chapter, lo, hi): lists and parenthesised ranges apart, a chapter alone with null verses; a part
+    after ';' that names no book belongs to the book before ('Alma 5:3; 7:2')."""
+    filled = F.regexp_replace(text, r";\s*(?=\d+:)", "; \u0001 ")
+    cited = rf"(?i)(?:((?:[1-4]\s)?(?<![\p{{L}}])(?:{'|'.join(BOOKS).replace('(', '(?:')})\.?)|\x01)\s+(\d{{1,3}})(?::(\d{{1,3}}(?:\s*[,–-]\s*\d{{1,3}}(?!\d*:)|\s*\(\d{{1,3}}\s*[–-]\s*\d{{1,3}}\))*))?"
+    one = lambda i: F.regexp_extract_all(filled, F.lit(cited), F.lit(i))
+    parts = F.zip_with(F.arrays_zip(one(1).alias("b"), one(2).alias("c")), one(3), lambda x, v: F.struct(F.nullif(F.trim(F.regexp_replace(x["b"], r"\.$", "")), F.lit("")).alias("b"), x["c"].cast("int").alias("c"), v.alias("v")))
+    row = "array<struct<book:string,chapter:int,lo:int,hi:int>>"
+    ranges = lambda a, x: F.when(x["v"] == "", F.array(F.struct(F.coalesce(x["b"], a["last"]).alias("book"), x["c"].alias("chapter"), F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi")))).otherwise(F.transform(verse_list(x["v"]), lambda r: F.struct(F.coalesce(x["b"], a["last"]).alias("book"), x["c"].alias("chapter"), r["lo"].alias("lo"), r["hi"].alias("hi")))).cast(row)
+    step = lambda a, x: F.struct(F.coalesce(x["b"], a["last"]).alias("last"), F.concat(a["out"], ranges(a, x)).alias("out"))
+    return F.aggregate(parts, F.struct(F.lit(None).cast("string").alias("last"), F.array().cast(row).alias("out")), step, lambda a: a["out"])
+
+
+def composed(df, column: str):
+    """A table with a text column in composed form (NFC), which no built-in function makes; one Arrow pass, nulls stay."""
+    import unicodedata
+
+    import pyarrow as pa
+
+    at = df.columns.index(column)
+
+    def run(batches):
+        for b in batches:
+            t = pa.array([x if x is None or x.isascii() else unicodedata.normalize("NFC", x) for x in b.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], t, *b.columns[at + 1 :]], names=b.schema.names)
+
+    return df.mapInArrow(run, df.schema)

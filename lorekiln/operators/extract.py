@@ -119,3 +119,46 @@ def overlapping(ranges: DataFrame, key: str, width: int = 8) -> DataFrame:
     pairs = pairs.select(F.struct("book", "chapter", "lo", "hi").alias("x"), F.struct("book", "chapter", F.col("lo2").alias("lo"), F.col("hi2").alias("hi")).alias("y"))
     left, right = own.select(F.col(key).alias("a"), F.col("r").alias("x")), own.select(F.col(key).alias("b"), F.col("r").alias("y"))
     return left.join(pairs, "x").join(right, "y").where("a < b").select("a", "b").distinct()
+
+
+def crossrefs(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, rel_type, target), distinct: what a reference work points to: 'See X; Y.' and 'Véase X.' give SEE_ALSO, 'cf. X' and 'Compare X' give
+    COMPARE_WITH; targets are parted at semicolons and begin their words with capitals."""
+    p = r"(?:^|[\s(])(See also|See|Véase también|Véase|[Cc]f\.|[Cc]ompare|[Cc]ompárese)\s+(\p{Lu}[^.()\n]{1,120}?)(?=[.()\n]|$)"
+    one = lambda i: F.regexp_extract_all(text, F.lit(p), F.lit(i))
+    hit = docs.where(F.col(text).isNotNull()).select(key, F.explode(F.arrays_zip(one(1).alias("how"), one(2).alias("what"))).alias("m"))
+    hit = hit.select(key, F.when(F.lower("m.how").rlike("^(cf|comp)"), "COMPARE_WITH").otherwise("SEE_ALSO").alias("rel_type"), F.explode(F.split("m.what", r"\s*;\s*")).alias("target"))
+    return hit.select(key, "rel_type", F.initcap(F.trim(F.regexp_replace("target", r"^(?:and|y|also)\s+|[\s,:]+$", ""))).alias("target")).where("target <> ''").distinct()
+
+
+#: Relations that are noise where nothing surer says them, by how much is to go; tiers and sources that are never touched.
+NOISE = {"conservative": ("CO_OCCURS_WITH",), "aggressive": ("CO_OCCURS_WITH", "ASSOCIATED_WITH", "RELATED_TO", "BELONGS_TO", "LIVED_DURING", "EXISTS_DURING", "REFERENCED_IN", "TEACHES")}
+PRESERVED = ("curated", "metadata", "llm_high")
+
+
+def is_noise(tier: str = "conservative"):
+    """Whether an edge (rel_type, confidence) is noise: of the conservative tier any co-occurrence that nothing surer backs, of the aggressive
+    one also weakly stated relations (llm_low). A null confidence counts as nothing sure."""
+    sure = F.coalesce(F.col("confidence"), F.lit("")).isin(*PRESERVED)
+    weak = F.col("rel_type").isin(*NOISE["aggressive"][1:]) & (F.coalesce(F.col("confidence"), F.lit("")) == "llm_low")
+    noise = F.col("rel_type").isin(*NOISE["conservative"])
+    return ((noise | weak) if tier == "aggressive" else noise) & ~sure
+
+
+def verse_spans(chunks: DataFrame, verses: DataFrame, key: str, snippet: int = 60) -> DataFrame:
+    """(key, first_verse, last_verse): the verses of a chunk's file whose first ``snippet`` characters it holds. ``chunks``: key, file_path, text;
+    ``verses``: file_path, verse, body. Chunks that hold none have no row."""
+    v = verses.where("body <> ''").select("file_path", "verse", F.substring("body", 1, snippet).alias("head"))
+    hit = chunks.select(key, "file_path", "text").join(v, "file_path").where(F.col("text").contains(F.col("head")))
+    return hit.groupBy(key).agg(F.min("verse").alias("first_verse"), F.max("verse").alias("last_verse"))
+
+
+def ner_candidates(names: DataFrame, known: DataFrame, stop: list[str]) -> DataFrame:
+    """(name, reason): names found by a model or by capitals, with why each is dropped: garbage, canonical (a dictionary has it, ``known``: term),
+    numeric, verse_number, stopword; null where it may be a new entity."""
+    from lorekiln.functions.text import entity_name, garbage_reason
+
+    n = names.select("name").distinct().withColumn("k", entity_name(F.col("name")))
+    n = n.join(known.select(F.col("term").alias("k"), F.lit(True).alias("known")).distinct(), "k", "left")
+    reason = F.coalesce(garbage_reason(F.col("name")), F.when(F.col("known"), "canonical"), F.when(F.col("name").rlike(r"^[\d\s.,:–-]+$"), "numeric"), F.when(F.col("name").rlike(r"^\d+\s"), "verse_number"), F.when(F.lower("name").isin(stop), "stopword"))
+    return n.select("name", reason.alias("reason"))

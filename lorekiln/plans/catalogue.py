@@ -739,14 +739,6 @@ def family_patterns(spark: SparkSession, sf: str) -> DataFrame:
     return family_edges(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.alias("t")), "id", "t")
 
 
-@query()
-def family_in_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Family relations stated in the chunks."""
-    from lorekiln.operators.family import family_edges
-
-    return family_edges(table(spark, sf, "chunks"), "id", "text")
-
-
 @query("WITH n AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS a, b.p_name AS b, levenshtein(a.p_name, b.p_name) AS distance FROM n a JOIN n b ON a.p_name < b.p_name WHERE levenshtein(a.p_name, b.p_name) <= 3")
 def fuzzy_title(spark: SparkSession, sf: str) -> DataFrame:
     """Different titles within three edits, however they begin."""
@@ -812,4 +804,4 @@ def profile_split(spark: SparkSession, sf: str) -> DataFrame:
     return s.join(t, "entity_id").select("entity_id", "resolved_name", F.floor(F.col("total") / F.col("n")).alias("mention_count"))
 
 
-from lorekiln.plans import corpus_queries, graph_queries, retrieval_queries, text_queries  # noqa: E402, F401 - they register themselves
+from lorekiln.plans import corpus_queries, extract_queries, graph_queries, retrieval_queries, text_queries  # noqa: E402, F401 - they register themselves

@@ -150,6 +150,74 @@ def test_readers(spark, tmp_path):
         readers.parse("x.pdf", b"")
 
 
+def test_markdown():
+    raw = "---\ntitle: x\n---\n# Head #\n\nTitle\n=====\n> quoted **bold _and_ more**\n\n1. item [link](http://a/(b)) `co*de*`\n- [x] done ~~gone~~\n\n| A | B |\n|---|:-:|\n| 1 | *2* |\n\n```py\n# kept *as* is\n```\n***\n[ref]: http://x\n<!-- no\n--> snake_case_word 2 * 3 * 4 \\*star\\*"
+    assert readers.markdown_text(raw) == "Head\nTitle\nquoted bold and more\nitem link co*de*\ndone gone\nA\nB\n1\n2\n# kept *as* is\n snake_case_word 2 * 3 * 4 *star*"
+    assert readers.html_text("<p>a<sup class='marker'>1</sup><span class='marker'>b</span></p>") == "a\nb"
+
+
+def test_sidecars_and_skipped_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one")
+    (tmp_path / "b.txt").write_text("two")
+    (tmp_path / "a.meta.json").write_text('{"title": "T"}')
+    (tmp_path / "bilingual-concept-bridge.json").write_text("{}")
+    d = readers.scan(spark, str(tmp_path))
+    meta = readers.sidecars(spark, str(tmp_path))
+    got = {r.text: r.metadata for r in readers.with_sidecars(d, meta).collect()}
+    assert got == {"one": {"title": "T"}, "two": {}}
+    assert readers.scan(spark, str(tmp_path), paths=[str(tmp_path / "b.txt")]).count() == 1
+
+
+def test_references(spark):
+    texts = ["See Alma 5:3; 7:2, 4–6 and 1 Nephi 3.", "p. 3:4", None, "Gen. 1:1 (2-3)"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r.id: [tuple(x) for x in r.x or []] for r in df.select("id", T.footnote_references(F.col("t")).alias("x")).collect()}
+    assert got == {0: [("Alma", 5, 3, 3), ("Alma", 7, 2, 2), ("Alma", 7, 4, 6), ("1 Nephi", 3, None, None)], 1: [], 2: [], 3: [("Gen", 1, 1, 1), ("Gen", 1, 2, 3)]}
+    found = df.select(T.references(F.col("t")).alias("x")).first().x
+    assert [(r.book, r.chapter, r.verses) for r in found] == [("Alma", 5, "3"), ("1 Nephi", 3, "")]
+    paths = spark.createDataFrame([("x/ES/scriptures/ot/gen/3.txt",), ("en\\scriptures\\dc\\76.txt",), ("en/books/1.txt",), (None,)], "p string").select(T.scripture_path(F.col("p")).alias("s"), T.is_below(F.col("p"), "scriptures").alias("b")).collect()
+    assert [(None if r.s is None else tuple(r.s), r.b) for r in paths] == [(("es", "ot", "gen", 3), True), (("en", "dc", None, 76), True), (None, False), (None, None)]
+
+
+def test_composed_text(spark):
+    df = spark.createDataFrame([(1, "cafe\u0301", 2.0), (2, None, None)], "id long, t string, x double")
+    assert [tuple(r) for r in T.composed(df, "t").orderBy("id").collect()] == [(1, "caf\u00e9", 2.0), (2, None, None)]
+
+
+def test_sinks(spark, tmp_path):
+    from lorekiln.sources import snapshots
+
+    old = spark.createDataFrame([(1, [1.0, 2.0], "m"), (2, [1.0, 2.0], "m")], "chunk_id long, embedding array<float>, model_version string")
+    new = spark.createDataFrame([(2, [3.0, 4.0], "m"), (2, [3.0, 4.0], "n")], old.schema)
+    assert sorted((r.chunk_id, r.model_version, r.embedding[0]) for r in snapshots.upserted_embeddings(old, new, 2).collect()) == [(1, "m", 1.0), (2, "m", 3.0), (2, "n", 3.0)]
+    with pytest.raises(Exception, match="length 2"):
+        snapshots.upserted_embeddings(old, new, 3).collect()
+    assert snapshots.without_files(spark.createDataFrame([("a", 1), ("b", 2)], "file_path string, n int"), spark.createDataFrame([("a",)], "file_path string")).count() == 1
+    assert snapshots.stamp(spark, str(tmp_path), 1) == 1 and snapshots.stamp(spark, str(tmp_path), 2) == 2
+    with pytest.raises(RuntimeError):
+        snapshots.stamp(spark, str(tmp_path), 1)
+    assert snapshots.write_all({"x": old, "y": new}, str(tmp_path / "w")) == {"x": 1, "y": 1}
+
+
+def test_checkpoints_need_a_shared_folder(monkeypatch):
+    from lorekiln import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda k, d=None: d)
+
+    with pytest.raises(RuntimeError):
+        session.shared_folder(Session())
+
+
 def test_stream_takes_each_file_once(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
