@@ -208,6 +208,15 @@ def test_an_abridgement_aligns(spark):
     assert {(r.sentence_a, r.sentence_b) for r in got} >= {(0, 0), (1, 1), (3, 3), (5, 4)}
 
 
+def test_merges_of_three():
+    rng = np.random.default_rng(2)
+    unit = lambda x: (x / np.linalg.norm(x, axis=-1, keepdims=True)).astype("f4")
+    a = unit(rng.standard_normal((30, 40)))
+    b = unit(np.stack([*a[:10], a[10:13].sum(0), *a[13:20], a[20:23].sum(0), *a[23:]]))
+    want = {(i, i) for i in range(10)} | {(i, 10) for i in (10, 11, 12)} | {(i, i - 2) for i in range(13, 20)} | {(i, 18) for i in (20, 21, 22)} | {(i, i - 4) for i in range(23, 30)}
+    assert {(i, j) for i, j, _ in bitext.align(a, b)} == want and {(j, i) for i, j, _ in bitext.align(b, a)} == want
+
+
 def test_sums_of_groups():
     m = np.arange(8, dtype="f4").reshape(4, 2)
     assert bitext._sums(m, np.array([0, 1, 3]), [0, 2, 0, 1]).tolist() == [[0, 0], [2, 4], [0, 0], [6, 7]]
