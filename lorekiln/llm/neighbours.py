@@ -198,10 +198,11 @@ def fit(rows: DataFrame, n: int, dim: int, k: int, floor: float, target: float)
         if out:
             yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["q", "s", "leaf", "n"]).astype({"q": "int32", "s": "float64", "leaf": "int32", "n": "int64"}))
 
-    # at most k rows a query and one a leaf from each task
-    pdf = rows.select("id", "model", "g", "v").mapInArrow(against, "q int, s double, leaf int, n long").toPandas()
-    counts = pdf[pdf.q < 0].groupby("leaf").n.sum().to_dict()
-    true = pdf[pdf.q >= 0].sort_values(["q", "s"], ascending=[True, False]).groupby("q").head(k)
+    # tasks give k rows a query and one a leaf at most; they are summed up before they reach the driver
+    found = cut(rows.select("id", "model", "g", "v").mapInArrow(against, "q int, s double, leaf int, n long"))
+    counts = {r["leaf"]: r["n"] for r in found.where("q < 0").groupBy("leaf").agg(F.sum("n").alias("n")).collect()}
+    best_of = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "leaf"))
+    true = found.where("q >= 0").withColumn("rn", best_of).where(F.col("rn") <= k).select("q", "leaf").toPandas()
     near = tree.products(qx).tolist()
     ranks = []
     all_leaves = len(tree.leaves())
