@@ -103,7 +103,7 @@ def _features(scanned: DataFrame) -> DataFrame:
 
 def lines_of(scanned: DataFrame) -> DataFrame:
     """Lines of scanned chunks with what is on them: (id, line_no, l, blank, is_header, is_number, body, divided, continues,
-    next_body, prev_body).
+    next_body, prev_body, w, before).
 
     A running header has the shape of a title, and the page shows that it is none of the author's: its letters, figures masked and
     glyphs as strokes, come again in the file or run through other scanned files, or a page number is on the line or beside it, or
@@ -155,7 +155,9 @@ def lines_of(scanned: DataFrame) -> DataFrame:
     borders = into.join(onto, "id", "full").groupBy("id").agg(F.max("after_chunk").alias("after_chunk"), F.max("before_chunk").alias("before_chunk"))
     rows = rows.join(borders, "id", "left").withColumn("next_body", F.when(F.col("body"), F.coalesce("next_body", "after_chunk")).otherwise(F.col("next_body"))).withColumn("prev_body", F.when(F.col("body"), F.coalesce("prev_body", "before_chunk")).otherwise(F.col("prev_body")))
     rows = rows.withColumn("divided", F.col("body") & F.col("l").rlike(DIVIDED) & F.coalesce(F.col("next_body").rlike(r"^[^\s\p{N}]*\p{L}"), F.lit(True)))
-    return rows.withColumn("continues", F.coalesce(F.col("body") & F.col("prev_body").rlike(DIVIDED), none)).drop("after_chunk", "before_chunk")
+    rows = rows.withColumn("continues", F.coalesce(F.col("body") & F.col("prev_body").rlike(DIVIDED), none)).drop("after_chunk", "before_chunk")
+    # a body line's words, and the word before them: taken once here, as they are gone through several times
+    return rows.withColumn("w", F.when(F.col("body"), _words(F.regexp_replace("l", rf"[{HYPHENS}]$", "")))).withColumn("before", F.when(F.col("body"), F.element_at(_words(F.right("prev_body", F.lit(40))), -1)))
 
 
 def _skeleton_of(w: str) -> str:
@@ -168,7 +170,7 @@ def tokens_of(lines: DataFrame, common: list[str] = ()) -> DataFrame:
     """Words of body lines where they begin: (id, line_no, pos, word, whole, hyphened, form, follows, precedes). A divided word is
     given whole: ``word`` is its part on the line, ``whole`` both parts without the hyphen, ``hyphened`` with it. Words of ``common`` before
     another such word are left out before anything is made of them, but at a line's end."""
-    w = lines.where("body").withColumn("w", _words(F.regexp_replace("l", rf"[{HYPHENS}]$", ""))).withColumn("before", F.element_at(_words(F.col("prev_body")), -1))
+    w = lines.where("body")
     words = F.transform("w", lambda x, i: F.struct(i.cast("int").alias("pos"), x.alias("word"), F.get("w", i + 1).alias("follows"), F.when(i == 0, F.col("before")).otherwise(F.get("w", i - 1)).alias("precedes")))
     if common:
         every = [*common, *(c.capitalize() for c in common)]
