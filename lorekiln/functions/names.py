@@ -234,3 +234,15 @@ def footnotes(text: Column) -> Column:
 
 def without_footnotes(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\s*\[(?:Footnote\s+)?(?:\d{1,4}|[*†‡]):?\s+[^\]]+\]", ""), r"(?<=\S)\[\d{1,4}\]", "")
+
+
+def without_page_artefacts(text: Column, running: list[str] = ()) -> Column:
+    """Text taken from a printed page's file: lines that are only a page number or one of the ``running`` titles go, form feeds are line breaks, words
+    divided at a line's end are joined, ligatures are letters again."""
+    t = F.replace(text, F.lit("\f"), F.lit("\n"))
+    for ligature, letters in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
+        t = F.replace(t, F.lit(ligature), F.lit(letters))
+    t = F.regexp_replace(t, r"(?m)^[ \t]*[-–—]?[ \t]*(?:\d{1,4}|[ivxlc]{1,7})[ \t]*[-–—]?[ \t]*$\n?", "")
+    for title in running:
+        t = F.regexp_replace(t, r"(?im)^[ \t]*(?:\d{1,4}[ \t]+)?\Q" + title + r"\E(?:[ \t]+\d{1,4})?[ \t]*$\n?", "")
+    return unwrapped(t)

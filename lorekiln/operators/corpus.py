@@ -206,3 +206,20 @@ def event_dates(events: DataFrame, text: str) -> DataFrame:
 def prefix_places(counts: Column) -> Column:
     """Where each of several lists begins when they are put one after another."""
     return before(counts)
+
+
+def summarised(df: DataFrame, key: str, text: str, model=None, sentences: int = 2) -> DataFrame:
+    """(key, summary): ``model`` is a hook (DataFrame of key, text -> key, summary); without one the first sentences stand for the text. Null and
+    blank texts have a null summary."""
+    if model is not None:
+        return model(df.select(key, text))
+    first = F.array_join(F.slice(T.sentences(F.col(text)), 1, sentences), " ")
+    return df.select(key, F.nullif(first, F.lit("")).alias("summary"))
+
+
+def stated_by_model(passages: DataFrame, key: str, text: str, budget: int, model=None) -> DataFrame:
+    """Relations that a model states of passages: the ``budget`` first by key are given to ``model`` (DataFrame of key, text -> key, response), its
+    answers are read by ``salvaged``. Without a model there are none."""
+    some = passages.orderBy(key).limit(budget).select(key, text)
+    answers = model(some) if model is not None else some.where("false").select(key, F.col(text).alias("response"))
+    return salvaged(answers, key, "response")

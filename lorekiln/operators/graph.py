@@ -239,3 +239,18 @@ def limited(found: DataFrame, order: list, each: int, names: int, group: str | N
     if group is None:
         return found.orderBy(*order).limit(each * names)
     return found.withColumn("_rn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_rn") <= each).drop("_rn")
+
+
+def resolved_paths(rows: DataFrame, present: DataFrame, depth: int = 10) -> DataFrame:
+    """(id, path, level, present): the place of each row of a hierarchy (id, parent, name; parent null at the top) as the names above it joined by
+    slashes, and whether the corpus (file_path) has something there. Rows below an unknown or circular parent have no path."""
+    level = rows.where("parent is null").select("id", F.col("name").alias("path"), F.lit(0).alias("level"))
+    out = [level]
+    for d in range(1, depth + 1):
+        level = cut(rows.select(F.col("id").alias("child"), "parent", "name").join(small(level.select(F.col("id").alias("parent"), "path")), "parent").select(F.col("child").alias("id"), F.concat_ws("/", "path", "name").alias("path"), F.lit(d).alias("level")))
+        if level.isEmpty():
+            break
+        out.append(level)
+    every = reduce(DataFrame.unionByName, out)
+    steps = present.where("file_path is not null").select(F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("file_path", "/"))), lambda i: F.array_join(F.slice(F.split("file_path", "/"), 1, i), "/"))).alias("path")).distinct().withColumn("present", F.lit(True))
+    return every.join(steps, "path", "left").select("id", "path", "level", F.coalesce("present", F.lit(False)).alias("present"))

@@ -118,6 +118,67 @@ def structured_text(html: str) -> str:
     return "\n\n".join(mark.get(k, "") + t for k, t in blocks(html))
 
 
+class _Marked(HTMLParser):
+    """Text of elements of one class, each with the text of the element of another class within it."""
+
+    VOID = {"br", "img", "hr", "meta", "link", "input"}
+
+    def __init__(self, whole: str, mark: str, skipped: set[str]) -> None:
+        super().__init__(convert_charrefs=True)
+        self.whole, self.mark, self.skipped = whole, mark, skipped
+        self.open: list[tuple[str, set[str]]] = []
+        self.out: list[tuple[str, str]] = []
+        self.parts: tuple[list[str], list[str]] | None = None
+
+    def _end(self) -> None:
+        if self.parts is not None:
+            one = lambda x: " ".join("".join(x).split())
+            self.out.append((one(self.parts[0]).rstrip("."), one(self.parts[1])))
+            self.parts = None
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.VOID:
+            if tag == "br":
+                self.handle_data(" ")
+            return
+        classes = set((dict(attrs).get("class") or "").split())
+        if self.whole in classes:
+            self._end()
+            self.parts = ([], [])
+        self.open.append((tag, classes))
+
+    def handle_endtag(self, tag):
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == tag:
+                if any(self.whole in c for _, c in self.open[i:]):
+                    self._end()
+                del self.open[i:]
+                return
+
+    def handle_data(self, data):
+        if self.parts is None or any(c & self.skipped for _, c in self.open):
+            return
+        self.parts[0 if any(self.mark in c for _, c in self.open) else 1].append(data)
+
+
+def _marked(html: str, whole: str, mark: str, skipped: set[str]) -> list[tuple[str, str]]:
+    p = _Marked(whole, mark, skipped)
+    p.feed(html)
+    p.close()
+    p._end()
+    return p.out
+
+
+def page_verses(html: str) -> list[tuple[int, str]]:
+    """(number, text) of a page's verses, without the marks of their notes; what has no number is left out."""
+    return [(int(n), t) for n, t in _marked(html, "verse", "verse-number", {"marker", "study-note-ref"}) if n.isdigit()]
+
+
+def page_footnotes(html: str) -> list[tuple[str, str]]:
+    """(mark, note) of a page's footnotes."""
+    return [(m, t) for m, t in _marked(html, "footnote", "footnote-marker", set()) if t]
+
+
 BOILERPLATE = re.compile(r"(?i)all rights reserved|copyright|isbn[ \d-]|table of contents|^contents$|^índice$|derechos reservados")
 
 

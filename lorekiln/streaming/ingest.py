@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lorekiln.operators import merge
@@ -21,6 +23,46 @@ def ingest_once(spark: SparkSession, source: str, schema, write, checkpoint: str
     q.awaitTermination()
 
 
+@contextmanager
+def one_run(spark: SparkSession, state: str):
+    """Holds a mark below ``state`` while a run lasts, so that no second one begins; the file system creates it once. A mark left by a run that
+    was killed must be removed by hand (``{state}/_running``)."""
+    jvm = spark.sparkContext._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(f"{state}/_running")
+    fs = mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        fs.create(mark, False).close()
+    except Exception as e:  # noqa: BLE001 - py4j wraps what the file system throws
+        raise RuntimeError(f"a run is going on: {state}/_running") from e
+    try:
+        yield
+    finally:
+        fs.delete(mark, False)
+
+
+class Progress(StreamingQueryListener):
+    """Rows and batches of the streams of a session, for those who ask how far they are; ``spark.streams.addListener(Progress())``."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.batches: dict[str, int] = {}
+        self.ended: dict[str, str | None] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.rows[str(event.id)] = self.batches[str(event.id)] = 0
+
+    def onQueryProgress(self, event) -> None:
+        k = str(event.progress.id)
+        self.rows[k] = self.rows.get(k, 0) + event.progress.numInputRows
+        self.batches[k] = self.batches.get(k, 0) + 1
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended[str(event.id)] = event.exception
+
+
 def sync(files: DataFrame, registry: DataFrame, chunks: DataFrame, split, now, partial: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(registry, chunks, changes) after a scan: rows of vanished and changed files go, those of new and changed ones come from
     ``split(files)`` -> file_path, chunk_index, text; unchanged files are neither read again nor written anew.

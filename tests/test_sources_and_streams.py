@@ -143,3 +143,58 @@ def test_chapters_batches_and_backlogs(spark):
 @pytest.mark.parametrize("text,want", [('{"relations": []}', 0), ("no json", 0), (None, 0), ('x {"from_name": "a", "rel_type": "TEACHES", "to_name": "b"} y', 1), ('{"relations": [{"from_name": "a", "rel_type": "TEACHES", "to_name": "b"}, {"from', 1)])
 def test_salvage(spark, text, want):
     assert corpus.salvaged(spark.createDataFrame([(1, text)], "k long, t string"), "k", "t").count() == want
+
+
+def test_verses_and_footnotes_of_pages():
+    page = "<p class='verse'><span class='verse-number'>1 </span>In the <sup class='marker'>a</sup>beginning<br>was<p class='verse'><span class='verse-number'>2 </span>light.</p><p>x</p><ul><li class='footnote'><span class='footnote-marker'>a.</span> See <i>Alma</i> 5.<li class='footnote'><span class='footnote-marker'>b</span></li></ul>"
+    assert curated.page_verses(page) == [(1, "In the beginning was"), (2, "light.")]
+    assert curated.page_footnotes(page) == [("a", "See Alma 5.")]
+
+
+def test_one_run_at_a_time(spark, tmp_path):
+    with ingest.one_run(spark, str(tmp_path)):
+        with pytest.raises(RuntimeError):
+            with ingest.one_run(spark, str(tmp_path)):
+                pass
+    with ingest.one_run(spark, str(tmp_path)):
+        pass
+
+
+def test_progress_and_hooks(spark, tmp_path):
+    p = ingest.Progress()
+    spark.streams.addListener(p)
+    try:
+        spark.range(5).write.parquet(str(tmp_path / "in"))
+        q = spark.readStream.schema("id long").parquet(str(tmp_path / "in")).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        for _ in range(100):
+            if p.ended:
+                break
+            __import__("time").sleep(0.1)
+        assert sum(p.rows.values()) == 5 and list(p.ended.values()) == [None]
+    finally:
+        spark.streams.removeListener(p)
+    d = spark.createDataFrame([(1, "One. Two. Three."), (2, None)], "id long, t string")
+    assert {r.id: r.summary for r in corpus.summarised(d, "id", "t").collect()} == {1: "One. Two.", 2: None}
+    assert corpus.stated_by_model(d, "id", "t", 5).count() == 0
+    answer = lambda df: df.select("id", F.lit('{"relations": [{"from_name": "a", "rel_type": "TEACHES", "to_name": "b"}]}').alias("response"))
+    assert corpus.stated_by_model(d, "id", "t", 1, answer).count() == 1
+
+
+def test_hierarchies_and_page_artefacts(spark):
+    from lorekiln.functions import names as N
+    from lorekiln.operators import graph
+
+    rows = spark.createDataFrame([(1, None, "en"), (2, 1, "a"), (3, 2, "b"), (4, 9, "lost"), (5, 6, "x"), (6, 5, "y")], "id long, parent long, name string")
+    files = spark.createDataFrame([("en/a/f.txt",), (None,)], "file_path string")
+    assert {(r.id, r.path, r.level, r.present) for r in graph.resolved_paths(rows, files).collect()} == {(1, "en", 0, True), (2, "en/a", 1, True), (3, "en/a/b", 2, False)}
+    t = spark.createDataFrame([("The ﬁrst di-\nvision\n- 12 -\nTHE LAMP 13\ngoes on.\fxii\nEnd",)], "t string").select(N.without_page_artefacts(F.col("t"), ["The Lamp"]).alias("t")).first().t
+    assert t == "The first division goes on. End"
+
+
+def test_known_relations(spark):
+    from lorekiln.operators import maintenance
+
+    found = spark.createDataFrame([(1, "Orin", "FATHER_OF", "Dov"), (1, "Orin", "FATHER_OF", "Sela"), (2, "Orin", "FATHER_OF", "Dov")], "id long, src string, rel_type string, dst string")
+    known = spark.createDataFrame([(1, "orin", "Orin the Elder"), (1, "Dov", None)], "id long, name string, resolved string")
+    assert [tuple(r) for r in maintenance.known_relations(found, known, "id").collect()] == [(1, "Orin the Elder", "FATHER_OF", "Dov")]
