@@ -104,21 +104,31 @@ def verse_ranges(df: DataFrame, key: str, reference: str) -> DataFrame:
     return x.where("chapter is not null and lo is not null").distinct()
 
 
-def overlapping(ranges: DataFrame, key: str, width: int = 8) -> DataFrame:
-    """(a, b): keys of overlapping ranges, the smaller first.
+def _overlaps(ranges: DataFrame, width: int) -> DataFrame:
+    """(x, y): different ranges (book, chapter, lo, hi) that overlap, both ways, and each with itself. Distinct ranges meet in buckets of ``width``
+    verses; a pair is looked at only in the bucket where the later of the two begins."""
+    cells = ranges.select("book", "chapter", "lo", "hi").distinct().withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
+    other = cells.select("book", "chapter", "cell", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    pairs = cells.join(other, ["book", "chapter", "cell"]).where((F.col("lo") <= F.col("hi2")) & (F.col("lo2") <= F.col("hi")) & (F.col("cell") == F.floor(F.greatest("lo", "lo2") / width)))
+    return pairs.select(F.struct("book", "chapter", "lo", "hi").alias("x"), F.struct("book", "chapter", F.col("lo2").alias("lo"), F.col("hi2").alias("hi")).alias("y"))
 
-    Equal ranges, which many keys may share, are compared once: distinct ranges meet in buckets of ``width`` verses, and a pair is
-    looked at only in the bucket where the later of the two begins. The keys then join on their range. A range turned round has none.
-    """
+
+def overlapping(ranges: DataFrame, key: str, width: int = 8) -> DataFrame:
+    """(a, b): keys of overlapping ranges, the smaller first. Every pair is a row, so this is for ranges that few keys share; see
+    ``overlap_counts``. A range turned round overlaps none."""
     r = ranges.where("lo <= hi")
     own = r.select(key, F.struct("book", "chapter", "lo", "hi").alias("r"))
-    one = r.select("book", "chapter", "lo", "hi").distinct()
-    cells = one.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
-    other = cells.select("book", "chapter", "cell", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pairs = cells.join(other, ["book", "chapter", "cell"]).where((F.col("lo") <= F.col("hi2")) & (F.col("lo2") <= F.col("hi")) & (F.col("cell") == F.floor(F.greatest("lo", "lo2") / width)))
-    pairs = pairs.select(F.struct("book", "chapter", "lo", "hi").alias("x"), F.struct("book", "chapter", F.col("lo2").alias("lo"), F.col("hi2").alias("hi")).alias("y"))
     left, right = own.select(F.col(key).alias("a"), F.col("r").alias("x")), own.select(F.col(key).alias("b"), F.col("r").alias("y"))
-    return left.join(pairs, "x").join(right, "y").where("a < b").select("a", "b").distinct()
+    return left.join(_overlaps(r, width), "x").join(right, "y").where("a < b").select("a", "b").distinct()
+
+
+def overlap_counts(ranges: DataFrame, key: str, width: int = 8) -> DataFrame:
+    """(key, links): how many other keys each key's range overlaps. A key with several ranges counts another key once for each of its
+    ranges that it overlaps. Pairs are made of distinct ranges only, with the number of their keys."""
+    r = ranges.where("lo <= hi").select(key, F.struct("book", "chapter", "lo", "hi").alias("x")).distinct()
+    n = r.groupBy("x").agg(F.count("*").alias("n"))
+    links = _overlaps(ranges.where("lo <= hi"), width).join(n.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.sum("n").alias("n"))
+    return r.join(links, "x").groupBy(key).agg((F.sum("n") - F.count("*")).alias("links"))
 
 
 def crossrefs(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -147,9 +157,17 @@ def is_noise(tier: str = "conservative"):
 
 def verse_spans(chunks: DataFrame, verses: DataFrame, key: str, snippet: int = 60) -> DataFrame:
     """(key, first_verse, last_verse): the verses of a chunk's file whose first ``snippet`` characters it holds. ``chunks``: key, file_path, text;
-    ``verses``: file_path, verse, body. Chunks that hold none have no row."""
-    v = verses.where("body <> ''").select("file_path", "verse", F.substring("body", 1, snippet).alias("head"))
-    hit = chunks.select(key, "file_path", "text").join(v, "file_path").where(F.col("text").contains(F.col("head")))
+    ``verses``: file_path, verse, body. Chunks that hold none have no row.
+
+    What begins at each word of a chunk meets the file's verses by their first characters in an equi-join, so that a file with many chunks and
+    verses isn't multiplied out; only verses shorter than those characters are looked for in every chunk of their file.
+    """
+    v = verses.where("body <> ''").select("file_path", "verse", F.substring("body", 1, snippet).alias("head")).withColumn("opens", F.substring("head", 1, 12)).distinct()
+    c = chunks.where("text is not null").select(key, "file_path", "text")
+    places = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?s)(?<!\S)(?=(\S.{11}))"), F.lit(1)))
+    long = c.withColumn("opens", F.explode(places)).join(v.where("length(opens) = 12"), ["file_path", "opens"])
+    short = c.join(v.where("length(opens) < 12"), "file_path")
+    hit = long.select(key, "text", "head", "verse").unionByName(short.select(key, "text", "head", "verse")).where(F.col("text").contains(F.col("head")))
     return hit.groupBy(key).agg(F.min("verse").alias("first_verse"), F.max("verse").alias("last_verse"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from lorekiln.functions import text as T
 from lorekiln.operators import chunking, extract, graph, maintenance, merge, search
-from lorekiln.session import cut, table
+from lorekiln.session import cut, one_row, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -337,10 +337,8 @@ def hybrid(spark: SparkSession, sf: str) -> DataFrame:
     texts = search.top(search.cover_rank(table(spark, sf, "chunks").where("text is not null"), "id", "text", ["covenant"]), "score", "id", 30)
     v = usable_vectors(spark, sf)
     q = v.orderBy("id").limit(1)
-    score = F.round(search.cosine(F.col("embedding"), F.col("qv")), 6)
-    near = v.join(F.broadcast(q.select(F.col("embedding").alias("qv"))), F.lit(True)).select("id", score.alias("score"))  # one query row
     # repeated rows (an id comes twice at most) go after the best are found
-    best = near.orderBy(F.desc("score"), "id").limit(60).distinct()
+    best = search.nearest(v, q, "id", "embedding", 60).select("id", "score").distinct()
     return search.fuse(texts.select("id", "rank"), search.top(best, "score", "id", 30).select("id", "rank"), "id")
 
 
@@ -584,7 +582,7 @@ def insert_absent(spark: SparkSession, sf: str) -> DataFrame:
 def cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
     gone = table(spark, sf, "document_registry").where("status = 'error'").select("file_path")
     c, m = merge.cascade_delete(gone, "file_path", (table(spark, sf, "chunks").select("file_path"), "file_path"), (table(spark, sf, "entity_document_mentions").select("file_path"), "file_path"))
-    return c.agg(F.count("*").alias("chunks")).join(m.agg(F.count("*").alias("mentions")), F.lit(True))
+    return one_row(c.agg(F.count("*").alias("chunks")), m.agg(F.count("*").alias("mentions")))
 
 
 PLAN = f"""plan AS (SELECT id, first_value(id) OVER w AS winner, count(*) OVER (PARTITION BY entity_type, canonical) n FROM (SELECT *, {PLAIN.format('name')} canonical FROM ent) WHERE canonical <> '' WINDOW w AS (PARTITION BY entity_type, canonical ORDER BY CASE WHEN lower(name) = canonical THEN 0 ELSE 1 END, id))"""
@@ -769,10 +767,10 @@ def rolling_throughput(spark: SparkSession, sf: str) -> DataFrame:
 WHOLE_RANGES = r"""SELECT DISTINCT id, book, chapter, lo, coalesce(hi, lo) hi FROM (SELECT id, trim(regexp_extract(reference, '^(.*[^0-9 ,:])[ ]+[0-9]+[:,]', 1)) book, TRY_CAST(regexp_extract(reference, ' ([0-9]+)[:,]', 1) AS INT) chapter, TRY_CAST(regexp_extract(reference, '[:,] ?([0-9]+)', 1) AS INT) lo, TRY_CAST(nullif(regexp_extract(reference, '[-–]([0-9]+)$', 1), '') AS INT) hi FROM chunks WHERE reference IS NOT NULL)"""
 
 
-@query(f"WITH r AS ({WHOLE_RANGES}) SELECT DISTINCT a.id AS a, b.id AS b FROM r a JOIN r b ON a.book = b.book AND a.chapter = b.chapter AND a.id < b.id AND a.lo <= b.hi AND b.lo <= a.hi AND a.lo <= a.hi AND b.lo <= b.hi")
+@query(f"WITH r AS ({WHOLE_RANGES}) SELECT a.id AS id, count(DISTINCT b.id) FILTER (b.id <> a.id) AS links FROM r a JOIN r b ON a.book = b.book AND a.chapter = b.chapter AND a.lo <= b.hi AND b.lo <= a.hi WHERE a.lo <= a.hi AND b.lo <= b.hi GROUP BY 1")
 def overlapping_references(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks whose verse ranges overlap, in every way of writing them."""
-    return extract.overlapping(extract.verse_ranges(table(spark, sf, "chunks"), "id", "reference"), "id")
+    """How many others each chunk's verse range overlaps, in every way of writing them; ranges that many share aren't paired out."""
+    return extract.overlap_counts(extract.verse_ranges(table(spark, sf, "chunks"), "id", "reference"), "id")
 
 
 @query(f"SELECT c.concept_id AS concept_id, c.term_es AS term_es, e.id AS entity_id, count(m.file_path) AS mentions FROM concept_bridge c LEFT JOIN entities e ON {PLAIN.format('c.term_en')} = {PLAIN.format('e.name')} LEFT JOIN entity_document_mentions m ON m.entity_id = e.id GROUP BY 1, 2, 3")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorekiln.functions import text as T
 from lorekiln.operators import disambiguate, family, graph, maintenance
 from lorekiln.plans.catalogue import BOTH, CUSTOMER, ENT, PLAIN, PLAN, REL, SUPPLIER, TIER, edge_view, entity_view, query
-from lorekiln.session import table
+from lorekiln.session import one_row, table
 
 
 @query("SELECT n.name AS name, coalesce(string_agg(DISTINCT m.file_path, '|' ORDER BY m.file_path), '') AS files FROM (SELECT DISTINCT name FROM entities UNION SELECT 'Nobody' UNION SELECT DISTINCT c_name FROM customer) n LEFT JOIN entities e ON e.name = n.name LEFT JOIN entity_document_mentions m ON m.entity_id = e.id GROUP BY 1")
@@ -122,7 +122,7 @@ def purge_stage(spark: SparkSession, sf: str) -> DataFrame:
 def clear_preserving(spark: SparkSession, sf: str) -> DataFrame:
     """What is left of a graph that is cleared but for two sources."""
     e, r = maintenance.without_sources(entity_view(spark, sf), edge_view(spark, sf).withColumn("source", F.col("confidence")), ["curated", "metadata"])
-    return r.agg(F.count("*").alias("relations")).join(e.agg(F.count("*").alias("entities")), F.lit(True))  # one row each
+    return one_row(r.agg(F.count("*").alias("relations")), e.agg(F.count("*").alias("entities")))
 
 
 @query("""SELECT id, CASE WHEN id % 3 <> 0 THEN metadata WHEN json_valid(metadata) AND json_extract(metadata, '$.sources') IS NOT NULL THEN '{"checked":"yes","sources":' || to_json(CAST(json_extract(metadata, '$.sources') AS VARCHAR)) || '}' ELSE '{"checked":"yes"}' END AS metadata FROM entities""")
@@ -179,8 +179,8 @@ def family_backfill(spark: SparkSession, sf: str) -> DataFrame:
     every = Window.partitionBy(F.lit(1)).orderBy("name")  # distinct names, a list of fixed length
     e = f.select(F.col("a").alias("name")).union(f.select("b")).distinct().withColumn("id", F.row_number().over(every)).withColumn("entity_type", F.lit("person"))
     found = family.family_edges(f.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("id"), F.concat_ws(" begat ", "a", "b").alias("t")), "id", "t")
-    even = e.where("id % 2 = 0").select("id")
-    old = even.select(F.col("id").alias("src")).join(F.broadcast(even.select(F.col("id").alias("dst"))), F.lit(True)).withColumn("rel_type", F.lit("FATHER_OF"))  # fixed lists
+    ids = e.select("name", "id")
+    old = f.join(ids.select(F.col("name").alias("a"), F.col("id").alias("src")), "a").join(ids.select(F.col("name").alias("b"), F.col("id").alias("dst")), "b").where("src % 2 = 0 and dst % 2 = 0").select("src", F.lit("FATHER_OF").alias("rel_type"), "dst")
     return maintenance.new_relations(old, found, e, ["person"], "backfill")
 
 
@@ -195,8 +195,8 @@ def family_cleanup(spark: SparkSession, sf: str) -> DataFrame:
     derived = row(n.where("k % 5 >= 2"), father, "FATHER_OF", k, "inferred").unionByName(row(n, k, "FATHER_OF", k, "inferred"))
     e = n.select(k.alias("id"), F.lit("x").alias("name"))
     out = maintenance.safe_family(given.unionByName(sib).unionByName(derived), e, ["and"]).where("rel_type = 'FATHER_OF'")
-    kept = out.agg(F.count("*").alias("n"))
-    return kept.select(F.lit("kept").alias("what"), "n").unionByName(n.crossJoin(F.broadcast(kept)).agg((F.count("*") - F.max("n")).alias("n")).select(F.lit("dropped").alias("what"), "n"))
+    signed = out.select(F.lit("kept").alias("what"), F.lit(1).alias("n")).unionByName(out.select(F.lit("dropped").alias("what"), F.lit(-1).alias("n"))).unionByName(n.select(F.lit("dropped").alias("what"), F.lit(1).alias("n")))
+    return signed.groupBy("what").agg(F.sum("n").alias("n"))
 
 
 @query(r"""WITH m AS (SELECT p_partkey AS key, upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] || 'im' AS name, p_partkey % 4 k FROM part) SELECT key, name, CASE k WHEN 0 THEN name || ' the Elder' WHEN 1 THEN name || ' (people)' WHEN 2 THEN name || ' (place)' END AS resolved, 'high' AS confidence, CASE k WHEN 0 THEN 'person' WHEN 1 THEN 'people' WHEN 2 THEN 'place' END AS entity_type FROM m WHERE k < 3""")

@@ -35,6 +35,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def one_row(*parts: DataFrame) -> DataFrame:
+    """Tables of one row each side by side, without a join."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartitions by key only where the input has fewer splits than the cluster has cores (one small file, say)."""
     cores = df.sparkSession.sparkContext.defaultParallelism

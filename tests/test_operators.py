@@ -294,3 +294,5 @@ def test_ranges_overlap_however_written(spark):
     rows = [(1, "Book 9:1-6"), (2, "Book 9:5–9"), (3, "Book 9, 6-7"), (4, "Book 9:9"), (5, "Book 8:1-9"), (6, "p. 9"), (7, None), (8, "Book 9, 20")]
     got = extract.overlapping(extract.verse_ranges(spark.createDataFrame(rows, "id long, r string"), "id", "r"), "id")
     assert {(r.a, r.b) for r in got.collect()} == {(1, 2), (1, 3), (2, 3), (2, 4)}
+    counts = extract.overlap_counts(extract.verse_ranges(spark.createDataFrame(rows, "id long, r string"), "id", "r"), "id")
+    assert {r.id: r.links for r in counts.collect()} == {1: 2, 2: 3, 3: 2, 4: 1, 5: 0, 8: 0}
