@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lorekiln.functions.arrays import let
 from lorekiln.functions.text import FOLD
 
 
@@ -47,14 +48,19 @@ def mentions(docs: DataFrame, key: str, text: str, dictionary: DataFrame) -> Dat
     cited = F.regexp_replace(F.lower(F.col(text)), CITATION, " \x01 ")  # a mark in place of chapter and verse
     words = F.split(F.trim(F.regexp_replace(F.translate(cited, *FOLD), "[^a-z0-9\x01]+", " ")), " ")
     d = docs.where(F.col(text).isNotNull()).select(key, words.alias("w"))
-    grams = lambda p: F.filter(F.transform(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: F.struct(p.cast("int").alias("pos"), n.alias("n"), F.array_join(F.slice("w", p + 1, n), " ").alias("term"), F.coalesce(F.get("w", p + n) == "\x01", F.lit(False)).alias("cited"))), lambda x: (x["pos"] + x["n"] <= F.size("w")) & ~x["cited"])
-    places = F.sequence(F.lit(0), F.size("w") - 1)
+    sizes = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
+
+    def grams(w: Column, p: Column) -> Column:
+        gram = lambda n: F.struct(p.cast("int").alias("pos"), n.alias("n"), F.array_join(F.slice(w, p + 1, n), " ").alias("term"), F.coalesce(F.get(w, p + n) == "\x01", F.lit(False)).alias("cited"))
+        return F.filter(F.transform(sizes, gram), lambda x: (x["pos"] + x["n"] <= F.size(w)) & ~x["cited"])
+
     if len(some) <= FIRST_WORDS:
-        opening = F.filter(places, lambda i: F.get("w", i).isin(some))
-        found = d.select(key, F.explode(F.flatten(F.transform(opening, grams))).alias("x"))
+        # the words are bound once, else they would be made anew for each place
+        opening = lambda w: F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).isin(some))
+        found = d.select(key, F.explode(let(F.col("w"), lambda w: F.flatten(F.transform(opening(w), lambda p: grams(w, p))))).alias("x"))
     else:  # too many first words for a filter: the places meet them by a join
         at = d.select(key, "w", F.posexplode("w").alias("p", "first")).join(firsts.withColumnRenamed("w", "first"), "first", "left_semi")
-        found = at.select(key, F.explode(grams(F.col("p"))).alias("x"))
+        found = at.select(key, F.explode(grams(F.col("w"), F.col("p"))).alias("x"))
     hits = found.select(key, "x.pos", "x.n", "x.term").join(g, ["term", "n"]).select(key, "pos", "n", "entity_id", "entity_type")
     # the hits of one text, a fold from the left
     senses = hits.groupBy(key, "pos", "n").agg(F.collect_set(F.struct("entity_id", "entity_type")).alias("senses"))

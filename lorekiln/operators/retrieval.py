@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorekiln.functions import text as T
-from lorekiln.functions.arrays import small
+from lorekiln.functions.arrays import let, small
 from lorekiln.operators import search
 from lorekiln.operators.graph import TIERS, both_ways, first_by
 
@@ -42,12 +42,16 @@ def parse_query(query: str, stop_words: list[str] = T.STOP_WORDS) -> list[list[t
     return [a for a in out if any(wanted for _, wanted in a)]
 
 
-def _holds(words: str, item: str, token) -> Column:
+def _holds(words: Column, item: str, token) -> Column:
     parts = [F.lit(w) if token is None else token(F.lit(w)) for w in item.split()]
     if len(parts) == 1:
-        return F.array_contains(F.col(words), parts[0])
+        return F.array_contains(words, parts[0])
     whole = F.array(*parts)
-    return F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - len(parts) + 1)), lambda i: F.slice(F.col(words), i, len(parts)) == whole)
+    return F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - len(parts) + 1)), lambda i: F.slice(words, i, len(parts)) == whole)
+
+
+def _all_of(items: list[tuple[str, bool]], token):
+    return lambda words: reduce(lambda x, y: x & y, [_holds(words, item, token) if wanted else ~_holds(words, item, token) for item, wanted in items])
 
 
 def find(docs: DataFrame, key: str, text: str, query: str, k: int | None = 20, only: Column | None = None, token=None) -> DataFrame:
@@ -64,7 +68,8 @@ def find(docs: DataFrame, key: str, text: str, query: str, k: int | None = 20, o
     d = d.select(key, (words if token is None else F.transform(words, token)).alias("_w"))
     scored = []
     for a in alternatives:
-        hit = reduce(lambda x, y: x & y, [_holds("_w", item, token) if wanted else ~_holds("_w", item, token) for item, wanted in a])
+        # the words are bound once: a filter is moved before the projection that makes them
+        hit = let(F.col("_w"), _all_of(a, token))
         terms = list(dict.fromkeys(w for item, wanted in a if wanted for w in item.split()))
         scored.append(search.cover_words(d.where(hit), key, "_w", terms, token))
     best = reduce(DataFrame.unionByName, scored).groupBy(key).agg(F.max("score").alias("score")) if len(scored) > 1 else scored[0]
