@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -91,6 +93,33 @@ def descendants(edges: DataFrame, root: int, depth: int) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+#: Subgraphs of so many nodes and edges at most are iterated over in one task; larger ones by a join a step.
+ONE_TASK = 1_000_000
+
+
+def _power_iteration(core: DataFrame, sub: DataFrame, seeds: list[int], alpha: float, steps: int, tolerance: float) -> DataFrame:
+    """The steps of ``pagerank`` on a subgraph of bounded size, in one task: (id, score)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(pdf.a.to_numpy())
+        e = pdf[pdf.b.notna()]
+        a, b = np.searchsorted(ids, e.a.to_numpy()), np.searchsorted(ids, e.b.to_numpy().astype("int64"))
+        weight = 1.0 / e.deg.to_numpy()
+        restart = np.isin(ids, seeds) / len(seeds)
+        alone = np.bincount(b, minlength=len(ids)) == 0
+        score = np.full(len(ids), 1.0 / len(ids))
+        for _ in range(steps):
+            got = np.where(alone, score.sum() / len(ids), np.bincount(b, weights=score[a] * weight, minlength=len(ids)))
+            new = alpha * restart + (1 - alpha) * got
+            moved, score = np.abs(new - score).sum(), new
+            if moved < tolerance:
+                break
+        return pd.DataFrame({"id": ids, "score": score})
+
+    rows = sub.select("a", "b", "deg").unionByName(core.select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(1).cast("long").alias("deg")))
+    return rows.groupBy(F.lit(1).alias("one")).applyInPandas(run, "id long, score double")
+
+
 def pagerank(edges: DataFrame, seeds: list[int], alpha: float = 0.5, steps: int = 20, tolerance: float = 1e-6, k: int | None = None) -> DataFrame:
     """(id, score): personalised PageRank on the subgraph of the seeds and their neighbours, the ``k`` best if given.
 
@@ -110,14 +139,16 @@ def pagerank(edges: DataFrame, seeds: list[int], alpha: float = 0.5, steps: int
     inner = inner.select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).distinct()
     sub = inner.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(inner.select(F.col("y").alias("a"), F.col("x").alias("b")))
     sub = cut(sub.join(sub.groupBy("a").agg(F.count("*").alias("deg")), "a"))
+    if n + sub.count() <= ONE_TASK:
+        score = _power_iteration(core, sub, seeds, alpha, steps, tolerance)
+        return score.orderBy(F.desc("score"), "id").limit(k) if k else score
     restart = F.when(F.col("id").isin(seeds), F.lit(1.0 / len(seeds))).otherwise(0.0)
-    score = core.withColumn("score", F.lit(1.0 / n))
+    score, total = core.withColumn("score", F.lit(1.0 / n)), 1.0
     for _ in range(steps):
         got = sub.join(score, sub["a"] == score["id"]).groupBy("b").agg(F.sum(F.col("score") / F.col("deg")).alias("got"))
-        both = cut(score.join(got, score["id"] == got["b"], "left").select("id", F.col("score").alias("before"), "got"))
-        total = both.agg(F.sum("before")).first()[0]
-        both = both.select("id", "before", (alpha * restart + (1 - alpha) * F.coalesce("got", F.lit(total / n))).alias("score"))
-        moved = both.agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0]
+        both = score.join(got, score["id"] == got["b"], "left").select("id", F.col("score").alias("before"), "got")
+        both = cut(both.select("id", "before", (alpha * restart + (1 - alpha) * F.coalesce("got", F.lit(total / n))).alias("score")))
+        total, moved = both.agg(F.sum("score"), F.sum(F.abs(F.col("score") - F.col("before")))).first()
         score = both.select("id", "score")
         if moved < tolerance:
             break

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from lorekiln.functions import text as T
 from lorekiln.functions.arrays import let
+from lorekiln.session import spread
 
 
 def match_all(docs: DataFrame, key: str, text: str, terms: list[str], without: list[str] = ()) -> DataFrame:
@@ -72,48 +73,77 @@ def unit(v: Column) -> Column:
     return let(x, lambda y: let(F.sqrt(F.aggregate(y, F.lit(0.0), lambda s, e: s + e * e)), lambda n: F.when(n > 0, F.transform(y, lambda e: e / n))))
 
 
+#: Up to so many numbers of query vectors go with the function to every task; beyond, queries and rows meet in blocks.
+QUERY_NUMBERS = 2_000_000
+
+
+def _closest(qid: np.ndarray, qg: np.ndarray, y: np.ndarray, ids: np.ndarray, g: np.ndarray, x: np.ndarray, k: int, key: str) -> pa.RecordBatch:
+    """The k best rows of each query among these, by cosine to six digits, then by id."""
+    out: list[tuple] = []
+    if len(ids) and len(qid):
+        with np.errstate(all="ignore"):
+            s = np.round((y @ x.T) / (np.linalg.norm(y, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]), 6)
+        for q, own, row in zip(qid.tolist(), qg, s):
+            ok = np.flatnonzero(np.isfinite(row) & (g == own))
+            if len(ok) > k:
+                ok = ok[np.lexsort((ids[ok], -row[ok]))[:k]]
+            out += [(q, int(ids[j]), float(row[j])) for j in ok]
+    return pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.int64(), pa.float64()))], names=["query", key, "score"])
+
+
+def _matrix(column: pa.ChunkedArray, at: np.ndarray, dim: int) -> np.ndarray:
+    return pc.list_flatten(column.take(pa.array(at))).to_numpy().reshape(-1, dim)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, same: Column | None = None, block: int = 256) -> DataFrame:
     """(query, key, score, rank): the exact k nearest of a stated set of queries, each against all vectors.
 
-    Queries are packed into blocks, a row for each ``block`` of them, and every vector's row meets a block once, in Arrow batches that
-    are multiplied as matrices; each task keeps k a query before anything is shuffled. Blocks are broadcast while the queries are
-    few (measured), else joined on their number. Rows whose group (``same``, held against the queries' ``grp``) differs don't meet.
+    Rows are multiplied with the queries as matrices, in Arrow batches, and each task keeps k a query before anything is shuffled. Few queries
+    (measured) go with the function; many are dealt into blocks, and rows are sent once a block. Rows whose group (``same``, held
+    against the queries' ``grp``) differs don't meet, nor do vectors of different lengths.
     """
-    grp = F.lit(0) if same is None else same
-    rows = vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), grp.cast("string").alias("g"), F.col(vector).cast("array<double>").alias("v"))
-    qgrp = F.col("grp") if same is not None else F.lit(0)
-    asked = queries.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("qid"), qgrp.cast("string").alias("qg"), F.col(vector).cast("array<double>").alias("qv"))
-    n = asked.count()
-    blocks = max(1, -(-n // block))
-    packed = asked.withColumn("b", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).groupBy("b").agg(F.sort_array(F.collect_list(F.struct("qid", "qg", "qv"))).alias("qs"))
-    each = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = each.join(F.broadcast(packed) if n * 8 <= 1_000_000 else packed, "b").select("b", "id", "g", "v", "qs")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            for part in {x.as_py() for x in t.column("b").unique()}:
-                own = t.filter(pc.equal(t.column("b"), part))
-                qs = own.column("qs")[0].as_py()
-                out: list[tuple] = []
-                sizes = np.array([len(v) for v in own.column("v").to_pylist()])
-                for dim in {len(q["qv"]) for q in qs}:
-                    at, mine = np.flatnonzero(sizes == dim), [q for q in qs if len(q["qv"]) == dim]
-                    if not len(at) or not dim:
-                        continue
-                    x, y = np.array(own.column("v").take(pa.array(at)).to_pylist(), dtype="f8"), np.array([q["qv"] for q in mine], dtype="f8")
-                    with np.errstate(all="ignore"):
-                        s = np.round((y @ x.T) / (np.linalg.norm(y, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]), 6)
-                    ids, gs = own.column("id").to_numpy()[at], np.array(own.column("g").to_pylist(), dtype=object)[at]
-                    for q, row in zip(mine, s):
-                        ok = np.flatnonzero(np.isfinite(row) & (gs == q["qg"]))
-                        if len(ok) > k:
-                            ok = ok[np.lexsort((ids[ok], -row[ok]))[:k]]
-                        out += [(q["qid"], int(ids[j]), float(row[j])) for j in ok]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["query", key, "score"])
-
-    scored = met.mapInArrow(run, f"query long, {key} long, score double")
+    grp = F.lit("0") if same is None else same.cast("string")
+    rows = vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), grp.alias("g"), F.col(vector).cast("array<double>").alias("v")).where(F.size("v") > 0)
+    qgrp = F.lit("0") if same is None else F.col("grp").cast("string")
+    asked = queries.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), qgrp.alias("g"), F.col(vector).cast("array<double>").alias("v")).where(F.size("v") > 0)
+    n, numbers = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    schema = f"query long, {key} long, score double"
+
+    def sized(t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+        sizes = pc.list_value_length(t.column("v")).to_numpy()
+        for dim in np.unique(sizes):
+            yield int(dim), np.flatnonzero(sizes == dim)
+
+    plain = lambda t, at: (t.column("id").to_numpy()[at], np.array(t.column("g").to_pylist(), dtype=object)[at])
+    if numbers <= QUERY_NUMBERS:
+        own: dict[int, tuple] = {}
+        got = asked.collect()
+        for dim in {len(r.v) for r in got}:
+            some = [r for r in got if len(r.v) == dim]
+            own[dim] = np.array([r.id for r in some]), np.array([r.g for r in some], dtype=object), np.array([r.v for r in some])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                t = pa.Table.from_batches([batch])
+                for dim, at in sized(t):
+                    if dim in own:
+                        yield _closest(*own[dim], *plain(t, at), _matrix(t.column("v"), at, dim), k, key)
+
+        scored = spread(rows, "id").mapInArrow(run, schema)
+    else:
+        blocks, parts = -(-n // block), vectors.sparkSession.sparkContext.defaultParallelism
+        left = asked.select("*", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("p"), F.lit(True).alias("asks"))
+        right = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("p"), F.lit(False).alias("asks"))
+
+        def meet(t: pa.Table) -> pa.Table:
+            asks = t.column("asks").to_numpy()
+            out = []
+            for dim, at in sized(t):
+                q, r = at[asks[at]], at[~asks[at]]
+                out.append(_closest(*plain(t, q), _matrix(t.column("v"), q, dim), *plain(t, r), _matrix(t.column("v"), r, dim), k, key))
+            return pa.Table.from_batches(out)
+
+        scored = left.unionByName(right).groupBy("b", "p").applyInArrow(meet, schema)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))).where(F.col("rank") <= k)
 
 

@@ -10,7 +10,12 @@ from pyspark.sql.window import Window
 
 from lorekiln.functions import text as T
 from lorekiln.operators import chunking, extract, graph, maintenance, merge, search
-from lorekiln.session import cut, one_row, table
+from lorekiln.session import cut, one_row, spread, table
+
+def chunk_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, text) of chunks, over as many tasks as there are cores: a small file is one split, but work on texts is heavy."""
+    return spread(table(spark, sf, "chunks").select("id", "text").where("text is not null"), "id")
+
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,7 +107,7 @@ f(doc_id, i, lo, hi, closed_lo, closed_hi) AS (SELECT doc_id, 1, 0, CAST(k AS BI
 c AS (SELECT doc_id, closed_lo lo, closed_hi hi FROM f WHERE closed_hi IS NOT NULL UNION ALL SELECT f.doc_id, lo, hi FROM f JOIN (SELECT doc_id, max(i) i FROM s GROUP BY 1) e ON e.doc_id = f.doc_id AND e.i = f.i), w AS (SELECT doc_id, list_filter(string_split_regex(text, '[\t\n\f\r \v]+'), lambda w: w <> '') w FROM documents)
 SELECT c.doc_id AS doc_id, CAST(row_number() OVER (PARTITION BY c.doc_id ORDER BY hi) - 1 AS INT) AS chunk_index, CAST(hi - lo AS INT) AS n_words, array_to_string(w[lo + 1 : hi], ' ') AS text FROM c JOIN w ON w.doc_id = c.doc_id""")
 def chunk_text_500_50(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.chunked(table(spark, sf, "documents"), "doc_id", "text", 500, 50).drop("start_char", "end_char")
+    return chunking.chunked(spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text", 500, 50).drop("start_char", "end_char")
 
 
 @query("SELECT doc_id, true AS in_place, true AS in_order FROM documents WHERE regexp_matches(text, '[^ \\t\\n\\f\\r\\v]')")
@@ -278,7 +283,7 @@ WORDS = "string_split(" + PLAIN.format("text") + ", ' ')"
 
 @query(f"SELECT id, CAST(len(list_filter(w, lambda x: x IN ('covenant', 'harvest'))) AS INT) AS hits FROM (SELECT id, {WORDS} w FROM chunks WHERE text IS NOT NULL) WHERE list_contains(w, 'covenant') AND list_contains(w, 'harvest') AND NOT list_contains(w, 'plough')")
 def fts_match(spark: SparkSession, sf: str) -> DataFrame:
-    return search.match_all(table(spark, sf, "chunks").where("text is not null"), "id", "text", list(TERMS), ["plough"])
+    return search.match_all(chunk_texts(spark, sf), "id", "text", list(TERMS), ["plough"])
 
 
 RANK = f"SELECT id, round(0.1 * len(list_filter({WORDS}, lambda x: x = 'covenant')), 6) AS score FROM chunks WHERE text IS NOT NULL AND list_contains({WORDS}, 'covenant')"
@@ -286,7 +291,7 @@ RANK = f"SELECT id, round(0.1 * len(list_filter({WORDS}, lambda x: x = 'covenant
 
 @query(f"SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM ({RANK}) ORDER BY score DESC, id LIMIT 20")
 def fts_rank(spark: SparkSession, sf: str) -> DataFrame:
-    return search.top(search.cover_rank(table(spark, sf, "chunks").where("text is not null"), "id", "text", ["covenant"]), "score", "id", 20)
+    return search.top(search.cover_rank(chunk_texts(spark, sf), "id", "text", ["covenant"]), "score", "id", 20)
 
 
 def cover_sql(terms: tuple[str, ...]) -> str:
@@ -303,13 +308,13 @@ SELECT c.id AS id, round(sum(0.1 / (1 + (b.p - a.p) - (b.i - a.i))), 6) AS score
 
 @query(cover_sql(TERMS))
 def fts_cover(spark: SparkSession, sf: str) -> DataFrame:
-    return search.cover_rank(table(spark, sf, "chunks").where("text is not null"), "id", "text", list(TERMS))
+    return search.cover_rank(chunk_texts(spark, sf), "id", "text", list(TERMS))
 
 
 @query(cover_sql(("the", "of", "hope")))
 def fts_cover_three(spark: SparkSession, sf: str) -> DataFrame:
     """Three terms, two of them frequent, so that stretches overlap and repeat terms."""
-    return search.cover_rank(table(spark, sf, "chunks").where("text is not null"), "id", "text", ["the", "of", "hope"])
+    return search.cover_rank(chunk_texts(spark, sf), "id", "text", ["the", "of", "hope"])
 
 
 @query("SELECT q.vec_id AS query, e.vec_id AS vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, e.vec_id) <= 20")
@@ -334,7 +339,7 @@ def usable_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    texts = search.top(search.cover_rank(table(spark, sf, "chunks").where("text is not null"), "id", "text", ["covenant"]), "score", "id", 30)
+    texts = search.top(search.cover_rank(chunk_texts(spark, sf), "id", "text", ["covenant"]), "score", "id", 30)
     v = usable_vectors(spark, sf)
     q = v.orderBy("id").limit(1)
     # repeated rows (an id comes twice at most) go after the best are found
@@ -510,7 +515,7 @@ found AS (SELECT h.id, h.entity_id, h.entity_type, min({{pos: h.pos, n: h.n}}) f
 
 def found_entities(spark: SparkSession, sf: str) -> DataFrame:
     g = extract.gazetteer(table(spark, sf, "entities"), table(spark, sf, "entity_aliases"))
-    return extract.mentions(table(spark, sf, "chunks"), "id", "text", g)
+    return extract.mentions(chunk_texts(spark, sf), "id", "text", g)
 
 
 @query(f"WITH RECURSIVE {FOUND} SELECT id, entity_id, entity_type, first_at.pos AS pos, first_at.n AS n FROM found")

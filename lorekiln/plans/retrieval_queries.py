@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorekiln.functions import text as T
 from lorekiln.operators import extract, graph, retrieval, search
 from lorekiln.plans.catalogue import PLAIN, SINGLE, WHOLE_RANGES, entity_view, edge_view, query
-from lorekiln.session import cut, table
+from lorekiln.session import cut, spread, table
 
 STOP = "['" + "', '".join(T.STOP_WORDS) + "']"
 #: Words of a chunk without stop words, as the query language sees them.
@@ -16,7 +16,7 @@ CONTENT = f"list_filter(string_split({PLAIN.format('text')}, ' '), lambda w: w <
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "chunks").select("id", "file_path", "chunk_index", "text").where("text is not null")
+    return spread(table(spark, sf, "chunks").select("id", "file_path", "chunk_index", "text").where("text is not null"), "id")
 
 
 def cover(source: str, terms: tuple[str, ...]) -> str:

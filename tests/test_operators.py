@@ -68,7 +68,9 @@ def test_hops_and_paths(spark):
     assert {(r.id, r.level) for r in kids} == {(1, 0), (2, 1), (3, 2)}
 
 
-def test_pagerank_properties(spark):
+@pytest.mark.parametrize("bound", [0, 1_000_000])
+def test_pagerank_properties(spark, monkeypatch, bound):
+    monkeypatch.setattr(graph, "ONE_TASK", bound)
     e = spark.createDataFrame([(a, b, "A", "ner") for a, b in ((1, 2), (2, 3), (1, 3))], "src long, dst long, rel_type string, confidence string")
     s = {r.id: r.score for r in graph.pagerank(e, [1], alpha=0.0).collect()}
     assert all(abs(v - 1 / 3) < 1e-4 for v in s.values())

@@ -48,7 +48,9 @@ def test_query_language(spark):
     assert ids("red lamps", token=retrieval.light_stem) == [1, 7] and ids("bridge", only=F.col("id") > 2) == [3, 4]
 
 
-def test_nearest_against_brute_force(spark):
+@pytest.mark.parametrize("numbers", [0, 2_000_000])
+def test_nearest_against_brute_force(spark, monkeypatch, numbers):
+    monkeypatch.setattr(search, "QUERY_NUMBERS", numbers)
     rng = random.Random(4)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(6)] if i % 17 else None, i % 3) for i in range(300)] + [(900, [0.0] * 6, 0), (901, [1.0] * 3, 0)]
     v = spark.createDataFrame(rows, "id long, v array<double>, label int")
