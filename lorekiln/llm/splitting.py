@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lorekiln.session import cut
+
 #: White space with the blanks that Java's \s lacks.
 WS = r"[\s\x{A0}\x{1680}\x{2000}-\x{200B}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 OPEN = r"[\"'“«‹‘(\[¿¡]"
@@ -84,7 +86,7 @@ def pieces(text: Column, max_size: int, overlap: int, whole_units: bool = True)
     """
     size = lambda p: F.length(F.replace(p, F.lit(MARK_CHARACTER), F.lit("")))
 
-    def cut(found: Column) -> Column:
+    def placed(found: Column) -> Column:
         return _let(F.transform(found, size), lambda ns: F.transform(F.arrays_zip(found.alias("p"), ns.alias("n"), before(ns).alias("at"), F.concat(F.array(F.lit(0)), ns).alias("last")), piece))
 
     def piece(p: Column, i: Column) -> Column:
@@ -95,7 +97,7 @@ def pieces(text: Column, max_size: int, overlap: int, whole_units: bool = True)
 
     found = lambda m: F.when(F.length(text) <= max_size, F.array(m)).otherwise(F.regexp_extract_all(m, F.lit(piece_pattern(max_size - overlap)), F.lit(0)))
     # the pieces are those before the zipped array's end: ``last`` is one longer
-    many = F.filter(_let(_let(marked(text), found), cut), lambda q: q["piece_end"].isNotNull())
+    many = F.filter(_let(_let(marked(text), found), placed), lambda q: q["piece_end"].isNotNull())
     if whole_units:
         return many
     one = F.struct(F.lit(0).alias("piece_no"), F.lit(0).alias("piece_start"), F.length(text).alias("piece_end"), F.lit(None).cast("array<int>").alias("unit_starts"))
@@ -110,14 +112,16 @@ def split_chunks(chunks: DataFrame, max_size: int, overlap: int, bucket: int = 2
     that have one, by id; a chunk without a file_path is a file of its own. start_char and end_char are the old start plus the
     piece's offsets; where the old start is missing or negative they count from the chunk's own text. Null texts give no piece.
     """
-    cut = chunks.where("text is not null").select(F.col("id").alias("chunk_id"), "file_path", F.col("chunk_index").alias("old_index"), "start_char", "text", pieces(F.col("text"), max_size, overlap, False).alias("p"))
+    divided = chunks.where("text is not null").select(F.col("id").alias("chunk_id"), "file_path", F.col("chunk_index").alias("old_index"), "start_char", "text", pieces(F.col("text"), max_size, overlap, False).alias("p"))
     own = F.coalesce(F.col("chunk_id").cast("long"), F.xxhash64("text"))
-    cut = cut.withColumn("file", F.coalesce("file_path", F.concat(F.lit("\0"), own.cast("string")))).withColumn("place", F.coalesce(F.col("old_index").cast("decimal(38,0)"), F.lit(1 << 62).cast("decimal(38,0)") + own))
-    per_index = cut.groupBy("file", "place").agg(F.max(F.size("p")).alias("n")).withColumn("b", F.floor(F.col("place") / bucket))
+    divided = divided.withColumn("file", F.coalesce("file_path", F.concat(F.lit("\0"), own.cast("string")))).withColumn("place", F.coalesce(F.col("old_index").cast("decimal(38,0)"), F.lit(1 << 62).cast("decimal(38,0)") + own))
+    # counts by chunk are kept, as they are needed twice and the texts would be divided again for each
+    per_index = cut(divided.groupBy("file", "place").agg(F.max(F.size("p")).alias("n")).withColumn("b", F.floor(F.col("place") / bucket)))
     per_bucket = per_index.groupBy("file", "b").agg(F.sum("n").alias("s")).withColumn("base", F.coalesce(F.sum("s").over(Window.partitionBy("file").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")
     within = F.coalesce(F.sum("n").over(Window.partitionBy("file", "b").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = per_index.withColumn("within", within).join(per_bucket, ["file", "b"]).select("file", "place", (F.col("base") + F.col("within")).alias("first_index"))
-    out = cut.join(first, ["file", "place"]).withColumn("q", F.explode("p"))
+    # an outer explode, as every text has a piece: for an inner one Spark would divide the texts once more to filter them
+    out = divided.join(first, ["file", "place"]).withColumn("q", F.explode_outer("p"))
     origin = F.when(F.col("start_char") >= 0, F.col("start_char")).otherwise(0).cast("int")
     return out.select(
         "chunk_id", "file_path", (F.col("first_index") + F.col("q.piece_no")).cast("int").alias("chunk_index"), F.col("q.piece_no").alias("piece_no"), (origin + F.col("q.piece_start")).cast("int").alias("start_char"), (origin + F.col("q.piece_end")).cast("int").alias("end_char"),

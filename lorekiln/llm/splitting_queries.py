@@ -18,7 +18,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Where natural units begin in the chunks beyond the limit, as the extraction of their pieces meets them."""
     most, overlap = limits(spark, sf)
     chunks = spread(table(spark, sf, "chunks").select("id", "text").where(F.length("text") > most), "id")
-    cut = chunks.select(F.col("id").alias("chunk_id"), F.explode(splitting.pieces(F.col("text"), most, overlap)).alias("p"))
+    cut = chunks.select(F.col("id").alias("chunk_id"), F.explode_outer(splitting.pieces(F.col("text"), most, overlap)).alias("p"))
     return cut.select("chunk_id", F.explode("p.unit_starts").alias("boundary_char")).distinct()
 
 
