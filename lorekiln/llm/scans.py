@@ -83,7 +83,7 @@ def scanned_chunks(chunks: DataFrame) -> DataFrame:
 
 def _features(scanned: DataFrame) -> DataFrame:
     """Lines of scanned chunks with what each shows by itself."""
-    rows = scanned.select("id", "file", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("l", F.regexp_replace("line", r"^[\s\x{A0}\x{2000}-\x{200B}]+|[\s\x{A0}\x{2000}-\x{200B}]+$", ""))
+    rows = scanned.select("id", "file", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")).withColumn("l", F.regexp_replace("line", r"^[\s\x{A0}\x{2000}-\x{200B}]+|[\s\x{A0}\x{2000}-\x{200B}]+$", ""))
     digits = r"[0-9lIOoSB|]{0,3}[0-9][0-9lIOoSB|]{0,3}"
     number = rf"(?:{digits}|{ROMAN})"
     edge = r"[^\p{L}\p{N}.,;:?!]*"
@@ -175,7 +175,7 @@ def tokens_of(lines: DataFrame, common: list[str] = ()) -> DataFrame:
     if common:
         every = [*common, *(c.capitalize() for c in common)]
         words = F.filter(words, lambda x: ~x["word"].isin(every) | ~F.coalesce(x["follows"].isin(every), F.lit(False)))
-    body = w.select("id", "line_no", "divided", "continues", "next_body", (F.size("w") - 1).alias("end"), F.explode(words).alias("x")).select("id", "line_no", "divided", "continues", "next_body", "end", "x.*")
+    body = w.select("id", "line_no", "divided", "continues", "next_body", (F.size("w") - 1).alias("end"), F.explode_outer(words).alias("x")).where("x is not null").select("id", "line_no", "divided", "continues", "next_body", "end", "x.*")
     rest = F.regexp_extract("next_body", rf"^{WORD}", 0)
     last = F.col("divided") & (F.col("pos") == F.col("end"))
     body = body.where(~(F.col("continues") & (F.col("pos") == 0))).where(~(last & F.col("next_body").isNull()))
