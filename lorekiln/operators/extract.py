@@ -57,7 +57,8 @@ def mentions(docs: DataFrame, key: str, text: str, dictionary: DataFrame) -> Dat
     if len(some) <= FIRST_WORDS:
         # the words are bound once, else they would be made anew for each place
         opening = lambda w: F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).isin(some))
-        found = d.select(key, F.explode(let(F.col("w"), lambda w: F.flatten(F.transform(opening(w), lambda p: grams(w, p))))).alias("x"))
+        # outer, here and elsewhere: for an inner explode Spark makes the array twice, to leave out empty ones first
+        found = d.select(key, F.explode_outer(let(F.col("w"), lambda w: F.flatten(F.transform(opening(w), lambda p: grams(w, p))))).alias("x")).where("x is not null")
     else:  # too many first words for a filter: the places meet them by a join
         at = d.select(key, "w", F.posexplode("w").alias("p", "first")).join(firsts.withColumnRenamed("w", "first"), "first", "left_semi")
         found = at.select(key, F.explode(grams(F.col("w"), F.col("p"))).alias("x"))
@@ -142,7 +143,7 @@ def crossrefs(docs: DataFrame, key: str, text: str) -> DataFrame:
     COMPARE_WITH; targets are parted at semicolons and begin their words with capitals."""
     p = r"(?:^|[\s(])(See also|See|Véase también|Véase|[Cc]f\.|[Cc]ompare|[Cc]ompárese)\s+(\p{Lu}[^.()\n]{1,120}?)(?=[.()\n]|$)"
     one = lambda i: F.regexp_extract_all(text, F.lit(p), F.lit(i))
-    hit = docs.where(F.col(text).isNotNull()).select(key, F.explode(F.arrays_zip(one(1).alias("how"), one(2).alias("what"))).alias("m"))
+    hit = docs.where(F.col(text).isNotNull()).select(key, F.explode_outer(F.arrays_zip(one(1).alias("how"), one(2).alias("what"))).alias("m")).where("m is not null")
     hit = hit.select(key, F.when(F.lower("m.how").rlike("^(cf|comp)"), "COMPARE_WITH").otherwise("SEE_ALSO").alias("rel_type"), F.explode(F.split("m.what", r"\s*;\s*")).alias("target"))
     return hit.select(key, "rel_type", F.initcap(F.trim(F.regexp_replace("target", r"^(?:and|y|also)\s+|[\s,:]+$", ""))).alias("target")).where("target <> ''").distinct()
 

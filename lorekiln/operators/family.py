@@ -68,7 +68,7 @@ def family_edges(docs: DataFrame, key: str, text: str, not_names: list[str] = ()
     # a look-ahead keeps the second name for the statement that it begins
     pattern = rf"({NAME})((?i:{c}))(?=({NAME}))"
     one = lambda i: F.regexp_extract_all(text, F.lit(pattern), F.lit(i))
-    hit = docs.where(F.col(text).rlike(rf"(?i:{c})")).select(key, F.explode(F.arrays_zip(one(1).alias("a"), one(2).alias("c"), one(3).alias("b"))).alias("m"))
+    hit = docs.where(F.col(text).rlike(rf"(?i:{c})")).select(key, F.explode_outer(F.arrays_zip(one(1).alias("a"), one(2).alias("c"), one(3).alias("b"))).alias("m")).where("m is not null")
     noun = F.regexp_extract(F.lower("m.c"), rf"({'|'.join([*KIN, 'begat', 'engendró'])})", 1)
     hit = hit.select(key, _cleaned(F.col("m.a")).alias("a"), _cleaned(F.col("m.b")).alias("b"), noun.alias("noun"))
     relation, turned = F.lit("FATHER_OF"), F.lit(False)
