@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from lorekiln.functions.arrays import let
@@ -162,20 +169,78 @@ def is_noise(tier: str = "conservative"):
     return ((noise | weak) if tier == "aggressive" else noise) & ~sure
 
 
+#: Characters by which a verse's beginning is looked for, and bits of the filter of all that are looked for: 16 MB, the one thing of
+#: ``verse_spans`` that comes to the driver. With more verses than bits more candidates travel; the result stays the same.
+ANCHOR, FILTER_BITS = 20, 1 << 27
+SLICE_BITS = 1 << 20
+SPACES = np.array([9, 10, 11, 12, 13, 32], "u4")
+
+
+def _anchors(texts: list[str], files: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the rows' files, and (row, place, key) of the ANCHOR characters that follow white space in a text; a key is of the file
+    and the characters."""
+    of = {f: int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "little") for f in set(files)}
+    own = np.array([of[f] for f in files], "u8")
+    c = np.frombuffer("".join(texts).encode("utf-32-le"), "u4")
+    n = np.array([len(t) for t in texts], int)
+    ends = np.cumsum(n)
+    space = np.isin(c, SPACES)
+    at = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    row = np.searchsorted(ends, at, "right")
+    within = (at > (ends - n)[row]) & (at + ANCHOR <= ends[row]) if len(at) else np.zeros(0, bool)
+    at, row = at[within], row[within]
+    key = own[row]
+    for j in range(ANCHOR):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + c[at + j]
+        key ^= key >> np.uint64(29)
+    return own, row, at - (ends - n)[row], key
+
+
 def verse_spans(chunks: DataFrame, verses: DataFrame, key: str, snippet: int = 60) -> DataFrame:
     """(key, first_verse, last_verse): the verses of a chunk's file whose first ``snippet`` characters it holds. ``chunks``: key, file_path, text;
     ``verses``: file_path, verse, body. Chunks that hold none have no row.
 
-    What begins at each word of a chunk meets the file's verses by their first characters in an equi-join, so that a file with many chunks and
-    verses isn't multiplied out; only verses shorter than those characters are looked for in every chunk of their file.
+    A verse is looked for by the last ANCHOR characters of its beginning that follow white space. A filter of bits tells in which places of the
+    texts such characters stand, and only the surroundings of these places travel and meet the file's verses in an equi-join, so that neither
+    texts are multiplied nor a file's chunks with its verses. Beginnings without such characters, short ones say, meet all texts of their file.
     """
-    v = verses.where("body <> ''").select("file_path", "verse", F.substring("body", 1, snippet).alias("head")).withColumn("opens", F.substring("head", 1, 12)).distinct()
-    c = chunks.where("text is not null").select(key, "file_path", "text")
-    places = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?s)(?<!\S)(?=(\S.{11}))"), F.lit(1)))
-    long = c.withColumn("opens", F.explode(places)).join(v.where("length(opens) = 12"), ["file_path", "opens"])
-    short = c.join(v.where("length(opens) < 12"), "file_path")
-    hit = long.select(key, "text", "head", "verse").unionByName(short.select(key, "text", "head", "verse")).where(F.col("text").contains(F.col("head")))
-    return hit.groupBy(key).agg(F.min("verse").alias("first_verse"), F.max("verse").alias("last_verse"))
+    v = verses.where("body <> '' and file_path is not null").select("file_path", "verse", F.substring("body", 1, snippet).alias("head"))
+    c = chunks.where("text is not null and file_path is not null").select(F.col(key).alias("key"), "file_path", "text")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k, row, _, found = _anchors(b.column(2).to_pylist(), b.column(0).to_pylist())
+            k[row] = found  # of several the last
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(k.view("i8"))], names=["file_path", "verse", "head", "k"])
+
+    def bits_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(SLICE_BITS, bool)
+        bits[pdf.bit.to_numpy() % SLICE_BITS] = True
+        return pd.DataFrame({"part": [int(pdf.bit.iloc[0]) // SLICE_BITS], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    v = v.mapInArrow(keyed, StructType([*v.schema.fields, StructField("k", LongType())]))
+    wanted = v.select(F.col("k").bitwiseAND(FILTER_BITS - 1).alias("bit")).distinct()
+    table = np.zeros(FILTER_BITS // 8, "u1")
+    for r in wanted.groupBy(F.floor(F.col("bit") / SLICE_BITS)).applyInPandas(bits_of, "part int, bits binary").collect():
+        table[r.part * SLICE_BITS // 8 : (r.part + 1) * SLICE_BITS // 8] = np.frombuffer(r.bits, "u1")
+    sent = chunks.sparkSession.sparkContext.broadcast(table)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        is_wanted = lambda k: np.flatnonzero(table[(k & np.uint64(FILTER_BITS - 1)) >> np.uint64(3)] >> (k & np.uint64(7)).astype("u1") & 1)
+        for b in (w.slice(lo, 512) for w in batches for lo in range(0, w.num_rows, 512)):
+            files, texts = b.column(1).to_pylist(), b.column(2).to_pylist()
+            own, row, at, k = _anchors(texts, files)
+            hit, whole = is_wanted(k), is_wanted(own)
+            rows = [*row[hit].tolist(), *whole.tolist()]
+            parts = [texts[i][max(0, p + ANCHOR - snippet) : p + snippet] for i, p in zip(rows, at[hit].tolist())] + [texts[i] for i in whole.tolist()]
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(np.concatenate([k[hit], own[whole]]).view("i8")), pa.array(parts, pa.string())], names=["key", "file_path", "k", "part"])
+
+    found = c.mapInArrow(places, StructType([c.schema["key"], c.schema["file_path"], StructField("k", LongType()), StructField("part", StringType())]))
+    heads = v.repartition("file_path", "k").groupBy("file_path", "k", "head").agg(F.min("verse").alias("lo"), F.max("verse").alias("hi"))
+    hit = found.join(heads, ["file_path", "k"]).where(F.col("part").contains(F.col("head")))
+    return hit.groupBy(F.col("key").alias(key)).agg(F.min("lo").alias("first_verse"), F.max("hi").alias("last_verse"))
 
 
 def ner_candidates(names: DataFrame, known: DataFrame, stop: list[str]) -> DataFrame:

@@ -63,8 +63,8 @@ w AS (SELECT DISTINCT * FROM v WHERE length(head) = 60) SELECT c.id AS id, min(w
 def verse_spans(spark: SparkSession, sf: str) -> DataFrame:
     """The verses of its file that each chunk holds, by their first sixty characters; shorter verses are left out here."""
     c = table(spark, sf, "chunks").select("id", "file_path", "text").where("text is not null")
-    lines = c.select("file_path", F.explode(F.split("text", "\r?\n")).alias("line")).where(r"line rlike '^[0-9]{1,3}[ \\t]+[^ \\t\\n\\r\\f]'")
-    v = lines.select("file_path", F.regexp_extract("line", r"^([0-9]{1,3})[ \t]", 1).cast("int").alias("verse"), F.regexp_extract("line", r"^[0-9]{1,3}[ \t]+([^ \t].*)$", 1).alias("body")).where("length(body) >= 60").distinct()
+    lines = c.select("file_path", F.explode(F.split("text", "\r?\n")).alias("line")).where(r"line rlike '^[0-9]{1,3}[ \\t]+[^ \\t\\n\\r\\f\\x0B]'")
+    v = lines.select("file_path", F.regexp_extract("line", r"^([0-9]{1,3})[ \t]", 1).cast("int").alias("verse"), F.regexp_extract("line", r"(?s)^[0-9]{1,3}[ \t]+([^ \t].*)$", 1).alias("body")).where("length(body) >= 60")
     return extract.verse_spans(c, v, "id")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorekiln.functions import names as N
 from lorekiln.functions.arrays import before
-from lorekiln.operators import disambiguate, graph, maintenance, retrieval, search
+from lorekiln.operators import disambiguate, extract, graph, maintenance, retrieval, search
 
 
 def column(spark, values, build, kind="string"):
@@ -124,3 +124,32 @@ def test_passages_by_reference(spark):
     r = spark.createDataFrame([(1, "es", "A", 1, 1, 4), (2, "es", "A", 1, 9, 12), (3, "en", "A", 1, 1, 9), (4, "en", "B", 2, 1, 3)], "id long, lang string, book string, chapter int, lo int, hi int")
     w = spark.createDataFrame([(10, "A", 1, 5), (11, "B", 2, None), (12, "C", 1, 1)], "request long, book string, chapter int, verse int")
     assert {(x.request, x.id) for x in retrieval.by_reference(r, w, "id").collect()} == {(10, 1), (11, 4)}
+
+
+def test_verse_spans_anywhere_in_a_text(spark):
+    head = "And the keepers of the lamp went down to the river and counted the stones there"
+    solid, brief = "x" * 30 + "é " + "y" * 40, "Orin wept."
+    verses = [("f", 3, head), ("f", 3, head), ("f", 7, head), ("f", 9, solid), ("f", 11, brief), ("g", 1, head.replace("keepers", "masters")), (None, 5, head), ("f", 12, "")]
+    texts = [(1, "f", "3 " + head), (2, "f", "(" + head), (3, "f", "So it was:\n“" + head[:60]), (4, "f", head[:59]), (5, "f", "a" + solid), (6, "f", "They say " + brief), (7, "g", head), (8, None, head), (9, "f", None), (10, "f", ""), (None, "f", head), (11, "f", head[1:] + " " + head.lower()), (12, "f", solid[:60] + " " + brief + " " + head)]
+    v = spark.createDataFrame(verses, "file_path string, verse int, body string")
+    c = spark.createDataFrame(texts, "id long, file_path string, text string")
+    got = {r.id: (r.first_verse, r.last_verse) for r in extract.verse_spans(c, v, "id").collect()}
+    want = {}
+    for i, f, t in texts:
+        held = [n for g, n, b in verses if f is not None and t is not None and f == g and b and b[:60] in t]
+        if held:
+            want[i] = (min(held), max(held))
+    assert got == want and want[2] == want[3] == (3, 7) and want[12] == (3, 11)
+
+
+def test_verse_spans_dont_carry_texts(spark):
+    words = [f"w{i % 997}" for i in range(4000)]
+    c = spark.createDataFrame([(i, f"f{i % 3}", f"text {i} " + " ".join(words)) for i in range(40)], "id long, file_path string, text string")
+    v = spark.createDataFrame([("f1", 4, " ".join(words[100:130]))], "file_path string, verse int, body string")
+
+    def shuffled():
+        return sum(s.shuffleWriteBytes() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)))
+
+    before = shuffled()
+    assert {r.id for r in extract.verse_spans(c, v, "id").collect()} == set(range(1, 40, 3))
+    assert shuffled() - before < 200_000  # the texts have 0.8 MB, with each of their words 3 GB
