@@ -21,11 +21,11 @@ FIT_ROWS, CALIBRATION_ROWS = 16_384, 384
 BRANCH = 8
 #: Rows of a leaf and of a block (a subtree that one task searches), in fit rows and in all rows; a block with more rows or more
 #: visitors than SHARD_ROWS is dealt over several tasks.
-LEAF_FIT, LEAF_ROWS, BLOCK_ROWS, SHARD_ROWS = 12, 256, 8_192, 16_384
+LEAF_FIT, LEAF_ROWS, BLOCK_ROWS, SHARD_ROWS = 12, 256, 8_192, 32_768
 #: Over so many parts the rows of a brute-force comparison are dealt.
 PARTS = 32
-#: Fit rows whose visits tell how many visitors a block gets.
-VISITOR_ROWS = 2_048
+#: Cells of a product that are held at once; rows of ``search`` that leave a task at once; vectors that are counted by leaf.
+CELLS, SENT_ROWS, COUNTED = 1 << 21, 4_096, 1 << 18
 
 
 @dataclass
@@ -161,14 +161,15 @@ class Search:
         return {b: (parts(per_block.get(b, 0)), parts(self.visitors.get(b, 0))) for b in set(per_block) | set(self.visitors)}
 
 
-def fit(rows: DataFrame, n: int, dim: int, k: int, floor: float, target: float) -> Search:
+def fit(rows: DataFrame, n: int, dim: int, k: int, floor: float, target: float, asked: int | None = None, n_rows: int = 0) -> Search:
     """Builds the tree on about FIT_ROWS rows at most (those of smallest hash) and calibrates the leaf visits on CALIBRATION_ROWS.
 
-    The calibration queries are held against *all* rows by brute force, in blocks, in one distributed pass that also counts
-    the rows by leaf; visits widen, to all leaves if need be, until ``target`` of their true neighbours (the k nearest of at
+    ``n``: how many different vectors there are, ``asked``: how many of them ask, if not all, ``n_rows``: how many rows; few copies don't change the sample. The calibration queries are held against *all* rows by brute force, in blocks, in one distributed pass that also counts
+    the vectors by leaf, each once however many copies it has (one in n / COUNTED of them, by hash); visits widen, to all leaves if need be, until ``target`` of their true neighbours (the k nearest of at
     least ``floor``) are in the leaves visited. ``recall`` is what the queries reach then."""
-    want = max(min(FIT_ROWS, max(64, n * LEAF_FIT // LEAF_ROWS)), CALIBRATION_ROWS)
-    thin = rows.where(F.pmod(F.xxhash64("g"), F.lit(1 << 20)) <= F.lit(int((1 << 20) * min(1.0, 1.02 * want / max(n, 1)))))
+    drawn = n_rows if n <= n_rows < 2 * n else n
+    want = max(min(FIT_ROWS, max(64, drawn * LEAF_FIT // LEAF_ROWS)), CALIBRATION_ROWS)
+    thin = rows.where(F.pmod(F.xxhash64("g"), F.lit(1 << 20)) <= F.lit(int((1 << 20) * min(1.0, 1.02 * want / max(drawn, 1)))))
     got = sorted(thin.dropDuplicates(["g"]).collect(), key=lambda r: r.g)  # a vector's copies meet before they reach the driver
     if not got:
         return Search(Tree(np.zeros((1, dim), "f4"), [[]], {0: 0}), 1, 1.0, {})
@@ -178,35 +179,36 @@ def fit(rows: DataFrame, n: int, dim: int, k: int, floor: float, target: float)
     queries = got[:CALIBRATION_ROWS]
     qx, qg, qm = x[: len(queries)], np.array([r.g for r in queries]), np.array([r.model for r in queries])
 
+    every = max(1, n // COUNTED)
+
     def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[list] = [[] for _ in qg]
-        count: dict[int, int] = {}
+        count: set[tuple[int, int]] = set()
         for b in (w.slice(lo, 1024) for w in batches for lo in range(0, w.num_rows, 1024)):
             y = np.frombuffer(b"".join(b.column(3).to_pylist()), "f2").reshape(-1, dim).astype("f4")
             g, m = b.column(2).to_numpy(), np.asarray(b.column(1).to_pylist(), dtype=object)
-            near = tree.products(y)
-            leaf = np.array([tree.visits(r, 1)[0] for r in near.tolist()])
-            for j, c in zip(*np.unique(leaf, return_counts=True)):
-                count[int(j)] = count.get(int(j), 0) + int(c)
+            leaf = np.array([tree.visits(r.tolist(), 1)[0] for r in tree.products(y)])
+            some = g // 64 % every == 0
+            count |= set(zip(leaf[some].tolist(), g[some].tolist()))
             s = qx @ y.T
             s[(qg[:, None] == g[None, :]) | (qm[:, None] != m[None, :])] = -2
             top = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, :k] if s.shape[1] > 1 else np.zeros((len(s), 1), int)
             for i, js in enumerate(top):
                 best[i] += [(float(s[i, j]), int(leaf[j])) for j in js if s[i, j] >= max(floor, -1)]
                 best[i] = sorted(best[i], reverse=True)[:k]
-        out = [(i, s, j, 0) for i, bs in enumerate(best) for s, j in bs] + [(-1, 0.0, j, c) for j, c in count.items()]
+        out = [(i, s, j, 0) for i, bs in enumerate(best) for s, j in bs] + [(-1, 0.0, j, c) for j, c in count]
         if out:
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["q", "s", "leaf", "n"]).astype({"q": "int32", "s": "float64", "leaf": "int32", "n": "int64"}))
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["q", "s", "leaf", "g"]).astype({"q": "int32", "s": "float64", "leaf": "int32", "g": "int64"}))
 
-    # tasks give k rows a query and one a leaf at most; they are summed up before they reach the driver
-    found = cut(rows.select("id", "model", "g", "v").mapInArrow(against, "q int, s double, leaf int, n long"))
-    counts = {r["leaf"]: r["n"] for r in found.where("q < 0").groupBy("leaf").agg(F.sum("n").alias("n")).collect()}
+    # tasks give k rows a query and the vectors that are counted; they are summed up before they reach the driver
+    found = cut(rows.select("id", "model", "g", "v").mapInArrow(against, "q int, s double, leaf int, g long"))
+    counts = {r["leaf"]: r["n"] * every for r in found.where("q < 0").groupBy("leaf").agg(F.countDistinct("g").alias("n")).collect()}
     best_of = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "leaf"))
     true = found.where("q >= 0").withColumn("rn", best_of).where(F.col("rn") <= k).select("q", "leaf").toPandas()
-    near = tree.products(qx).tolist()
+    near = tree.products(qx)
     ranks = []
     all_leaves = len(tree.leaves())
-    orders = {q: {leaf: r for r, leaf in enumerate(tree.visits(near[q], all_leaves))} for q in set(true.q)}
+    orders = {q: {leaf: r for r, leaf in enumerate(tree.visits(near[q].tolist(), all_leaves))} for q in set(true.q)}
     for q, leaf in zip(true.q, true.leaf):
         ranks.append(orders[q][leaf])
     ranks = np.sort(np.array(ranks, dtype=int))
@@ -215,10 +217,10 @@ def fit(rows: DataFrame, n: int, dim: int, k: int, floor: float, target: float)
     need = int(ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))) - 1)]) + 1
     visits = min(max(need, 2), all_leaves)
     visitors: dict[int, float] = {}
-    some = x[:: max(1, len(x) // VISITOR_ROWS)]
-    for p in tree.products(some).tolist():
-        for b in {tree.leaf_block[leaf] for leaf in tree.visits(p, visits)}:
-            visitors[b] = visitors.get(b, 0.0) + n / len(some)
+    for lo in range(0, len(x), 1024):
+        for p in tree.products(x[lo : lo + 1024]):
+            for b in {tree.leaf_block[leaf] for leaf in tree.visits(p.tolist(), visits)}:
+                visitors[b] = visitors.get(b, 0.0) + (n if asked is None else asked) / len(x)
     return Search(tree, visits, float((ranks < visits).mean()), counts, visitors)
 
 
@@ -245,10 +247,10 @@ def search(rows: DataFrame, index: Search, dim: int, k: int, floor: float, is_qu
             if not new:
                 continue
             raw = b.column(3).take(pa.array(new)).to_pylist()
-            near = tree.products(np.frombuffer(b"".join(raw), "f2").reshape(-1, dim).astype("f4")).tolist()
+            near = tree.products(np.frombuffer(b"".join(raw), "f2").reshape(-1, dim).astype("f4"))
             out: list[tuple] = []
             for i, v, p in zip(new, raw, near):
-                leaves = tree.visits(p, visits if asks[i] else 1)
+                leaves = tree.visits(p.tolist(), visits if asks[i] else 1)
                 by: dict[int, list[int]] = {}
                 for x in leaves if asks[i] else ():
                     by.setdefault(tree.leaf_block[x], []).append(x)
@@ -262,52 +264,68 @@ def search(rows: DataFrame, index: Search, dim: int, k: int, floor: float, is_qu
                     for at in range(r_all) if block in by else ():
                         if block != own or at != r:
                             out.append((m[i], block, at * q_all + q, g[i], -1, by[block], v))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary()))], names=["model", "block", "shard", "g", "leaf", "visits", "v"])
-
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf.g.duplicated().any():  # copies from several tasks: one row, with the leaf and the visits of any
-            pdf = pdf.assign(n=-pdf.visits.map(len)).sort_values(["g", "n"], kind="stable")
-            pdf["leaf"] = pdf.groupby("g").leaf.transform("max")
-            pdf = pdf.drop_duplicates("g").reset_index(drop=True)
-        x = np.frombuffer(b"".join(pdf.v), "f2").astype("f4").reshape(-1, dim)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        g, leaf = pdf.g.to_numpy(), pdf.leaf.to_numpy()
+                if len(out) >= SENT_ROWS:
+                    yield batch(out)
+                    out = []
+            if out:
+                yield batch(out)
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary()))], names=["model", "block", "shard", "g", "leaf", "visits", "v"])
+
+    def within(part: pa.Table) -> pa.Table:
+        g, leaf, asked = part.column("g").to_numpy(), part.column("leaf").to_numpy(), part.column("visits").to_pylist()
+        model = part.column("model")[0].as_py()
+        keep = np.arange(len(g))
+        if len(np.unique(g)) < len(g):  # copies from several tasks: one row, with the leaf and the visits of any
+            keep = np.lexsort((-np.array([len(v) for v in asked]), g))
+            first = np.flatnonzero(np.r_[True, np.diff(g[keep]) != 0])
+            leaf, keep = np.maximum.reduceat(leaf[keep], first), keep[first]
+            g, asked = g[keep], [asked[i] for i in keep.tolist()]
+        x = np.empty((len(keep), dim), "f4")
+        vectors = part.column("v").take(pa.array(keep)) if len(keep) < part.num_rows else part.column("v")
+        for lo in range(0, len(x), 1024):
+            y = np.frombuffer(b"".join(vectors.slice(lo, 1024).to_pylist()), "f2").astype("f4").reshape(-1, dim)
+            x[lo : lo + len(y)] = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
         ask: dict[int, list[int]] = {}
-        for i, vs in enumerate(pdf.visits):
+        for i, vs in enumerate(asked):
             for j in vs:
-                ask.setdefault(int(j), []).append(i)
+                ask.setdefault(j, []).append(i)
         found: dict[int, list] = {}
+        order = lambda t: (-t[0], g[t[1]])
         for j, qs in ask.items():
             rows = np.flatnonzero(leaf == j)
             if not len(rows):
                 continue
-            for lo in range(0, len(qs), 2048):
-                q = np.array(qs[lo : lo + 2048])
-                s = x[q] @ x[rows].T
+            near, step = x[rows], min(2048, max(1, CELLS // len(rows)))
+            for lo in range(0, len(qs), step):
+                q = np.array(qs[lo : lo + step])
+                s = x[q] @ near.T
                 s[g[q][:, None] == g[rows][None, :]] = -2
-                if floor > 0:
-                    a, b = np.nonzero(s >= floor - 1e-4)
-                else:
-                    b = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k].ravel() if s.shape[1] > k else np.tile(np.arange(s.shape[1]), len(s))
-                    a = np.repeat(np.arange(len(s)), min(k, s.shape[1]))
+                # the k best of a query, equal ones with them
+                least = np.full(len(q), floor - 1e-4 if floor > 0 else -1.5, "f4")
+                many = np.flatnonzero((s >= least[:, None]).sum(1) > k)
+                if len(many):
+                    least[many] = np.partition(s[many], len(rows) - k, axis=1)[:, len(rows) - k]
+                a, b = np.nonzero(s >= least[:, None])
                 for i, r, c in zip(q[a].tolist(), rows[b].tolist(), s[a, b].tolist()):
-                    if c >= -1.5:
-                        found.setdefault(i, []).append((c, r))
+                    found.setdefault(i, []).append((c, r))
+                for i in q.tolist():
+                    if len(cs := found.get(i, ())) > 4 * k:
+                        found[i] = sorted(cs, key=order)[:k]
         out = []
         for i, cs in found.items():
-            cs.sort(key=lambda t: (-t[0], g[t[1]]))
-            for _, r in cs[:k]:
+            for _, r in sorted(cs, key=order)[:k]:
                 # products again in double
                 a, b = x[i].astype("f8"), x[r].astype("f8")
                 out.append((int(g[i]), int(g[r]), float(a @ b / np.sqrt((a @ a) * (b @ b)))))
-        res = pd.DataFrame(out, columns=["g", "other", "cos"]).astype({"g": "int64", "other": "int64", "cos": "float64"})
-        res.insert(0, "model", pdf.model.iloc[0])
-        return res
+        g_out, other, cos = zip(*out) if out else ((), (), ())
+        return pa.table({"model": pa.array([model] * len(out), pa.string()), "g": pa.array(g_out, pa.int64()), "other": pa.array(other, pa.int64()), "cos": pa.array(cos, pa.float64())})
 
     dealt = rows.select("id", "model", "g", "v", F.expr(is_query).alias("asks")).mapInArrow(deal, schema)
     # as many partitions as parts, so that the largest doesn't grow with the data
     parts = max(rows.sparkSession.sparkContext.defaultParallelism, sum(r * q for r, q in shards.values()))
-    hits = dealt.repartition(parts, "model", "block", "shard").groupBy("model", "block", "shard").applyInPandas(within, "model string, g long, other long, cos double").where(F.col("cos") >= floor)
+    hits = dealt.repartition(parts, "model", "block", "shard").groupBy("model", "block", "shard").applyInArrow(within, "model string, g long, other long, cos double").where(F.col("cos") >= floor)
     first = F.row_number().over(Window.partitionBy("model", "g").orderBy(F.desc("cos"), "other"))
     return hits.withColumn("rn", first).where(F.col("rn") <= k).drop("rn")
 
@@ -325,7 +343,8 @@ def nearest(df: DataFrame, k: int = 5, floor: float = -1.0, target: float = 0.95
     asks = is_query or "true"
     members = cut(rows_of(df, dim, key, vector, model, False).distinct())
     rows = rows_of(df, dim, key, vector, model)
-    index = fit(rows, members.count(), dim, k, floor, target)
+    n, asked, n_rows = members.groupBy("model", "g").agg(F.max(F.expr(asks)).alias("asks"), F.count("*").alias("n")).agg(F.count("*"), F.count_if("asks"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    index = fit(rows, n, dim, k, floor, target, asked, n_rows)
     hits = search(rows, index, dim, k, floor, asks)
     ids = cut(copies_of(members, k))
     near = hits.join(ids.select("model", F.col("g").alias("other"), F.col("ids").alias("other_ids")), ["model", "other"])

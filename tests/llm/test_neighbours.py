@@ -47,3 +47,25 @@ def test_copies_and_unusable_vectors(spark):
     assert set(by) == {*range(200), 300, 301}  # 302 is alone in its model
     assert all(len(set(x)) == 5 for x in by.values()) and sorted(by[150]) == [0, 1, 2, 3, 4] and sorted(by[2]) == [0, 1, 3, 4, 5]
     assert neighbours.nearest(frame(spark, []), dim=8).count() == 0
+
+
+def test_parts_follow_different_vectors_that_ask(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((600, 16))
+    rows = [(i + 1000 * c, x[i].tolist(), "m") for i in range(600) for c in range(8)]
+    members = neighbours.rows_of(frame(spark, rows), 16, "chunk_id", "embedding", "model_version")
+    index = neighbours.fit(members, 600, 16, 5, -1.0, 0.95, 60)
+    assert sum(index.counts.values()) == 600
+    assert max(index.visitors.values()) <= 60.5
+
+
+def test_parts_hold_few_candidates(spark, monkeypatch):
+    # a dense place: products in many pieces, far more rows than k above the floor
+    monkeypatch.setattr(neighbours, "CELLS", 1000)
+    monkeypatch.setattr(neighbours, "SENT_ROWS", 50)
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal(32)
+    rows = [(i, (centre + 0.2 * rng.standard_normal(32)).tolist(), "m") for i in range(900)]
+    got = {(r.id, r.other) for r in neighbours.nearest(frame(spark, rows), k=5, floor=0.9, target=0.99, dim=32).collect()}
+    want = brute(rows, 5, 0.9)
+    assert len(got & want) / len(want) >= 0.97 and len(got - want) <= 0.03 * len(want)
