@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import Word2Vec
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,11 +32,11 @@ STEPS = ((0, 0), (1, 0), (0, 1), (1, 1), (1, 2), (2, 1))
 #: Costs: leaving a sentence out; the least similarity of a pair on the path and of a rematched one; how much of a work's shorter
 #: side must match, and how much of both.
 GAP, ON_PATH, REMATCH, COVERAGE = 0.36, 0.38, 0.47, 0.4
-#: Bounds of what fits the model; all works are aligned with it. Sentences of a language that train its vectors; words of a language
-#: that have a vector and a weight of their own, the most frequent of all works (a rarer one weighs as much as the rarest of
-#: these); works that teach word pairs, and pairs taught.
-SENTENCES, WORDS, TEACHERS, LEXICON = 200_000, 50_000, 600, 50_000
-#: Sentences that one task trains on at least: vectors averaged over tasks with few are worse.
+#: Bounds of the model, which is made from all sentences of all works: words of a language that have a vector and a weight of their own,
+#: the most frequent (a rarer one weighs as much as the rarest of these), and pairs of words taught.
+WORDS, LEXICON = 50_000, 50_000
+#: Sentences that one task trains on at least: vectors averaged over tasks with few are worse. There are no more tasks than cores, as each
+#: sends its vectors of all words twice.
 PER_PART = 25_000
 #: An induced pair of words: how often aligned together at least, and the least Dice coefficient.
 PAIRS, DICE = 4, 0.5
@@ -177,12 +178,22 @@ def _sums(matrix: np.ndarray, rows: np.ndarray, sizes: list[int], weights: np.nd
 
 
 def skip_gram(tokens: DataFrame, words: set[str], seed: int = 7) -> dict[str, np.ndarray]:
-    """Skip-gram vectors of a language's ``words``, trained by Spark on about SENTENCES sentences at most, those of smallest hash."""
+    """Skip-gram vectors of a language's ``words``, trained by Spark on all its sentences. Where words were left out (there are
+    WORDS of them then), the trainer doesn't see them either, so that its vocabulary is bounded."""
+    sc = tokens.sparkSession.sparkContext
     n = tokens.count()
-    if n > SENTENCES:
-        tokens = tokens.where(F.pmod(F.xxhash64("w"), F.lit(1 << 20)) < int((1 << 20) * SENTENCES / n))
-    parts = max(1, min(n, SENTENCES) // PER_PART)
-    m = Word2Vec(vectorSize=DIM, minCount=MIN_COUNT, numPartitions=parts, maxIter=2, stepSize=0.05, windowSize=4, seed=seed, inputCol="w", outputCol="v").fit(tokens.coalesce(8))
+    parts = max(1, min(n // PER_PART, sc.defaultParallelism))
+    kept = sc.broadcast(words)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w = [[x for x in ws if x in kept.value] for ws in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.list_(pa.string()))], names=["w"])
+
+    tokens = tokens.coalesce(8) if n <= 8 * PER_PART else tokens
+    if len(words) >= WORDS:
+        tokens = tokens.mapInArrow(known, "w array<string>")
+    m = Word2Vec(vectorSize=DIM, minCount=MIN_COUNT, numPartitions=parts, maxIter=2, stepSize=0.05, windowSize=4, seed=seed, inputCol="w", outputCol="v").fit(tokens)
     return {r["word"]: np.asarray(r["vector"].toArray(), "f4") for r in m.getVectors().collect() if r["word"] in words}
 
 
@@ -479,7 +490,7 @@ def alignment(chunks: DataFrame, parallels: DataFrame | None, glossary: list[tup
     chunk id first; copies of a chunk (same file, index and text) have the pairs of their first copy.
 
     ``glossary``: pairs of terms known beforehand (tables of fixed size). Two rounds: the glossary, equal figures and skip-gram
-    vectors align about TEACHERS works; the pairs found teach further words; then all works are aligned. Weights are from counts
+    vectors align all works; the pairs found teach further words; then all works are aligned again. Weights are from counts
     over all works; what the driver and the tasks hold of the vocabulary is bounded by WORDS and LEXICON. Null texts are left out; works of which
     hardly anything matches are no translations and give no pairs; without works there are no rows.
     """
@@ -509,10 +520,8 @@ def alignment(chunks: DataFrame, parallels: DataFrame | None, glossary: list[tup
 
         return some.select("work", "side", "pos", "id", "sentence", "text").mapInPandas(run, "work string, side string, pos long, id long, sentence int, v binary")
 
-    n_works = members.select("work").distinct().count()
-    teachers = placed if n_works <= TEACHERS else cut(placed.where(F.pmod(F.xxhash64("work"), F.lit(1 << 20)) < int((1 << 20) * TEACHERS / n_works)))
-    first = cut(aligned(embedded(fit(raw, counts, seeds), teachers)))
-    more = induced(first, teachers.withColumn("w", words), {a[0] for a, _ in seeds if len(a) == 1})
+    first = cut(aligned(embedded(fit(raw, counts, seeds), placed)))
+    more = induced(first, placed.withColumn("w", words), {a[0] for a, _ in seeds if len(a) == 1})
     pairs = cut(aligned(embedded(fit(raw, counts, seeds + [p for p in more if p[0] not in {a for a, _ in seeds}]), placed)))
     # copies of a chunk
     ids = pairs.select(F.col("id_a").alias("id")).union(pairs.select("id_b")).distinct()

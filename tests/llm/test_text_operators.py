@@ -393,3 +393,10 @@ def test_permuted_figures():
         assert sorted(got) == list(range(10**size)) and all(n != g for n, g in enumerate(got))
     of = lambda t: private.surrogate(b"k", "phone", t, {})
     assert len(of("five five five zero one one four").split()) == 7 and of("cero uno dos").split()[0] in private.FIGURES_ES
+
+
+def test_skip_gram_trains_on_all_sentences(spark):
+    # 400,000 sentences; each of the thousand words stands in four of them
+    w = F.when(F.col("id") < 4000, F.array(F.lit("lamp"), F.concat(F.lit("w"), (F.col("id") % 1000).cast("string")), F.lit("rare"))).otherwise(F.array(F.lit("lamp"), F.lit("river")))
+    words = {f"w{i}" for i in range(1000)} | {"lamp", "river"}
+    assert set(bitext.skip_gram(spark.range(400_000).select(w.alias("w")), words)) == words
