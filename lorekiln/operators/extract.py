@@ -169,6 +169,22 @@ def is_noise(tier: str = "conservative"):
     return ((noise | weak) if tier == "aggressive" else noise) & ~sure
 
 
+#: A line that opens a verse.
+OPENS = r"^[0-9]{1,3}[ \t\f\x0B]+[^ \t\n\r\f\x0B]"
+
+
+def running_verses(chunks: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """The chunks, ``text`` with its lines joined by a blank, and all their verses (file_path, verse, body): an opening line together with the
+    lines that go on with it up to the next one, joined likewise, so that a chunk's text holds its verses. Blank lines are passed over."""
+    lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.rtrim(x, F.lit(" \t\f\x0B\r"))), lambda x: x != "")
+    joined = lambda xs: F.array_join(F.transform(xs, lambda x: F.ltrim(x, F.lit(" \t\f\x0B"))), " ")
+    opens = lambda xs: F.filter(F.transform(xs, lambda x, i: F.when(x.rlike(OPENS), i + 1)), lambda i: i.isNotNull())
+    each = let(lines, lambda xs: let(opens(xs), lambda at: F.transform(at, lambda i, j: joined(F.slice(xs, i, F.coalesce(F.get(at, j + 1), F.size(xs) + 1) - i)))))
+    v = chunks.where(F.col(text).rlike("(?m)" + OPENS)).select("file_path", F.explode(each).alias("v"))
+    v = v.select("file_path", F.regexp_extract("v", r"^([0-9]{1,3})", 1).cast("int").alias("verse"), F.regexp_extract("v", r"(?s)^[0-9]{1,3}[ \t\f\x0B]+(.*)\z", 1).alias("body"))
+    return chunks.withColumn(text, joined(lines)), v
+
+
 #: Characters by which a verse's beginning is looked for, and bits of the filter of all that are looked for: 16 MB, the one thing of
 #: ``verse_spans`` that comes to the driver. With more verses than bits more candidates travel; the result stays the same.
 ANCHOR, FILTER_BITS = 20, 1 << 27

@@ -58,13 +58,14 @@ def prune_preview(spark: SparkSession, sf: str) -> DataFrame:
     return of("conservative").unionByName(of("aggressive"))
 
 
-@query(r"""WITH v AS (SELECT file_path, CAST(regexp_extract(line, '^([0-9]{1,3})[ \t]', 1) AS INT) verse, substring(regexp_extract(line, '^[0-9]{1,3}[ \t]+([^ \t].*)$', 1), 1, 60) head FROM (SELECT file_path, unnest(string_split_regex(text, '\r?\n')) line FROM chunks WHERE text IS NOT NULL) WHERE regexp_matches(line, '^[0-9]{1,3}[ \t]+[^ \t\n\r\f\v]')),
-w AS (SELECT DISTINCT * FROM v WHERE length(head) = 60) SELECT c.id AS id, min(w.verse) AS first_verse, max(w.verse) AS last_verse FROM chunks c JOIN w ON w.file_path = c.file_path AND contains(c.text, w.head) GROUP BY 1""")
+@query(r"""WITH l AS (SELECT r, id, file_path, pos, regexp_replace(line, '[ \t\f\v\r]+$', '') line FROM (SELECT r, id, file_path, unnest(string_split_regex(text, '\r?\n')) AS line, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS pos FROM (SELECT row_number() OVER () r, id, file_path, text FROM chunks WHERE text IS NOT NULL))),
+m AS (SELECT *, regexp_matches(line, '^[0-9]{1,3}[ \t\f\v]+[^ \t\n\r\f\v]') opens FROM l WHERE line <> ''), g AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY pos) g FROM m),
+v AS (SELECT file_path, CAST(max(CASE WHEN opens THEN regexp_extract(line, '^([0-9]{1,3})', 1) END) AS INT) AS verse, substring(string_agg(CASE WHEN opens THEN regexp_extract(line, '^[0-9]{1,3}[ \t\f\v]+(.*)$', 1) ELSE regexp_replace(line, '^[ \t\f\v]+', '') END, ' ' ORDER BY pos), 1, 60) AS head FROM g WHERE g > 0 GROUP BY r, file_path, g),
+w AS (SELECT DISTINCT * FROM v), t AS (SELECT id, file_path, string_agg(regexp_replace(line, '^[ \t\f\v]+', ''), ' ' ORDER BY pos) AS text FROM m GROUP BY r, id, file_path)
+SELECT t.id AS id, min(w.verse) AS first_verse, max(w.verse) AS last_verse FROM t JOIN w ON w.file_path = t.file_path AND contains(t.text, w.head) GROUP BY 1""")
 def verse_spans(spark: SparkSession, sf: str) -> DataFrame:
-    """The verses of its file that each chunk holds, by their first sixty characters; shorter verses are left out here."""
-    c = table(spark, sf, "chunks").select("id", "file_path", "text").where("text is not null")
-    lines = c.select("file_path", F.explode(F.split("text", "\r?\n")).alias("line")).where(r"line rlike '^[0-9]{1,3}[ \\t]+[^ \\t\\n\\r\\f\\x0B]'")
-    v = lines.select("file_path", F.regexp_extract("line", r"^([0-9]{1,3})[ \t]", 1).cast("int").alias("verse"), F.regexp_extract("line", r"(?s)^[0-9]{1,3}[ \t]+([^ \t].*)$", 1).alias("body")).where("length(body) >= 60")
+    """The verses of its file that each chunk holds, with the lines that go on with them, by their first sixty characters or, if shorter, whole."""
+    c, v = extract.running_verses(table(spark, sf, "chunks").select("id", "file_path", "text").where("text is not null"), "text")
     return extract.verse_spans(c, v, "id")
 
 

@@ -2,12 +2,14 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lorekiln.functions import names as N
 from lorekiln.functions.arrays import before
 from lorekiln.operators import disambiguate, extract, graph, maintenance, retrieval, search
+from lorekiln.plans import catalogue
 
 
 def column(spark, values, build, kind="string"):
@@ -153,3 +155,28 @@ def test_verse_spans_dont_carry_texts(spark):
     before = shuffled()
     assert {r.id for r in extract.verse_spans(c, v, "id").collect()} == set(range(1, 40, 3))
     assert shuffled() - before < 200_000  # the texts have 0.8 MB, with each of their words 3 GB
+
+
+def test_verse_spans_of_short_verses_and_lines_that_go_on(spark, tmp_path):
+    solid = "y" * 70
+    texts = [
+        (1, "f", "Heading\n3 Orin wept.  \n\n4 And the lamp\r\n  went out,\n and it was dark.\n5 " + solid),
+        (2, "f", "they say Orin wept. Then it was so"),
+        (3, "f", "And the lamp"),
+        (4, "f", "“And the lamp went\nout, and it was\ndark. So"),
+        (5, "f", "6 a"),
+        (6, "g", "And it is Orin wept. " + solid),
+        (7, "g", "1 a\rb\n2\x0bc \u2028d\x01e\n 9 no verse\n1234 no verse\n11 \n12"),
+        (7, "g", "1 a\rb 2"),
+        (8, None, "1 a"),
+        (9, "h", None),
+        (10, "h", ""),
+        (None, "h", "8 Où?\n😀 wept"),
+        (11, "h", "z Où? 😀 wept"),
+    ]
+    spark.createDataFrame(texts, "id long, file_path string, text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    got = {(r.id, r.first_verse, r.last_verse) for r in catalogue.queries()["verse_spans"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 3, 6), (2, 3, 6), (3, 6, 6), (4, 4, 6), (5, 6, 6), (7, 1, 2), (None, 8, 8), (11, 8, 8)}
+    con = duckdb.connect()
+    con.execute(f"create view chunks as select * from '{tmp_path}/chunks.parquet/*.parquet'")
+    assert set(con.execute(catalogue.oracle_sql()["verse_spans"]).fetchall()) == got
